@@ -2,8 +2,7 @@
 
 Block elements are the nodes of a tree; each is content or not. A node's own
 evidence is a log odds learned over its tag, its class and id words, its link
-share, text length and place; parent and child are tied by potentials learned
-from how often labels go together. Sum-product messages pass upward from the
+share and text length; parent and child are tied by a learned potential. Sum-product messages pass upward from the
 leaves and downward from the root, which on a tree gives exact marginals, and
 the text of nodes whose marginal is at least one half is the page's main text.
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pages that the model learns from, at most.
-MAX_TRAIN = 400
+MAX_TRAIN = 120
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.DOTALL)
@@ -150,9 +149,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
     out = []
     for node in nodes:
         share = node.linked / node.chars if node.chars else 0
-        size = min(6, int(math.log2(1 + node.chars / 8)))
-        up = nodes[node.parent].tag if node.parent >= 0 else "-"
-        out.append([f"tag={node.tag}", f"link={int(4 * share)}", f"size={size}", f"up={up}", *(f"name={n}" for n in node.names)])
+        out.append([f"tag={node.tag}", f"link={int(2 * share)}", f"text={min(2, node.chars // 40)}", *(f"name={n}" for n in node.names)])
     return out
 
 
@@ -161,28 +158,30 @@ class Model:
     """weights: evidence of features in log odds; pair: log potentials of (parent, child) labels."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    bias: float = 0.0
     pair: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """Log odds of content for each node, by one upward and one downward pass of sum-product messages."""
-        own = [self.bias + sum(self.weights.get(f, 0.0) for f in fs) for fs in features(nodes)]
+    def messages(self, nodes: list[Node], own: list[float]) -> tuple[list[float], list[float], list[float]]:
+        """Log odds of content by one upward and one downward pass of sum-product messages.
+
+        (beliefs, what each node says upward of itself and all below it, what its parent says without it).
+        """
         (p00, p01), (p10, p11) = self.pair
         inward, message = own[:], [0.0] * len(nodes)
-
-        def send(odds: float, zero: tuple[float, float], one: tuple[float, float]) -> float:
-            """Log odds at the other end: each of its labels sums over the labels at this end."""
-            a, b = _add(zero[0], zero[1] + odds), _add(one[0], one[1] + odds)
-            return b - a
-
         for i in range(len(nodes) - 1, 0, -1):
-            message[i] = send(inward[i], (p00, p01), (p10, p11))
+            # Each label of the parent sums over the labels of the child.
+            message[i] = _add(p10, p11 + inward[i]) - _add(p00, p01 + inward[i])
             inward[nodes[i].parent] += message[i]
-        belief = inward[:]
+        belief, rest = inward[:], [0.0] * len(nodes)
         for i in range(1, len(nodes)):
-            rest = belief[nodes[i].parent] - message[i]
-            belief[i] = inward[i] + send(rest, (p00, p10), (p01, p11))
-        return belief
+            rest[i] = belief[nodes[i].parent] - message[i]
+            belief[i] = inward[i] + _add(p01, p11 + rest[i]) - _add(p00, p10 + rest[i])
+        return belief, inward, rest
+
+    def evidence(self, nodes: list[Node]) -> list[float]:
+        return [sum(self.weights.get(f, 0.0) for f in fs) for fs in features(nodes)]
+
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        return self.messages(nodes, self.evidence(nodes))[0]
 
 
 def _add(a: float, b: float) -> float:
@@ -204,35 +203,41 @@ def labels(nodes: list[Node]) -> list[int] | None:
     return out
 
 
-def train(pages: list[str], steps: int = 400) -> Model:
-    """Evidence by logistic regression, potentials by counts, both over the labelled pages and the forms."""
-    rows, ys, weight, pair = [], [], [], np.ones((2, 2))
-    for page, times in [*((p, 1.0) for p in pages), *((f, 1.0 + len(pages) / 40) for f in FORMS)]:
+def train(pages: list[str], steps: int = 60) -> Model:
+    """Maximum likelihood over the labelled pages and the forms, by exact gradients.
+
+    The gradient of a feature is the labels it has less the marginals it gets;
+    that of a pair of labels, the edges that have it less the edges expected to.
+    """
+    trees = []
+    for page, times in [*((p, 1.0) for p in pages), *((f, 1.0 + len(pages) / len(FORMS)) for f in FORMS)]:
         nodes, _ = parse(page)
         y = labels(nodes)
-        if y is None:
-            continue
-        rows += features(nodes)
-        ys += y
-        weight += [times / len(nodes)] * len(nodes)
-        for i, n in enumerate(nodes[1:], 1):
-            pair[y[n.parent], y[i]] += times / len(nodes)
-    names = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}))}
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([names[f] for r in rows for f in r])
-    y, wt = np.array(ys, dtype=float), np.array(weight) / sum(weight)
-    w, b, speed = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6)
+        if y is not None:
+            trees.append((nodes, features(nodes), y, times))
+    names = {f: i for i, f in enumerate(sorted({f for _, fs, _, _ in trees for r in fs for f in r}))}
+    flat = [(np.repeat(np.arange(len(fs)), [len(r) for r in fs]), np.array([names[f] for r in fs for f in r])) for _, fs, _, _ in trees]
+    total = sum(t[3] for t in trees)
+    w, cross = np.zeros(len(names)), np.array([-1.0, -1.0])
+    speed, cross_speed = np.full(len(names), 1e-4), np.full(2, 1e-4)
     for _ in range(steps):
-        z = b + np.bincount(at, w[col], len(rows))
-        g = wt * (1 / (1 + np.exp(-z)) - y)
-        grad = np.bincount(col, g[at], len(names)) + 1e-5 * w
+        grad, pull = -2e-4 * w, np.zeros(2)
+        model = Model({}, ((0.0, float(cross[0])), (float(cross[1]), 0.0)))
+        for (nodes, _, y, times), (at, col) in zip(trees, flat, strict=True):
+            own = np.bincount(at, w[col], len(nodes))
+            belief, inward, rest = (np.array(x) for x in model.messages(nodes, own.tolist()))
+            miss = times / total * (np.array(y) - 1 / (1 + np.exp(-np.clip(belief, -40, 40))))
+            grad = grad + np.bincount(col, miss[at], len(names))
+            up = np.array([y[n.parent] for n in nodes[1:]])
+            here, a, b = np.array(y[1:]), np.clip(inward[1:], -40, 40), np.clip(rest[1:], -40, 40)
+            odd = np.exp(np.stack([cross[0] + a, cross[1] + b]))
+            odd = odd / (1 + np.exp(a + b) + odd.sum(axis=0))
+            pull += times / total * np.array([((up < here) - odd[0]).sum(), ((up > here) - odd[1]).sum()])
         speed += grad * grad
-        w -= 0.5 * grad / np.sqrt(speed)
-        b -= 0.5 * g.sum()
-    chance = pair / pair.sum(axis=1, keepdims=True)
-    prior = chance.mean(axis=0)
-    tie = np.log(chance / prior)
-    return Model({f: float(w[i]) for f, i in names.items()}, float(b), tuple(tuple(map(float, r)) for r in tie))
+        cross_speed += pull * pull
+        w += 0.6 * grad / np.sqrt(speed)
+        cross = np.minimum(0.0, cross + 0.6 * pull / np.sqrt(cross_speed))
+    return Model({f: float(w[i]) for f, i in names.items()}, ((0.0, float(cross[0])), (float(cross[1]), 0.0)))
 
 
 def main_text(model: Model, page: str | None) -> str:
