@@ -8,11 +8,12 @@ the same everywhere: two classes that agree in MATCHES coordinates share one of
 their first ``COORDINATES - MATCHES + 1``. So only that prefix is joined, and
 what most classes have in common, last in the order, is skipped.
 
-No posting list is expanded into all its pairs. Each member first meets one
+No posting list is expanded into all its pairs. Each member first meets the
 leader of its list, and confirmed links are merged into components. Only lists
-that still hold different components are then merged across components, where
-collisions are counted on whole signatures. Every link is confirmed on the full
-shingle sets, computed from whole texts.
+that still hold different components are then merged across components:
+collisions are counted on a wider sketch, inside the task, and only pairs that
+may reach the similarity leave it. Every link is confirmed on the full shingle
+sets, computed from whole texts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +33,17 @@ SHINGLE, COORDINATES, MATCHES = 5, 32, 8
 #: Similarity of a link, as the fraction LINK_NUM / LINK_DEN.
 LINK_NUM, LINK_DEN = 75, 100
 _SEEDS = np.random.default_rng(10).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = (0, 0x2A5F3C917B6D04E8)
-_PIECE = 8192
+#: Coordinates of the wide sketch, a byte each, and how many agree at least: at similarity 0.75, all but one pair in a hundred thousand.
+WIDE, WIDE_MATCHES = 512, 342
+_WIDE_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of one list that are compared in one task; longer lists are cut into pairs of blocks.
+BLOCK = 2048
+_PIECE = 1024
 
 
-def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES, seeds: np.ndarray = _SEEDS) -> np.ndarray:
     """The least value of each random order, mixed with the number of its coordinate into one key."""
-    seeds = _SEEDS[:coordinates, None]
+    seeds = seeds[:coordinates, None]
     least = np.full(coordinates, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), _PIECE):
         part = shingles[at : at + _PIECE]
@@ -73,13 +79,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, c
 
 
 def prefixes(classes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(node, key): the rarest pairs of each class, without those that no other class has."""
+    """(node, key, weight): the rarest pairs of each class, without those that no other class has. weight: how frequent all its pairs are together."""
     posts = classes.select("node", F.explode("sig").alias("key"))
     often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     shared = posts.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
     # Pairs that one class has alone come first in the order and need no posting.
     room = F.greatest(F.lit(0), F.size("shared") - (matches - 1))
-    return shared.select("node", F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("node", F.col("p.key").alias("key"))
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda total, p: total + p["often"])
+    return shared.select("node", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("node", "weight", F.col("p.key").alias("key"))
 
 
 def _verify(size: int, num: int, den: int):
@@ -102,33 +109,82 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are similar enough, as (u, v)."""
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
-    full = pairs.join(body.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(body.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+def confirm(pairs: DataFrame, bodies: DataFrame, size: int = SHINGLE, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
+    """The pairs (a, b) of document ids whose full shingle sets are similar enough, as (u, v). bodies: (id, body)."""
+    full = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
     return full.select("a", "b", "body_a", "body_b").mapInArrow(_verify(size, num, den), "u long, v long")
 
 
 def _leader_pairs(posts: DataFrame) -> DataFrame:
-    """Each member of a list against the list's leader. Lists take turns in how they order nodes, so that a group has a few leaders."""
-    mask = F.when(F.col("key") % 2 == 0, F.lit(_MASKS[0])).otherwise(F.lit(_MASKS[1]))
-    leaders = posts.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("h"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    leaders = leaders.filter("lo <> hi").select("key", F.col("h").bitwiseXOR(mask).alias("leader"))
+    """Each member of a list against its leader, the member whose pairs are the most frequent: copies of one text agree most with their original."""
+    top = posts.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    leaders = top.select("key", F.col("top.node").alias("leader"))
     return posts.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _across(posts: DataFrame, roots: DataFrame, classes: DataFrame, matches: int, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a list, are near in size and collide in enough coordinates."""
+def _wide(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [signature(shingle_set(x.as_py(), size), WIDE, _WIDE_SEEDS).astype(np.uint8).tobytes() for x in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(wide, pa.binary())], names=["node", "wide"])
+
+    return run
+
+
+def _across(best: bool, num: int, den: int):
+    """Pairs of different components within one list, or between two blocks of a long one."""
+
+    def one(rows: pd.DataFrame, out: list) -> None:
+        root, n, node, block = (rows[c].to_numpy() for c in ("root", "n_shingles", "node", "block"))
+        key, whole = rows["key"].iat[0], rows["lo"].iat[0] == rows["hi"].iat[0]
+        bits = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint8).reshape(len(rows), WIDE)
+        keys = rows["keys"].tolist()
+        values, times = np.unique(root, return_counts=True)
+        # A pair of different components has a member outside the most frequent one.
+        for i in np.flatnonzero(root != values[times.argmax()]):
+            able = np.flatnonzero((root != root[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & ((block != block[i]) | whole))
+            if len(able):
+                agree = (bits[able] == bits[i]).sum(axis=1)
+                for j in able[[agree.argmax()]] if best and agree.max() >= WIDE_MATCHES else able[agree >= WIDE_MATCHES]:
+                    if best or np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key:
+                        out.append((min(node[i], node[j]), max(node[i], node[j])))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by list and blocks; a list may go on in the next frame."""
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            ids = frame[["key", "lo", "hi"]].to_numpy()
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1 if len(frame) else []
+            parts = [frame.iloc[x:y] for x, y in zip([0, *cuts], [*cuts, len(frame)], strict=True)]
+            out: list = []
+            for part in parts:
+                if held and tuple(held[-1][["key", "lo", "hi"]].iloc[0]) != tuple(part[["key", "lo", "hi"]].iloc[0]):
+                    one(pd.concat(held), out)
+                    held = []
+                held.append(part)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+        out = []
+        if held:
+            one(pd.concat(held), out)
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    return run
+
+
+def _still_split(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Posts of the lists that hold members of several components, with the component of each. The one pair of a list of two has been tried."""
     rooted = posts.join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = rooted.join(split, "key", "left_semi").join(classes.select("node", "n_shingles"), "node")
-    l, r = left.alias("l"), left.alias("r")
-    near = (den * F.least("l.n_shingles", "r.n_shingles")) >= (num * F.greatest("l.n_shingles", "r.n_shingles"))
-    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near)
-    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    sig = classes.select("node", "sig")
-    pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    return pairs.filter(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b")
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2").select("key", "size")
+    return rooted.join(split, "key")
+
+
+def _cross_pairs(split: DataFrame, nodes: DataFrame, best: bool, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
+    """(a, b) across components that agree in enough of the wide sketch. nodes: (node, n_shingles, wide). Long lists are met block by block."""
+    keys = split.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    rows = split.join(keys.join(nodes, "node"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n_shingles", "keys", "wide")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_across(best, num, den), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,13 +201,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = durable(made.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     posts = durable(prefixes(classes))
+    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+    bodies = durable(body.join(posts.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
     tried = durable(_leader_pairs(posts))
-    links = durable(confirm(tried, docs, id_col, text_col))
+    links = durable(confirm(tried, bodies))
     roots = components(links)
-    more = confirm(_across(posts, roots, classes, MATCHES, LINK_NUM, LINK_DEN).join(tried, ["a", "b"], "left_anti"), docs, id_col, text_col)
+    split = durable(_still_split(posts, roots))
+    if not split.isEmpty():
+        some = split.select(F.col("node").alias("id")).distinct()
+        wide = bodies.join(some, "id", "left_semi").mapInArrow(_wide(SHINGLE), "node long, wide binary")
+        nodes = durable(wide.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node"))
+        # First the likeliest partner of each member, which links most of what can be linked; then all that is left.
+        for best in (True, False):
+            pairs = durable(_cross_pairs(split, nodes, best).join(tried, ["a", "b"], "left_anti"))
+            links = durable(links.unionByName(confirm(pairs, bodies)))
+            roots = components(links)
+            if best:
+                tried, split = tried.unionByName(pairs), durable(_still_split(posts, roots))
     # Members of a class are linked to its node; a document repeated under one id joins its classes.
     ties = made.join(classes.select("n_shingles", "set_key", "node"), ["n_shingles", "set_key"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u <> v")
-    grouped = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).unionByName(ties))
+    grouped = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(ties))
     out = every.select("doc_id", "n_shingles").join(grouped.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
