@@ -124,6 +124,12 @@ def checkpoint_dir(spark) -> str:
 
 
 def durable(df):
-    """Cut the lineage through reliable storage that outlives any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage through reliable storage that outlives any executor, and let go of the shuffle files behind it."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    checkpoint_dir(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
