@@ -1,11 +1,290 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries over whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "u5_extract"
+from provenant.functions import urls
+from provenant.operators import capture, content, delta, upkeep
+from provenant.plans import fixtures as fx
+from provenant.sources.tables import table
+from provenant.streaming import index as streaming
+
+FLAGSHIP, RUN = "url_index_build", "2024-01-30"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    """Dates as ISO text."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"SELECT page_id, {fx.canonical_sql('url')} AS canonical, {fx.host_sql('url')} AS host FROM pages")
+def canonical_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.host(F.col("url")).alias("host"))
+
+
+_ODD = ("https://LOCALHOST:8080/x", "https://fonts.gstatic.com/a", "https://box.tail.ts.net/", "https://site.com/a.PNG", "https://site.com/wiki/a.png", "https://doi.org/10.1/", "https://doi.org/10.1000/ab", "https://dotless/", "http://10.2.3.4/", "http://8.8.8.8/", "mailto:a")
+_REASON = (None, "exact_host", "infra_host", "private_suffix", "asset", None, "malformed_doi", None, "dotless", "unsafe_address", None, "no_host")
+
+
+@query(f"SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'reserved_name' {' '.join(f'''WHEN {k} THEN '{r}' ''' for k, r in enumerate(_REASON) if r)} END AS reason FROM pages")
+def exclusion_reasons(spark, sf_dir):
+    odd = F.get(F.array(*map(F.lit, _ODD)), (F.col("page_id") % 12 - 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.excluded_reason(F.coalesce(odd, "url")).alias("reason"))
+
+
+@query(f"SELECT array_to_string(string_split({fx.host_sql('url')}, '.')[-2:], '.') AS site, count(*) AS n FROM pages GROUP BY 1")
+def site_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(urls.site(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, list_filter(string_split({fx.part_sql('url', 3)}, '/'), lambda s: s <> '') AS steps FROM pages)
+    SELECT page_id, CASE WHEN len(steps) > 1 THEN {fx.part_sql('url', 1)} || '://' || {fx.part_sql('url', 2)} || '/' || array_to_string(steps[:len(steps) - 1], '/') END AS parent FROM p""")
+def parent_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.parent(F.col("url")).alias("parent"))
+
+
+@query("SELECT page_id, page_id % 5 IN (1, 2, 3) AS unbalanced, page_id % 5 = 4 AS vcs FROM pages")
+def bracket_balance(spark, sf_dir):
+    tail = F.get(F.array(*map(F.lit, ("(a)[b]", "(a", "a)", "[a(b])(", "x.git@v1"))), (F.col("page_id") % 5).cast("int"))
+    damaged = F.concat(F.regexp_replace("url", r"[\[\]()]", ""), tail)
+    return table(spark, sf_dir, "pages").select("page_id", urls.unbalanced(damaged).alias("unbalanced"), urls.vcs_requirement(damaged).alias("vcs"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, (l_orderkey % 224) * 16777216 + (l_partkey % 256) * 65536 + (l_suppkey % 256) * 256 + l_linenumber AS number,
+    l_orderkey % 224 IN (0, 10, 127) OR (l_orderkey % 224 = 100 AND l_partkey % 256 BETWEEN 64 AND 127) OR (l_orderkey % 224 = 169 AND l_partkey % 256 = 254)
+    OR (l_orderkey % 224 = 172 AND l_partkey % 256 BETWEEN 16 AND 31) OR (l_orderkey % 224 = 192 AND l_partkey % 256 = 168) AS unsafe FROM lineitem""")
+def ip_literal_classes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", urls.ipv4(F.concat_ws(".", F.col("l_orderkey") % 224, F.col("l_partkey") % 256, F.col("l_suppkey") % 256, "l_linenumber")).alias("number"))
+    return rows.withColumn("unsafe", urls.unsafe_ipv4(F.col("number")))
+
+
+@query(f"WITH {fx.CITED_SQL} SELECT msg_id, pos, raw, url FROM cited")
+def citations_extract(spark, sf_dir):
+    return capture.citations(fx.messages(spark, sf_dir)).select("msg_id", "pos", "raw", "url")
+
+
+@query(f"WITH {fx.CITED_SQL} SELECT url, CAST(min(seen) AS VARCHAR) AS first_seen, CAST(max(seen) AS VARCHAR) AS last_seen, count(*) AS times_seen FROM cited GROUP BY url")
+def url_index_build(spark, sf_dir):
+    return _dated(capture.url_index(capture.citations(fx.messages(spark, sf_dir))))
+
+
+@query(ORACLE["url_index_build"])
+def index_upsert(spark, sf_dir):
+    """The same index from two batches of messages, one merged into the other."""
+    messages = fx.messages(spark, sf_dir)
+    one, two = (capture.url_index(capture.citations(messages.filter(F.col("session") % 2 == k))) for k in (0, 1))
+    return _dated(capture.merge_index(one, two))
+
+
+@query(ORACLE["url_index_build"])
+def stream_index_equals_batch(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    turns = spark.readStream.schema(given.schema).parquet(f"{sf_dir}/conversations.parque[t]")
+    return _dated(streaming.keep_index(fx.messages(spark, sf_dir, turns), streaming.shared_folder(spark)))
+
+
+@query(f"""WITH {fx.CITED_SQL}, k AS (SELECT DISTINCT url FROM cited WHERE seen < CAST('2024-01-10' AS DATE))
+    SELECT m.msg_id, count(c.url) AS seen, CAST(0 AS BIGINT) AS excluded, count(k.url) AS recurring, count(c.url) - count(k.url) AS new
+    FROM m LEFT JOIN cited c ON c.msg_id = m.msg_id LEFT JOIN k ON k.url = c.url GROUP BY m.msg_id""")
+def capture_counters(spark, sf_dir):
+    messages = fx.messages(spark, sf_dir)
+    cited = capture.citations(messages, urls.DEFAULT).withColumn("excluded_reason", urls.excluded_reason(F.col("url"), urls.Rules(reserved_domains=())))
+    return capture.message_counters(messages, cited, cited.filter("seen < DATE'2024-01-10'").select("url").distinct())
+
+
+_CLAIM_SQL = r"""spot AS (SELECT cited.*, instr(text, raw) AS k FROM cited),
+parts AS (SELECT spot.*, regexp_extract(substr(text, 1, k - 1), '(?s)^(?:.*(?:[.!?][ \n]|\n))?(.*)$', 1) AS before, substr(text, k + length(raw)) AS rest FROM spot),
+tails AS (SELECT parts.*, regexp_extract(rest, '(?s)^(.*?[.!?])(?:[ \n]|$)', 1) AS stop, regexp_extract(rest, '^([^\n]*)', 1) AS line FROM parts),
+said AS (SELECT tails.*, CASE WHEN stop = '' THEN line ELSE split_part(stop, chr(10), 1) END AS after FROM tails),
+whole AS (SELECT said.*, trim(regexp_replace(before || raw || after, '[ \t\r\n]+', ' ', 'g')) AS w, regexp_replace(before || after, '[ \t\r\n\[\]().,;:!?`]', '', 'g') <> '' AS words FROM said),
+claims AS (SELECT url, seen, CASE WHEN length(w) > 400 THEN regexp_replace(substr(w, 1, 400), ' [^ ]*$', '') || ' […]' ELSE w END AS claim FROM whole WHERE words)"""
+
+
+@query(f"""WITH {fx.CITED_SQL}, {_CLAIM_SQL}, links AS (SELECT url, claim, CAST(min(seen) AS VARCHAR) AS first_seen, CAST(max(seen) AS VARCHAR) AS last_seen, count(*) AS times_seen FROM claims GROUP BY url, claim)
+    SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY url ORDER BY first_seen, claim) <= 50""")
+def claims_links(spark, sf_dir):
+    return _dated(capture.claim_links(capture.citations(fx.messages(spark, sf_dir)), fx.messages(spark, sf_dir)))
+
+
+@query("""WITH seg AS (SELECT conv_id AS session, turn AS turn_seq, role, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM conversations)
+    SELECT session, segment, max(turn_seq) AS turn_seq FROM seg WHERE role = 'assistant' GROUP BY session, segment""")
+def turn_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("turn_seq"), "role")
+    return capture.last_of_segment(capture.turn_segments(rows))
+
+
+@query(f"WITH {fx.S_SQL} SELECT url, array_to_string(list_sort(list_distinct(list(concat('seen:', seen)))), ',') AS tags FROM s GROUP BY url")
+def tag_sets(spark, sf_dir):
+    seen, _ = fx.sightings(spark, sf_dir)
+    return capture.tag_sets(seen.select("url", F.concat(F.lit("seen:"), "seen").alias("tag"))).select("url", F.array_join("tags", ",").alias("tags"))
+
+
+_DELTA_SQL = f"""{fx.S_SQL}, g AS (SELECT url, count(DISTINCT CASE WHEN seen < CAST('{RUN}' AS DATE) THEN seen END) AS prior, max(CASE WHEN seen = CAST('{RUN}' AS DATE) THEN 1 ELSE 0 END) AS today, max(CASE WHEN triaged THEN 1 ELSE 0 END) AS triaged FROM s GROUP BY url),
+d AS (SELECT *, CASE WHEN today = 1 AND prior >= 2 THEN CASE WHEN triaged = 1 THEN 'recurring_triaged' ELSE 'recurring_untriaged' END WHEN today = 1 AND prior = 1 THEN 'persisting' WHEN today = 1 THEN 'new' WHEN prior >= 1 THEN 'dropped' END AS bucket FROM g)"""
+
+
+@query(f"WITH {_DELTA_SQL} SELECT url, prior, today, triaged, bucket FROM d")
+def source_delta_buckets(spark, sf_dir):
+    return delta.buckets(*fx.sightings(spark, sf_dir), RUN)
+
+
+@query(f"WITH {_DELTA_SQL} SELECT bucket, count(*) AS n FROM d WHERE bucket IS NOT NULL GROUP BY bucket")
+def delta_summary(spark, sf_dir):
+    return delta.summary(delta.buckets(*fx.sightings(spark, sf_dir), RUN))
+
+
+@query(f"WITH {fx.S_SQL}, w AS (SELECT DISTINCT concat('s', user_id) AS url FROM events) SELECT url, CASE WHEN url IN (SELECT url FROM s) THEN 'triaged' ELSE 'unknown_url' END AS status FROM w")
+def triage_apply(spark, sf_dir):
+    return delta.triage(fx.sightings(spark, sf_dir)[0], table(spark, sf_dir, "events").select(F.concat(F.lit("s"), "user_id").alias("url")))
+
+
+@query(f"WITH {fx.R_SQL} SELECT {fx.OUTCOME_SQL} AS outcome, count(*) AS n FROM r GROUP BY 1")
+def fetch_outcomes(spark, sf_dir):
+    return fx.reads(spark, sf_dir).groupBy(content.outcome(F.col("status")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {fx.R_SQL} SELECT {fx.host_sql('url')} AS host, count(*) AS reads, count(*) FILTER (status IN (401, 403, 429)) AS refused, count(*) FILTER (status IN (404, 410)) AS absent FROM r GROUP BY 1")
+def host_tallies(spark, sf_dir):
+    return content.host_tallies(fx.reads(spark, sf_dir).withColumn("final_url", F.lit(None).cast("string")))
+
+
+@query(f"""WITH {fx.R_SQL}, p AS (SELECT url, {fx.OUTCOME_SQL} AS outcome, list_filter(string_split({fx.part_sql('url', 3)}, '/'), lambda s: s <> '') AS steps FROM r WHERE read_no = 1),
+    q AS (SELECT *, CASE WHEN len(steps) > 1 THEN {fx.part_sql('url', 1)} || '://' || {fx.part_sql('url', 2)} || '/' || array_to_string(steps[:len(steps) - 1], '/') END AS parent FROM p),
+    k AS (SELECT DISTINCT parent AS url FROM q WHERE parent IS NOT NULL AND length(parent) % 2 = 0)
+    SELECT url, outcome, CASE WHEN outcome = 'gone' AND parent IS NOT NULL AND parent NOT IN (SELECT url FROM k) AND parent NOT IN (SELECT url FROM p WHERE outcome = 'ok') THEN 'not_visible' ELSE outcome END AS refined FROM q""")
+def absence_corroborated(spark, sf_dir):
+    """Parents whose address has an even length were read and seen; the others never were."""
+    reads = fx.reads(spark, sf_dir).filter("read_no = 1").select("url", content.outcome(F.col("status")).alias("outcome"))
+    parents = reads.select(urls.parent(F.col("url")).alias("url")).filter("length(url) % 2 = 0").distinct().withColumn("outcome", F.lit("ok"))
+    return _refined(reads, parents)
+
+
+def _refined(reads, parents):
+    """Only the pages' own reads are reported; their parents' reads are evidence."""
+    both = reads.select("url", "outcome").unionByName(parents)
+    return content.corroborated(both).join(parents.select("url").distinct(), "url", "left_anti").select("url", "outcome", "refined")
+
+
+@query(f"WITH {fx.I_SQL} SELECT url, CAST(first_seen AS VARCHAR) AS first_seen FROM i WHERE content_hash IS NULL AND item_key IS NOT NULL AND (last_outcome IS NULL OR last_outcome = 'ok') ORDER BY i.first_seen, url LIMIT 100")
+def worklist_hash(spark, sf_dir):
+    return upkeep.needs_hash(fx.index(spark, sf_dir), 100).select("url", F.col("first_seen").cast("string").alias("first_seen"))
+
+
+@query(f"WITH {fx.I_SQL} SELECT url, CAST(verified_at AS VARCHAR) AS verified_at FROM i WHERE content_hash IS NOT NULL ORDER BY i.verified_at NULLS FIRST, url LIMIT 100")
+def worklist_verify(spark, sf_dir):
+    return upkeep.needs_verify(fx.index(spark, sf_dir), 100).select("url", F.col("verified_at").cast("string").alias("verified_at"))
+
+
+@query("SELECT page_id, sha256(html) AS digest FROM pages")
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", content.content_hash(F.col("html")).alias("digest"))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    return content.chunks(table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"))).groupBy("url").agg(F.count(F.lit(1)).alias("chunks"), F.sum("nbytes").alias("nbytes"), F.max("nbytes").alias("largest"))
+
+
+_SKETCH_SQL = "t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), v AS (SELECT DISTINCT doc_id, substr(sha256(w), 1, 16) AS v FROM t), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v) <= 128), sk AS (SELECT doc_id, list_sort(list(v)) AS sketch FROM k GROUP BY doc_id)"
+
+
+def _word_sketches(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    return content.sketches(words.select("doc_id", F.sha2("w", 256).alias("digest")), "doc_id")
+
+
+@query(f"WITH {_SKETCH_SQL} SELECT doc_id, array_to_string(sketch, ',') AS sketch FROM sk")
+def word_kmv_sketch(spark, sf_dir):
+    return _word_sketches(spark, sf_dir).select("doc_id", F.array_join("sketch", ",").alias("sketch"))
+
+
+@query(f"""WITH {_SKETCH_SQL}, p AS (SELECT a.doc_id, a.sketch AS a, b.sketch AS b, list_sort(list_distinct(list_concat(a.sketch, b.sketch))) AS u FROM sk a JOIN sk b ON b.doc_id = a.doc_id + 1),
+    q AS (SELECT doc_id, a, b, CASE WHEN len(a) < 128 AND len(b) < 128 THEN u ELSE u[1:128] END AS low FROM p)
+    SELECT doc_id, CAST(len(list_intersect(list_intersect(low, a), b)) AS DOUBLE) / len(low) AS similarity FROM q""")
+def sketch_similarity(spark, sf_dir):
+    one = _word_sketches(spark, sf_dir)
+    two = one.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sketch").alias("b"))
+    return one.join(two, "doc_id").select("doc_id", content.similarity(F.col("sketch"), F.col("b")).alias("similarity"))
+
+
+@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(substr(html, 1, 262144), '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", content.title(F.col("html")).alias("title"))
+
+
+@query(r"""WITH p AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS chars FROM pages)
+    SELECT page_id, CAST(chars AS INTEGER) AS chars, chars < 800 AS gate FROM p""")
+def title_gate(spark, sf_dir):
+    chars = table(spark, sf_dir, "pages").select("page_id", content.visible_chars(F.col("html")).alias("chars"))
+    return chars.withColumn("gate", F.col("chars") < content.GATE_CHARS)
+
+
+@query(f"""WITH {fx.I_SQL}, {fx.R_SQL}, h AS (SELECT url, read_no, status, {fx.OUTCOME_SQL} AS o, sha256(body) AS d FROM r)
+    SELECT i.url, CASE WHEN a.o <> 'ok' THEN a.o WHEN a.d = i.content_hash THEN 'unchanged' WHEN b.o <> 'ok' THEN b.o WHEN a.d <> b.d THEN 'unstable' ELSE 'changed' END AS verdict
+    FROM (SELECT url, CASE WHEN page_id % 2 = 0 THEN content_hash ELSE 'older' END AS content_hash FROM i WHERE content_hash IS NOT NULL) i JOIN h a ON a.url = i.url AND a.read_no = 1 JOIN h b ON b.url = i.url AND b.read_no = 2""")
+def verify_verdicts(spark, sf_dir):
+    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select("url", F.when(F.col("page_id") % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"))
+    return content.verdicts(stored, fx.reads(spark, sf_dir).select("url", "read_no", "status", content.content_hash(F.col("body")).alias("digest")))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmid' ELSE 'repo' END AS scheme, CASE l_linenumber % 4 WHEN 0 THEN concat('10.1000/', l_partkey) WHEN 1 THEN concat('2401.', 10000 + l_partkey % 10000) WHEN 2 THEN concat('', l_partkey) ELSE concat('o', l_suppkey, '/r', l_partkey) END AS id FROM lineitem")
+def identifier_ids(spark, sf_dir):
+    url = F.expr("CASE l_linenumber % 4 WHEN 0 THEN concat('https://doi.org/10.1000/', l_partkey) WHEN 1 THEN concat('https://arxiv.org/abs/2401.', 10000 + l_partkey % 10000, 'v2') WHEN 2 THEN concat('https://pubmed.ncbi.nlm.nih.gov/', l_partkey, '/') ELSE concat('https://github.com/o', l_suppkey, '/r', l_partkey, '.git') END")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", urls.identifier(url).alias("i")).select("l_orderkey", "l_linenumber", "i.scheme", "i.id")
+
+
+_DAMAGED = "(SELECT page_id, {c} AS good FROM pages)".format(c=fx.canonical_sql("url"))
+
+
+@query(f"""WITH p AS {_DAMAGED}, d AS (SELECT good, CASE page_id % 4 WHEN 0 THEN good WHEN 1 THEN good || ').' WHEN 2 THEN good || '**' ELSE good END AS url FROM p UNION ALL SELECT good, good || '**' FROM p WHERE page_id % 8 = 3)
+    SELECT url, good AS corrected, CASE WHEN url = good THEN 'keep' WHEN good IN (SELECT url FROM d) THEN 'merge' ELSE 'rewrite' END AS action FROM d""")
+def repair_plan(spark, sf_dir):
+    return upkeep.repair_plan(_damaged(spark, sf_dir))
+
+
+def _damaged(spark, sf_dir):
+    p = F.col("page_id")
+    good = table(spark, sf_dir, "pages").select(p, urls.canonical(F.col("url")).alias("good"))
+    hurt = good.select(F.when(p % 4 == 1, F.concat("good", F.lit(")."))).when(p % 4 == 2, F.concat("good", F.lit("**"))).otherwise(F.col("good")).alias("url"))
+    return hurt.unionByName(good.filter(p % 8 == 3).select(F.concat("good", F.lit("**")).alias("url")))
+
+
+@query(f"""WITH {fx.I_SQL}, b AS (SELECT coalesce(i.item_key, it.key) AS key, i.url AS row_url, it.url AS item_url FROM (SELECT * FROM i WHERE item_key IS NOT NULL) i FULL JOIN it ON it.key = i.item_key)
+    SELECT CASE WHEN item_url IS NULL THEN 'row_item_missing' WHEN row_url = item_url THEN 'ok' WHEN row_url IS NOT NULL THEN 'url_disagreement' WHEN key IN (SELECT pending_key FROM i WHERE pending_key IS NOT NULL) THEN 'orphan_pending_claim' WHEN item_url IN (SELECT url FROM i) THEN 'orphan_duplicate' ELSE 'orphan_stranded' END AS bucket, count(*) AS n FROM b GROUP BY 1""")
+def reconcile_buckets(spark, sf_dir):
+    return upkeep.reconcile(fx.index(spark, sf_dir), fx.items(spark, sf_dir))
+
+
+@query("WITH q AS (SELECT user_id AS url, count(*) AS attempts, min(event_id) AS first_failed FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT *, CASE WHEN attempts >= 5 THEN 'abandon' ELSE 'replay' END AS action FROM q")
+def retry_drain(spark, sf_dir):
+    return upkeep.drain(table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("url"), F.col("event_id").alias("failed")))
+
+
+@query("""WITH l AS (SELECT event_id % 5 AS src, event_id AS seq, event_id % 501 <> 0 AS good, event_id % 501 <> 0 AND event_id % 37 = 0 AS refused, event_id * 60 + 1704067200 AS ts FROM events)
+    SELECT src, count(*) AS lines, count(*) FILTER (good) AS records, count(*) FILTER (NOT good) AS unparseable, count(*) FILTER (refused) AS refused, max(CASE WHEN refused THEN ts END) AS last_refused,
+    coalesce(string_agg(DISTINCT concat('kind', seq % 3), ',' ORDER BY concat('kind', seq % 3)) FILTER (refused), '') AS kinds, max(seq) - max(CASE WHEN good THEN seq END) AS tail FROM l GROUP BY src""")
+def health_warnings(spark, sf_dir):
+    return upkeep.health(fx.capture_log(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS op_id, count(l_orderkey) AS steps, (max(struct_pack(s := l_linenumber, t := l_partkey))).t AS last_target FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 9 = 0 GROUP BY o_orderkey""")
+def unfinished_ops(spark, sf_dir):
+    starts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("op_id"))
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("op_id"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("seq"))
+    return upkeep.unfinished(starts, steps, starts.filter("op_id % 9 <> 0"))
