@@ -148,3 +148,28 @@ def _named(name: Column, where: Column) -> Column:
     repo = F.regexp_replace(F.regexp_extract(where, r"^/([^/]+/[^/]+)", 1), r"\.git$", "")
     pair = lambda scheme, value: F.when(value != "", F.struct(F.lit(scheme).alias("scheme"), value.alias("id")))
     return F.coalesce(F.when(name.isin(*DEFAULT.doi_hosts), pair("doi", doi)), F.when(name.isin("arxiv.org", "www.arxiv.org"), pair("arxiv", arxiv)), F.when(name == "pubmed.ncbi.nlm.nih.gov", pair("pmid", pmid)), F.when(name == "github.com", pair("repo", repo)))
+
+
+def doi_of(url: Column) -> Column:
+    """The DOI that an address carries: all of a resolver's path, or the DOI inside a preprint server's; null for any other host."""
+    name, where = host(url), path(url)
+    whole = F.when(name.isin(*DEFAULT.doi_hosts), F.regexp_extract(url, r"://[^/]*/(10\.[0-9]{4,9}/\S+)$", 1))
+    inside = F.when(name.endswith("biorxiv.org") | name.endswith("medrxiv.org"), F.regexp_extract(where, r"(10\.[0-9]{4,9}/[^\s?#]+)", 1))
+    return F.nullif(F.coalesce(whole, inside), F.lit(""))
+
+
+#: First path segments of the code host that are pages of its own, never an owner.
+NOT_OWNERS = ("settings", "orgs", "sponsors", "features", "about")
+
+
+def repo_slug(url: Column) -> Column:
+    """owner/repo of a repository's root page; null for deeper pages, other hosts and the host's own pages."""
+    found = F.regexp_extract(path(url), r"^/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/?$", 1)
+    slug = F.regexp_replace(found, r"\.git$", "")
+    bad = (slug == "") | slug.endswith("/") | F.lower(F.substring_index(slug, "/", 1)).isin(*NOT_OWNERS)
+    return F.when(host(url).isin("github.com", "www.github.com") & ~bad, slug)
+
+
+def lookup_name(name: Column) -> Column:
+    """Whether a resolver could look a host up: labels of 1 to 63 letters, digits and inner hyphens, at most 253 in all; other scripts pass."""
+    return (F.length(name) <= 253) & F.rtrim(name).rlike(r"^(?:(?!-)[a-z0-9\u0080-\x{10FFFF}-]{1,63}(?<!-)\.)*(?!-)[a-z0-9\u0080-\x{10FFFF}-]{1,63}(?<!-)\.?$")

@@ -67,6 +67,11 @@ def claim_links(cited: DataFrame, texts: DataFrame) -> DataFrame:
     return links.withColumn("nth", F.row_number().over(Window.partitionBy("url").orderBy("first_seen", "claim"))).filter(F.col("nth") <= CLAIMS_PER_URL).drop("nth")
 
 
+def search_claims(links: DataFrame, term: str) -> DataFrame:
+    """Links whose claim or URL holds the term, in any case."""
+    return links.filter(F.lower("claim").contains(term.lower()) | F.lower("url").contains(term.lower()))
+
+
 def tag_sets(tags: DataFrame) -> DataFrame:
     return tags.groupBy("url").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 

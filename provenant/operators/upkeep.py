@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions import urls
@@ -19,10 +19,22 @@ def needs_verify(index: DataFrame, limit: int) -> DataFrame:
     return index.filter("content_hash IS NOT NULL").orderBy(F.asc_nulls_first("verified_at"), "url").limit(limit)
 
 
+def corrected(url: Column) -> Column:
+    """The address without terminal codes, closing emphasis, characters no address ends in, and closing brackets that it never opened.
+
+    Brackets that it opened stay, and so do templates. What nothing was cut
+    from comes back as it was, canonical or not.
+    """
+    bare = F.regexp_replace(urls.strip_ansi(url), r"\*\*+$", "")
+    tail = F.when(bare.rlike("[{}]"), bare).otherwise(F.regexp_replace(bare, r"[^A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%\u0080-\x{10FFFF}-]+$", ""))
+    excess = F.length(F.replace(tail, F.lit("("), F.lit(""))) - F.length(F.replace(tail, F.lit(")"), F.lit("")))
+    out = F.when(excess > 0, F.regexp_replace(tail, F.concat(F.lit(r"(?:\)[.,;:]*){1,"), excess, F.lit("}$")), F.lit(""))).otherwise(tail)
+    return F.when(out == url, url).otherwise(urls.canonical(out))
+
+
 def repair_plan(index: DataFrame) -> DataFrame:
     """(url, corrected, action): a damaged address is rewritten, merged into a known row, or left with a reason."""
-    fixed = urls.canonical(F.regexp_replace(F.regexp_replace(urls.strip_ansi(F.col("url")), r"\*\*+$", ""), r"[)\]}>.,;:]+$", ""))
-    plan = index.select("url", fixed.alias("corrected"))
+    plan = index.select("url", corrected(F.col("url")).alias("corrected"))
     known = index.select(F.col("url").alias("corrected"), F.lit(True).alias("known")).distinct()
     action = F.when(F.col("corrected") == F.col("url"), "keep").when(F.col("url").rlike(r"[{}*]") & F.col("corrected").rlike(r"[{}*]"), "skip_template").when(F.col("known"), "merge").otherwise("rewrite")
     return plan.join(known, "corrected", "left").select("url", "corrected", action.alias("action"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions import urls
-from provenant.operators import capture, content, delta, upkeep
+from provenant.functions import stamps, urls
+from provenant.operators import capture, content, coverage, delta, gates, incidents, upkeep
 from provenant.plans import fixtures as fx
-from provenant.sources.tables import table
+from provenant.sources.tables import of_host, table
 from provenant.streaming import index as streaming
 
 FLAGSHIP, RUN = "url_index_build", "2024-01-30"
@@ -288,3 +288,153 @@ def unfinished_ops(spark, sf_dir):
     starts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("op_id"))
     steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("op_id"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("seq"))
     return upkeep.unfinished(starts, steps, starts.filter("op_id % 9 <> 0"))
+
+
+# Form of an address by page_id % 14, the tier it gets and why; the last two stay.
+_RETIRE = (
+    ("https://site.net/a{ID}", "hard", "placeholder"), ("https://site.net/a\x07b", "hard", "control_character"), ("mailto:a", "hard", "no_host"), ("https://printer.local/x", "policy", "only_in_context"), ("https://a.test/x", "hard", "reserved_name"),
+    ("https://a..b/x", "hard", "no_name"), ("https://site.net/a.png", "policy", "asset"), ("https://fonts.gstatic.com/a", "policy", "infra_host"), ("https://box.tail.ts.net/x", "policy", "private_suffix"), ("http://10.2.3.4/x", "policy", "unsafe_address"),
+    ("https://dotless/x", "policy", "dotless"), ("https://doi.org/10.1", "policy", "malformed_doi"), ("https://good.net/a", None, None), ("https://good.net/a**", None, None),
+)
+
+
+def _cases(k: int) -> str:
+    return " ".join(f"WHEN {n} THEN '{row[k]}'" for n, row in enumerate(_RETIRE) if row[k])
+
+
+_FORM_SQL = "CASE page_id % 14 " + " ".join("WHEN {} THEN '{}'".format(n, u.replace("\x07", "' || chr(7) || '")) for n, (u, _, _) in enumerate(_RETIRE)) + " END"
+
+
+@query(f"SELECT {_FORM_SQL} AS url, CASE WHEN page_id % 11 <> 0 THEN concat('K', page_id) END AS item_key, CASE page_id % 14 {_cases(1)} END AS tier, CASE page_id % 14 {_cases(2)} END AS reason FROM pages WHERE page_id % 22 <> 0 AND page_id % 14 < 12")
+def retire_plan(spark, sf_dir):
+    """Rows without an item are retired too, unless a claim is pending."""
+    p = F.col("page_id")
+    form = F.get(F.array(*(F.lit(u) for u, _, _ in _RETIRE)), (p % 14).cast("int"))
+    index = table(spark, sf_dir, "pages").select(form.alias("url"), F.when(p % 11 != 0, F.concat(F.lit("K"), p)).alias("item_key"), F.when(p % 22 == 0, "claim").alias("pending_key"))
+    return gates.retire_plan(index, policy=True)
+
+
+@query(f"WITH {fx.I_SQL} SELECT key, url, 'reserved_name' AS reason FROM it WHERE {fx.host_sql('url')} = 'example.org' OR {fx.host_sql('url')} LIKE '%.example.org'")
+def prune_plan(spark, sf_dir):
+    return gates.prune_plan(fx.items(spark, sf_dir), urls.Rules(reserved_domains=("example.org",)))
+
+
+@query("""WITH s AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN concat('10.1000/', l_partkey) ELSE concat('10.1101/', l_partkey, 'v1') END AS doi, CASE WHEN l_linenumber % 2 = 0 THEN concat('https://doi.org/10.1000/', l_partkey) ELSE concat('https://www.biorxiv.org/content/10.1101/', l_partkey, 'v1') END AS url FROM lineitem WHERE l_linenumber < 7)
+    SELECT doi, min(url) AS url, bool_or(p_partkey IS NOT NULL) AS checked, max(CASE WHEN p_partkey % 7 = 0 THEN 'retracted' END) AS finding FROM s LEFT JOIN part ON doi = concat('10.1000/', p_partkey) AND p_partkey % 3 <> 0 GROUP BY doi""")
+def doi_gate(spark, sf_dir):
+    url = F.expr("CASE WHEN l_linenumber = 7 THEN concat('https://doc.net/10.1000/', l_partkey) WHEN l_linenumber % 2 = 0 THEN concat('https://doi.org/10.1000/', l_partkey) ELSE concat('https://www.biorxiv.org/content/10.1101/', l_partkey, 'v1') END")
+    notices = table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("10.1000/"), "p_partkey").alias("doi"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN 'retracted' END").alias("finding"))
+    return gates.doi_gate(table(spark, sf_dir, "lineitem").select(url.alias("url")), notices)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'gone' ELSE 'blocked' END AS outcome, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 AND o_orderkey % 4 < 2 THEN 'not_visible' WHEN o_orderkey % 5 <> 0 THEN 'gone' ELSE 'blocked' END AS refined FROM orders""")
+def repo_downgrade(spark, sf_dir):
+    """Repository addresses by o_orderkey % 4: a root, a root with .git, a deeper page, and a page of the code host's own."""
+    url = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat('https://github.com/o/r', o_orderkey) WHEN 1 THEN concat('https://github.com/o/r', o_orderkey, '.git') WHEN 2 THEN concat('https://github.com/o/r', o_orderkey, '/tree/x') ELSE concat('https://github.com/orgs/r', o_orderkey) END")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", url.alias("url"), F.when(F.col("o_orderkey") % 5 != 0, "gone").otherwise("blocked").alias("outcome"))
+    return gates.repo_downgrade(orders, orders.filter("o_orderkey % 3 = 0").select(F.concat(F.lit("o/r"), "o_orderkey").alias("slug"))).select("o_orderkey", "outcome", "refined")
+
+
+@query(f"WITH {fx.I_SQL} SELECT url, pending_key, CASE WHEN page_id % 4 IN (0, 3) THEN 'in_flight' WHEN pending_key IN (SELECT key FROM it) THEN 'complete' ELSE 'release' END AS action FROM i WHERE item_key IS NULL AND pending_key IS NOT NULL")
+def stale_claims(spark, sf_dir):
+    """Claims by page_id % 4: 100 s old, 180 s, 500 s, and of unknown age."""
+    at = F.expr("CASE page_id % 4 WHEN 0 THEN 900 WHEN 1 THEN 820 WHEN 2 THEN 500 END")
+    return gates.stale_claims(fx.index(spark, sf_dir).withColumn("claimed_at", at), fx.items(spark, sf_dir), F.lit(1000))
+
+
+@query(f"WITH {fx.I_SQL} SELECT url FROM i WHERE {fx.host_sql('url')} = 'example.net' OR {fx.host_sql('url')} LIKE '%.example.net'")
+def host_rows(spark, sf_dir):
+    return of_host(fx.index(spark, sf_dir), "example.net").select("url")
+
+
+_TURNS_SQL = """seg AS (SELECT session, turn_seq, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn_seq ROWS UNBOUNDED PRECEDING) AS segment FROM m),
+    last AS (SELECT session, max(turn_seq) AS turn_seq FROM seg WHERE role = 'assistant' GROUP BY session, segment)"""
+
+
+@query(f"""WITH {fx.CITED_SQL}, {_TURNS_SQL}, u AS (SELECT url, max(CASE WHEN l.session IS NULL THEN 0 ELSE 1 END) AS final FROM cited c LEFT JOIN last l ON l.session = c.session AND l.turn_seq = c.turn_seq WHERE role = 'assistant' GROUP BY url),
+    k AS (SELECT u.*, url IN (SELECT {fx.canonical_sql('url')} FROM pages WHERE page_id % 3 <> 0) AS known FROM u),
+    counts AS (SELECT count(*) FILTER (final = 1) AS eligible, count(*) FILTER (final = 1 AND known) AS present, count(*) FILTER (final = 0) AS mid_only FROM k)
+    SELECT *, present * CAST(100 AS DOUBLE) / nullif(eligible, 0) AS percent FROM counts""")
+def capture_coverage(spark, sf_dir):
+    messages = fx.messages(spark, sf_dir)
+    index = table(spark, sf_dir, "pages").filter("page_id % 3 <> 0").select(urls.canonical(F.col("url")).alias("url"))
+    counts = coverage.coverage(capture.citations(messages), capture.last_of_segment(capture.turn_segments(messages)), index)
+    return counts.withColumn("percent", F.col("percent").cast("double"))
+
+
+@query(f"""WITH {fx.CITED_SQL}, o AS (SELECT msg_id, list_distinct(regexp_extract_all(text, '{fx._BARE}')) AS a FROM m), b AS (SELECT msg_id, list(DISTINCT raw) AS b FROM cited GROUP BY msg_id),
+    d AS (SELECT a, coalesce(b, []) AS b FROM o LEFT JOIN b USING (msg_id)), e AS (SELECT list_filter(a, lambda x: NOT list_contains(b, x)) AS lost, list_filter(b, lambda x: NOT list_contains(a, x)) AS gained FROM d)
+    SELECT count(*) AS messages, count(*) FILTER (len(lost) + len(gained) > 0) AS changed, CAST(sum(len(lost)) AS BIGINT) AS lost, CAST(sum(len(gained)) AS BIGINT) AS gained,
+    CAST(sum(len(list_filter(lost, lambda x: len(list_filter(gained, lambda y: starts_with(x, y))) > 0))) AS BIGINT) AS shortened FROM e""")
+def extraction_diff(spark, sf_dir):
+    """Every bare address, shown or cited and with its closing punctuation, against the citations."""
+    messages = fx.messages(spark, sf_dir)
+    old = messages.select("msg_id", F.array_distinct(F.regexp_extract_all("text", F.lit(urls.BARE), F.lit(0))).alias("urls"))
+    return coverage.extraction_diff(old, capture.citations(messages).groupBy("msg_id").agg(F.collect_set("raw").alias("urls")))
+
+
+@query(f"""WITH {fx.R_SQL}, w AS (SELECT url, read_no, unnest(string_split(body, ' ')) AS w FROM r), n AS (SELECT url, w, octet_length(encode(w)) AS b, count(*) FILTER (read_no = 1) AS a1, count(*) FILTER (read_no = 2) AS a2 FROM w GROUP BY url, w),
+    s AS (SELECT url, CAST(sum(b * least(a1, a2)) AS BIGINT) AS kept, CAST(greatest(sum(b * a1), sum(b * a2)) AS BIGINT) AS total FROM n GROUP BY url)
+    SELECT *, CASE WHEN kept >= total * CAST(0.9 AS DOUBLE) THEN true END AS agreed FROM s""")
+def reads_agreed(spark, sf_dir):
+    """The words of two reads of a page stand for their chunks."""
+    words = fx.reads(spark, sf_dir).select("url", "read_no", F.posexplode(F.split("body", " ")).alias("ord", "w"))
+    return coverage.agreed(words.select("url", "read_no", "ord", F.col("w").alias("digest"), F.octet_length("w").alias("nbytes")))
+
+
+def _records(spark, sf_dir):
+    """Capture records by event_id: root, pin, what was observed of it, an identifier and whether anything was written."""
+    of = "concat('/opt/v', event_id % 3) AS root", "CASE WHEN event_id % 4 <> 0 THEN concat('/opt/v', event_id % 2) END AS pinned", "CASE WHEN event_id % 10 = 3 THEN 'unknown' END AS seen", "CASE WHEN event_id % 6 <> 0 THEN concat('i', event_id) END AS incident_id", "event_id % 7 <> 0 AS wrote"
+    r = table(spark, sf_dir, "events").selectExpr("event_id", *of)
+    return r.select("event_id", "incident_id", incidents.kind(*(F.col(c) for c in ("root", "pinned", "seen", "incident_id", "wrote"))).alias("kind"))
+
+
+_KIND_SQL = "k AS (SELECT event_id, concat('i', event_id) AS incident_id, CASE WHEN event_id % 6 = 0 OR event_id % 7 = 0 THEN NULL WHEN event_id % 10 = 3 THEN 'unverified' WHEN event_id % 4 <> 0 AND event_id % 3 <> event_id % 2 THEN 'stale' END AS kind FROM events)"
+
+
+@query(f"WITH {_KIND_SQL} SELECT event_id, kind FROM k")
+def incident_kinds(spark, sf_dir):
+    return _records(spark, sf_dir).select("event_id", "kind")
+
+
+@query(f"""WITH {_KIND_SQL} SELECT incident_id, coalesce(CASE WHEN event_id % 9 = 1 THEN 'stale' END, kind) AS kind, CASE WHEN event_id % 9 = 1 THEN 'closed' WHEN event_id % 5 = 2 THEN 'acknowledged' ELSE 'open' END AS status FROM k WHERE event_id % 9 = 1 OR kind IS NOT NULL""")
+def incident_ledger(spark, sf_dir):
+    """Every ninth incident is in the ledger and closed already; every fifth identifier is acknowledged after the import."""
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("i"), "event_id").alias("incident_id"), "event_id")
+    old = events.filter("event_id % 9 = 1").select("incident_id", F.lit("stale").alias("kind"), F.lit("closed").alias("status"))
+    ledger = incidents.open_incidents(old, _records(spark, sf_dir).select("incident_id", "kind"))
+    return incidents.acknowledge(ledger, events.filter("event_id % 5 = 2"))[0].select("incident_id", "kind", "status")
+
+
+@query(f"""WITH h AS (SELECT l_orderkey, l_linenumber, sha1(unhex('{stamps.WRITES}') || encode(concat(l_orderkey, chr(10), CASE WHEN l_linenumber % 4 <> 0 THEN concat('https://a.org/', l_partkey) ELSE '' END))) AS h FROM lineitem)
+    SELECT l_orderkey, l_linenumber, substr(h, 1, 12) || '5' || substr(h, 14, 3) || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 15) AS write_id FROM h""")
+def write_ids(spark, sf_dir):
+    url = F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("https://a.org/"), "l_partkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", stamps.write_id(F.col("l_orderkey").cast("string"), url).alias("write_id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 1704067200 + event_id % 28 * 86400 + event_id % 24 * 3600 + event_id % 60 * 60 + CASE WHEN event_id % 4 < 2 THEN 14400 ELSE 0 END END AS at FROM events")
+def offset_times(spark, sf_dir):
+    raw = F.expr("concat('2024-01-', lpad(1 + event_id % 28, 2, '0'), 'T', lpad(event_id % 24, 2, '0'), ':', lpad(event_id % 60, 2, '0'), ':00', CASE event_id % 4 WHEN 0 THEN '-0400' WHEN 1 THEN '-04:00' WHEN 2 THEN 'Z' ELSE '' END)")
+    return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(stamps.offset_time(raw)).alias("at"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'unknown' WHEN event_id % 12 = event_id % 10 THEN 'current' ELSE 'mismatch' END AS state FROM events")
+def version_states(spark, sf_dir):
+    running = F.expr("CASE WHEN event_id % 13 = 0 THEN 'dev' ELSE concat('1.', event_id % 12, '.3') END")
+    return table(spark, sf_dir, "events").select("event_id", stamps.version_state(running, F.expr("concat('1.0', event_id % 10, '.3')")).alias("state"))
+
+
+@query("""WITH c AS (SELECT DISTINCT user_id % 5 AS u, event_id % 7 AS p FROM events) SELECT concat('/home/u', u, '/p', p, '/src') AS cwd, CASE WHEN p % 2 = 0 THEN concat('p', p) WHEN u = 4 THEN 'src' ELSE concat('p', p) END AS project FROM c""")
+def project_names(spark, sf_dir):
+    """Folders of even projects lie in a repository; one user's home isn't known."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("/home/u"), F.col("user_id") % 5, F.lit("/p"), F.col("event_id") % 7, F.lit("/src")).alias("cwd"), F.lit(None).cast("string").alias("override"))
+    roots = rows.filter("cwd rlike '/p[0246]/src$'").select(F.regexp_replace("cwd", "/src$", "").alias("path")).distinct()
+    return stamps.projects(rows, roots, tuple(f"/home/u{k}" for k in range(4))).select("cwd", "project")
+
+
+@query(f"""WITH {fx.CITED_SQL}, {_CLAIM_SQL}, links AS (SELECT url, claim, CAST(min(seen) AS VARCHAR) AS first_seen, CAST(max(seen) AS VARCHAR) AS last_seen, count(*) AS times_seen FROM claims GROUP BY url, claim)
+    SELECT url, claim, last_seen FROM links WHERE claim ILIKE '%SEE%' OR url ILIKE '%SEE%' QUALIFY row_number() OVER (PARTITION BY url ORDER BY first_seen, claim) <= 50""")
+def claim_search(spark, sf_dir):
+    messages = fx.messages(spark, sf_dir)
+    return _dated(capture.search_claims(capture.claim_links(capture.citations(messages), messages), "SEE").select("url", "claim", "last_seen"))

@@ -3,11 +3,12 @@
 import datetime
 import hashlib
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
-from provenant.functions import urls
-from provenant.operators import capture, content, delta, upkeep
+from provenant.functions import stamps, urls
+from provenant.operators import capture, content, coverage, delta, gates, incidents, upkeep
 from provenant.sources import tables
 
 
@@ -129,3 +130,74 @@ def test_transcripts(spark, tmp_path):
     lines = ['{"type":"assistant","sessionId":"s","turn":1,"message":{"content":[{"type":"text","text":"https://a.org"}]}}', '{"type":"assistant","isSidechain":true,"message":{"content":[{"type":"text","text":"https://b.org"}]}}', "{bad https://c.org", "{}"]
     (tmp_path / "d" / "e" / "x.jsonl").write_text("\n".join(lines))
     assert [(r["session"], r["text"]) for r in tables.transcripts(spark, str(tmp_path)).collect()] == [("s", "https://a.org")]
+
+
+def test_names_in_addresses(spark):
+    assert [one(spark, u, urls.doi_of) for u in ("https://doi.org/10.1000/a(b)?x", "https://www.medrxiv.org/content/10.1101/2020.1v2?a", "https://a.b/10.1000/x", "https://doi.org/10.1", None)] == ["10.1000/a(b)?x", "10.1101/2020.1v2", None, None, None]
+    assert [one(spark, "https://github.com/" + u, urls.repo_slug) for u in ("o/r", "o/r.git", "o/r/", "o/r/tree/x", "orgs/r", "o", "o/.git")] == ["o/r", "o/r", "o/r", None, None, None, None]
+    assert [one(spark, u, urls.lookup_name) for u in ("a.b", "-a.b", "a-.b", "a..b", "a_b.c", "münchen.de", "a" * 64 + ".b", "a.b.")] == [True, False, False, False, False, True, False, True]
+
+
+def test_stamps(spark):
+    assert [one(spark, t, lambda c: F.unix_seconds(stamps.offset_time(c))) for t in ("1970-01-01T00:00:01-0100", "1970-01-01T00:00:01+00:00", "1970-01-01T00:00:01", "junk", None)] == [3601, 1, None, None, None]
+    rows = spark.createDataFrame([("1.10", "1.10"), ("1.010", "1.10"), ("1.10", "1.2"), ("1.10", "1.10.0"), ("v1", "v1"), (None, "1")], "a string, b string")
+    assert [r[0] for r in rows.select(stamps.version_state(F.col("a"), F.col("b"))).collect()] == ["current", "current", "mismatch", "mismatch", "unknown", "unknown"]
+    pairs = [("c1", "https://münchen.de/ä"), ("c1", None), ("c2", "")] + [(f"c{k}", f"https://a.b/{k}") for k in range(40)]
+    got = spark.createDataFrame(pairs, "c string, u string").select(stamps.write_id(F.col("c"), F.col("u"))).collect()
+    assert [r[0] for r in got] == [uuid.uuid5(uuid.UUID(stamps.WRITES), f"{c}\n{u or ''}").hex for c, u in pairs]
+
+
+def test_projects(spark):
+    places = {("/h/u/a/b", None): "a", ("/h/u", None): "home", ("/h/u/r/s/t", None): "s", ("/x/y/", None): "y", ("/x", "mine"): "mine", (None, None): "home", ("/", ""): "home", ("/h/united/q", None): "q"}
+    roots = spark.createDataFrame([("/h/u/r",), ("/h/u/r/s",), ("/h/u/r",)], "path string")
+    got = stamps.projects(spark.createDataFrame(list(places), "cwd string, override string"), roots, ("/h/u",))
+    assert {(r["cwd"], r["override"]): r["project"] for r in got.collect()} == places
+
+
+def test_retire_in_tiers_and_only_as_planned(spark):
+    index = spark.createDataFrame([("https://a.b/{x}", "k1", None), ("https://a.b/x.css", "k2", None), ("https://a.b/ok", "k3", None), ("https://a.b/ok**", "k4", None), ("https://c.d/{y}", None, "p"), ("https://a.test/", None, None), (None, "k5", None), ("http://[::1]/x", "k6", None)], "url string, item_key string, pending_key string")
+    plan = gates.retire_plan(index)
+    assert {(r["item_key"], r["reason"]) for r in plan.collect()} == {("k1", "placeholder"), (None, "reserved_name")}
+    assert {r["item_key"] for r in gates.retire_plan(index, policy=True).filter("tier = 'policy'").collect()} >= {"k2"}
+    archive, kept, refused = gates.retire(index, plan.unionByName(spark.createDataFrame([("https://a.b/ok", "old", "hard", "x")], plan.schema)))
+    assert archive.count() == 2 and kept.count() == 6 and [r["item_key"] for r in refused.collect()] == ["old"]
+
+
+def test_gates(spark):
+    sources = spark.createDataFrame([("https://doi.org/10.1000/b",), ("http://doi.org/10.1000/b",), ("https://doi.org/10.1000/c",), ("https://a.b/",), (None,)], "url string")
+    notices = spark.createDataFrame([("10.1000/b", "retracted"), ("10.1000/b", None)], "doi string, finding string")
+    assert {tuple(r) for r in gates.doi_gate(sources, notices).collect()} == {("10.1000/b", "http://doi.org/10.1000/b", True, "retracted"), ("10.1000/c", "https://doi.org/10.1000/c", False, None)}
+    claims = spark.createDataFrame([("a", None, "k1", 0), ("b", None, "k2", 0), ("c", None, "k3", 900), ("d", None, "k4", None), ("e", "k5", "k5", 0)], "url string, item_key string, pending_key string, claimed_at int")
+    got = gates.stale_claims(claims, spark.createDataFrame([("k1",), ("k1",)], "key string"), F.lit(1000))
+    assert {r["url"]: r["action"] for r in got.collect()} == {"a": "complete", "b": "release", "c": "in_flight", "d": "in_flight"}
+
+
+def test_incidents_reopen_nothing(spark):
+    ledger = spark.createDataFrame([("a", "stale", "acknowledged"), ("b", "stale", "open")], "incident_id string, kind string, status string")
+    found = spark.createDataFrame([("a", "stale"), ("b", "stale"), ("c", "unverified"), ("c", "unverified"), ("d", None), (None, "stale")], "incident_id string, kind string")
+    opened = incidents.open_incidents(ledger, found)
+    assert {(r["incident_id"], r["status"]) for r in opened.collect()} == {("a", "acknowledged"), ("b", "open"), ("c", "open")} and opened.count() == 3
+    closed, unknown = incidents.acknowledge(opened, spark.createDataFrame([("a",), ("c",), ("zz",), ("zz",)], "incident_id string"))
+    assert {(r["incident_id"], r["status"]) for r in closed.collect()} == {("a", "acknowledged"), ("b", "open"), ("c", "acknowledged")}
+    assert {r["incident_id"] for r in unknown.collect()} == {"a", "zz"}
+
+
+def test_coverage_of_nothing_has_no_percent(spark):
+    cited = spark.createDataFrame([], "session long, turn_seq long, role string, url string")
+    assert tuple(coverage.coverage(cited, cited.select("session", "turn_seq"), cited.select("url")).first()) == (0, 0, 0, None)
+
+
+def test_extraction_diff(spark):
+    old, new = (spark.createDataFrame(rows, "msg_id string, urls array<string>") for rows in ([("1", ["a.", "b"]), ("2", ["c"])], [("1", ["a", "b"]), ("3", ["d"])]))
+    assert coverage.extraction_diff(old, new).first().asDict() == {"messages": 3, "changed": 3, "lost": 2, "gained": 2, "shortened": 1}
+
+
+def test_agreed_counts_repeats(spark):
+    rows = [("u", r, k, d, 10) for r, ds in ((1, "aab"), (2, "abbb")) for k, d in enumerate(ds)] + [("v", r, k, "x", 1) for r in (1, 2) for k in range(3)]
+    got = {r["url"]: (r["kept"], r["total"], r["agreed"]) for r in coverage.agreed(spark.createDataFrame(rows, "url string, read_no int, ord int, digest string, nbytes int")).collect()}
+    assert got == {"u": (20, 40, None), "v": (3, 3, True)}
+
+
+def test_correction_never_invents_an_address(spark):
+    cases = {"https://a.b/x_(y)": "https://a.b/x_(y)", "https://a.b/x_(y)).": "https://a.b/x_(y)", "https://a.b/x/**": "https://a.b/x", "https://a.b/x)**": "https://a.b/x", "https://a.b/d/{ID}.pdb": "https://a.b/d/{ID}.pdb", "https://a.b/x|`": "https://a.b/x", "https://a.b/f[n]|x": "https://a.b/f[n]|x", "https://a.b/x_(y": "https://a.b/x_(y", "https://a.b/": "https://a.b/"}
+    assert {k: one(spark, k, upkeep.corrected) for k in cases} == cases and one(spark, None, upkeep.corrected) is None
