@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provenant.llm.textops import first_by_hash
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 #: Documents that the model learns from, at most, and windows from each.
@@ -345,10 +347,10 @@ def _labelled(text: pd.Series) -> pd.Series:
 
 
 def learn(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN) -> Model | None:
-    """Train on windows of at most max_train documents, the first by a hash of their text."""
+    """Train on windows of at most max_train distinct texts, the first by a hash of their text; only these are labelled."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).filter("text RLIKE '[0-9@]'")
-    sample = texts.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"), _labelled("text").alias("w")).orderBy("h", "n").limit(max_train)
-    return train([(r["text"], list(r["tags"])) for row in sample.select("w").collect() for r in row["w"]])
+    sample = first_by_hash(texts, "text", max_train).select("h", "n", _labelled("text").alias("w"))
+    return train([(r["text"], list(r["tags"])) for row in sorted(sample.collect(), key=lambda r: (r["h"], r["n"])) for r in row["w"]])
 
 
 def finder(model: Model | None):

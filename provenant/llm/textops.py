@@ -11,6 +11,7 @@ import hashlib
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes hashed at once; a longer text is cut at white space, a longer word is not cut.
@@ -133,3 +134,14 @@ def durable(df):
         return df.select("*").checkpoint(eager=True)
     finally:
         spark.conf.set(key, before)
+
+
+def first_by_hash(df, column: str, most: int):
+    """(h, n, column): at most ``most`` distinct texts, the first by a hash, null left out.
+
+    Keys of 16 bytes are chosen first and joined back (the broadcast side has
+    at most ``most`` rows), so that no text but the chosen ones is moved.
+    """
+    keyed = df.select(F.xxhash64(column).alias("h"), F.length(column).alias("n"), F.col(column)).filter(F.col(column).isNotNull())
+    chosen = keyed.select("h", "n").distinct().orderBy("h", "n").limit(most)
+    return keyed.join(F.broadcast(chosen), ["h", "n"]).dropDuplicates(["h", "n"])
