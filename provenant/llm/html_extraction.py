@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provenant.llm.textops import first_by_hash
+
 #: Pages that the model learns from, at most.
 MAX_TRAIN = 120
 
@@ -250,9 +252,9 @@ def main_text(model: Model, page: str | None) -> str:
 
 
 def learn(pages: DataFrame, html_col: str = "html", max_train: int = MAX_TRAIN) -> Model:
-    """Train on at most max_train pages, the first by a hash of their text; with none, on the page forms alone."""
-    sample = pages.select(F.xxhash64(html_col).alias("h"), F.length(html_col).alias("n"), F.col(html_col).alias("page")).filter("page IS NOT NULL").orderBy("h", "n").limit(max_train)
-    return train([r["page"] for r in sample.select("page").collect()])
+    """Train on at most max_train distinct pages, the first by a hash of their text; with none, on the page forms alone."""
+    sample = first_by_hash(pages.select(F.col(html_col).alias("page")), "page", max_train)
+    return train([r["page"] for r in sorted(sample.collect(), key=lambda r: (r["h"], r["n"]))])
 
 
 def extractor(model: Model):
