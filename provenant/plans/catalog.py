@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import stamps, urls
-from provenant.operators import capture, content, coverage, delta, gates, incidents, upkeep
+from provenant.operators import capture, content, coverage, delta, gates, incidents, ledger, upkeep
 from provenant.plans import fixtures as fx
 from provenant.sources.tables import of_host, table
 from provenant.streaming import index as streaming
@@ -438,3 +438,53 @@ def project_names(spark, sf_dir):
 def claim_search(spark, sf_dir):
     messages = fx.messages(spark, sf_dir)
     return _dated(capture.search_claims(capture.claim_links(capture.citations(messages), messages), "SEE").select("url", "claim", "last_seen"))
+
+
+@query("""WITH w AS (SELECT concat('u', user_id) AS url, bool_or(event_id % 400 = 0) AS was, count(*) AS attempts, min(event_id) AS first_failed, max(event_id) AS last_failed FROM events GROUP BY user_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY was ORDER BY first_failed, url) AS nth, count(*) FILTER (was) OVER () AS held FROM w)
+    SELECT url, attempts, first_failed, last_failed, CASE WHEN was OR nth <= greatest(500 - held, 0) THEN 'queued' ELSE 'refused' END AS state FROM n""")
+def retry_queue(spark, sf_dir):
+    """Every 400th event is a failure that is queued already; the others come now."""
+    failed = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_id").alias("failed"))
+    old = failed.filter("failed % 400 = 0").groupBy("url").agg(F.count(F.lit(1)).alias("attempts"), F.min("failed").alias("first_failed"), F.max("failed").alias("last_failed"))
+    queued, refused = ledger.enqueue(old, failed.filter("failed % 400 <> 0"))
+    return queued.withColumn("state", F.lit("queued")).unionByName(refused.withColumn("state", F.lit("refused")))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN nullif(trim(regexp_replace(regexp_extract(substr(html, 1, 262144), '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') END AS t FROM pages),
+    f AS (SELECT url, max(t) AS t FROM p GROUP BY url),
+    a AS (SELECT p.page_id, p.url, f.t, CASE WHEN page_id % 3 = 1 THEN 'cleared' WHEN f.t IS NOT NULL THEN 'resolved' ELSE 'waiting' END AS action FROM p JOIN f ON f.url = p.url WHERE page_id % 5 <> 0)
+    SELECT concat('K', page_id) AS key, CASE WHEN action = 'resolved' THEN t WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN 'A real title' END AS title, CASE WHEN action = 'waiting' THEN 'title:unresolved,web' ELSE 'web' END AS tags, action FROM a""")
+def title_backfill(spark, sf_dir):
+    """Stored titles by page_id % 3: the address, a real title, none. Pages with an even page_id were fetched with their title, the others gave the address."""
+    p, pages = F.col("page_id"), table(spark, sf_dir, "pages")
+    tags = F.when(p % 5 != 0, F.array(F.lit(ledger.UNRESOLVED), F.lit("web"))).otherwise(F.array(F.lit("web")))
+    items = pages.select(F.concat(F.lit("K"), p).alias("key"), "url", F.when(p % 3 == 0, F.col("url")).when(p % 3 == 1, "A real title").alias("title"), tags.alias("tags"))
+    fetched = pages.select("url", F.when(p % 2 == 0, content.title(F.col("html"))).otherwise(F.col("url")).alias("title"))
+    return ledger.backfill(items, fetched).withColumn("tags", F.array_join("tags", ","))
+
+
+_HURT_SQL = f"p AS {_DAMAGED}, d AS (SELECT good, CASE page_id % 4 WHEN 0 THEN good WHEN 1 THEN good || ').' WHEN 2 THEN good || '**' ELSE good END AS url FROM p UNION ALL SELECT good, good || '**' FROM p WHERE page_id % 8 = 3)"
+
+
+@query(f"WITH {_HURT_SQL} SELECT DISTINCT good AS url, concat('t', length(url) % 3) AS tag FROM d")
+def repaired_tags(spark, sf_dir):
+    rows = _damaged(spark, sf_dir)
+    return ledger.moved_tags(rows.select("url", F.concat(F.lit("t"), F.length("url") % 3).alias("tag")), upkeep.repair_plan(rows))
+
+
+@query(f"WITH {_HURT_SQL} SELECT good AS url, 'c' AS claim, min(length(url)) AS first_seen, max(length(url)) AS last_seen, count(*) AS times_seen FROM d GROUP BY good")
+def repaired_claims(spark, sf_dir):
+    """The length of an address stands for its days."""
+    rows, day = _damaged(spark, sf_dir), F.length("url").cast("long")
+    return ledger.moved_claims(rows.select("url", F.lit("c").alias("claim"), day.alias("first_seen"), day.alias("last_seen"), F.lit(1).cast("long").alias("times_seen")), upkeep.repair_plan(rows))
+
+
+@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN concat('/opt/v', event_id % 50) END AS root FROM events)
+    SELECT concat('i', event_id) AS incident_id, root, 'stale' AS kind FROM r WHERE root IS NULL OR root NOT IN (SELECT concat('/opt/v', p_partkey % 50) FROM part WHERE p_partkey % 50 < 20)""")
+def incident_import(spark, sf_dir):
+    """The ledger knows the roots that parts name; records without a root are legacy ones."""
+    root = F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("/opt/v"), F.col("event_id") % 50))
+    found = table(spark, sf_dir, "events").select(F.concat(F.lit("i"), "event_id").alias("incident_id"), root.alias("root"), F.lit("stale").alias("kind"))
+    known = table(spark, sf_dir, "part").filter("p_partkey % 50 < 20").select(F.concat(F.lit("/opt/v"), F.col("p_partkey") % 50).alias("root"))
+    return ledger.open_roots(found, known)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from provenant.functions import stamps, urls
-from provenant.operators import capture, content, coverage, delta, gates, incidents, upkeep
+from provenant.operators import capture, content, coverage, delta, gates, incidents, ledger, upkeep
 from provenant.sources import tables
 
 
@@ -201,3 +201,34 @@ def test_agreed_counts_repeats(spark):
 def test_correction_never_invents_an_address(spark):
     cases = {"https://a.b/x_(y)": "https://a.b/x_(y)", "https://a.b/x_(y)).": "https://a.b/x_(y)", "https://a.b/x/**": "https://a.b/x", "https://a.b/x)**": "https://a.b/x", "https://a.b/d/{ID}.pdb": "https://a.b/d/{ID}.pdb", "https://a.b/x|`": "https://a.b/x", "https://a.b/f[n]|x": "https://a.b/f[n]|x", "https://a.b/x_(y": "https://a.b/x_(y", "https://a.b/": "https://a.b/"}
     assert {k: one(spark, k, upkeep.corrected) for k in cases} == cases and one(spark, None, upkeep.corrected) is None
+
+
+def test_full_queue_refuses_new_entries_only(spark):
+    queue = spark.createDataFrame([("a", 4, 1, 2), ("b", 1, 3, 3)], "url string, attempts int, first_failed int, last_failed int")
+    failures = spark.createDataFrame([("a", 9), ("c", 8), ("c", 7), ("d", 7), ("e", 5), (None, 1)], "url string, failed int")
+    for room, new in ((1, ""), (2, ""), (3, "e"), (4, "ce"), (5, "cde"), (9, "cde")):
+        queued, refused = ledger.enqueue(queue, failures, room)
+        assert {r["url"] for r in queued.collect()} == {"a", "b", *new} and {r["url"] for r in refused.collect()} == set("cde") - set(new)
+        assert {tuple(r) for r in queued.filter("url = 'a'").collect()} == {("a", 5, 1, 9)}
+    assert ledger.enqueue(queue.limit(0), failures.limit(0))[0].count() == 0
+
+
+def test_titles_are_evidence(spark):
+    rows = [("1", "https://a.b/x", "a.b/x/", ["title:unresolved", "t"]), ("2", "u", " ", ["title:unresolved"]), ("3", "v", "Real", ["title:unresolved"]), ("4", "u", "u", ["t"]), ("5", None, None, ["title:unresolved"]), ("6", "w", "w", None)]
+    items = spark.createDataFrame(rows, "key string, url string, title string, tags array<string>")
+    titles = spark.createDataFrame([("https://a.b/x", "A page"), ("u", "U"), ("u", None), (None, "n")], "url string, title string")
+    got = {r["key"]: (r["title"], r["tags"], r["action"]) for r in ledger.backfill(items, titles).collect()}
+    assert got == {"1": ("A page", ["t"], "resolved"), "2": (" ", ["title:unresolved"], "waiting"), "3": ("Real", [], "cleared"), "5": (None, ["title:unresolved"], "waiting")}
+
+
+def test_repairs_move_tags_and_claims(spark):
+    plan = spark.createDataFrame([("a**", "a", "merge"), ("a**", "a", "merge"), ("b)", "b", "rewrite"), ("{c}", "c", "skip_template")], "url string, corrected string, action string")
+    tags = spark.createDataFrame([("a", "t"), ("a**", "t"), ("b)", "t"), ("{c}", "t"), (None, "t")], "url string, tag string")
+    assert sorted(map(tuple, ledger.moved_tags(tags, plan).collect()), key=repr) == sorted([("a", "t"), ("b", "t"), ("{c}", "t"), (None, "t")], key=repr)
+    links = spark.createDataFrame([("a", "s", 2, 3, 1), ("a**", "s", 1, 2, 4), ("b)", "s", 1, 1, 1)], "url string, claim string, first_seen int, last_seen int, times_seen int")
+    assert {tuple(r) for r in ledger.moved_claims(links, plan).collect()} == {("a", "s", 1, 3, 5), ("b", "s", 1, 1, 1)}
+
+
+def test_only_unknown_roots_are_imported(spark):
+    found = spark.createDataFrame([("1", "/a", "stale"), ("2", "/b", "stale"), ("3", None, "stale")], "incident_id string, root string, kind string")
+    assert {r["incident_id"] for r in ledger.open_roots(found, spark.createDataFrame([("/a",), (None,)], "root string")).collect()} == {"2", "3"}
