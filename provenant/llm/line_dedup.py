@@ -1,9 +1,10 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over runs of two and more lines.
 
-A rolling hash over the hashes of the last two lines decides where a chunk ends,
-so that an inserted line moves boundaries only near itself. Chunks of several
-lines that occur more than once in the corpus are compared byte by byte, and
-every occurrence but the first is removed.
+Every pair of neighbouring lines is a chunk, so that any passage of two or more
+lines is covered by the pairs inside it, from its first line to its last, wherever
+it stands. Pairs that occur more than once in the corpus are compared byte by
+byte, and every occurrence but the first is removed. Only digests are shuffled
+for all pairs; contents are read for the repeated ones.
 """
 
 from __future__ import annotations
@@ -17,47 +18,42 @@ from pyspark.sql import functions as F
 
 from provenant.llm.textops import durable
 
-#: A chunk ends after a line with a chance of one in DIVISOR, once it has LEAST lines.
-DIVISOR, LEAST, SPAN = 4, 2, 2
+#: Lines of a chunk: the shortest passage that goes when it is repeated.
+SPAN = 2
 
 
 def chunks(text: str | None) -> list[tuple[int, int]]:
     """(first line, number of lines) of each chunk; lines are split at \\n only."""
-    if not text:
-        return []
-    hashes = [int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big") for line in text.split("\n")]
-    out, start = [], 0
-    for i in range(len(hashes)):
-        rolled = 0
-        for h in hashes[max(start, i - SPAN + 1) : i + 1]:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if i - start + 1 >= LEAST and (rolled >> 32) % DIVISOR == 0:
-            out.append((start, i - start + 1))
-            start = i + 1
-    if start < len(hashes):
-        out.append((start, len(hashes) - start))
-    return out
+    return [(i, SPAN) for i in range(text.count("\n") + 2 - SPAN)] if text else []
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            lines = (text or "").split("\n")
+            lines = text.encode().split(b"\n")
             for start, n in chunks(text):
-                if n > 1:
-                    body = "\n".join(lines[start : start + n])
-                    rows.append((doc, start, n, hashlib.blake2b(body.encode(), digest_size=16).digest(), body))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["doc_id", "start", "lines", "digest", "body"])
+                rows.append((doc, start, hashlib.blake2b(b"\n".join(lines[start : start + n]), digest_size=16).digest()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "start", "digest"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            lines = text.split("\n")
+            rows += [(s["digest"], "\n".join(lines[s["start"] : s["start"] + SPAN])) for s in spans]
+        columns = list(zip(*rows, strict=True)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.string()), strict=True)], names=["digest", "body"])
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, kept = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
             lines = text.split("\n") if text else []
-            out = {i for s in spans or [] for i in range(s["start"], s["start"] + s["lines"])}
+            out = {i for s in starts or [] for i in range(s, s + SPAN)}
             n.append(len(lines))
             gone.append(len(out))
             kept.append("\n".join(line for i, line in enumerate(lines) if i not in out))
@@ -67,15 +63,21 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, kept (the text left).
 
-    The first occurrence of a chunk, by doc_id and then line, stays. A text of
-    one line has no multi-line chunk. Null and empty texts have no lines. doc_id
-    is expected to be unique; rows without one are returned whole. Contents that
-    share a digest without being equal byte by byte all stay.
+    A line goes when it and a neighbour were seen before in this order, by
+    doc_id and then line; the first occurrence of every line stays. A line
+    repeated in a row stays once. A text of one line has no chunk. Null and
+    empty texts have no lines. doc_id is expected to be unique; rows without
+    one are returned whole. Contents that share a digest without being equal
+    byte by byte all stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.filter("doc_id IS NOT NULL AND instr(text, '\n') > 0").mapInArrow(_cut, "doc_id long, start int, lines int, digest binary, body string")
-    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "start")).alias("at"), F.min("body").alias("low"), F.max("body").alias("high"))
-    repeated = durable(found.filter("times > 1 AND low = high").select("digest", "at"))
-    again = cut.select("doc_id", "start", "lines", "digest").join(repeated, "digest").filter((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start")))
-    spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lines")).alias("spans"))
-    return rows.join(spans, "doc_id", "left").mapInArrow(_drop, "doc_id long, n_lines long, n_removed long, kept string")
+    several = rows.filter("doc_id IS NOT NULL AND instr(text, '\n') > 0")
+    cut = several.mapInArrow(_cut, "doc_id long, start int, digest binary")
+    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "start")).alias("at"))
+    repeated = durable(found.filter("times > 1").select("digest", "at"))
+    hits = durable(cut.join(repeated, "digest").select("doc_id", "start", "digest", ((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).alias("again")))
+    spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "digest")).alias("spans"))
+    contents = several.join(spans, "doc_id").select("text", "spans").mapInArrow(_contents, "digest binary, body string")
+    mixed = durable(contents.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"))
+    starts = hits.filter("again").join(mixed, "digest", "left_anti").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    return rows.join(starts, "doc_id", "left").mapInArrow(_drop, "doc_id long, n_lines long, n_removed long, kept string")

@@ -154,6 +154,29 @@ def test_line_dedup(spark):
     assert out[2]["n_removed"] > 4 and out[None]["n_removed"] == 0 and line_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_removes_every_repeated_run(spark):
+    rng = np.random.default_rng(5)
+    passages = [[f"line {p}.{k}" for k in range(2 + p % 6)] for p in range(40)]
+    rows = []
+    for i in range(150):
+        lines = [f"own {i}.{k}" for k in range(9)]
+        for p in rng.choice(40, 2, replace=False):
+            at = int(rng.integers(len(lines) + 1))
+            lines[at:at] = passages[p]
+        rows.append((i, "\n".join(lines)))
+    rows.append((150, "\n".join(["same"] * 7 + ["end"])))
+    seen, want = set(), {}
+    for i, text in rows:
+        lines, gone = text.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            gone |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    kept = {r["doc_id"]: r["kept"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want and kept[150] == "same\nend"
+    assert {x for t in kept.values() for x in t.split("\n")} == {x for _, t in rows for x in t.split("\n")}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
