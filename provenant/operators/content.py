@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions import urls
 
-SKETCH, MAX_BYTES, SAME, GATE_CHARS, TITLE_BYTES = 128, 32 * 1024 * 1024, 0.80, 800, 256 * 1024
+SKETCH, SAME, GATE_CHARS, TITLE_BYTES = 128, 0.80, 800, 256 * 1024
 _MIN_CHUNK, _MAX_CHUNK, _LOW_BITS, MAX_CHUNKS = 16, 1024, 6, 200_000
 _GEAR = np.array([hashlib.sha256(bytes([b])).digest()[7] for b in range(256)], dtype=np.uint8)  # only the low byte reaches the test
 
@@ -54,8 +54,33 @@ def chunks(reads: DataFrame) -> DataFrame:
     return reads.select("url", F.col("body").cast("binary").alias("body")).mapInArrow(_chunks, "url string, ord long, digest string, nbytes int")
 
 
-def content_hash(body: Column, max_bytes: int = MAX_BYTES) -> Column:
-    return F.sha2(F.substring(body.cast("binary"), 1, max_bytes), 256)
+def content_hash(body: Column) -> Column:
+    """Digest of the whole body."""
+    return F.sha2(body.cast("binary"), 256)
+
+
+def _with(df: DataFrame, **defaults: Column) -> DataFrame:
+    return df.withColumns({c: F.coalesce(c, d) if c in df.columns else d for c, d in defaults.items()})
+
+
+def page_reads(reads: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """reads (url, read_no, status, body, and complete where reads come in cut) to (url, read_no, status, body, digest, covers_bytes, complete).
+
+    A body is hashed whole, but over the span of the stored digest where index
+    (url, hash_bytes, hash_truncated) says that this covers only a prefix.
+    """
+    given = _with(reads, complete=F.lit(True)).withColumn("body", F.col("body").cast("binary"))
+    if index is not None and "hash_truncated" in index.columns:
+        given = given.join(_spans(index).filter("hash_truncated AND hash_bytes >= 0").select("url", F.col("hash_bytes").cast("int").alias("span")), "url", "left")
+    else:
+        given = given.withColumn("span", F.lit(None).cast("int"))
+    cut = given.withColumn("whole", F.octet_length("body")).withColumn("body", F.when(F.col("span") < F.col("whole"), F.substring("body", F.lit(1), F.col("span"))).otherwise(F.col("body")))
+    covers = F.octet_length("body")
+    return cut.select("url", "read_no", "status", "body", content_hash(F.col("body")).alias("digest"), covers.cast("long").alias("covers_bytes"), (F.col("complete") & (covers == F.col("whole"))).alias("complete"))
+
+
+def _spans(index: DataFrame) -> DataFrame:
+    return _with(index, hash_truncated=F.lit(False), hash_bytes=F.lit(-1).cast("long"))
 
 
 def sketches(units: DataFrame, key: str, digest: str = "digest", size: int = SKETCH) -> DataFrame:
@@ -94,11 +119,24 @@ def host_tallies(reads: DataFrame) -> DataFrame:
 
 
 def verdicts(index: DataFrame, reads: DataFrame) -> DataFrame:
-    """Stored digest against a fresh read and its repetition. index (url, content_hash); reads (url, read_no, status, digest)."""
-    one, two = (reads.filter(F.col("read_no") == k).select("url", F.col("status").alias(f"s{k}"), F.col("digest").alias(f"d{k}")) for k in (1, 2))
-    both = index.join(one, "url", "left").join(two, "url", "left")
+    """Stored digest against a fresh read and its repetition.
+
+    index (url, content_hash, and hash_bytes, hash_truncated where a digest
+    covers only a prefix); reads (url, read_no, status, digest, and covers_bytes,
+    complete where reads come in cut), as page_reads gives them. Equal digests
+    say unchanged only of whole bodies; of a prefix they say prefix_agreed, and
+    different ones over different spans say incomparable.
+    """
+    scoped = _with(reads, covers_bytes=F.lit(-1).cast("long"), complete=F.lit(True))
+    one, two = (scoped.filter(F.col("read_no") == k).select("url", *(F.col(c).alias(f"{a}{k}") for c, a in (("status", "s"), ("digest", "d"), ("covers_bytes", "n"), ("complete", "c")))) for k in (1, 2))
+    both = _spans(index).join(one, "url", "left").join(two, "url", "left")
     o1, o2 = outcome(F.col("s1")), outcome(F.col("s2"))
-    verdict = F.when(F.col("s1").isNull(), "unreachable").when(o1 != "ok", o1).when(F.col("d1") == F.col("content_hash"), "unchanged").when(F.col("s2").isNull(), "unreachable").when(o2 != "ok", o2).when(F.col("d1") != F.col("d2"), "unstable").otherwise("changed")
+    partly = F.col("hash_truncated") | ~F.col("c1")
+    verdict = F.when(F.col("s1").isNull(), "unreachable").when(o1 != "ok", o1).when((F.col("d1") == F.col("content_hash")) & partly, "prefix_agreed").when(F.col("d1") == F.col("content_hash"), "unchanged")
+    verdict = verdict.when(F.col("s2").isNull(), "unreachable").when(o2 != "ok", o2)
+    cut_apart = (~F.col("c1") & (F.col("n1") < F.col("n2"))) | (~F.col("c2") & (F.col("n2") < F.col("n1")))
+    verdict = verdict.when((F.col("d1") != F.col("d2")) & cut_apart, "incomparable").when(F.col("d1") != F.col("d2"), "unstable")
+    verdict = verdict.when(~F.col("c1") & (~F.col("hash_truncated") | (F.col("n1") < F.col("hash_bytes"))), "incomparable").otherwise("changed")
     return both.select("url", verdict.alias("verdict"))
 
 

@@ -240,7 +240,7 @@ def title_gate(spark, sf_dir):
     FROM (SELECT url, CASE WHEN page_id % 2 = 0 THEN content_hash ELSE 'older' END AS content_hash FROM i WHERE content_hash IS NOT NULL) i JOIN h a ON a.url = i.url AND a.read_no = 1 JOIN h b ON b.url = i.url AND b.read_no = 2""")
 def verify_verdicts(spark, sf_dir):
     stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select("url", F.when(F.col("page_id") % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"))
-    return content.verdicts(stored, fx.reads(spark, sf_dir).select("url", "read_no", "status", content.content_hash(F.col("body")).alias("digest")))
+    return content.verdicts(stored, content.page_reads(fx.reads(spark, sf_dir)))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmid' ELSE 'repo' END AS scheme, CASE l_linenumber % 4 WHEN 0 THEN concat('10.1000/', l_partkey) WHEN 1 THEN concat('2401.', 10000 + l_partkey % 10000) WHEN 2 THEN concat('', l_partkey) ELSE concat('o', l_suppkey, '/r', l_partkey) END AS id FROM lineitem")

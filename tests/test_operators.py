@@ -94,6 +94,23 @@ def test_chunks(spark):
     assert content.chunks(df).agg(F.sum("nbytes")).first()[0] == 3000
 
 
+def test_digests_cover_whole_bodies(spark):
+    pages = spark.range(2).select(F.concat(F.repeat(F.lit("x"), 33 * 1024 * 1024), F.col("id").cast("string")).alias("html"))
+    want = {hashlib.sha256(b"x" * 33 * 1024 * 1024 + k).hexdigest() for k in (b"0", b"1")}
+    assert {r[0] for r in pages.select(content.content_hash(F.col("html"))).collect()} == want
+
+
+def test_a_prefix_is_never_unchanged(spark):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    index = spark.createDataFrame([("whole", sha(b"abcdef"), 6, False), ("grown", sha(b"abc"), 3, False), ("prefix", sha(b"abc"), 3, True), ("moved", sha(b"abx"), 3, True), ("other", sha(b"zzzzzz"), 6, False), ("shorter", sha(b"abcdef"), 6, True), ("shrunk", sha(b"abcdef"), 6, True), ("apart", sha(b"q"), 1, False)], "url string, content_hash string, hash_bytes long, hash_truncated boolean")
+    body = {"whole": (b"abcdef", True), "grown": (b"abc", False), "prefix": (b"abcdef", True), "moved": (b"abcdef", True), "other": (b"abc", False), "shorter": (b"abc", False), "shrunk": (b"abc", True)}
+    rows = [(u, k, 200, bytearray(b), c) for u, (b, c) in body.items() for k in (1, 2)] + [("apart", 1, 200, bytearray(b"abc"), True), ("apart", 2, 200, bytearray(b"ab"), False)]
+    reads = content.page_reads(spark.createDataFrame(rows, "url string, read_no int, status int, body binary, complete boolean"), index)
+    assert {(r["url"], r["covers_bytes"], r["complete"]) for r in reads.filter("read_no = 1 AND url IN ('whole', 'prefix', 'grown')").collect()} == {("whole", 6, True), ("prefix", 3, False), ("grown", 3, False)}
+    got = {r["url"]: r["verdict"] for r in content.verdicts(index, reads).collect()}
+    assert got == {"whole": "unchanged", "grown": "prefix_agreed", "prefix": "prefix_agreed", "moved": "changed", "other": "incomparable", "shorter": "incomparable", "shrunk": "changed", "apart": "incomparable"}
+
+
 def test_similarity_is_null_without_evidence(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["a"]), ([], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(content.similarity(F.col("a"), F.col("b"))).collect()] == [1 / 3, None, None]
