@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from provenant.functions import urls
 
 SKETCH, SAME, GATE_CHARS, TITLE_BYTES = 128, 0.80, 800, 256 * 1024
-_MIN_CHUNK, _MAX_CHUNK, _LOW_BITS, MAX_CHUNKS = 16, 1024, 6, 200_000
+_MIN_CHUNK, _MAX_CHUNK, _LOW_BITS = 16, 1024, 6
+#: Chunks of one Arrow batch; a longer body goes over several.
+BATCH_CHUNKS = 65_536
 _GEAR = np.array([hashlib.sha256(bytes([b])).digest()[7] for b in range(256)], dtype=np.uint8)  # only the low byte reaches the test
 
 
@@ -23,7 +25,7 @@ def cut_points(body: bytes) -> list[int]:
     mask = (1 << _LOW_BITS) - 1
     rolled = np.zeros(len(data), dtype=np.uint8)
     for back in range(_LOW_BITS):
-        rolled[back:] += data[: len(data) - back] << np.uint8(back)
+        rolled[back:] += data[: max(0, len(data) - back)] << np.uint8(back)
     likely = np.flatnonzero((rolled & mask) == 0)
     out, start = [], 0
     while len(body) - start > 0:
@@ -37,23 +39,36 @@ def cut_points(body: bytes) -> list[int]:
     return out
 
 
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["url", "ord", "digest", "nbytes"])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for url, body in zip(batch.column("url").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            start, ends = 0, cut_points(body or b"")
-            for k, end in enumerate(ends if len(ends) <= MAX_CHUNKS else []):
+        for url, held in zip(batch.column("url").to_pylist(), batch.column("body"), strict=True):
+            body, start = held.as_py() or b"", 0
+            for k, end in enumerate(cut_points(body)):
                 rows.append((url, k, hashlib.sha256(body[start:end]).hexdigest(), end - start))
                 start = end
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["url", "ord", "digest", "nbytes"])
+                if len(rows) == BATCH_CHUNKS:
+                    yield _chunk_batch(rows)
+                    rows = []
+        yield _chunk_batch(rows)
 
 
 def chunks(reads: DataFrame) -> DataFrame:
-    """(url, body) to (url, ord, digest, nbytes); bodies of more than MAX_CHUNKS chunks give none."""
+    """(url, body) to (url, ord, digest, nbytes), for bodies of any length; null and empty bodies have no chunk."""
     return reads.select("url", F.col("body").cast("binary").alias("body")).mapInArrow(_chunks, "url string, ord long, digest string, nbytes int")
 
 
+def chunk_stats(reads: DataFrame) -> DataFrame:
+    """(url, body) to (url, chunks, nbytes, largest), a row for every url: without a chunk 0, 0 and null."""
+    units = chunks(reads).select("url", "nbytes").unionByName(reads.select("url", F.lit(None).cast("int").alias("nbytes")))
+    return units.groupBy("url").agg(F.count("nbytes").alias("chunks"), F.coalesce(F.sum("nbytes"), F.lit(0).cast("long")).alias("nbytes"), F.max("nbytes").alias("largest"))
+
+
 def content_hash(body: Column) -> Column:
     """Digest of the whole body."""
     return F.sha2(body.cast("binary"), 256)

@@ -198,7 +198,7 @@ def content_hashes(spark, sf_dir):
 
 @query()
 def chunk_stats(spark, sf_dir):
-    return content.chunks(table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"))).groupBy("url").agg(F.count(F.lit(1)).alias("chunks"), F.sum("nbytes").alias("nbytes"), F.max("nbytes").alias("largest"))
+    return content.chunk_stats(table(spark, sf_dir, "pages").select("url", F.col("html").alias("body")))
 
 
 _SKETCH_SQL = "t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), v AS (SELECT DISTINCT doc_id, substr(sha256(w), 1, 16) AS v FROM t), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v) <= 128), sk AS (SELECT doc_id, list_sort(list(v)) AS sketch FROM k GROUP BY doc_id)"

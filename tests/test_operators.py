@@ -5,6 +5,7 @@ import hashlib
 import random
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from provenant.functions import stamps, urls
@@ -94,6 +95,21 @@ def test_chunks(spark):
     assert content.chunks(df).agg(F.sum("nbytes")).first()[0] == 3000
 
 
+def test_chunk_stats_has_every_page(spark):
+    pages = spark.createDataFrame([("null", None), ("empty", bytearray()), ("one", bytearray(b"abc")), ("two", bytearray(b"a" * 1030))], "url string, body binary")
+    got = {r["url"]: tuple(r)[1:] for r in content.chunk_stats(pages).collect()}
+    assert got == {"null": (0, 0, None), "empty": (0, 0, None), "one": (1, 3, 3), "two": (2, 1030, 1024)} and len(cuts_brute(b"a" * 1030)) == 2
+
+
+def test_bodies_of_over_200_000_chunks_are_cut_whole():
+    body = random.Random(6).randbytes(21_000_000)
+    batch = pa.RecordBatch.from_pydict({"url": ["u"], "body": [body]})
+    out = list(content._chunks(iter([batch])))
+    sizes = [n for b in out for n in b.column("nbytes").to_pylist()]
+    assert len(sizes) > 200_000 and sum(sizes) == len(body) and max(b.num_rows for b in out) <= content.BATCH_CHUNKS
+    assert [k for b in out for k in b.column("ord").to_pylist()] == list(range(len(sizes)))
+
+
 def test_digests_cover_whole_bodies(spark):
     pages = spark.range(2).select(F.concat(F.repeat(F.lit("x"), 33 * 1024 * 1024), F.col("id").cast("string")).alias("html"))
     want = {hashlib.sha256(b"x" * 33 * 1024 * 1024 + k).hexdigest() for k in (b"0", b"1")}
