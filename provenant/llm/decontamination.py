@@ -13,6 +13,11 @@ gives a bucket; item and window are candidates when a bucket of any of the
 repetitions agrees. Repetitions and samples are set for a recall over 0.99 at
 the full number of edits, which the tests measure. Candidates are verified by
 the exact edit distance over all stretches around the window.
+
+The walks of longer items drift too far apart for that. From LONG words on,
+every item with a surviving piece is a candidate; it is passed over only where
+the stretch around the window shares fewer of its words than the edits leave,
+which no stretch within reach does, so the recall is 1 at every length.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from provenant.llm.textops import Rolling, mix, word_hashes
 
 RATIO = 0.2
 REPEATS, SAMPLES = 32, 2
+#: Items of at least so many words are found by their pieces alone, without sampling.
+LONG = 60
 #: Items are broadcast in blocks of at most so many words; more blocks mean more passes, not larger ones.
 BLOCK_WORDS = 2_000_000
 
@@ -94,25 +101,39 @@ class Index:
     items: dict[int, np.ndarray]
     pieces: dict[int, tuple[np.ndarray, list]] = field(default_factory=dict)
     buckets: dict[int, dict[tuple, set[int]]] = field(default_factory=dict)
+    counts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         found: dict[int, dict[int, list]] = {}
         for item, words in self.items.items():
             n = len(words)
             size = n // (int(RATIO * n) + 1)
+            if n >= LONG:
+                self.counts[item] = np.unique(words, return_counts=True)
+                for at, h in enumerate(Rolling(words).windows(size)[::size].tolist()):
+                    found.setdefault(size, {}).setdefault(h, []).append((at * size, n, item))
+                continue
             for at, h in enumerate(Rolling(words).windows(size).tolist()):
-                found.setdefault(size, {}).setdefault(h, []).append((at, n))
+                found.setdefault(size, {}).setdefault(h, []).append((at, n, None))
             mine = self.buckets.setdefault(n, {})
             for b in buckets(words, n):
                 mine.setdefault(b, set()).add(item)
         for size, by in found.items():
             keys = np.array(sorted(by), dtype=np.uint64)
-            self.pieces[size] = (keys, [sorted(set(by[int(k)])) for k in keys])
+            self.pieces[size] = (keys, [list(dict.fromkeys(by[int(k)])) for k in keys])
+
+    def _shares(self, item: int, words: np.ndarray, least: int) -> bool:
+        """Whether words hold at least so many of the item's words, each as often as it stands there."""
+        mine, times = self.counts[item]
+        sorted_words = np.sort(words)
+        held = np.searchsorted(sorted_words, mine, "right") - np.searchsorted(sorted_words, mine, "left")
+        return int(np.minimum(held, times).sum()) >= least
 
     def nearest(self, text: str | None) -> tuple[int, int, int, int] | None:
         """(item, distance, first word, end) of the nearest item, then the smallest id; None where none is near."""
         words = item_words(text)
         places: set[tuple[int, int]] = set()
+        long: set[tuple[int, int]] = set()
         roll = Rolling(words)
         for size, (keys, laid) in self.pieces.items():
             h = roll.windows(size)
@@ -121,8 +142,18 @@ class Index:
             at = np.searchsorted(keys, h)
             at[at == len(keys)] = 0
             for j in np.flatnonzero(keys[at] == h).tolist():
-                places.update((j - p, n) for p, n in laid[at[j]])
+                places.update((j - p, n) for p, n, item in laid[at[j]] if item is None)
+                long.update((j - p, item) for p, _, item in laid[at[j]] if item is not None)
         best, seen = None, {}
+        for start, item in sorted(long):
+            n = len(self.items[item])
+            slack = int(RATIO * n)
+            lo, hi = max(0, start - slack), min(len(words), start + n + slack)
+            if (item, lo, hi) not in seen and self._shares(item, words[lo:hi], n - slack):
+                d, a, e = edit_distance(self.items[item], words[lo:hi])
+                seen[item, lo, hi] = (d, item, lo + a, lo + e)
+                if d <= slack and (best is None or seen[item, lo, hi] < best):
+                    best = seen[item, lo, hi]
         for start, n in sorted(places):
             slack = int(RATIO * n)
             window = words[max(0, start) : max(0, start + n)]

@@ -233,6 +233,25 @@ def test_cgk_recall_at_the_full_number_of_edits():
     assert np.mean(hit) > 0.99
 
 
+@pytest.mark.parametrize("n", [59, 60, 100, 200, 300, 400])
+def test_decontamination_recall_by_size(n):
+    """Documents that hold an item at the full number of edits: substitutions in half of them, mixed edits, or all in one part, in the others."""
+    rng = np.random.default_rng(n)
+    vocabulary, budget, hit, total = [f"q{x}" for x in range(50_000)], int(decontamination.RATIO * n), 0, 120
+    texts = {k: [str(x) for x in rng.choice(vocabulary, n)] for k in range(3)}
+    found = decontamination.Index({k: decontamination.item_words(" ".join(t)) for k, t in texts.items()})
+    for i in range(total):
+        words = list(texts[i % 3])
+        where = rng.choice(n, budget, replace=False) if i % 4 else np.arange(budget) + int(rng.integers(n - budget + 1))
+        for e, at in enumerate(sorted(where.tolist(), reverse=True)):
+            words[at : at + 1] = [[f"z{i}.{e}"], [], [words[at], f"z{i}.{e}"]][0 if i % 2 else int(rng.integers(3))]
+        text = " ".join([str(x) for x in rng.choice(vocabulary, 80)] + words + [str(x) for x in rng.choice(vocabulary, 80)])
+        got = found.nearest(text)
+        hit += got is not None and got[0] == i % 3 and got[1] <= budget
+    assert hit == total if n >= decontamination.LONG else hit > 0.99 * total
+    assert found.nearest(" ".join(str(x) for x in rng.choice(vocabulary, 3 * n))) is None
+
+
 def test_mixing(spark):
     docs = documents(spark)
     out = [r.asDict() for r in mixing.mix(docs).collect()]
