@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions import urls
+from provenant.operators import coverage
 
 SKETCH, SAME, GATE_CHARS, TITLE_BYTES = 128, 0.80, 800, 256 * 1024
+#: How stable sketches are cut; one stored under another tag can't be compared.
+STABLE_ALGO = "agreed-chunks-kmv128"
 _MIN_CHUNK, _MAX_CHUNK, _LOW_BITS = 16, 1024, 6
 #: Chunks of one Arrow batch; a longer body goes over several.
 BATCH_CHUNKS = 65_536
@@ -133,14 +136,16 @@ def host_tallies(reads: DataFrame) -> DataFrame:
     return reads.groupBy(answering.alias("host")).agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("status").isin(401, 403, 429)).alias("refused"), F.count_if(F.col("status").isin(404, 410)).alias("absent"))
 
 
-def verdicts(index: DataFrame, reads: DataFrame) -> DataFrame:
-    """Stored digest against a fresh read and its repetition.
+def verdicts(index: DataFrame, reads: DataFrame, agreed: DataFrame | None = None) -> DataFrame:
+    """Stored digest against a fresh read and its repetition: (url, verdict).
 
     index (url, content_hash, and hash_bytes, hash_truncated where a digest
     covers only a prefix); reads (url, read_no, status, digest, and covers_bytes,
     complete where reads come in cut), as page_reads gives them. Equal digests
     say unchanged only of whole bodies; of a prefix they say prefix_agreed, and
-    different ones over different spans say incomparable.
+    different ones over different spans say incomparable. Reads that differ from
+    each other are unstable, unless agreed (url, sketch) has what both agree on:
+    this is held against index (stable_sketch, stable_algo).
     """
     scoped = _with(reads, covers_bytes=F.lit(-1).cast("long"), complete=F.lit(True))
     one, two = (scoped.filter(F.col("read_no") == k).select("url", *(F.col(c).alias(f"{a}{k}") for c, a in (("status", "s"), ("digest", "d"), ("covers_bytes", "n"), ("complete", "c")))) for k in (1, 2))
@@ -150,11 +155,36 @@ def verdicts(index: DataFrame, reads: DataFrame) -> DataFrame:
     verdict = F.when(F.col("s1").isNull(), "unreachable").when(o1 != "ok", o1).when((F.col("d1") == F.col("content_hash")) & partly, "prefix_agreed").when(F.col("d1") == F.col("content_hash"), "unchanged")
     verdict = verdict.when(F.col("s2").isNull(), "unreachable").when(o2 != "ok", o2)
     cut_apart = (~F.col("c1") & (F.col("n1") < F.col("n2"))) | (~F.col("c2") & (F.col("n2") < F.col("n1")))
-    verdict = verdict.when((F.col("d1") != F.col("d2")) & cut_apart, "incomparable").when(F.col("d1") != F.col("d2"), "unstable")
+    verdict = verdict.when((F.col("d1") != F.col("d2")) & cut_apart, "incomparable")
+    if agreed is not None:
+        both = both.join(agreed.select("url", F.col("sketch").alias("fresh")), "url", "left")
+        stored, differ = F.col("stable_sketch"), (F.col("d1") != F.col("d2")) & F.col("fresh").isNotNull()
+        near = F.when(F.forall(stored, lambda x: F.coalesce(x.rlike("^[0-9a-f]{16}$"), F.lit(False))), similarity(stored, F.col("fresh")))
+        verdict = verdict.when(differ & (F.coalesce(F.size(stored), F.lit(0)) <= 0), "stable_baseline").when(differ & ~F.col("stable_algo").eqNullSafe(STABLE_ALGO), "stable_rebaselined")
+        verdict = verdict.when(differ & (near >= SAME), "stable_unchanged").when(differ & (near < SAME), "stable_changed")
+    verdict = verdict.when(F.col("d1") != F.col("d2"), "unstable")
     verdict = verdict.when(~F.col("c1") & (~F.col("hash_truncated") | (F.col("n1") < F.col("hash_bytes"))), "incomparable").otherwise("changed")
     return both.select("url", verdict.alias("verdict"))
 
 
+def verify(index: DataFrame, reads: DataFrame) -> DataFrame:
+    """(url, verdict, sketch) of index (url, content_hash, stable_sketch, stable_algo, and hash_bytes, hash_truncated) after two whole reads (url, read_no, status, body, and complete).
+
+    url is unique in index, and (url, read_no) in reads. Only pages whose two
+    good reads differ from the stored digest and from each other are chunked;
+    sketch is what a stable_baseline or stable_rebaselined page is to store.
+    """
+    scoped = page_reads(reads, index)
+    good = scoped.filter(outcome(F.col("status")) == "ok").select("url", "read_no", "digest")
+    one, two = (good.filter(F.col("read_no") == k).select("url", F.col("digest").alias(f"d{k}")) for k in (1, 2))
+    unlike = index.select("url", "content_hash").join(one, "url").join(two, "url").filter("d1 <> content_hash AND d1 <> d2").select("url")
+    pairs = scoped.select("url", "read_no", "body").join(unlike, "url", "left_semi")
+    units = [chunks(pairs.filter(F.col("read_no") == k)).withColumn("read_no", F.lit(k)) for k in (1, 2)]
+    sketched = sketches(coverage.agreed_units(units[0].unionByName(units[1])), "url")
+    judged = verdicts(index, scoped.drop("body"), sketched)
+    return judged.join(sketched, "url", "left").select("url", "verdict", F.when(F.col("verdict").isin("stable_baseline", "stable_rebaselined"), F.col("sketch")).alias("sketch"))
+
+
 def title(body: Column) -> Column:
     """The complete title element in the first TITLE_BYTES, white space collapsed; null where there is none."""
     found = F.regexp_extract(F.substring(body, 1, TITLE_BYTES), r"(?is)<title[^>]*>(.*?)</title>", 1)

@@ -31,13 +31,24 @@ def extraction_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff.agg(F.count(F.lit(1)).alias("messages"), F.count_if((F.size("old_only") > 0) | (F.size("new_only") > 0)).alias("changed"), total(F.size("old_only")).alias("lost"), total(F.size("new_only")).alias("gained"), total(shorter).alias("shortened"))
 
 
+def _met(units: DataFrame) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("url", "read_no", "digest").orderBy("ord"))
+    return units.withColumn("nth", nth).groupBy("url", "digest", "nth").agg(F.max(F.when(F.col("read_no") == 1, F.col("nbytes"))).alias("one"), F.max(F.when(F.col("read_no") == 2, F.col("nbytes"))).alias("two"))
+
+
+def agreed_units(units: DataFrame, least: float = AGREE) -> DataFrame:
+    """(url, digest) of the units that both reads have, where these hold at least least of the first read's bytes."""
+    met = _met(units)
+    kept = F.sum(F.when(F.col("two").isNotNull(), F.col("one")))
+    enough = met.groupBy("url").agg(kept.alias("kept"), F.sum("one").alias("total")).filter((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least)).select("url")
+    return met.filter("one IS NOT NULL AND two IS NOT NULL").select("url", "digest").join(enough, "url")
+
+
 def agreed(units: DataFrame, least: float = AGREE) -> DataFrame:
     """units (url, read_no, ord, digest, nbytes) of two reads to (url, kept, total, agreed): the n-th unit of a digest in one read agrees with its n-th in the other.
 
     total is the larger read; agreed is null below least, for then there is no agreed set to compare.
     """
-    nth = F.row_number().over(Window.partitionBy("url", "read_no", "digest").orderBy("ord"))
-    met = units.withColumn("nth", nth).groupBy("url", "digest", "nth").agg(F.max(F.when(F.col("read_no") == 1, F.col("nbytes"))).alias("one"), F.max(F.when(F.col("read_no") == 2, F.col("nbytes"))).alias("two"))
-    sums = met.groupBy("url").agg(*(F.coalesce(F.sum(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("one", "two")), F.coalesce(F.sum(F.when(F.col("two").isNotNull(), F.col("one"))).cast("long"), F.lit(0).cast("long")).alias("kept"))
+    sums = _met(units).groupBy("url").agg(*(F.coalesce(F.sum(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("one", "two")), F.coalesce(F.sum(F.when(F.col("two").isNotNull(), F.col("one"))).cast("long"), F.lit(0).cast("long")).alias("kept"))
     total = F.greatest("one", "two")
     return sums.select("url", "kept", total.alias("total"), F.when(F.col("kept") >= total * least, True).alias("agreed"))

@@ -243,6 +243,17 @@ def verify_verdicts(spark, sf_dir):
     return content.verdicts(stored, content.page_reads(fx.reads(spark, sf_dir)))
 
 
+@query()
+def verify_verdicts_full(spark, sf_dir):
+    """As verify_verdicts, with stable sketches by page_id % 16: 9 of the page itself, 1 of its text backwards, 5 of an older kind; the others have none. Addresses are made unique by page."""
+    p, unique = F.col("page_id"), F.concat("url", F.lit("#"), "page_id")
+    pages = table(spark, sf_dir, "pages").select(unique.alias("url"), F.when(p % 16 == 1, F.reverse("html")).otherwise(F.col("html")).alias("body"), p).filter((p % 16).isin(1, 5, 9))
+    stable = content.sketches(content.chunks(pages), "url").withColumnRenamed("sketch", "stable_sketch")
+    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select(unique.alias("url"), F.when(p % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"))
+    reads = fx.reads(spark, sf_dir).select(unique.alias("url"), "read_no", "status", "body")
+    return content.verify(stored.join(stable, "url", "left"), reads).withColumn("sketch", F.array_join("sketch", ","))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmid' ELSE 'repo' END AS scheme, CASE l_linenumber % 4 WHEN 0 THEN concat('10.1000/', l_partkey) WHEN 1 THEN concat('2401.', 10000 + l_partkey % 10000) WHEN 2 THEN concat('', l_partkey) ELSE concat('o', l_suppkey, '/r', l_partkey) END AS id FROM lineitem")
 def identifier_ids(spark, sf_dir):
     url = F.expr("CASE l_linenumber % 4 WHEN 0 THEN concat('https://doi.org/10.1000/', l_partkey) WHEN 1 THEN concat('https://arxiv.org/abs/2401.', 10000 + l_partkey % 10000, 'v2') WHEN 2 THEN concat('https://pubmed.ncbi.nlm.nih.gov/', l_partkey, '/') ELSE concat('https://github.com/o', l_suppkey, '/r', l_partkey, '.git') END")

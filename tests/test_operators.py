@@ -127,6 +127,22 @@ def test_a_prefix_is_never_unchanged(spark):
     assert got == {"whole": "unchanged", "grown": "prefix_agreed", "prefix": "prefix_agreed", "moved": "changed", "other": "incomparable", "shorter": "incomparable", "shrunk": "changed", "apart": "incomparable"}
 
 
+def test_verify_looks_through_a_nonce(spark):
+    rng = random.Random(9)
+    page, strange = rng.randbytes(20_000), rng.randbytes(20_000)
+    mine, other = (sorted({hashlib.sha256(b[i:j]).hexdigest()[:16] for i, j in zip([0, *cuts_brute(b)], cuts_brute(b), strict=False)})[:128] for b in (page, strange))
+    algo = content.STABLE_ALGO
+    index = [("same", "older", mine, algo), ("changed", "older", other, algo), ("first", "older", None, None), ("recut", "older", mine, ""), ("unread", "older", ["zz"], algo), ("rebuilt", "older", mine, algo), ("steady", "older", mine, algo), ("kept", hashlib.sha256(page).hexdigest(), mine, algo), ("down", "older", mine, algo)]
+    rows = []
+    for url, *_ in index:
+        second = {"rebuilt": strange, "steady": page, "kept": strange}.get(url, page + b"<!-- nonce -->")
+        rows += [(url, 1, 200, bytearray(page)), (url, 2, 503 if url == "down" else 200, bytearray(second))]
+    found = content.verify(spark.createDataFrame(index, "url string, content_hash string, stable_sketch array<string>, stable_algo string"), spark.createDataFrame(rows, "url string, read_no int, status int, body binary")).collect()
+    assert {r["url"]: r["verdict"] for r in found} == {"same": "stable_unchanged", "changed": "stable_changed", "first": "stable_baseline", "recut": "stable_rebaselined", "unread": "unstable", "rebuilt": "unstable", "steady": "changed", "kept": "unchanged", "down": "server_error"}
+    held = {r["url"]: r["sketch"] for r in found if r["sketch"] is not None}
+    assert set(held) == {"first", "recut"} and len(held["first"]) == 128 and len(set(held["first"]) & set(mine)) > 120
+
+
 def test_similarity_is_null_without_evidence(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["a"]), ([], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(content.similarity(F.col("a"), F.col("b"))).collect()] == [1 / 3, None, None]
