@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from provenant.functions import urls
 from provenant.operators import coverage
 
-SKETCH, SAME, GATE_CHARS, TITLE_BYTES = 128, 0.80, 800, 256 * 1024
+SKETCH, SAME, GATE_CHARS = 128, 0.80, 800
 #: How stable sketches are cut; one stored under another tag can't be compared.
 STABLE_ALGO = "agreed-chunks-kmv128"
 _MIN_CHUNK, _MAX_CHUNK, _LOW_BITS = 16, 1024, 6
@@ -186,8 +186,8 @@ def verify(index: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def title(body: Column) -> Column:
-    """The complete title element in the first TITLE_BYTES, white space collapsed; null where there is none."""
-    found = F.regexp_extract(F.substring(body, 1, TITLE_BYTES), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    """The first complete title element, white space collapsed; null where there is none."""
+    found = F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)
     return F.nullif(F.trim(F.regexp_replace(found, "[ \t\r\n]+", " ")), F.lit(""))
 
 

@@ -143,6 +143,11 @@ def test_verify_looks_through_a_nonce(spark):
     assert set(held) == {"first", "recut"} and len(held["first"]) == 128 and len(set(held["first"]) & set(mine)) > 120
 
 
+def test_title_behind_a_long_script(spark):
+    page = spark.range(1).select(F.concat(F.lit("<head><script>"), F.repeat(F.lit("x = 1;\n"), 50_000), F.lit("</script><TITLE lang=en> Late\n title </TITLE>")).alias("html"))
+    assert page.select(content.title(F.col("html"))).first()[0] == "Late title"
+
+
 def test_similarity_is_null_without_evidence(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["a"]), ([], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(content.similarity(F.col("a"), F.col("b"))).collect()] == [1 / 3, None, None]
