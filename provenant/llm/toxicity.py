@@ -1,12 +1,19 @@
 """Toxicity from a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: case, accents, look-alike letters, digits that stand for
-letters inside words, and invisible characters. Everything that is no letter
-becomes a space, so that terms match from a word's start. The lexicon is learned
-from labelled rows: words and word beginnings that toxic texts use far more
-often, weighed by log odds. A term inside an exception phrase doesn't count. The
-weighted matches, absolute and by length, give the score through a fitted
-logistic curve.
+Texts are folded first: case, look-alike letters of other scripts, digits that
+stand for letters inside words, and invisible characters; accents of Latin
+letters stay, for they tell words apart. Everything that is no letter becomes a
+space, so that terms match from a word's start. The lexicon is learned from
+labelled rows: words that toxic texts use far more often, and beginnings that
+many such words share, weighed by log odds. A beginning that one longer term
+covers as well gives way to it, so that plain words with the same first letters
+stay clean. A term inside an exception phrase doesn't count. The weighted
+matches, absolute and by length, give the score through a fitted logistic curve.
+
+Null, empty and blank texts score as texts without matches, texts of any length
+are read whole, equal texts score alike however often they are repeated, and an
+empty table gives no rows; ties between terms are broken by length and spelling.
+Columns of the caller's are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ from pyspark.sql import types as T
 #: Labelled rows that the lexicon and the curve are learned from, at most.
 MAX_TRAIN = 12_000
 MAX_TERMS, MIN_DOCS, MIN_ODDS = 400, 6, 20.0
+#: Letters of a beginning, and the share of its uses that a longer term must have to replace it.
+STEM, COVERS = range(5, 13), 0.6
 
 # Letters that look like a Latin letter, digits and signs used in place of letters.
 LOOK_ALIKE = {
@@ -32,13 +41,14 @@ LOOK_ALIKE = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ß": "ss", "ı": "i", "ɑ": "a", "ɡ": "g", "ø": "o", "ł": "l", "đ": "d",
 }
 STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bags", "clown fish", "clown nose", "scum line", "pond scum", "loser bracket", "worthless currency", "idiot proof")
+EXCEPTIONS = ("the trash", "trash can", "trash cans", "trash bin", "trash bag", "trash bags", "clown fish", "clown nose", "scum line", "pond scum", "loser bracket", "worthless currency", "idiot proof")
 
 
 def _table() -> dict[int, str | None]:
     table: dict[int, str | None] = {}
     for code in [*range(0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFF00, 0xFF5F)]:
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
+        latin = code < 0x250 or 0x1E00 <= code < 0x1F00
+        base = unicodedata.normalize("NFKC", chr(code)).lower() if latin else "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
         base = "".join(LOOK_ALIKE.get(c, c) for c in base).replace("l", "i")
         if base != chr(code) or not (base.isalpha() or base in STAND_IN):
             table[code] = base if base and all(c.isalpha() or c in STAND_IN for c in base) else " "
@@ -53,7 +63,8 @@ _WITH_STAND_IN = re.compile(r"[^\W\d_]*[0-9@$]+[^\W\d_]+[^\W_]*|[^\W\d_]+[0-9@$]
 
 def fold(text: str | None) -> str:
     """The folded text between two spaces; digits stay out unless their word has letters too."""
-    text = (text or "").translate(_TABLE)
+    text = text or ""
+    text = (text if text.isascii() else unicodedata.normalize("NFC", text)).translate(_TABLE)
     if _NUMBER.search(text):
         text = _WITH_STAND_IN.sub(lambda m: "".join(STAND_IN.get(c, c) for c in m.group()), text)
         text = _NUMBER.sub(" ", text)
@@ -73,6 +84,8 @@ class Lexicon:
         found = ahocorasick.Automaton()
         for term, weight in self.terms.items():
             found.add_word(f" {term}", (len(term) + 1, weight))
+            if term.endswith(" "):
+                found.add_word(f" {term[:-1]}s ", (len(term) + 2, weight))
         for phrase in EXCEPTIONS:
             found.add_word(fold(phrase), (len(fold(phrase)), None))
         found.make_automaton()
@@ -97,7 +110,19 @@ class Lexicon:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _words(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: sorted({w for w in fold(t).split() if 2 < len(w) < 25}))
+    return text.map(lambda t: sorted({w for w in fold(t).split() if len(w) > 2}))
+
+
+def choose(found: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Terms and weights out of (term, uses in toxic texts, odds), most used first; a term that begins with a chosen one adds nothing."""
+    uses, terms = {t: p for t, p, _ in found}, {}
+    covered: set[str] = set()
+    for t, p, _ in found:
+        covered.update(t[:k] for k in STEM if k < len(t.rstrip()) + t.endswith(" ") and p >= COVERS * uses.get(t[:k], p + p))
+    for t, _, odd in found:
+        if len(terms) < MAX_TERMS and t not in covered and not any(t[:k] in terms for k in range(1, len(t))):
+            terms[t] = round(min(4.0, math.log(odd) / 2), 3)
+    return terms
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Lexicon:
@@ -113,15 +138,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not n1 or not n0:
             return Lexicon()
         words = train.select("__y", F.explode(_words("__text")).alias("w")).groupBy("w").agg(F.sum("__y").alias("p"), F.sum(1 - F.col("__y")).alias("n"))
-        sizes = F.array_union(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda k: k < F.length("w")), F.array(F.lit(99)))
-        stems = words.select("p", "n", "w", F.explode(sizes).alias("k")).withColumn("t", F.when(F.col("k") == 99, F.concat("w", F.lit(" "))).otherwise(F.substring("w", F.lit(1), F.col("k"))))
+        # 0 stands for the whole word.
+        sizes = F.concat(F.array(F.lit(0)), F.filter(F.array(*map(F.lit, STEM)), lambda k: k < F.length("w")))
+        stems = words.select("p", "n", "w", F.explode(sizes).alias("k")).withColumn("t", F.when(F.col("k") == 0, F.concat("w", F.lit(" "))).otherwise(F.substring("w", F.lit(1), F.col("k"))))
         odds = ((F.col("p") + 0.1) / n1) / ((F.col("n") + 0.1) / n0)
         best = stems.groupBy("t").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("odds", odds).filter((F.col("p") >= MIN_DOCS) & (F.col("odds") >= MIN_ODDS))
-        terms: dict[str, float] = {}
-        for t, p, odd in best.orderBy(F.desc("p"), F.length("t"), "t").select("t", "p", "odds").limit(MAX_TERMS * 20).collect():
-            if len(terms) < MAX_TERMS and not any(t[:k] in terms for k in range(4, len(t))):
-                terms[t] = round(min(4.0, math.log(odd) / 2), 3)
-        lexicon = Lexicon(terms)
+        lexicon = Lexicon(choose(best.orderBy(F.desc("p"), F.length("t"), "t").select("t", "p", "odds").limit(MAX_TERMS * 20).collect()))
         rows = train.select("__y", lexicon_features(lexicon)("__text").alias("x")).select("__y", "x.*").collect()
         lexicon.curve = _fit(np.array([[r[1], r[2]] for r in rows]), np.array([r[0] for r in rows], dtype=float))
         return lexicon

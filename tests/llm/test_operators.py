@@ -365,12 +365,50 @@ def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     lexicon = toxicity.learn(docs, labels.filter(~held))
-    rows = docs.filter(held).join(labels, "doc_id").select("toxic", toxicity.scorer(lexicon)("text").alias("s")).collect()
-    good, bad = [r["s"] for r in rows if r["toxic"] == 0], [r["s"] for r in rows if r["toxic"] == 1]
-    assert np.mean([s < 0.5 for s in good]) > 0.98 and np.mean([s >= 0.5 for s in bad]) > 0.85
+    rows = docs.filter(held).join(labels, "doc_id").select("lang", "toxic", toxicity.scorer(lexicon)("text").alias("s")).collect()
+    good = [r["s"] < 0.5 for r in rows if r["toxic"] == 0]
+    bad = collections.defaultdict(list)
+    for r in rows:
+        if r["toxic"] == 1:
+            bad[r["lang"]].append(r["s"] >= 0.5)
+    assert np.mean(good) > 0.98 and np.mean(sum(bad.values(), [])) > 0.85 and all(np.mean(v) > 0.8 for v in bad.values()), bad
     auto = lexicon.automaton()
     score = lambda t: lexicon.score(lexicon.features(auto, t))
     assert score("y0u 1D10T and m0rоn, pathetic") > 0.5 > score("a trash can and another trash can") and 0 <= score(None) == score("") < 0.5
+    for plain in ("follow the path to the river, it is worth the walk", "a disgruntled customer", "we put the trash in the bin", "the losses were stupendous", "clowning around, she won"):
+        assert score(plain) < 0.5, plain
+    assert score("Le réeuxment des chats") == score("Le re\u0301euxment des chats")
+
+
+def naive_hits(lexicon, text):
+    """All terms at all places by plain comparison, then the exceptions."""
+    folded, hits, calm = toxicity.fold(text), {}, []
+    for at in range(len(folded)):
+        for term, weight in lexicon.terms.items():
+            forms = [f" {term}", f" {term[:-1]}s "] if term.endswith(" ") else [f" {term}"]
+            if any(folded.startswith(f, at) for f in forms):
+                hits[at] = max(weight, hits.get(at, 0.0))
+        calm += [(at, at + len(toxicity.fold(e))) for e in toxicity.EXCEPTIONS if folded.startswith(toxicity.fold(e), at)]
+    return sum(w for at, w in hits.items() if not any(a <= at < b for a, b in calm))
+
+
+def test_toxicity_equals_a_naive_scan(spark):
+    lexicon = toxicity.Lexicon({"ioser ": 2.0, "idiot": 1.5, "trash ": 3.0, "idiotic ": 4.0, "réeux": 1.0}, (-3.0, 1.0, 0.5))
+    texts = [None, "", " \n", "loser losers idiots idiotic", "the trash and trash", "l0ser 1d1ot; réeuxé reeux", "x" * 9 + " loser " * 4000, "loser bracket loser", "trash can trash", "trash can trash"]
+    texts += [r["text"] for r in documents(spark).collect()]
+    df = spark.createDataFrame([(t, 1.0) for t in texts], "text string, score double")
+    auto = lexicon.automaton()
+    for t in texts:
+        total = naive_hits(lexicon, t if t is None or len(t) < 20000 else t[:2000])
+        if t is None or len(t) < 20000:
+            assert lexicon.features(auto, t)[0] == pytest.approx(np.log1p(total))
+    got = [r["s"] for r in df.select(toxicity.scorer(lexicon)("text").alias("s"), "score").collect()]
+    assert got == pytest.approx([lexicon.score(lexicon.features(auto, t)) for t in texts]) and got[-1 - len(texts) + 9] == got[8]
+
+
+def test_terms_give_way_to_longer_ones():
+    found = [("pathe", 130, 50.0), ("pathetic ", 130, 50.0), ("stems", 90, 40.0), ("stemsa ", 30, 40.0), ("stemsb ", 30, 40.0)]
+    assert set(toxicity.choose(found)) == {"pathetic ", "stems"}
 
 
 def test_toxicity_without_labels(spark):
