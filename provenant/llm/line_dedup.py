@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.textops import durable
+from provenant.llm.textops import durable, meet, numbered
 
 #: Lines of a chunk: the shortest passage that goes when it is repeated.
 SPAN = 2
@@ -30,12 +30,12 @@ def chunks(text: str | None) -> list[tuple[int, int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, nth, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ord", "text")), strict=True):
             lines = text.encode().split(b"\n")
             for start, n in chunks(text):
-                rows.append((doc, start, hashlib.blake2b(b"\n".join(lines[start : start + n]), digest_size=16).digest()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "start", "digest"])
+                rows.append((doc, nth, start, hashlib.blake2b(b"\n".join(lines[start : start + n]), digest_size=16).digest()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "ord", "start", "digest"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,18 +66,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A line goes when it and a neighbour were seen before in this order, by
     doc_id and then line; the first occurrence of every line stays. A line
     repeated in a row stays once. A text of one line has no chunk. Null and
-    empty texts have no lines. doc_id is expected to be unique; rows without
-    one are returned whole. Contents that share a digest without being equal
-    byte by byte all stay.
+    empty texts have no lines. Rows without doc_id are returned whole. Rows that
+    repeat a doc_id with another text are documents of their own, in the order
+    of a digest of their text; rows equal in both are one document and fare
+    alike. An empty table gives no rows; other columns play no part. Contents
+    that share a digest without being equal byte by byte all stay.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = numbered(docs, id_col, text_col)
     several = rows.filter("doc_id IS NOT NULL AND instr(text, '\n') > 0")
-    cut = several.mapInArrow(_cut, "doc_id long, start int, digest binary")
-    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "start")).alias("at"))
-    repeated = durable(found.filter("times > 1").select("digest", "at"))
-    hits = durable(cut.join(repeated, "digest").select("doc_id", "start", "digest", ((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).alias("again")))
-    spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "digest")).alias("spans"))
-    contents = several.join(spans, "doc_id").select("text", "spans").mapInArrow(_contents, "digest binary, body string")
+    cut = several.mapInArrow(_cut, "doc_id long, ord long, start int, digest binary")
+    place = F.struct("doc_id", "ord", "start")
+    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("at"))
+    repeated = durable(found.filter("times > 1"))
+    hits = durable(meet(cut, repeated, ["digest"]).select("doc_id", "ord", "start", "digest", (place != F.col("at")).alias("again")))
+    spans = hits.groupBy("doc_id", "ord").agg(F.collect_set(F.struct("start", "digest")).alias("spans"))
+    contents = several.join(spans, ["doc_id", "ord"]).select("text", "spans").mapInArrow(_contents, "digest binary, body string")
     mixed = durable(contents.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"))
-    starts = hits.filter("again").join(mixed, "digest", "left_anti").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return rows.join(starts, "doc_id", "left").mapInArrow(_drop, "doc_id long, n_lines long, n_removed long, kept string")
+    starts = hits.filter("again").join(mixed, "digest", "left_anti").groupBy("doc_id", "ord").agg(F.collect_set("start").alias("starts"))
+    return rows.join(starts, ["doc_id", "ord"], "left").select("doc_id", "text", "starts").mapInArrow(_drop, "doc_id long, n_lines long, n_removed long, kept string")

@@ -1,6 +1,6 @@
 """Near duplicates by an inverted join on MinHash coordinates.
 
-Texts with the same shingle set form one class. Each class is posted under its
+Texts with the same word sequence form one class. Each class is posted under its
 COORDINATES coordinate-value pairs. Two sets with similarity 0.75 agree in about
 three of four coordinates, and in fewer than MATCHES of 32 with a chance of
 about 1 in 10 million. Pairs are ordered from the rarest to the most frequent,
@@ -12,8 +12,10 @@ No posting list is expanded into all its pairs. Each member first meets the
 leader of its list, and confirmed links are merged into components. Only lists
 that still hold different components are then merged across components:
 collisions are counted on a wider sketch, inside the task, and only pairs that
-may reach the similarity leave it. Every link is confirmed on the full shingle
-sets, computed from whole texts.
+may reach the similarity leave it. A list too long for one task is split by a
+second coordinate first: classes that agree in MATCHES coordinates share two of
+their first ``COORDINATES - MATCHES + 2``. Every link is confirmed on the full
+sets of true words, computed from whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.llm.components import components
-from provenant.llm.textops import digest128, durable, mix, shingle_set
+from provenant.llm.textops import digest128, durable, meet, mix, shingle_set, shingles
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 8
 #: Similarity of a link, as the fraction LINK_NUM / LINK_DEN.
@@ -36,8 +38,8 @@ _SEEDS = np.random.default_rng(10).integers(1, 1 << 63, 64, dtype=np.uint64) * n
 #: Coordinates of the wide sketch, a byte each, and how many agree at least: at similarity 0.75, all but one pair in a hundred thousand.
 WIDE, WIDE_MATCHES = 512, 342
 _WIDE_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members of one list that are compared in one task; longer lists are cut into pairs of blocks.
-BLOCK = 2048
+#: Members of one list that are compared in one task; longer lists are split by a second coordinate, then cut into pairs of blocks.
+BLOCK = 1024
 _PIECE = 1024
 
 
@@ -58,16 +60,17 @@ def _sketch(size: int, coordinates: int):
         for batch in batches:
             n, keys, sigs, lengths = [], [], [], [0]
             for value in batch.column("body"):
-                shingles = shingle_set(value.as_py(), size)
-                n.append(len(shingles))
-                keys.append(digest128(shingles) if len(shingles) else None)
-                if len(shingles):
-                    sigs.append(signature(shingles, coordinates))
+                body = (value.as_py() or b"").lower()
+                made = shingle_set(body, size)
+                n.append(len(made))
+                keys.append(digest128(b" ".join(body.split())) if len(made) else None)
+                if len(made):
+                    sigs.append(signature(made, coordinates))
                 lengths.append(coordinates * len(sigs))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "sig"],
+                names=["doc_id", "n_shingles", "seq_key", "sig"],
             )
 
     return run
@@ -75,18 +78,26 @@ def _sketch(size: int, coordinates: int):
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    return body.mapInArrow(_sketch(size, coordinates), "doc_id long, n_shingles long, set_key binary, sig array<long>")
+    return body.mapInArrow(_sketch(size, coordinates), "doc_id long, n_shingles long, seq_key binary, sig array<long>")
 
 
 def prefixes(classes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(node, key, weight): the rarest pairs of each class, without those that no other class has. weight: how frequent all its pairs are together."""
+    """(node, weight, keys): the rarest pairs of each class, without those that no other class has, in order and one more than its prefix.
+
+    weight: how frequent all its pairs are together. The last of keys only splits long lists.
+    """
     posts = classes.select("node", F.explode("sig").alias("key"))
-    often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    shared = posts.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    often = durable(posts.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    shared = meet(posts, often, ["key"], "often").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
     # Pairs that one class has alone come first in the order and need no posting.
-    room = F.greatest(F.lit(0), F.size("shared") - (matches - 1))
+    room = F.size("shared") - (matches - 1)
     weight = F.aggregate("shared", F.lit(0).cast("long"), lambda total, p: total + p["often"])
-    return shared.select("node", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("node", "weight", F.col("p.key").alias("key"))
+    return shared.filter(room > 0).select("node", weight.alias("weight"), F.transform(F.slice("shared", F.lit(1), room + 1), lambda p: p["key"]).alias("keys"))
+
+
+def _posted(first: DataFrame) -> DataFrame:
+    """(node, weight, key) of the prefixes."""
+    return first.select("node", "weight", F.explode(F.slice("keys", F.lit(1), F.size("keys") - 1)).alias("key"))
 
 
 def _verify(size: int, num: int, den: int):
@@ -96,11 +107,11 @@ def _verify(size: int, num: int, den: int):
             u, v = [], []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "body_a", "body_b")), strict=True):
                 if last is None or last[0] != a or last[1] != x:
-                    last, held = (a, x), shingle_set(x, size)
-                other = shingle_set(y, size)
-                if not (len(held) and len(other)) or den * min(len(held), len(other)) < num * max(len(held), len(other)):
+                    last, held = (a, x), shingles(x, size)
+                other = shingles(y, size)
+                if not (held and other) or den * min(len(held), len(other)) < num * max(len(held), len(other)):
                     continue
-                common = len(np.intersect1d(held, other, assume_unique=True))
+                common = len(held & other)
                 if den * common >= num * (len(held) + len(other) - common):
                     u.append(a)
                     v.append(b)
@@ -110,16 +121,24 @@ def _verify(size: int, num: int, den: int):
 
 
 def confirm(pairs: DataFrame, bodies: DataFrame, size: int = SHINGLE, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are similar enough, as (u, v). bodies: (id, body)."""
-    full = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+    """The pairs (a, b) of document ids whose full sets of true words are similar enough, as (u, v). bodies: (id, body).
+
+    A text that very many pairs name, as the original of many copies, is met by
+    them in many tasks, on either side.
+    """
+    full = pairs
+    for side in ("b", "a"):
+        # A repeated id may have several texts: each of them meets all pairs of its id.
+        times = durable(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("times")))
+        full = meet(full, bodies.select(F.col("id").alias(side), F.col("body").alias(f"body_{side}")), [side], counts=times)
     return full.select("a", "b", "body_a", "body_b").mapInArrow(_verify(size, num, den), "u long, v long")
 
 
 def _leader_pairs(posts: DataFrame) -> DataFrame:
     """Each member of a list against its leader, the member whose pairs are the most frequent: copies of one text agree most with their original."""
-    top = posts.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    leaders = top.select("key", F.col("top.node").alias("leader"))
-    return posts.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    top = posts.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    leaders = durable(top.select("key", F.col("top.node").alias("leader"), "times"))
+    return meet(posts, leaders, ["key"]).filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def _wide(size: int):
@@ -138,7 +157,7 @@ def _across(best: bool, num: int, den: int):
         root, n, node, block = (rows[c].to_numpy() for c in ("root", "n_shingles", "node", "block"))
         key, whole = rows["key"].iat[0], rows["lo"].iat[0] == rows["hi"].iat[0]
         bits = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint8).reshape(len(rows), WIDE)
-        keys = rows["keys"].tolist()
+        keys, plain = rows["keys"].tolist(), bool(rows["plain"].iat[0])
         values, times = np.unique(root, return_counts=True)
         # A pair of different components has a member outside the most frequent one.
         for i in np.flatnonzero(root != values[times.argmax()]):
@@ -146,7 +165,7 @@ def _across(best: bool, num: int, den: int):
             if len(able):
                 agree = (bits[able] == bits[i]).sum(axis=1)
                 for j in able[[agree.argmax()]] if best and agree.max() >= WIDE_MATCHES else able[agree >= WIDE_MATCHES]:
-                    if best or np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key:
+                    if best or not plain or np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key:
                         out.append((min(node[i], node[j]), max(node[i], node[j])))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,15 +194,25 @@ def _still_split(posts: DataFrame, roots: DataFrame) -> DataFrame:
     """Posts of the lists that hold members of several components, with the component of each. The one pair of a list of two has been tried."""
     rooted = posts.join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2").select("key", "size")
-    return rooted.join(split, "key")
+    return meet(rooted, durable(split), ["key"], "size")
 
 
-def _cross_pairs(split: DataFrame, nodes: DataFrame, best: bool, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
-    """(a, b) across components that agree in enough of the wide sketch. nodes: (node, n_shingles, wide). Long lists are met block by block."""
-    keys = split.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    rows = split.join(keys.join(nodes, "node"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+def _cross_pairs(split: DataFrame, first: DataFrame, nodes: DataFrame, best: bool, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
+    """(a, b) across components that agree in enough of the wide sketch. nodes: (node, n_shingles, wide).
+
+    A list longer than BLOCK is split by a second coordinate of its members, so
+    its rows grow with the list and not with its square; only what is longer
+    even then, members that agree in both, is met block by block.
+    """
+    short = split.filter(F.col("size") <= BLOCK)
+    long = split.filter(F.col("size") > BLOCK).select("key", "node", "root").join(first.select("node", F.explode("keys").alias("second")), "node").filter("key <> second")
+    pairwise = long.select(F.xxhash64("key", "second").alias("key"), "node", "root").distinct()
+    held = durable(pairwise.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size"))
+    lists = short.select("key", "node", "root", "size", F.lit(True).alias("plain")).unionByName(meet(pairwise, held, ["key"], "size").select("key", "node", "root", "size", F.lit(False).alias("plain")))
+    keys = short.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    rows = lists.join(nodes.join(keys, "node", "left"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n_shingles", "keys", "wide")
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n_shingles", "keys", "plain", "wide")
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_across(best, num, den), "a long, b long").distinct()
 
 
@@ -199,8 +228,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     every = durable(sketches(docs, id_col, text_col))
     made = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = durable(made.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    posts = durable(prefixes(classes))
+    classes = durable(made.groupBy("n_shingles", "seq_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("times")))
+    first = durable(prefixes(classes))
+    posts = durable(_posted(first))
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     bodies = durable(body.join(posts.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
     tried = durable(_leader_pairs(posts))
@@ -213,13 +243,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         nodes = durable(wide.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node"))
         # First the likeliest partner of each member, which links most of what can be linked; then all that is left.
         for best in (True, False):
-            pairs = durable(_cross_pairs(split, nodes, best).join(tried, ["a", "b"], "left_anti"))
+            pairs = durable(_cross_pairs(split, first, nodes, best).join(tried, ["a", "b"], "left_anti"))
             links = durable(links.unionByName(confirm(pairs, bodies)))
             roots = components(links)
             if best:
                 tried, split = tried.unionByName(pairs), durable(_still_split(posts, roots))
     # Members of a class are linked to its node; a document repeated under one id joins its classes.
-    ties = made.join(classes.select("n_shingles", "set_key", "node"), ["n_shingles", "set_key"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u <> v")
+    ties = meet(made.select("doc_id", "n_shingles", "seq_key"), classes.select("n_shingles", "seq_key", "node", "times"), ["n_shingles", "seq_key"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u <> v")
     grouped = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(ties))
     out = every.select("doc_id", "n_shingles").join(grouped.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")

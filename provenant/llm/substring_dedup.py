@@ -4,18 +4,22 @@ Every document is a sequence of words. A reference block is the stretch of words
 around one anchor: the windows of WINDOW consecutive words that choose the same
 ANCHOR-word phrase, the one with the least hash among the phrases in the window.
 Equal windows choose equal phrases at equal places, so a window can only repeat
-where its anchor repeats, and all blocks are indexed by their anchor.
-
-The parse goes from long factors to short. A document that equals an earlier one
-as a whole is one factor. A block whose whole content was seen earlier is a
-factor over all its windows. Where blocks with one anchor differ, a factor ends
-inside them; only there, at factor boundaries, single windows are compared. The
-union of the factors is exactly the set of windows that also start earlier.
+where its anchor repeats, and all blocks are indexed by their anchor. The
+reference of the parse is the first occurrence of every block.
+
+Blocks whose whole content stands earlier match over all their windows. Where
+blocks with one anchor differ, a match ends inside them: only there, at factor
+boundaries, single windows are looked up. Every match has a source, an earlier
+document and place. The parse of a document then joins matches that continue
+each other in their source and goes from left to right: each factor is the
+longest match that covers the next place, and the next one starts where it ends.
+Factors of at least WINDOW words are its duplicate spans; together they are
+exactly the windows that also start earlier. Contents are told apart by 128-bit
+BLAKE2b digests of their words, never by the hashes that choose anchors.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.textops import Rolling, digest128, durable, word_hashes
+from provenant.llm.textops import Rolling, digest128, durable, hashed, meet, numbered, word_bounds
 
 WINDOW, ANCHOR = 20, 6
+PLACE = ("doc_id", "ord", "start")
+_INDEX = "doc_id long, ord long, anchor long, content binary, start int, windows int"
 
 
 def _least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -40,100 +46,135 @@ def _least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
     return best
 
 
-def blocks(words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, content, start, windows) arrays: consecutive windows with the same anchor place."""
+def blocks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, windows) arrays: consecutive windows with the same anchor place, 15 at most."""
     if len(words) < WINDOW:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
-    roll = Rolling(words)
-    phrases = roll.windows(ANCHOR)
+        return none, none, none
+    phrases = Rolling(hashed(words)).windows(ANCHOR)
     place = _least_in_windows(phrases, WINDOW - ANCHOR + 1)
     start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    windows = np.diff(np.append(start, len(place)))
-    at = place[start]
-    content = roll.spans(start, start + windows + WINDOW - 1) ^ ((at - start).astype(np.uint64) << np.uint64(56))
-    return phrases[at].view(np.int64), content.view(np.int64), start, windows
+    return phrases[place[start]].view(np.int64), start, np.diff(np.append(start, len(place)))
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, parts = batch.column("doc_id").to_pylist(), [[], [], [], [], []]
-        for doc, body in zip(ids, batch.column("body"), strict=True):
-            found = blocks(word_hashes(body.as_py() or b""))
-            for part, values in zip(parts, (np.full(len(found[0]), doc), *found), strict=True):
-                part.append(values)
-        columns = [np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "anchor", "content", "start", "windows"])
+def _digests(words: list[bytes], start: list[int], windows: list[int]) -> list[bytes]:
+    body, at = word_bounds(words)
+    return [digest128(body[at[s] : at[s + n + WINDOW - 1] - 1]) for s, n in zip(start, windows, strict=True)]
+
+
+def _batch(parts: list[list], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(p, k) for p, (_, k) in zip(parts, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FIELDS = [("doc_id", pa.int64()), ("ord", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("start", pa.int32()), ("windows", pa.int32())]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, keys = [], []
-        for body in batch.column("body"):
-            words = word_hashes(body.as_py() or b"")
-            n.append(len(words))
-            keys.append(digest128(words))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_words", "sequence"])
+        parts: list[list] = [[] for _ in _FIELDS]
+        for doc, nth, body in zip(batch.column("doc_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("body"), strict=True):
+            words = (body.as_py() or b"").split()
+            anchor, start, windows = (x.tolist() for x in blocks(words))
+            for part, values in zip(parts, ([doc] * len(start), [nth] * len(start), anchor, _digests(words, start, windows), start, windows), strict=True):
+                part += values
+        yield _batch(parts, _FIELDS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The single windows of the blocks that start at the given words."""
     for batch in batches:
-        out = [[], [], [], []]
-        for doc, body, starts in zip(batch.column("doc_id").to_pylist(), batch.column("body"), batch.column("starts").to_pylist(), strict=True):
-            words = word_hashes(body.as_py() or b"")
-            anchor, _, start, windows = blocks(words)
+        parts: list[list] = [[] for _ in range(4)]
+        for doc, nth, body, starts in zip(batch.column("doc_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("body"), batch.column("starts").to_pylist(), strict=True):
+            words = (body.as_py() or b"").split()
+            _, start, windows = blocks(words)
             pick = np.searchsorted(start, np.array(sorted(starts)))
-            count = windows[pick]
-            at = np.repeat(start[pick], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            values = (np.full(len(at), doc), np.repeat(anchor[pick], count), Rolling(words).spans(at, at + WINDOW).view(np.int64), at)
-            for part, v in zip(out, values, strict=True):
-                part.append(v)
-        columns = [np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in out]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "anchor", "window", "start"])
+            at = [s + k for s, n in zip(start[pick].tolist(), windows[pick].tolist(), strict=True) for k in range(n)]
+            for part, values in zip(parts, ([doc] * len(at), [nth] * len(at), _digests(words, at, [1] * len(at)), at), strict=True):
+                part += values
+        yield _batch(parts, [_FIELDS[0], _FIELDS[1], _FIELDS[3], _FIELDS[4]])
+
+
+def parse(matches: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int]]:
+    """Greedy factors (start, words, source doc, source ord, source start) from matches (start, windows, source doc, source ord, source start).
+
+    Matches that continue each other in one source are one match. Of those that
+    cover the next place the one that reaches furthest is the factor; of equal
+    ones the earliest source.
+    """
+    joined: list[list] = []
+    for diagonal, start, n in sorted(((doc, nth, src - start), start, n) for start, n, doc, nth, src in matches):
+        if joined and joined[-1][0] == diagonal and start <= joined[-1][2]:
+            joined[-1][2] = max(joined[-1][2], start + n)
+        else:
+            joined.append([diagonal, start, start + n])
+    joined.sort(key=lambda m: (m[1], m[0]))
+    out, at, i, best = [], 0, 0, None
+    while i < len(joined) or (best and best[2] > at):
+        while i < len(joined) and joined[i][1] <= at:
+            best = joined[i] if best is None or joined[i][2] > best[2] else best
+            i += 1
+        if best is None or best[2] <= at:
+            if i < len(joined):
+                at = joined[i][1]
+            continue
+        (doc, nth, shift), end = best[0], best[2]
+        out.append((at, end - at + WINDOW - 1, doc, nth, at + shift))
+        at = end
+    return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(doc, nth, [dict(zip(("start", "words", "source_id", "source_ord", "source_start"), f, strict=True)) for f in parse(list(zip(*[iter(m)] * 5, strict=True)))]) for doc, nth, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ord", "matches")), strict=True)]
+        factor = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source_id", pa.int64()), ("source_ord", pa.int64()), ("source_start", pa.int32())])
+        yield _batch([list(c) for c in zip(*rows, strict=True)] or [[], [], []], [_FIELDS[0], _FIELDS[1], ("factors", pa.list_(factor))])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the covered words: body and flat pairs (start, windows) -> counts and the text that is left."""
+    """Cut the words of the factors: counts and the text that is left."""
     for batch in batches:
         n, gone, left = [], [], []
-        for body, spans, whole in zip(batch.column("body"), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+        for body, factors in zip(batch.column("body"), batch.column("factors").to_pylist(), strict=True):
             words = (body.as_py() or b"").split()
             n.append(len(words))
-            if whole and len(words) >= WINDOW:
-                words = []
-            elif spans:
-                pairs = np.array(spans).reshape(-1, 2)
-                change = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(change, pairs[:, 0], 1)
-                np.add.at(change, pairs[:, 0] + pairs[:, 1] + WINDOW - 1, -1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
-            gone.append(n[-1] - len(words))
-            left.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(whole, spans): documents that repeat an earlier one word for word, and (doc_id, start, windows) of the other repeats."""
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).filter("doc_id IS NOT NULL")
-    sequences = body.mapInArrow(_sequences, "doc_id long, n_words long, sequence binary").filter(f"n_words >= {WINDOW}")
-    same = sequences.groupBy("n_words", "sequence").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    whole = durable(sequences.join(same, ["n_words", "sequence"]).filter("doc_id <> first").select("doc_id").distinct())
-    indexed = body.mapInArrow(_index, "doc_id long, anchor long, content long, start int, windows int")
-    repeated = indexed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    found = durable(indexed.join(repeated, "anchor", "left_semi").join(whole, "doc_id", "left_anti"))
-    contents = durable(found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("times")))
-    other = (F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))
-    later = found.join(contents.filter("times > 1"), ["anchor", "content"]).filter(other).select("doc_id", "start", "windows")
+            kept, at = [], 0
+            for f in factors or []:
+                kept += words[at : max(at, f["start"])]
+                at = max(at, f["start"] + f["words"])
+            kept += words[at:]
+            gone.append(n[-1] - len(kept))
+            left.append(b" ".join(kept).decode())
+        yield _batch([batch.column("doc_id").to_pylist(), n, gone, left], [_FIELDS[0], ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return numbered(docs, id_col, text_col).select("doc_id", "ord", F.col("text").cast("binary").alias("body"))
+
+
+def _factors(body: DataFrame) -> DataFrame:
+    indexed = body.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "ord"]) if _repeats(body) else body.filter("doc_id IS NOT NULL")
+    indexed = indexed.mapInArrow(_index, _INDEX)
+    place = F.struct(*PLACE)
+    contents = durable(indexed.groupBy("anchor", "content").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
+    match = ["doc_id", "ord", F.array(F.col("start").cast("long"), F.col("windows").cast("long"), F.col("at.doc_id"), F.col("at.ord"), F.col("at.start").cast("long")).alias("match")]
+    whole = meet(indexed, contents.filter("times > 1"), ["anchor", "content"]).filter(place != F.col("at")).select(*match)
     # Factor boundaries: contents that differ around one anchor, each at its first place.
-    mixed = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
-    edges = contents.join(mixed, "anchor", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.start").alias("starts"))
-    single = durable(body.join(edges, "doc_id").select("doc_id", "body", "starts").mapInArrow(_windows, "doc_id long, anchor long, window long, start int"))
-    seen = single.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    again = single.join(seen, ["anchor", "window"]).filter(other)
-    return whole, later.unionByName(again.select("doc_id", "start", F.lit(1).alias("windows")))
+    mixed = durable(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    edges = meet(contents.select("anchor", "at"), mixed, ["anchor"], "kinds").groupBy("at.doc_id", "at.ord").agg(F.collect_list("at.start").alias("starts"))
+    single = durable(body.join(edges, ["doc_id", "ord"]).select("doc_id", "ord", "body", "starts").dropDuplicates(["doc_id", "ord"]).mapInArrow(_windows, "doc_id long, ord long, content binary, start int"))
+    seen = durable(single.groupBy("content").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    again = meet(single.withColumn("windows", F.lit(1)), seen, ["content"]).filter(place != F.col("at")).select(*match)
+    return whole.unionByName(again).groupBy("doc_id", "ord").agg(F.flatten(F.collect_list("match")).alias("matches")).mapInArrow(_parsed, "doc_id long, ord long, factors array<struct<start:int,words:int,source_id:long,source_ord:long,source_start:int>>")
+
+
+def _repeats(body: DataFrame) -> bool:
+    """Whether rows repeat a doc_id: only then has any row an ord."""
+    return not body.filter("ord <> 0").select("ord").isEmpty()
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The parse: (doc_id, start, words, source_id, source_start), one row per factor of WINDOW words or more; words count from 0."""
+    return _factors(_bodies(docs, id_col, text_col)).select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.start", "f.words", "f.source_id", "f.source_start")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,11 +182,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A word goes when a window of 20 consecutive words that covers it also starts
     earlier: in a smaller doc_id, or in the same document before. Null texts have
-    no words; texts of fewer than 20 words lose none. doc_id is expected to be
-    unique; rows without one are returned whole and are no reference.
+    no words; texts of fewer than 20 words lose none. Rows without a doc_id are
+    returned whole and are no reference. Rows that repeat a doc_id with another
+    text are documents of their own, in the order of a digest of their text;
+    rows equal in both are one document and fare alike. An empty table gives no
+    rows; other columns play no part.
     """
-    whole, spans = duplicate_spans(docs, id_col, text_col)
-    by_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("spans"))
-    plan = by_doc.withColumn("whole", F.lit(False)).unionByName(whole.select("doc_id", F.lit(None).cast("array<int>").alias("spans"), F.lit(True).alias("whole")))
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    return body.join(plan, "doc_id", "left").select("doc_id", "body", "spans", "whole").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+    body = _bodies(docs, id_col, text_col)
+    return body.join(_factors(body), ["doc_id", "ord"], "left").select("doc_id", "body", "factors").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")

@@ -2,7 +2,8 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, which on UTF-8
 is the same as ``[^\\x20\\x09-\\x0D]+`` on characters. Hashes are 64 bit and
-depend on content only, so that every executor and every rerun agrees.
+depend on content only, so that every executor and every rerun agrees. They
+find candidates; equality is decided on words or on 128-bit BLAKE2b digests.
 """
 
 from __future__ import annotations
@@ -12,16 +13,10 @@ import os
 
 import numpy as np
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes hashed at once; a longer text is cut at white space, a longer word is not cut.
-SEGMENT = 1 << 19
-
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_STEP = 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -37,7 +32,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return table[: n + 1]
 
 
-_INVERSE = {b: pow(b, -1, 1 << 64) for b in (_BASE, _STEP)}
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,42 +44,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _segment_hashes(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, dtype=np.uint8)
-    gap = np.ones(len(a) + 2, dtype=bool)
-    _SPACE.take(a, out=gap[1:-1])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(len(a) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE.take(a) * powers(_BASE, len(a))[:-1], out=total[1:])
-    h = (total[end] - total[start]) * powers(_INVERSE[_BASE], len(a))[start]
-    return mix(h + (end - start).astype(np.uint64))
+def hashed(words: list[bytes]) -> np.ndarray:
+    """One 64-bit hash per word: it finds candidates and places, and never alone decides that words are equal."""
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash per word of UTF-8 text; memory per call is a few times SEGMENT besides the hashes."""
-    if len(data) <= SEGMENT:
-        return _segment_hashes(data)
-    out, at = [], 0
-    while at < len(data):
-        stop = min(len(data), at + SEGMENT)
-        while stop < len(data) and not _SPACE[data[stop]]:
-            stop += 1
-        out.append(_segment_hashes(data[at:stop]))
-        at = stop
-    return np.concatenate(out)
+    """One 64-bit hash per word of UTF-8 text."""
+    return hashed(data.split())
 
 
 class Rolling:
-    """Hashes of any run of consecutive words of one document."""
+    """Hashes of any run of consecutive words of one document, to find candidates with."""
 
     def __init__(self, words: np.ndarray):
         self.n = len(words)
         self.total = np.zeros(self.n + 1, dtype=np.uint64)
         np.cumsum(words * powers(_STEP, self.n)[:-1], out=self.total[1:])
-        self.back = powers(_INVERSE[_STEP], self.n)
+        self.back = powers(_BACK, self.n)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         start, end = np.asarray(start), np.asarray(end)
@@ -111,15 +88,59 @@ def shingle_set(data: bytes | None, size: int = 5) -> np.ndarray:
     return every[np.concatenate(([True], every[1:] != every[:-1]))]
 
 
-def digest128(values: np.ndarray) -> bytes:
-    return hashlib.blake2b(np.ascontiguousarray(values).tobytes(), digest_size=16).digest()
+def shingles(data: bytes | None, size: int = 5) -> set[tuple[bytes, ...]]:
+    """The same set as true words: what similarity is decided on."""
+    words = (data or b"").lower().split()
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} - {()}
+
+
+def digest128(data: bytes) -> bytes:
+    """A collision-resistant digest of contents."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def word_bounds(words: list[bytes]) -> tuple[bytes, list[int]]:
+    """The words joined by one space, and where each begins in it, one more for the end past a last space."""
+    at = [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    return b" ".join(words), at
+
+
+def numbered(docs, id_col: str, text_col: str):
+    """(doc_id, ord, text): ord tells rows of one doc_id apart by their text. It is 0 throughout where no doc_id repeats."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    again = rows.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    told = F.lit(0) if again.isEmpty() else F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 15), 16, 10)
+    return rows.select("doc_id", told.cast("long").alias("ord"), "text")
+
+
+#: A key with more than this share of the rows is split; so fewer keys than this are, each over SPREAD tasks.
+HEAVY, SPREAD, LEAST_HEAVY = 4096, 256, 256
+
+
+def meet(rows, once, keys: list[str], times: str = "times", counts=None):
+    """rows joined with once on keys; once (or counts, by keys) has a column times that says how many rows a key has.
+
+    The keys with more than 1/HEAVY of all rows, fewer than HEAVY of them, are
+    broadcast so that their rows are dealt over SPREAD tasks each. No key's
+    rows meet in one task, however frequent the key is.
+    """
+    told = once if counts is None else counts
+    total = told.agg(F.sum(times)).first()[0] or 0
+    hot = F.broadcast(told.filter(F.col(times) > max(LEAST_HEAVY, total // HEAVY)).select(*keys, F.lit(True).alias("__hot")))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("__hot")
+    copied = once.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return dealt.join(copied, [*keys, "__salt"]).drop("__salt")
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder that the cluster names; a local default only where none is set, as in tests."""
+    """The shared folder that the cluster names; a local default only in a local session that names none, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
     return context.getCheckpointDir()
 

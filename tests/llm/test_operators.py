@@ -388,7 +388,7 @@ def naive_hits(lexicon, text):
             forms = [f" {term}", f" {term[:-1]}s "] if term.endswith(" ") else [f" {term}"]
             if any(folded.startswith(f, at) for f in forms):
                 hits[at] = max(weight, hits.get(at, 0.0))
-        calm += [(at, at + len(toxicity.fold(e))) for e in toxicity.EXCEPTIONS if folded.startswith(toxicity.fold(e), at)]
+        calm += [(at, at + len(toxicity.fold(e)) - 1) for e in toxicity.EXCEPTIONS if folded.startswith(toxicity.fold(e), at)]
     return sum(w for at, w in hits.items() if not any(a <= at < b for a, b in calm))
 
 
@@ -469,9 +469,98 @@ def test_crf_gradient_matches_differences():
     assert (loss(e, move + step) - loss(e, move - step)) / 2e-5 == pytest.approx(dm[2, 3], abs=1e-6)
 
 
-def test_words_of_long_texts_are_whole(monkeypatch):
-    text = "ab  cd\té f \n" * 500
+def test_words_are_those_of_the_pattern():
+    text = "ab  cd\té f \x0b\n\x85x\u2003y " * 50
     whole = textops.word_hashes(text.encode())
-    monkeypatch.setattr(textops, "SEGMENT", 64)
-    assert len(whole) == len(WORD.findall(text)) and (textops.word_hashes(text.encode()) == whole).all()
-    assert len(set(whole.tolist())) == len(set(WORD.findall(text)))
+    assert len(whole) == len(WORD.findall(text)) and len(set(whole.tolist())) == len(set(WORD.findall(text)))
+
+
+def twins():
+    """Two words of 1,024 letters that a polynomial hash modulo 2**64 cannot tell apart, whatever its base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_twin_words_are_told_apart(spark):
+    a, b = twins()
+    say = " ".join(f"w{k}" for k in range(11))
+    df = spark.createDataFrame([(0, f"{say} {a} {say}"), (1, f"{say} {b} {say}"), (2, " ".join([a] * 6)), (3, " ".join([b] * 6))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.dedup(df).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    assert sorted(map(tuple, near_dedup.near_groups(df).collect())) == near_brute([tuple(r) for r in df.collect()])
+
+
+def test_substring_factors(spark):
+    """Each factor equals its source word for word, starts earlier there, and cannot be longer on it."""
+    rng = np.random.default_rng(15)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
+    texts = {0: say(300)}
+    for i in range(1, 40):
+        words = say(10)
+        for _ in range(3):
+            src = texts[int(rng.integers(i))]
+            at = int(rng.integers(max(1, len(src) - 60)))
+            words += src[at : at + int(rng.integers(15, 90))] + say(int(rng.integers(0, 4)))
+        texts[i] = words
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    found = substring_dedup.factors(df).collect()
+    assert len(found) > 60
+    by = collections.defaultdict(list)
+    for f in found:
+        mine, source = texts[f["doc_id"]], texts[f["source_id"]]
+        a, n, b = f["start"], f["words"], f["source_start"]
+        assert mine[a : a + n] == source[b : b + n] and n >= 20 and (f["source_id"], b) < (f["doc_id"], a)
+        by[f["doc_id"]].append(a)
+    assert all(len(set(v)) == len(v) for v in by.values())
+    want = {r[0]: r[2] for r in substring_brute([(i, " ".join(w)) for i, w in texts.items()])}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(df).collect()} == want
+
+
+def test_greedy_parse_takes_the_longest_match():
+    assert substring_dedup.parse([(0, 3, 1, 0, 7), (3, 4, 1, 0, 10), (2, 9, 5, 0, 0), (20, 1, 2, 0, 2)]) == [(0, 26, 1, 0, 7), (7, 23, 5, 0, 5), (20, 20, 2, 0, 2)]
+    assert substring_dedup.parse([]) == []
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    words = " ".join(f"v{k}" for k in range(25))
+    rows = [(0, words), (1, "x y " + words), (1, "short"), (1, "short"), (2, "a\nb\nc"), (2, "z\na\nb"), (2, "z\na\nb"), (None, "a\nb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ord", F.lit("clash")).withColumn("content", F.lit(1))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["kept"]) for r in substring_dedup.dedup(df).collect())
+    assert got == sorted([(0, words), (1, "x y"), (1, "short"), (1, "short"), (2, "a b c"), (2, "z a b"), (2, "z a b"), (-1, "a b")])
+    lines = [(r["doc_id"], r["n_removed"]) for r in line_dedup.dedup(df).collect()]
+    first = sorted(("a\nb\nc", "z\na\nb"), key=lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:15], 16))[0]
+    assert collections.Counter(n for i, n in lines if i == 2) == ({0: 1, 2: 2} if first[0] == "a" else {0: 2, 2: 1})
+
+
+def test_recall_at_exactly_the_similarity(spark):
+    """Pairs of sets with 150 common shingles of 200: 75 of 100, each pair a component of its own."""
+    rows = []
+    for p in range(400):
+        words = [f"p{p}.{k}" for k in range(204)]
+        rows += [(2 * p, " ".join(words[:179])), (2 * p + 1, " ".join(words[25:]))]
+    sets = [shingles(t) for _, t in rows]
+    exact = sum(100 * len(sets[2 * p] & sets[2 * p + 1]) >= 75 * len(sets[2 * p] | sets[2 * p + 1]) for p in range(400))
+    assert exact == 400
+    linked = sum(not r["kept"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert linked == exact
+
+
+def test_long_lists_are_split_by_a_second_coordinate(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 12))):
+            words[int(rng.integers(120))] = f"x{i}.{int(rng.integers(99))}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_groups(df).collect()), key=repr) == near_brute(rows)
+
+
+def test_frequent_keys_are_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(textops, "LEAST_HEAVY", 3)
+    rows = spark.createDataFrame([(k % 4 if k < 30 else 9, k) for k in range(100)], "key int, v int")
+    once = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("v").alias("m"))
+    want = sorted(map(tuple, rows.join(once, "key").collect()))
+    assert sorted(map(tuple, textops.meet(rows, once, ["key"]).collect())) == want
