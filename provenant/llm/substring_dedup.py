@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.textops import Rolling, digest128, durable, hashed, meet, numbered, word_bounds
+from provenant.llm.textops import Rolling, durable, hashed, meet, numbered, stretch_digests
 
 WINDOW, ANCHOR = 20, 6
 PLACE = ("doc_id", "ord", "start")
-_INDEX = "doc_id long, ord long, anchor long, content binary, start int, windows int"
+_INDEX = ["doc_id", "ord", "anchor", "c0", "c1", "start", "windows"]
 
 
 def _least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -57,41 +57,54 @@ def blocks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return phrases[place[start]].view(np.int64), start, np.diff(np.append(start, len(place)))
 
 
-def _digests(words: list[bytes], start: list[int], windows: list[int]) -> list[bytes]:
-    body, at = word_bounds(words)
-    return [digest128(body[at[s] : at[s + n + WINDOW - 1] - 1]) for s, n in zip(start, windows, strict=True)]
+_KINDS = {"start": (np.int32, pa.int32()), "windows": (np.int32, pa.int32())}
 
 
-def _batch(parts: list[list], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(p, k) for p, (_, k) in zip(parts, fields, strict=True)], names=[n for n, _ in fields])
+def _batch(names: list[str], rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] or [np.zeros(0, dtype=np.int64)] * len(names)
+    kinds = [_KINDS.get(n, (np.int64, pa.int64())) for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k), t) for c, (k, t) in zip(columns, kinds, strict=True)], names=names)
 
 
-_FIELDS = [("doc_id", pa.int64()), ("ord", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("start", pa.int32()), ("windows", pa.int32())]
+def _texts(batch: pa.RecordBatch):
+    """(doc_id, ord, words) of each row."""
+    for doc, nth, body in zip(batch.column("doc_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("body"), strict=True):
+        yield doc, nth, (body.as_py() or b"").split()
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts: list[list] = [[] for _ in _FIELDS]
-        for doc, nth, body in zip(batch.column("doc_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("body"), strict=True):
-            words = (body.as_py() or b"").split()
-            anchor, start, windows = (x.tolist() for x in blocks(words))
-            for part, values in zip(parts, ([doc] * len(start), [nth] * len(start), anchor, _digests(words, start, windows), start, windows), strict=True):
-                part += values
-        yield _batch(parts, _FIELDS)
+        rows = []
+        for doc, nth, words in _texts(batch):
+            anchor, start, windows = blocks(words)
+            if len(start):
+                c = stretch_digests(words, start, windows + WINDOW - 1)
+                rows.append((np.full(len(start), doc), np.full(len(start), nth), anchor, c[:, 0], c[:, 1], start, windows))
+        yield _batch(_INDEX, rows)
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc, nth, words in _texts(batch):
+            if len(words) >= WINDOW:
+                c = stretch_digests(words, np.array([0]), len(words))
+                rows.append((np.array([doc]), np.array([nth]), c[:, 0], c[:, 1], np.array([len(words)])))
+        yield _batch(["doc_id", "ord", "c0", "c1", "n_words"], rows)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The single windows of the blocks that start at the given words."""
     for batch in batches:
-        parts: list[list] = [[] for _ in range(4)]
-        for doc, nth, body, starts in zip(batch.column("doc_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("body"), batch.column("starts").to_pylist(), strict=True):
-            words = (body.as_py() or b"").split()
+        rows = []
+        for (doc, nth, words), starts in zip(_texts(batch), batch.column("starts").to_pylist(), strict=True):
             _, start, windows = blocks(words)
-            pick = np.searchsorted(start, np.array(sorted(starts)))
-            at = [s + k for s, n in zip(start[pick].tolist(), windows[pick].tolist(), strict=True) for k in range(n)]
-            for part, values in zip(parts, ([doc] * len(at), [nth] * len(at), _digests(words, at, [1] * len(at)), at), strict=True):
-                part += values
-        yield _batch(parts, [_FIELDS[0], _FIELDS[1], _FIELDS[3], _FIELDS[4]])
+            pick = np.searchsorted(start, np.unique(starts))
+            count = windows[pick]
+            at = np.repeat(start[pick] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            c = stretch_digests(words, at, WINDOW)
+            rows.append((np.full(len(at), doc), np.full(len(at), nth), c[:, 0], c[:, 1], at))
+        yield _batch(["doc_id", "ord", "c0", "c1", "start"], rows)
 
 
 def parse(matches: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int]]:
@@ -125,56 +138,66 @@ def parse(matches: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int]
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(doc, nth, [dict(zip(("start", "words", "source_id", "source_ord", "source_start"), f, strict=True)) for f in parse(list(zip(*[iter(m)] * 5, strict=True)))]) for doc, nth, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ord", "matches")), strict=True)]
-        factor = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source_id", pa.int64()), ("source_ord", pa.int64()), ("source_start", pa.int32())])
-        yield _batch([list(c) for c in zip(*rows, strict=True)] or [[], [], []], [_FIELDS[0], _FIELDS[1], ("factors", pa.list_(factor))])
+        found = [parse(list(zip(*[iter(m)] * 5, strict=True))) for m in batch.column("matches").to_pylist()]
+        flat = [tuple(zip(*f, strict=True)) or ((),) * 5 for f in found]
+        names = ("start", "words", "source_id", "source_ord", "source_start")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ord"), *(pa.array([f[k] for f in flat], pa.list_(pa.int64())) for k in range(5))], names=["doc_id", "ord", *names])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the words of the factors: counts and the text that is left."""
     for batch in batches:
         n, gone, left = [], [], []
-        for body, factors in zip(batch.column("body"), batch.column("factors").to_pylist(), strict=True):
+        for body, starts, sizes in zip(batch.column("body"), batch.column("start").to_pylist(), batch.column("words").to_pylist(), strict=True):
             words = (body.as_py() or b"").split()
             n.append(len(words))
             kept, at = [], 0
-            for f in factors or []:
-                kept += words[at : max(at, f["start"])]
-                at = max(at, f["start"] + f["words"])
+            for start, size in zip(starts or [], sizes or [], strict=True):
+                kept += words[at : max(at, start)]
+                at = max(at, start + size)
             kept += words[at:]
             gone.append(n[-1] - len(kept))
             left.append(b" ".join(kept).decode())
-        yield _batch([batch.column("doc_id").to_pylist(), n, gone, left], [_FIELDS[0], ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered(docs, id_col, text_col).select("doc_id", "ord", F.col("text").cast("binary").alias("body"))
 
 
+_FACTORS = "doc_id long, ord long, start array<long>, words array<long>, source_id array<long>, source_ord array<long>, source_start array<long>"
+
+
 def _factors(body: DataFrame) -> DataFrame:
-    indexed = body.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "ord"]) if _repeats(body) else body.filter("doc_id IS NOT NULL")
-    indexed = indexed.mapInArrow(_index, _INDEX)
-    place = F.struct(*PLACE)
-    contents = durable(indexed.groupBy("anchor", "content").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
-    match = ["doc_id", "ord", F.array(F.col("start").cast("long"), F.col("windows").cast("long"), F.col("at.doc_id"), F.col("at.ord"), F.col("at.start").cast("long")).alias("match")]
-    whole = meet(indexed, contents.filter("times > 1"), ["anchor", "content"]).filter(place != F.col("at")).select(*match)
+    docs = body.filter("doc_id IS NOT NULL")
+    if not docs.filter("ord <> 0").select("ord").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "ord"])
+    place, source = F.struct(*PLACE), lambda *more: F.array(*(F.col(c).cast("long") for c in ("start", "windows", "at.doc_id", "at.ord", *more)))
+    # A document that an earlier one equals word for word is one factor.
+    whole = durable(docs.mapInArrow(_sequences, "doc_id long, ord long, c0 long, c1 long, n_words long"))
+    same = durable(whole.groupBy("c0", "c1", "n_words").agg(F.min(F.struct("doc_id", "ord")).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    copies = durable(meet(whole, same, ["c0", "c1", "n_words"]).filter("struct(doc_id, ord) <> at").select("doc_id", "ord", F.lit(0).alias("start"), (F.col("n_words") - WINDOW + 1).alias("windows"), "at"))
+    indexed = docs.mapInArrow(_index, "doc_id long, ord long, anchor long, c0 long, c1 long, start int, windows int")
+    repeated = durable(indexed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    found = durable(meet(indexed, repeated, ["anchor"]).drop("times").join(copies.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti"))
+    contents = durable(found.groupBy("anchor", "c0", "c1").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
+    later = meet(found, contents.filter("times > 1"), ["anchor", "c0", "c1"]).filter(place != F.col("at"))
     # Factor boundaries: contents that differ around one anchor, each at its first place.
     mixed = durable(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     edges = meet(contents.select("anchor", "at"), mixed, ["anchor"], "kinds").groupBy("at.doc_id", "at.ord").agg(F.collect_list("at.start").alias("starts"))
-    single = durable(body.join(edges, ["doc_id", "ord"]).select("doc_id", "ord", "body", "starts").dropDuplicates(["doc_id", "ord"]).mapInArrow(_windows, "doc_id long, ord long, content binary, start int"))
-    seen = durable(single.groupBy("content").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    again = meet(single.withColumn("windows", F.lit(1)), seen, ["content"]).filter(place != F.col("at")).select(*match)
-    return whole.unionByName(again).groupBy("doc_id", "ord").agg(F.flatten(F.collect_list("match")).alias("matches")).mapInArrow(_parsed, "doc_id long, ord long, factors array<struct<start:int,words:int,source_id:long,source_ord:long,source_start:int>>")
-
-
-def _repeats(body: DataFrame) -> bool:
-    """Whether rows repeat a doc_id: only then has any row an ord."""
-    return not body.filter("ord <> 0").select("ord").isEmpty()
+    single = durable(docs.join(edges, ["doc_id", "ord"]).select("doc_id", "ord", "body", "starts").mapInArrow(_windows, "doc_id long, ord long, c0 long, c1 long, start int"))
+    seen = durable(single.groupBy("c0", "c1").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    again = meet(single, seen, ["c0", "c1"]).filter(place != F.col("at")).withColumn("windows", F.lit(1))
+    matches = copies.select("doc_id", "ord", F.concat(source(), F.array(F.lit(0).cast("long"))).alias("match"))
+    for part in (later, again):
+        matches = matches.unionByName(part.select("doc_id", "ord", source("at.start").alias("match")))
+    return matches.groupBy("doc_id", "ord").agg(F.flatten(F.collect_list("match")).alias("matches")).mapInArrow(_parsed, _FACTORS)
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The parse: (doc_id, start, words, source_id, source_start), one row per factor of WINDOW words or more; words count from 0."""
-    return _factors(_bodies(docs, id_col, text_col)).select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.start", "f.words", "f.source_id", "f.source_start")
+    found = _factors(_bodies(docs, id_col, text_col)).select("doc_id", F.explode(F.arrays_zip("start", "words", "source_id", "source_start")).alias("f"))
+    return found.select("doc_id", "f.*")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,4 +212,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows; other columns play no part.
     """
     body = _bodies(docs, id_col, text_col)
-    return body.join(_factors(body), ["doc_id", "ord"], "left").select("doc_id", "body", "factors").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+    return body.join(_factors(body).select("doc_id", "ord", "start", "words"), ["doc_id", "ord"], "left").select("doc_id", "body", "start", "words").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")

@@ -8,8 +8,8 @@ find candidates; equality is decided on words or on 128-bit BLAKE2b digests.
 
 from __future__ import annotations
 
-import hashlib
 import os
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -96,15 +96,15 @@ def shingles(data: bytes | None, size: int = 5) -> set[tuple[bytes, ...]]:
 
 def digest128(data: bytes) -> bytes:
     """A collision-resistant digest of contents."""
-    return hashlib.blake2b(data, digest_size=16).digest()
+    return blake2b(data, digest_size=16).digest()
 
 
-def word_bounds(words: list[bytes]) -> tuple[bytes, list[int]]:
-    """The words joined by one space, and where each begins in it, one more for the end past a last space."""
-    at = [0]
-    for w in words:
-        at.append(at[-1] + len(w) + 1)
-    return b" ".join(words), at
+def stretch_digests(words: list[bytes], start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Two longs for each stretch of size words from start: a digest of its words, joined by one space."""
+    at = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1, out=at[1:])
+    body, ends = b" ".join(words), at[start + size] - 1
+    return np.frombuffer(b"".join([blake2b(body[a:b], digest_size=16).digest() for a, b in zip(at[start].tolist(), ends.tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
 
 
 def numbered(docs, id_col: str, text_col: str):
@@ -115,20 +115,22 @@ def numbered(docs, id_col: str, text_col: str):
     return rows.select("doc_id", told.cast("long").alias("ord"), "text")
 
 
-#: A key with more than this share of the rows is split; so fewer keys than this are, each over SPREAD tasks.
-HEAVY, SPREAD, LEAST_HEAVY = 4096, 256, 256
+#: A key with more than 1/HEAVY of the rows, and more than LEAST_HEAVY, is dealt over SPREAD tasks; so fewer than HEAVY keys are.
+HEAVY, SPREAD, LEAST_HEAVY = 4096, 256, 2048
 
 
 def meet(rows, once, keys: list[str], times: str = "times", counts=None):
     """rows joined with once on keys; once (or counts, by keys) has a column times that says how many rows a key has.
 
-    The keys with more than 1/HEAVY of all rows, fewer than HEAVY of them, are
-    broadcast so that their rows are dealt over SPREAD tasks each. No key's
-    rows meet in one task, however frequent the key is.
+    No key's rows meet in one task, however frequent the key is: the heavy keys,
+    fewer than HEAVY, are broadcast and their rows dealt over SPREAD tasks each.
     """
     told = once if counts is None else counts
-    total = told.agg(F.sum(times)).first()[0] or 0
-    hot = F.broadcast(told.filter(F.col(times) > max(LEAST_HEAVY, total // HEAVY)).select(*keys, F.lit(True).alias("__hot")))
+    total, most = told.agg(F.sum(times), F.max(times)).first()
+    least = max(LEAST_HEAVY, (total or 0) // HEAVY)
+    if (most or 0) <= least:
+        return rows.join(once, keys)
+    hot = F.broadcast(told.filter(F.col(times) > least).select(*keys, F.lit(True).alias("__hot")))
     dealt = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("__hot")
     copied = once.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return dealt.join(copied, [*keys, "__salt"]).drop("__salt")
