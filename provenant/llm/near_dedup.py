@@ -12,8 +12,8 @@ No posting list is expanded into all its pairs. Each member first meets the
 leader of its list, and confirmed links are merged into components. Only lists
 that still hold different components are then merged across components:
 collisions are counted on a wider sketch, inside the task, and only pairs that
-may reach the similarity leave it. A list too long for one task is split by a
-second coordinate first: classes that agree in MATCHES coordinates share two of
+may reach the similarity leave it. A list far too long for one task is split by
+a second coordinate first: classes that agree in MATCHES coordinates share two of
 their first ``COORDINATES - MATCHES + 2``. Every link is confirmed on the full
 sets of true words, computed from whole texts.
 """
@@ -38,8 +38,10 @@ _SEEDS = np.random.default_rng(10).integers(1, 1 << 63, 64, dtype=np.uint64) * n
 #: Coordinates of the wide sketch, a byte each, and how many agree at least: at similarity 0.75, all but one pair in a hundred thousand.
 WIDE, WIDE_MATCHES = 512, 342
 _WIDE_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members of one list that are compared in one task; longer lists are split by a second coordinate, then cut into pairs of blocks.
-BLOCK = 1024
+#: Members of one list that are compared in one task; longer lists are cut into pairs of blocks.
+BLOCK = 2048
+#: Longer lists are split by a second coordinate: beyond this the split makes fewer rows than pairs of blocks do.
+SPLIT = COORDINATES * BLOCK
 _PIECE = 1024
 
 
@@ -200,16 +202,18 @@ def _still_split(posts: DataFrame, roots: DataFrame) -> DataFrame:
 def _cross_pairs(split: DataFrame, first: DataFrame, nodes: DataFrame, best: bool, num: int = LINK_NUM, den: int = LINK_DEN) -> DataFrame:
     """(a, b) across components that agree in enough of the wide sketch. nodes: (node, n_shingles, wide).
 
-    A list longer than BLOCK is split by a second coordinate of its members, so
-    its rows grow with the list and not with its square; only what is longer
-    even then, members that agree in both, is met block by block.
+    A list longer than BLOCK is met block by block, which copies its rows once
+    per block. A list longer than SPLIT is split by a second coordinate of its
+    members first, so that its rows grow with the list and not with its square.
     """
-    short = split.filter(F.col("size") <= BLOCK)
-    long = split.filter(F.col("size") > BLOCK).select("key", "node", "root").join(first.select("node", F.explode("keys").alias("second")), "node").filter("key <> second")
-    pairwise = long.select(F.xxhash64("key", "second").alias("key"), "node", "root").distinct()
-    held = durable(pairwise.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size"))
-    lists = short.select("key", "node", "root", "size", F.lit(True).alias("plain")).unionByName(meet(pairwise, held, ["key"], "size").select("key", "node", "root", "size", F.lit(False).alias("plain")))
+    short = split.filter(F.col("size") <= SPLIT)
     keys = short.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    long = split.filter(F.col("size") > SPLIT).select("key", "node", "root").join(first.select("node", F.explode("keys").alias("second")), "node").filter("key <> second")
+    lists = short.select("key", "node", "root", "size", F.lit(True).alias("plain"))
+    pairwise = long.select(F.xxhash64("key", "second").alias("key"), "node", "root").distinct()
+    if (split.agg(F.max("size")).first()[0] or 0) > SPLIT:
+        held = durable(pairwise.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size"))
+        lists = lists.unionByName(meet(pairwise, held, ["key"], "size").select("key", "node", "root", "size", F.lit(False).alias("plain")))
     rows = lists.join(nodes.join(keys, "node", "left"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n_shingles", "keys", "plain", "wide")

@@ -83,14 +83,18 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_INDEX, rows)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document of WINDOW words or more: a digest of all its words, their number, and its anchors."""
     for batch in batches:
-        rows = []
+        rows, anchors = [], []
         for doc, nth, words in _texts(batch):
             if len(words) >= WINDOW:
                 c = stretch_digests(words, np.array([0]), len(words))
                 rows.append((np.array([doc]), np.array([nth]), c[:, 0], c[:, 1], np.array([len(words)])))
-        yield _batch(["doc_id", "ord", "c0", "c1", "n_words"], rows)
+                anchors.append(blocks(words)[0])
+        made = _batch(["doc_id", "ord", "c0", "c1", "n_words"], rows)
+        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, anchors)]), pa.int32()), pa.array(np.concatenate([*anchors, np.zeros(0, np.int64)]), pa.int64()))
+        yield made.append_column("anchors", flat)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +177,16 @@ def _factors(body: DataFrame) -> DataFrame:
     if not docs.filter("ord <> 0").select("ord").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "ord"])
     place, source = F.struct(*PLACE), lambda *more: F.array(*(F.col(c).cast("long") for c in ("start", "windows", "at.doc_id", "at.ord", *more)))
-    # A document that an earlier one equals word for word is one factor.
-    whole = durable(docs.mapInArrow(_sequences, "doc_id long, ord long, c0 long, c1 long, n_words long"))
-    same = durable(whole.groupBy("c0", "c1", "n_words").agg(F.min(F.struct("doc_id", "ord")).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    copies = durable(meet(whole, same, ["c0", "c1", "n_words"]).filter("struct(doc_id, ord) <> at").select("doc_id", "ord", F.lit(0).alias("start"), (F.col("n_words") - WINDOW + 1).alias("windows"), "at"))
+    # A document that an earlier one equals word for word is one factor, and its blocks are no references.
+    outline = durable(docs.mapInArrow(_outline, "doc_id long, ord long, c0 long, c1 long, n_words long, anchors array<long>"))
+    same = durable(outline.groupBy("c0", "c1", "n_words").agg(F.min(F.struct("doc_id", "ord")).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    copies = durable(meet(outline.drop("anchors"), same, ["c0", "c1", "n_words"]).filter("struct(doc_id, ord) <> at").select("doc_id", "ord", F.lit(0).alias("start"), (F.col("n_words") - WINDOW + 1).alias("windows"), "at"))
+    gone = copies.select("doc_id", "ord")
+    anchors = outline.join(gone, ["doc_id", "ord"], "left_anti").select(F.explode("anchors").alias("anchor"))
+    repeated = durable(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    docs = docs.join(gone, ["doc_id", "ord"], "left_anti")
     indexed = docs.mapInArrow(_index, "doc_id long, ord long, anchor long, c0 long, c1 long, start int, windows int")
-    repeated = durable(indexed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    found = durable(meet(indexed, repeated, ["anchor"]).drop("times").join(copies.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti"))
+    found = durable(meet(indexed, repeated, ["anchor"]).drop("times"))
     contents = durable(found.groupBy("anchor", "c0", "c1").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
     later = meet(found, contents.filter("times > 1"), ["anchor", "c0", "c1"]).filter(place != F.col("at"))
     # Factor boundaries: contents that differ around one anchor, each at its first place.

@@ -546,6 +546,7 @@ def test_recall_at_exactly_the_similarity(spark):
 
 def test_long_lists_are_split_by_a_second_coordinate(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SPLIT", 16)
     rng = np.random.default_rng(6)
     base = [f"b{k}" for k in range(120)]
     rows = []
