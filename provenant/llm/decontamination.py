@@ -1,71 +1,213 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact verification.
 
 A document is contaminated by an item when some stretch of its words is within
-``floor(RATIO * words of the item)`` word edits of the item. Edits can break at
-most that many of one more equal pieces of the item, so one piece survives
-unchanged: only windows of the item's size that are laid over such a piece need
-a look, and they are found for certain.
-
-Each such window is embedded by a random walk (CGK): the walk writes the word it
-stands on and moves on, or not, by a coin that depends on step and word, so that
-few edits become few differing places. Sampling a few places of the embedding
-gives a bucket; item and window are candidates when a bucket of any of the
-repetitions agrees. Repetitions and samples are set for a recall over 0.99 at
-the full number of edits, which the tests measure. Candidates are verified by
-the exact edit distance over all stretches around the window.
-
-The walks of longer items drift too far apart for that. From LONG words on,
-every item with a surviving piece is a candidate; it is passed over only where
-the stretch around the window shares fewer of its words than the edits leave,
-which no stretch within reach does, so the recall is 1 at every length.
+``floor(RATIO * words of the item)`` word edits of the item. Items are cut into
+equal parts of PART words or more; of the edits some part has no more than its
+share, so windows of a part's size are what is searched for, whatever the size
+of the item: the walks below drift apart as they get longer.
+
+Every window of a document, and every part, is embedded by WALKS random walks
+(CGK): a walk writes the word it stands on and moves on, or not, by a coin that
+depends on step and word, so that few edits become few differing places.
+Sampling SAMPLES places of a walk gives a bucket; a window and a part are
+candidates when any of REPEATS buckets agrees. Recall over the whole path is
+measured by the tests at the full number of edits. Candidates are verified on
+true words, by the exact edit distance over all stretches around the window.
+
+Items, their buckets and the candidates are tables, joined by key. The tasks
+that embed documents hold one thing only, a bit filter of the buckets in use
+of at most MAX_FILTER bits: a bucket it lets through by chance finds no partner
+in the join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.textops import Rolling, mix, word_hashes
+from provenant.llm.textops import durable, hashed, mix
 
 RATIO = 0.2
-REPEATS, SAMPLES = 32, 2
-#: Items of at least so many words are found by their pieces alone, without sampling.
-LONG = 60
-#: Items are broadcast in blocks of at most so many words; more blocks mean more passes, not larger ones.
-BLOCK_WORDS = 2_000_000
+#: Words of the smallest part of an item that is cut; shorter items are one part.
+PART = 12
+WALKS, REPEATS, SAMPLES = 8, 40, 3
+#: Places are sampled from the first SPAN steps of a walk for each word of a part.
+SPAN = 1.2
+#: Bits of the filter for each bucket in use, and its limits.
+FILTER_RATE, MIN_FILTER, MAX_FILTER = 512, 1 << 23, 1 << 30
+#: Words that are embedded at once.
+CHUNK = 1 << 15
 
 FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, (REPEATS, SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def item_words(text: str | None) -> np.ndarray:
-    return word_hashes((text or "").lower().encode())
+def words_of(body: bytes | None) -> list[bytes]:
+    return (body or b"").split()
 
 
-def embed(words: np.ndarray, repeat: int, places: np.ndarray) -> np.ndarray:
-    """The walk's words at the sorted places of the embedding; past the end stands 0."""
-    out, at, k = np.zeros(len(places), dtype=np.uint64), 0, 0
-    coins = mix(words + np.uint64(2 * repeat + 1)) if len(words) else words
-    for step in range(int(places[-1]) + 1):
-        while k < len(places) and places[k] == step:
-            out[k] = words[at] if at < len(words) else 0
-            k += 1
-        if at < len(words):
-            at += (int(coins[at]) >> (step % 61)) & 1
+def size_class(m: int) -> int:
+    """The smallest size that is sampled like m: sizes within a quarter of each other are."""
+    low = 1
+    while low + max(1, low // 4) <= m:
+        low += max(1, low // 4)
+    return low
+
+
+def sampled(low: int, repeat: int) -> np.ndarray:
+    """Sorted places for parts of a size class. Parts too short for any edit are found by their first word."""
+    if RATIO * low < 1:
+        return np.zeros(SAMPLES, dtype=np.int64)
+    return np.sort(np.random.default_rng((low, repeat)).choice(max(SAMPLES, int(SPAN * low)), SAMPLES, replace=False))
+
+
+def walked(words: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+    """For every start the word that the walk stands on at each step."""
+    with_end = np.append(words, np.uint64(0))
+    coins, at, out = mix(with_end + np.uint64(2 * walk + 1)), np.arange(len(words)), []
+    for step in range(steps):
+        out.append(with_end[at])
+        at = np.minimum(at + ((coins[at] >> np.uint64(step % 61)) & np.uint64(1)).astype(np.int64), len(words))
     return out
 
 
-def sampled(n: int, repeat: int) -> np.ndarray:
-    """Places to sample for items of n words: within the first part of the walk, where it has not ended."""
-    return np.sort(np.random.default_rng((n, repeat)).choice(max(SAMPLES, 2 * n), SAMPLES, replace=False))
+def bucket(walk: list[np.ndarray], low: int, repeat: int) -> np.ndarray:
+    """The key of each start: the words at the sampled places, and which repetition and size class they are of."""
+    key = np.uint64(((low << 8) + repeat) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for place, factor in zip(sampled(low, repeat).tolist(), _MULTIPLIERS[repeat], strict=True):
+        key = key + walk[place] * factor
+    return key
 
 
-def buckets(words: np.ndarray, n: int) -> list[tuple]:
-    return [(r, *embed(words, r, sampled(n, r)).tolist()) for r in range(REPEATS)]
+def steps_of(low: int) -> int:
+    return max(SAMPLES, int(SPAN * low)) + 1
+
+
+def part_keys(words: list[bytes]) -> list[tuple[int, int]]:
+    """(key, first word of the part) of all parts of an item."""
+    h, n = hashed(words), len(words)
+    k = max(1, n // PART)
+    cuts = [n * j // k for j in range(k + 1)]
+    out = []
+    lows = {a: size_class(b - a) for a, b in zip(cuts, cuts[1:], strict=False)}
+    for walk in range(WALKS):
+        made = walked(h, walk, steps_of(max(lows.values())))
+        for repeat in range(walk, REPEATS, WALKS):
+            for low in set(lows.values()):
+                keys = bucket(made, low, repeat)
+                out += [(int(keys[a].view(np.int64)), a) for a in cuts[:-1] if lows[a] == low]
+    return out
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            words = words_of(body)
+            k = max(1, len(words) // PART)
+            low = [size_class(len(words) * (j + 1) // k - len(words) * j // k) for j in range(k)]
+            rows += [(key, item, at, len(words), max(low)) for key, at in (part_keys(words) if words else [])] + [(None, item, 0, len(words), x) for x in set(low) if words]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "item", "at", "n", "low"])
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of a key among 2**bits."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _filter(keys: DataFrame) -> tuple[int, bytes]:
+    """(bits, the filter of the keys as bytes); pieces of it are made by tasks, and all of them have MAX_FILTER bits at most."""
+    size = min(MAX_FILTER, max(MIN_FILTER, 1 << (FILTER_RATE * keys.count()).bit_length()))
+    bits = size.bit_length() - 1
+    slot = F.shiftrightunsigned("key", 64 - bits)
+
+    def piece(rows: pd.DataFrame) -> pd.DataFrame:
+        made = np.zeros(1 << 17, dtype=np.uint8)
+        made[rows["slot"].to_numpy() & 0x1FFFF] = 1
+        return pd.DataFrame({"nth": [int(rows["slot"].iat[0]) >> 17], "piece": [np.packbits(made, bitorder="little").tobytes()]})
+
+    pieces = keys.select(slot.alias("slot"), F.shiftright(slot, 17).alias("nth")).distinct().groupBy("nth").applyInPandas(piece, "nth long, piece binary")
+    whole = bytearray(size // 8)
+    for row in pieces.toLocalIterator():
+        whole[row["nth"] << 14 : (row["nth"] + 1) << 14] = row["piece"]
+    return bits, bytes(whole)
+
+
+def _hits(bits: int, held, lows: list[int]):
+    """Per document text, the starts of windows whose bucket passes the filter: (tid, start, key)."""
+
+    def chunk(ids: list, parts: list[np.ndarray], table: np.ndarray, coarse: np.ndarray, out: list) -> None:
+        gap = np.zeros(1, dtype=np.uint64)
+        flat = np.concatenate([x for p in parts for x in (p, gap)])
+        size = np.array([len(p) + 1 for p in parts])
+        begin = np.cumsum(size) - size
+        top = steps_of(max(lows))
+        for walk in range(WALKS):
+            made = walked(flat, walk, top)
+            for repeat in range(walk, REPEATS, WALKS):
+                for low in lows:
+                    keys = bucket(made, low, repeat)
+                    some = np.flatnonzero(coarse[(keys >> np.uint64(44)).astype(np.int64)])
+                    if len(some):
+                        slot = _slots(keys[some], bits)
+                        some = some[(table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    if len(some):
+                        doc = np.searchsorted(begin, some, "right") - 1
+                        inside = some - begin[doc] < size[doc] - 1
+                        out.append((doc[inside], (some - begin[doc])[inside], keys[some][inside].view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(held.value, dtype=np.uint8)
+        coarse = table.reshape(1 << 20, -1).any(axis=1)
+        for batch in batches:
+            tids = batch.column("tid")
+            rows, parts, count = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                found: list = []
+                chunk(rows, parts, table, coarse, found)
+                doc, start, key = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                return pa.RecordBatch.from_arrays([tids.take(pa.array(np.array(rows, np.int64)[doc])), pa.array(start.astype(np.int32)), pa.array(key)], names=["tid", "start", "key"])
+
+            for i, body in enumerate(batch.column("body")):
+                words = words_of(body.as_py())
+                if words:
+                    rows.append(i)
+                    parts.append(hashed(words))
+                    count += len(words)
+                if count >= CHUNK:
+                    yield flush()
+                    rows, parts, count = [], [], 0
+            if parts:
+                yield flush()
+
+    return run
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words around the windows that an item may meet, joined where they overlap: (tid, item, at, stretch)."""
+    for batch in batches:
+        rows = []
+        for tid, body, near in zip(batch.column("tid").to_pylist(), batch.column("body").to_pylist(), batch.column("near").to_pylist(), strict=True):
+            words, by = words_of(body), {}
+            for item, begin, n in sorted((c["item"], c["begin"], c["n"]) for c in near):
+                slack = int(RATIO * n)
+                lo, hi = max(0, begin - slack), min(len(words), begin + n + slack)
+                held = by.setdefault(item, [])
+                if held and lo <= held[-1][1]:
+                    held[-1][1] = max(hi, held[-1][1])
+                else:
+                    held.append([lo, hi])
+            rows += [(tid, item, lo, b" ".join(words[lo:hi])) for item, held in by.items() for lo, hi in held]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["tid", "item", "at", "stretch"])
 
 
 def _last_row(item: np.ndarray, words: np.ndarray, anchored: bool) -> np.ndarray:
@@ -82,135 +224,84 @@ def _last_row(item: np.ndarray, words: np.ndarray, anchored: bool) -> np.ndarray
     return out
 
 
-def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """(distance, start, end) of the stretch of words nearest to the item: the first such end, then the shortest."""
-    if len(item) <= len(words):
-        for at in np.flatnonzero(words[: len(words) - len(item) + 1] == item[0]):
-            if (words[at : at + len(item)] == item).all():
-                return 0, int(at), int(at) + len(item)
-    ends = _last_row(item, words, False)
+def edit_distance(item: list[bytes], words: list[bytes], most: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the stretch of words nearest to the item: the first such end, then the shortest; None beyond most."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(item))}
+    a, b = np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in words])
+    if np.minimum(np.bincount(a, minlength=len(number)), np.bincount(b[b >= 0], minlength=len(number))).sum() < len(a) - most:
+        return None
+    ends = _last_row(a, b, False)
     end = int(ends.argmin())
-    back = _last_row(item[::-1], words[:end][::-1], True)
+    if ends[end] > most:
+        return None
+    back = _last_row(a[::-1], b[:end][::-1], True)
     return int(ends[end]), end - int(back.argmin()), end
 
 
-@dataclass
-class Index:
-    """The items of one block: their words, the pieces that find windows, and the buckets by size."""
-
-    items: dict[int, np.ndarray]
-    pieces: dict[int, tuple[np.ndarray, list]] = field(default_factory=dict)
-    buckets: dict[int, dict[tuple, set[int]]] = field(default_factory=dict)
-    counts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        found: dict[int, dict[int, list]] = {}
-        for item, words in self.items.items():
-            n = len(words)
-            size = n // (int(RATIO * n) + 1)
-            if n >= LONG:
-                self.counts[item] = np.unique(words, return_counts=True)
-                for at, h in enumerate(Rolling(words).windows(size)[::size].tolist()):
-                    found.setdefault(size, {}).setdefault(h, []).append((at * size, n, item))
-                continue
-            for at, h in enumerate(Rolling(words).windows(size).tolist()):
-                found.setdefault(size, {}).setdefault(h, []).append((at, n, None))
-            mine = self.buckets.setdefault(n, {})
-            for b in buckets(words, n):
-                mine.setdefault(b, set()).add(item)
-        for size, by in found.items():
-            keys = np.array(sorted(by), dtype=np.uint64)
-            self.pieces[size] = (keys, [list(dict.fromkeys(by[int(k)])) for k in keys])
-
-    def _shares(self, item: int, words: np.ndarray, least: int) -> bool:
-        """Whether words hold at least so many of the item's words, each as often as it stands there."""
-        mine, times = self.counts[item]
-        sorted_words = np.sort(words)
-        held = np.searchsorted(sorted_words, mine, "right") - np.searchsorted(sorted_words, mine, "left")
-        return int(np.minimum(held, times).sum()) >= least
-
-    def nearest(self, text: str | None) -> tuple[int, int, int, int] | None:
-        """(item, distance, first word, end) of the nearest item, then the smallest id; None where none is near."""
-        words = item_words(text)
-        places: set[tuple[int, int]] = set()
-        long: set[tuple[int, int]] = set()
-        roll = Rolling(words)
-        for size, (keys, laid) in self.pieces.items():
-            h = roll.windows(size)
-            if not len(h):
-                continue
-            at = np.searchsorted(keys, h)
-            at[at == len(keys)] = 0
-            for j in np.flatnonzero(keys[at] == h).tolist():
-                places.update((j - p, n) for p, n, item in laid[at[j]] if item is None)
-                long.update((j - p, item) for p, _, item in laid[at[j]] if item is not None)
-        best, seen = None, {}
-        for start, item in sorted(long):
-            n = len(self.items[item])
-            slack = int(RATIO * n)
-            lo, hi = max(0, start - slack), min(len(words), start + n + slack)
-            if (item, lo, hi) not in seen and self._shares(item, words[lo:hi], n - slack):
-                d, a, e = edit_distance(self.items[item], words[lo:hi])
-                seen[item, lo, hi] = (d, item, lo + a, lo + e)
-                if d <= slack and (best is None or seen[item, lo, hi] < best):
-                    best = seen[item, lo, hi]
-        for start, n in sorted(places):
-            slack = int(RATIO * n)
-            window = words[max(0, start) : max(0, start + n)]
-            near = set()
-            for b in buckets(window, n):
-                near |= self.buckets[n].get(b, set())
-            for item in near:
-                lo, hi = max(0, start - slack), min(len(words), start + n + slack)
-                key = (item, lo, hi)
-                if key not in seen:
-                    d, a, e = edit_distance(self.items[item], words[lo:hi])
-                    seen[key] = (d, item, lo + a, lo + e)
-                if seen[key][0] <= slack and (best is None or seen[key] < best):
-                    best = seen[key]
-        return best and (best[1], best[0], best[2], best[3])
-
-
-def blocks_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """The stated query set in blocks of bounded size. Null or wordless items match nothing."""
-    out, held, words = [], {}, 0
-    for item, text in items.select(F.col(id_col).cast("long"), F.col(text_col)).dropna().toLocalIterator():
-        body = item_words(text)
-        if not len(body):
-            continue
-        if held and words + len(body) > BLOCK_WORDS:
-            out.append(Index(held))
-            held, words = {}, 0
-        held.setdefault(item, body)
-        words += len(body)
-    return [*out, Index(held)] if held else out
-
-
-def _matcher(index: Index):
-    @F.pandas_udf(FOUND)
-    def match(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([index.nearest(t) or (None,) * 4 for t in text], columns=["item_id", "distance", "start", "end"], index=text.index, dtype="Int64")
-
-    return match
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for tid, item_id, body, at, stretch in zip(*(batch.column(c).to_pylist() for c in ("tid", "item_id", "body", "at", "stretch")), strict=True):
+            item = words_of(body)
+            near = edit_distance(item, words_of(stretch), int(RATIO * len(item)))
+            if near:
+                rows.append((tid, near[0], item_id, at + near[1], at + near[2]))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["tid", "distance", "item_id", "start", "end"])
+
+
+def _tid(text_col: str) -> Column:
+    """Equal texts are one text to look at, however many rows have it."""
+    return F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)
+
+
+def _body(column: str) -> Column:
+    return F.lower(F.col(f"`{column}`").cast("string")).cast("binary")
+
+
+def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame | None:
+    """(tid, distance, item_id, start, end) of the texts that an item contaminates; None where no item has words."""
+    spark = docs.sparkSession
+    asked = items.select(F.col(item_id).cast("long").alias("item_id"), _body(item_text).alias("body")).dropna().distinct().select(F.xxhash64("item_id", "body").alias("item"), "item_id", "body")
+    made = durable(asked.select("item", "body").mapInArrow(_keys, "key long, item long, at int, n int, low int"))
+    lows = sorted(r["low"] for r in made.filter("key IS NULL").select("low").distinct().collect())
+    if not lows:
+        return None
+    keys = made.filter("key IS NOT NULL").select("key", "item", "at", "n").distinct()
+    bits, table = _filter(keys.select("key").distinct())
+    texts = docs.select(_tid(text_col).alias("tid"), _body(text_col).alias("body")).filter("body IS NOT NULL")
+    hits = texts.mapInArrow(_hits(bits, spark.sparkContext.broadcast(table), lows), "tid string, start int, key long")
+    near = durable(hits.join(keys, "key").select("tid", "item", (F.col("start") - F.col("at")).alias("begin"), "n").distinct())
+    listed = near.groupBy("tid").agg(F.collect_list(F.struct("item", "begin", "n")).alias("near"))
+    stretches = texts.join(listed, "tid").dropDuplicates(["tid"]).mapInArrow(_stretches, "tid string, item long, at int, stretch binary")
+    verified = stretches.join(asked, "item").select("tid", "item_id", "body", "at", "stretch").mapInArrow(_verified, "tid string, distance int, item_id long, start int, end int")
+    best = verified.groupBy("tid").agg(F.min(F.struct("distance", "item_id", "start", "end")).alias("best"))
+    return durable(best.select("tid", "best.*"))
 
 
 def match(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "found", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with a struct column: item_id, distance in words, start and end in words; null where clean.
 
     Words are runs of other characters than ASCII white space, A-Z and other
-    capitals lower-cased. The nearest item wins, then the smallest id. Null and
-    empty texts are clean, as is everything where there are no items.
+    capitals lower-cased. The nearest item wins, then the smallest id. Rows of
+    one item_id are items each; items without id or words match nothing. Null
+    and empty texts are clean, as is everything where there are no items; texts
+    are read whole, and equal ones fare alike. A column of docs that is called
+    name is replaced; all others stay, whatever their names.
     """
-    found = [_matcher(index)(F.col(text_col)) for index in blocks_of(items, item_id, item_text)]
-    if not found:
-        return docs.withColumn(name, F.lit(None).cast(FOUND))
-    temps = [f"__found_{i}" for i in range(len(found))]
-    out = docs.withColumns(dict(zip(temps, found, strict=True)))
-    each = F.array(*[F.when(F.col(f"{t}.item_id").isNotNull(), F.struct(f"{t}.distance", f"{t}.item_id", f"{t}.start", f"{t}.end")) for t in temps])
-    best = F.array_min(F.filter(each, lambda x: x.isNotNull()))
-    return out.withColumn(name, F.when(best.isNotNull(), F.struct(best["item_id"].alias("item_id"), best["distance"].alias("distance"), best["start"].alias("start"), best["end"].alias("end")))).drop(*temps)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    best = nearest(docs, items, text_col, item_id, item_text)
+    if best is None:
+        return docs.select(*others, F.lit(None).cast(FOUND).alias(name))
+    rows = docs.select(F.struct(*others).alias("row"), _tid(text_col).alias("tid"))
+    found = best.select("tid", F.struct(*(f.name for f in FOUND)).alias("found"))
+    return rows.join(found, "tid", "left").select("row.*", F.col("found").alias(name))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    return match(docs, items, text_col, "__found").filter("__found IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = nearest(docs, items, text_col)
+    if best is None:
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _tid(text_col).alias("tid"))
+    return rows.join(best.select("tid"), "tid", "left_anti").select("row.*")

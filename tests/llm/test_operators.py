@@ -220,36 +220,61 @@ def test_decontamination(spark):
     assert decontamination.clean(awkward(spark), spark.createDataFrame([], "item_id long, text string")).count() == awkward(spark).count()
 
 
-def test_cgk_recall_at_the_full_number_of_edits():
-    rng, hit = np.random.default_rng(2), []
-    for n in (10, 20, 40, 60):
-        for _ in range(100):
-            x = rng.integers(1, 1 << 62, n, dtype=np.uint64)
-            y = x.tolist()
-            for _ in range(int(decontamination.RATIO * n)):
-                at = int(rng.integers(len(y)))
-                y[at : at + int(rng.integers(2))] = [int(rng.integers(1, 1 << 62))] * int(rng.integers(2))
-            hit.append(bool(set(decontamination.buckets(x, n)) & set(decontamination.buckets(np.array(y[:n], dtype=np.uint64), n))))
-    assert np.mean(hit) > 0.99
-
-
-@pytest.mark.parametrize("n", [59, 60, 100, 200, 300, 400])
-def test_decontamination_recall_by_size(n):
-    """Documents that hold an item at the full number of edits: substitutions in half of them, mixed edits, or all in one part, in the others."""
-    rng = np.random.default_rng(n)
-    vocabulary, budget, hit, total = [f"q{x}" for x in range(50_000)], int(decontamination.RATIO * n), 0, 120
-    texts = {k: [str(x) for x in rng.choice(vocabulary, n)] for k in range(3)}
-    found = decontamination.Index({k: decontamination.item_words(" ".join(t)) for k, t in texts.items()})
-    for i in range(total):
-        words = list(texts[i % 3])
-        where = rng.choice(n, budget, replace=False) if i % 4 else np.arange(budget) + int(rng.integers(n - budget + 1))
-        for e, at in enumerate(sorted(where.tolist(), reverse=True)):
-            words[at : at + 1] = [[f"z{i}.{e}"], [], [words[at], f"z{i}.{e}"]][0 if i % 2 else int(rng.integers(3))]
-        text = " ".join([str(x) for x in rng.choice(vocabulary, 80)] + words + [str(x) for x in rng.choice(vocabulary, 80)])
-        got = found.nearest(text)
-        hit += got is not None and got[0] == i % 3 and got[1] <= budget
-    assert hit == total if n >= decontamination.LONG else hit > 0.99 * total
-    assert found.nearest(" ".join(str(x) for x in rng.choice(vocabulary, 3 * n))) is None
+def within(item, words, most):
+    """Whether some stretch of words is within so many edits of the item; first by shared words, then by the whole table."""
+    if sum((collections.Counter(item) & collections.Counter(words)).values()) < len(item) - most:
+        return False
+    row = list(range(len(item) + 1))
+    for w in words:
+        new = [0]
+        for i, x in enumerate(item, 1):
+            new.append(min(row[i - 1] + (x != w), row[i] + 1, new[-1] + 1))
+        row = new
+        if row[-1] <= most:
+            return True
+    return row[-1] <= most
+
+
+def test_decontamination_of_the_whole_table(spark):
+    """Every document of the smallest tables against every item, by the whole edit table."""
+    items = [(r["item_id"], r["text"].lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = decontamination.match(documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+    want = {r["doc_id"] for r in rows if any(within(i, (r["text"] or "").lower().split(), int(0.2 * len(i))) for _, i in items)}
+    assert {r["doc_id"] for r in rows if r["found"]} == want and want
+
+
+def test_decontamination_recall_by_size(spark):
+    """Documents that hold an item at the full number of edits: substitutions, mixed edits, or all in one part. Recall of the whole path, by size."""
+    rng, docs, items = np.random.default_rng(9), [], []
+    vocabulary = [f"q{x}" for x in range(20_000)]
+    for n in (5, 10, 15, 29, 45, 59, 100, 200, 400):
+        budget = int(decontamination.RATIO * n)
+        texts = [[str(x) for x in rng.choice(vocabulary, n)] for _ in range(3)]
+        items += [(1000 * n + k, " ".join(t)) for k, t in enumerate(texts)]
+        for i in range(100):
+            words = list(texts[i % 3])
+            where = rng.choice(n, budget, replace=False) if i % 4 else np.arange(budget) + int(rng.integers(n - budget + 1))
+            for e, at in enumerate(sorted(where.tolist(), reverse=True)):
+                words[at : at + 1] = [[f"z{n}.{i}.{e}"], [], [words[at], f"z{n}.{i}.{e}"]][0 if i % 2 else int(rng.integers(3))]
+            docs.append((1000 * n + i, " ".join([str(x) for x in rng.choice(vocabulary, 60)] + words + [str(x) for x in rng.choice(vocabulary, 60)])))
+    docs += [(-k, " ".join(str(x) for x in rng.choice(vocabulary, 900))) for k in range(1, 40)]
+    hit = collections.Counter()
+    for r in decontamination.match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect():
+        if r["doc_id"] < 0:
+            assert r["found"] is None
+        else:
+            hit[r["doc_id"] // 1000] += r["found"] is not None and r["found"]["item_id"] == r["doc_id"] // 1000 * 1000 + r["doc_id"] % 1000 % 3
+    assert all(hit[n] >= 98 for n in (5, 10, 15, 29, 45, 59, 100, 200, 400)) and sum(hit.values()) >= 0.995 * 900, hit
+
+
+def test_decontamination_of_awkward_rows(spark):
+    said = " ".join(f"k{x}" for x in range(30))
+    items = spark.createDataFrame([(1, "other words are here"), (1, said), (1, said), (None, "x y z"), (2, None), (3, " ")], "item_id long, text string").withColumn("tid", F.lit(1)).withColumn("key", F.lit(2))
+    docs = spark.createDataFrame([(1, said.upper(), 5), (1, said.upper(), 5), (2, "x y z", 5), (3, None, 5), (4, "", 5), (5, "pad " * 40_000 + said, 5), (None, said, 5)], "doc_id long, text string, `__found_0` int").withColumn("__found", F.lit("mine")).withColumn("found", F.lit("old")).withColumn("row", F.lit(1)).withColumn("tid", F.lit("t"))
+    out = decontamination.match(docs, items).collect()
+    assert sorted((r["doc_id"] or 0, r["found"]["start"]) for r in out if r["found"]) == [(0, 0), (1, 0), (1, 0), (5, 40_000)]
+    left = decontamination.clean(docs, items)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4] and {r["__found"] for r in left.collect()} == {"mine"}
 
 
 def test_mixing(spark):
