@@ -14,15 +14,19 @@ candidates when any of REPEATS buckets agrees. Recall over the whole path is
 measured by the tests at the full number of edits. Candidates are verified on
 true words, by the exact edit distance over all stretches around the window.
 
+A window that holds fewer words of any item than the edits of its part leave
+cannot be verified, so it is passed over before it is embedded.
+
 Items, their buckets and the candidates are tables, joined by key. The tasks
-that embed documents hold one thing only, a bit filter of the buckets in use
-of at most MAX_FILTER bits: a bucket it lets through by chance finds no partner
-in the join.
+that embed documents hold only two bit filters, of the items' words and of the
+buckets in use, of at most MAX_FILTER bits each: what they let through by chance
+finds no partner in the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,11 +40,13 @@ from provenant.llm.textops import durable, hashed, mix
 RATIO = 0.2
 #: Words of the smallest part of an item that is cut; shorter items are one part.
 PART = 12
-WALKS, REPEATS, SAMPLES = 8, 40, 3
+WALKS, REPEATS, SAMPLES = 8, 64, 4
 #: Places are sampled from the first SPAN steps of a walk for each word of a part.
 SPAN = 1.2
 #: Bits of the filter for each bucket in use, and its limits.
 FILTER_RATE, MIN_FILTER, MAX_FILTER = 512, 1 << 23, 1 << 30
+#: Bucket rows that are broadcast to meet the windows where they stand; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Words that are embedded at once.
 CHUNK = 1 << 15
 
@@ -60,6 +66,7 @@ def size_class(m: int) -> int:
     return low
 
 
+@lru_cache(maxsize=None)
 def sampled(low: int, repeat: int) -> np.ndarray:
     """Sorted places for parts of a size class. Parts too short for any edit are found by their first word."""
     if RATIO * low < 1:
@@ -67,10 +74,10 @@ def sampled(low: int, repeat: int) -> np.ndarray:
     return np.sort(np.random.default_rng((low, repeat)).choice(max(SAMPLES, int(SPAN * low)), SAMPLES, replace=False))
 
 
-def walked(words: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+def walked(words: np.ndarray, start: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
     """For every start the word that the walk stands on at each step."""
     with_end = np.append(words, np.uint64(0))
-    coins, at, out = mix(with_end + np.uint64(2 * walk + 1)), np.arange(len(words)), []
+    coins, at, out = mix(with_end + np.uint64(2 * walk + 1)), start, []
     for step in range(steps):
         out.append(with_end[at])
         at = np.minimum(at + ((coins[at] >> np.uint64(step % 61)) & np.uint64(1)).astype(np.int64), len(words))
@@ -89,32 +96,36 @@ def steps_of(low: int) -> int:
     return max(SAMPLES, int(SPAN * low)) + 1
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the parts of an item of n words."""
+    k = max(1, n // PART)
+    return [(n * j // k, n * (j + 1) // k - n * j // k) for j in range(k)]
+
+
 def part_keys(words: list[bytes]) -> list[tuple[int, int]]:
     """(key, first word of the part) of all parts of an item."""
-    h, n = hashed(words), len(words)
-    k = max(1, n // PART)
-    cuts = [n * j // k for j in range(k + 1)]
-    out = []
-    lows = {a: size_class(b - a) for a, b in zip(cuts, cuts[1:], strict=False)}
-    for walk in range(WALKS):
-        made = walked(h, walk, steps_of(max(lows.values())))
-        for repeat in range(walk, REPEATS, WALKS):
-            for low in set(lows.values()):
-                keys = bucket(made, low, repeat)
-                out += [(int(keys[a].view(np.int64)), a) for a in cuts[:-1] if lows[a] == low]
+    h, out = hashed(words), []
+    for low in {size_class(m) for _, m in parts_of(len(words))}:
+        start = np.array([a for a, m in parts_of(len(words)) if size_class(m) == low])
+        for walk in range(WALKS):
+            made = walked(h, start, walk, steps_of(low))
+            for repeat in range(walk, REPEATS, WALKS):
+                out += zip(bucket(made, low, repeat).view(np.int64).tolist(), start.tolist(), strict=True)
     return out
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, item, at, n): bucket keys of the parts, hashes of the words, and sizes of parts."""
     for batch in batches:
         rows = []
         for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist(), strict=True):
             words = words_of(body)
-            k = max(1, len(words) // PART)
-            low = [size_class(len(words) * (j + 1) // k - len(words) * j // k) for j in range(k)]
-            rows += [(key, item, at, len(words), max(low)) for key, at in (part_keys(words) if words else [])] + [(None, item, 0, len(words), x) for x in set(low) if words]
+            if words:
+                rows += [("bucket", key, item, at, len(words)) for key, at in part_keys(words)]
+                rows += [("word", h, None, None, None) for h in hashed(list(set(words))).view(np.int64).tolist()]
+                rows += [("size", m, None, None, None) for m in {m for _, m in parts_of(len(words))}]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "item", "at", "n", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kind", "key", "item", "at", "n"])
 
 
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -140,39 +151,54 @@ def _filter(keys: DataFrame) -> tuple[int, bytes]:
     return bits, bytes(whole)
 
 
-def _hits(bits: int, held, lows: list[int]):
-    """Per document text, the starts of windows whose bucket passes the filter: (tid, start, key)."""
+def _held(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    bits, table = filter_
+    slot = _slots(keys, bits)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
-    def chunk(ids: list, parts: list[np.ndarray], table: np.ndarray, coarse: np.ndarray, out: list) -> None:
-        gap = np.zeros(1, dtype=np.uint64)
+
+def able(known: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Starts of the windows that hold enough words of items for a part of one of the sizes with its share of the edits."""
+    n, count = len(known), np.append(0, np.cumsum(known))
+    good = np.zeros(n, dtype=bool)
+    for m in sizes:
+        edits = int(RATIO * (m + 1))
+        good |= count[np.minimum(np.arange(n) + m + edits, n)] - count[:-1] >= m - edits
+    return np.flatnonzero(good)
+
+
+def _hits(in_words: tuple, in_buckets: tuple, sizes: list[int]):
+    """Per document text, the starts of windows whose bucket passes the filter: (tid, start, key). Filters are (bits, broadcast bytes)."""
+    by_low: dict[int, list[int]] = {}
+    for m in sizes:
+        by_low.setdefault(size_class(m), []).append(m)
+
+    def chunk(parts: list[np.ndarray], vocabulary: tuple, used: tuple) -> list:
+        gap, out = np.zeros(1, dtype=np.uint64), []
         flat = np.concatenate([x for p in parts for x in (p, gap)])
         size = np.array([len(p) + 1 for p in parts])
         begin = np.cumsum(size) - size
-        top = steps_of(max(lows))
-        for walk in range(WALKS):
-            made = walked(flat, walk, top)
-            for repeat in range(walk, REPEATS, WALKS):
-                for low in lows:
+        known = _held(vocabulary, flat)
+        for low, mine in by_low.items():
+            start = able(known, mine)
+            for walk in range(WALKS):
+                made = walked(flat, start, walk, steps_of(low))
+                for repeat in range(walk, REPEATS, WALKS):
                     keys = bucket(made, low, repeat)
-                    some = np.flatnonzero(coarse[(keys >> np.uint64(44)).astype(np.int64)])
-                    if len(some):
-                        slot = _slots(keys[some], bits)
-                        some = some[(table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    some = np.flatnonzero(_held(used, keys))
                     if len(some):
-                        doc = np.searchsorted(begin, some, "right") - 1
-                        inside = some - begin[doc] < size[doc] - 1
-                        out.append((doc[inside], (some - begin[doc])[inside], keys[some][inside].view(np.int64)))
+                        doc = np.searchsorted(begin, start[some], "right") - 1
+                        out.append((doc, start[some] - begin[doc], keys[some].view(np.int64)))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(held.value, dtype=np.uint8)
-        coarse = table.reshape(1 << 20, -1).any(axis=1)
+        vocabulary, used = ((bits, np.frombuffer(held.value, dtype=np.uint8)) for bits, held in (in_words, in_buckets))
         for batch in batches:
             tids = batch.column("tid")
             rows, parts, count = [], [], 0
 
             def flush() -> pa.RecordBatch:
-                found: list = []
-                chunk(rows, parts, table, coarse, found)
+                found = chunk(parts, vocabulary, used)
                 doc, start, key = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
                 return pa.RecordBatch.from_arrays([tids.take(pa.array(np.array(rows, np.int64)[doc])), pa.array(start.astype(np.int32)), pa.array(key)], names=["tid", "start", "key"])
 
@@ -207,7 +233,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.append([lo, hi])
             rows += [(tid, item, lo, b" ".join(words[lo:hi])) for item, held in by.items() for lo, hi in held]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["tid", "item", "at", "stretch"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["tid", "item", "at", "stretch"])
 
 
 def _last_row(item: np.ndarray, words: np.ndarray, anchored: bool) -> np.ndarray:
@@ -247,12 +273,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if near:
                 rows.append((tid, near[0], item_id, at + near[1], at + near[2]))
         columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["tid", "distance", "item_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["tid", "distance", "item_id", "start", "end"])
 
 
 def _tid(text_col: str) -> Column:
     """Equal texts are one text to look at, however many rows have it."""
-    return F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)
+    return F.unhex(F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256))
 
 
 def _body(column: str) -> Column:
@@ -263,18 +289,21 @@ def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     """(tid, distance, item_id, start, end) of the texts that an item contaminates; None where no item has words."""
     spark = docs.sparkSession
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), _body(item_text).alias("body")).dropna().distinct().select(F.xxhash64("item_id", "body").alias("item"), "item_id", "body")
-    made = durable(asked.select("item", "body").mapInArrow(_keys, "key long, item long, at int, n int, low int"))
-    lows = sorted(r["low"] for r in made.filter("key IS NULL").select("low").distinct().collect())
-    if not lows:
+    made = durable(asked.select("item", "body").mapInArrow(_keys, "kind string, key long, item long, at int, n int"))
+    sizes = sorted(r["key"] for r in made.filter("kind = 'size'").select("key").distinct().collect())
+    if not sizes:
         return None
-    keys = made.filter("key IS NOT NULL").select("key", "item", "at", "n").distinct()
-    bits, table = _filter(keys.select("key").distinct())
+    keys = made.filter("kind = 'bucket'").select("key", "item", "at", "n").distinct()
+    filters = []
+    for kind in ("word", "bucket"):
+        bits, table = _filter(made.filter(F.col("kind") == kind).select("key").distinct())
+        filters.append((bits, spark.sparkContext.broadcast(table)))
     texts = docs.select(_tid(text_col).alias("tid"), _body(text_col).alias("body")).filter("body IS NOT NULL")
-    hits = texts.mapInArrow(_hits(bits, spark.sparkContext.broadcast(table), lows), "tid string, start int, key long")
-    near = durable(hits.join(keys, "key").select("tid", "item", (F.col("start") - F.col("at")).alias("begin"), "n").distinct())
+    hits = texts.mapInArrow(_hits(*filters, sizes), "tid binary, start int, key long")
+    near = durable(hits.join(F.broadcast(keys) if made.count() <= BROADCAST_ROWS else keys, "key").select("tid", "item", (F.col("start") - F.col("at")).alias("begin"), "n").distinct())
     listed = near.groupBy("tid").agg(F.collect_list(F.struct("item", "begin", "n")).alias("near"))
-    stretches = texts.join(listed, "tid").dropDuplicates(["tid"]).mapInArrow(_stretches, "tid string, item long, at int, stretch binary")
-    verified = stretches.join(asked, "item").select("tid", "item_id", "body", "at", "stretch").mapInArrow(_verified, "tid string, distance int, item_id long, start int, end int")
+    stretches = texts.join(listed, "tid").dropDuplicates(["tid"]).mapInArrow(_stretches, "tid binary, item long, at int, stretch binary")
+    verified = stretches.join(asked, "item").select("tid", "item_id", "body", "at", "stretch").mapInArrow(_verified, "tid binary, distance int, item_id long, start int, end int")
     best = verified.groupBy("tid").agg(F.min(F.struct("distance", "item_id", "start", "end")).alias("best"))
     return durable(best.select("tid", "best.*"))
 
