@@ -43,6 +43,8 @@ PART = 12
 WALKS, REPEATS, SAMPLES = 8, 64, 4
 #: Places are sampled from the first SPAN steps of a walk for each word of a part.
 SPAN = 1.2
+#: A word is common that more than this share of the items has, and more than so many of them.
+COMMON, MIN_COMMON = 0.03, 5
 #: Bits of the filter for each bucket in use, and its limits.
 FILTER_RATE, MIN_FILTER, MAX_FILTER = 512, 1 << 23, 1 << 30
 #: Bucket rows that are broadcast to meet the windows where they stand; more are shuffled.
@@ -102,30 +104,52 @@ def parts_of(n: int) -> list[tuple[int, int]]:
     return [(n * j // k, n * (j + 1) // k - n * j // k) for j in range(k)]
 
 
-def part_keys(words: list[bytes]) -> list[tuple[int, int]]:
-    """(key, first word of the part) of all parts of an item."""
+def part_keys(words: list[bytes], common: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
+    """(key, first word of the part) of all parts of an item.
+
+    Buckets with two words or more that aren't common find a part as well and
+    meet few other windows; where these are less than half of a part's buckets,
+    one such word is asked for, and where they still are, none.
+    """
     h, out = hashed(words), []
     for low in {size_class(m) for _, m in parts_of(len(words))}:
         start = np.array([a for a, m in parts_of(len(words)) if size_class(m) == low])
+        found: dict[int, list[tuple[int, int]]] = {}
         for walk in range(WALKS):
             made = walked(h, start, walk, steps_of(low))
             for repeat in range(walk, REPEATS, WALKS):
-                out += zip(bucket(made, low, repeat).view(np.int64).tolist(), start.tolist(), strict=True)
+                at = [made[p].tolist() for p in sampled(low, repeat).tolist()]
+                for k, key in enumerate(bucket(made, low, repeat).view(np.int64).tolist()):
+                    found.setdefault(k, []).append((len({w[k] for w in at} - common), key))
+        for k, keys in found.items():
+            least = next(r for r in (2, 1, 0) if sum(rare >= r for rare, _ in keys) * 2 >= REPEATS)
+            out += [(key, int(start[k])) for rare, key in keys if rare >= least]
     return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(common: frozenset[int]):
     """(kind, key, item, at, n): bucket keys of the parts, hashes of the words, and sizes of parts."""
-    for batch in batches:
-        rows = []
-        for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            words = words_of(body)
-            if words:
-                rows += [("bucket", key, item, at, len(words)) for key, at in part_keys(words)]
-                rows += [("word", h, None, None, None) for h in hashed(list(set(words))).view(np.int64).tolist()]
-                rows += [("size", m, None, None, None) for m in {m for _, m in parts_of(len(words))}]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kind", "key", "item", "at", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                words = words_of(body)
+                if words:
+                    rows += [("bucket", key, item, at, len(words)) for key, at in part_keys(words, common)]
+                    rows += [("word", h, None, None, None) for h in hashed(list(set(words))).view(np.int64).tolist()]
+                    rows += [("size", m, None, None, None) for m in {m for _, m in parts_of(len(words))}]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kind", "key", "item", "at", "n"])
+
+    return run
+
+
+def _common(asked: DataFrame) -> frozenset[int]:
+    """Hashes of the words that more than COMMON of all items have: at most 1 / COMMON times the words of an item."""
+    words = asked.select("item", F.explode(F.array_distinct(F.split(F.col("body").cast("string"), r"[\x20\x09-\x0D]+"))).alias("word")).filter("word <> ''")
+    often = words.groupBy("word").count().filter(F.col("count") > max(MIN_COMMON, COMMON * asked.count()))
+    return frozenset(hashed([r["word"].encode() for r in often.collect()]).tolist())
 
 
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -289,7 +313,7 @@ def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     """(tid, distance, item_id, start, end) of the texts that an item contaminates; None where no item has words."""
     spark = docs.sparkSession
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), _body(item_text).alias("body")).dropna().distinct().select(F.xxhash64("item_id", "body").alias("item"), "item_id", "body")
-    made = durable(asked.select("item", "body").mapInArrow(_keys, "kind string, key long, item long, at int, n int"))
+    made = durable(asked.select("item", "body").mapInArrow(_keys(_common(asked)), "kind string, key long, item long, at int, n int"))
     sizes = sorted(r["key"] for r in made.filter("kind = 'size'").select("key").distinct().collect())
     if not sizes:
         return None
