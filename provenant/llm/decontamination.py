@@ -40,7 +40,7 @@ from provenant.llm.textops import durable, hashed, mix
 RATIO = 0.2
 #: Words of the smallest part of an item that is cut; shorter items are one part.
 PART = 12
-WALKS, REPEATS, SAMPLES = 8, 64, 4
+WALKS, REPEATS, SAMPLES = 6, 48, 4
 #: Places are sampled from the first SPAN steps of a walk for each word of a part.
 SPAN = 1.2
 #: A word is common that more than this share of the items has, and more than so many of them.
@@ -50,7 +50,7 @@ FILTER_RATE, MIN_FILTER, MAX_FILTER = 512, 1 << 23, 1 << 30
 #: Bucket rows that are broadcast to meet the windows where they stand; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Words that are embedded at once.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 
 FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, (REPEATS, SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,11 +78,11 @@ def sampled(low: int, repeat: int) -> np.ndarray:
 
 def walked(words: np.ndarray, start: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
     """For every start the word that the walk stands on at each step."""
-    with_end = np.append(words, np.uint64(0))
-    coins, at, out = mix(with_end + np.uint64(2 * walk + 1)), start, []
+    padded = np.append(words, np.zeros(steps, dtype=np.uint64))
+    coins, at, out = mix(padded + np.uint64(2 * walk + 1)), start.copy(), []
     for step in range(steps):
-        out.append(with_end[at])
-        at = np.minimum(at + ((coins[at] >> np.uint64(step % 61)) & np.uint64(1)).astype(np.int64), len(words))
+        out.append(padded.take(at))
+        at += ((coins.take(at) >> np.uint64(step % 61)) & np.uint64(1)).view(np.int64)
     return out
 
 
@@ -104,15 +104,15 @@ def parts_of(n: int) -> list[tuple[int, int]]:
     return [(n * j // k, n * (j + 1) // k - n * j // k) for j in range(k)]
 
 
-def part_keys(words: list[bytes], common: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
-    """(key, first word of the part) of all parts of an item.
+def part_keys(words: list[bytes], common: frozenset[int] = frozenset()) -> tuple[list[tuple[int, int]], set[tuple[int, int]]]:
+    """(key, first word of the part) of all parts of an item, and (words, least number of words that aren't common in its buckets) of the parts.
 
     Buckets with two words or more that aren't common find a part as well and
     meet few other windows; where these are less than half of a part's buckets,
     one such word is asked for, and where they still are, none.
     """
-    h, out = hashed(words), []
-    for low in {size_class(m) for _, m in parts_of(len(words))}:
+    h, out, sizes, long = hashed(words), [], set(), dict(parts_of(len(words)))
+    for low in {size_class(m) for m in long.values()}:
         start = np.array([a for a, m in parts_of(len(words)) if size_class(m) == low])
         found: dict[int, list[tuple[int, int]]] = {}
         for walk in range(WALKS):
@@ -124,7 +124,8 @@ def part_keys(words: list[bytes], common: frozenset[int] = frozenset()) -> list[
         for k, keys in found.items():
             least = next(r for r in (2, 1, 0) if sum(rare >= r for rare, _ in keys) * 2 >= REPEATS)
             out += [(key, int(start[k])) for rare, key in keys if rare >= least]
-    return out
+            sizes.add((long[int(start[k])], least))
+    return out, sizes
 
 
 def _keys(common: frozenset[int]):
@@ -136,9 +137,10 @@ def _keys(common: frozenset[int]):
             for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 words = words_of(body)
                 if words:
-                    rows += [("bucket", key, item, at, len(words)) for key, at in part_keys(words, common)]
+                    keys, sizes = part_keys(words, common)
+                    rows += [("bucket", key, item, at, len(words)) for key, at in keys]
                     rows += [("word", h, None, None, None) for h in hashed(list(set(words))).view(np.int64).tolist()]
-                    rows += [("size", m, None, None, None) for m in {m for _, m in parts_of(len(words))}]
+                    rows += [("size", m, None, least, None) for m, least in sizes]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kind", "key", "item", "at", "n"])
 
@@ -181,21 +183,24 @@ def _held(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def able(known: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Starts of the windows that hold enough words of items for a part of one of the sizes with its share of the edits."""
-    n, count = len(known), np.append(0, np.cumsum(known))
-    good = np.zeros(n, dtype=bool)
-    for m in sizes:
+def able(known: np.ndarray, rare: np.ndarray, sizes: list[tuple[int, int]]) -> np.ndarray:
+    """Starts of the windows that hold enough words of items for a part of one of the sizes with its share of the edits, and enough that aren't common for its buckets."""
+    n = len(known)
+    count, special = (np.append(0, np.cumsum(x)) for x in (known, rare))
+    here, good = np.arange(n), np.zeros(n, dtype=bool)
+    for m, least in sizes:
         edits = int(RATIO * (m + 1))
-        good |= count[np.minimum(np.arange(n) + m + edits, n)] - count[:-1] >= m - edits
+        enough = count[np.minimum(here + m + edits, n)] - count[:-1] >= m - edits
+        good |= enough & (special[np.minimum(here + steps_of(m), n)] - special[:-1] >= least)
     return np.flatnonzero(good)
 
 
-def _hits(in_words: tuple, in_buckets: tuple, sizes: list[int]):
+def _hits(in_words: tuple, in_buckets: tuple, common: frozenset[int], sizes: list[tuple[int, int]]):
     """Per document text, the starts of windows whose bucket passes the filter: (tid, start, key). Filters are (bits, broadcast bytes)."""
-    by_low: dict[int, list[int]] = {}
-    for m in sizes:
-        by_low.setdefault(size_class(m), []).append(m)
+    by_low: dict[int, list[tuple[int, int]]] = {}
+    for m, least in sizes:
+        by_low.setdefault(size_class(m), []).append((m, least))
+    usual = np.array(sorted(common), dtype=np.uint64)
 
     def chunk(parts: list[np.ndarray], vocabulary: tuple, used: tuple) -> list:
         gap, out = np.zeros(1, dtype=np.uint64), []
@@ -203,8 +208,10 @@ def _hits(in_words: tuple, in_buckets: tuple, sizes: list[int]):
         size = np.array([len(p) + 1 for p in parts])
         begin = np.cumsum(size) - size
         known = _held(vocabulary, flat)
+        rare = known.copy()
+        rare[known] = ~np.isin(flat[known], usual)
         for low, mine in by_low.items():
-            start = able(known, mine)
+            start = able(known, rare, mine)
             for walk in range(WALKS):
                 made = walked(flat, start, walk, steps_of(low))
                 for repeat in range(walk, REPEATS, WALKS):
@@ -313,8 +320,9 @@ def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     """(tid, distance, item_id, start, end) of the texts that an item contaminates; None where no item has words."""
     spark = docs.sparkSession
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), _body(item_text).alias("body")).dropna().distinct().select(F.xxhash64("item_id", "body").alias("item"), "item_id", "body")
-    made = durable(asked.select("item", "body").mapInArrow(_keys(_common(asked)), "kind string, key long, item long, at int, n int"))
-    sizes = sorted(r["key"] for r in made.filter("kind = 'size'").select("key").distinct().collect())
+    common = _common(asked)
+    made = durable(asked.select("item", "body").mapInArrow(_keys(common), "kind string, key long, item long, at int, n int"))
+    sizes = sorted((r["key"], r["at"]) for r in made.filter("kind = 'size'").groupBy("key").agg(F.min("at").alias("at")).collect())
     if not sizes:
         return None
     keys = made.filter("kind = 'bucket'").select("key", "item", "at", "n").distinct()
@@ -323,7 +331,7 @@ def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         bits, table = _filter(made.filter(F.col("kind") == kind).select("key").distinct())
         filters.append((bits, spark.sparkContext.broadcast(table)))
     texts = docs.select(_tid(text_col).alias("tid"), _body(text_col).alias("body")).filter("body IS NOT NULL")
-    hits = texts.mapInArrow(_hits(*filters, sizes), "tid binary, start int, key long")
+    hits = texts.mapInArrow(_hits(*filters, common, sizes), "tid binary, start int, key long")
     near = durable(hits.join(F.broadcast(keys) if made.count() <= BROADCAST_ROWS else keys, "key").select("tid", "item", (F.col("start") - F.col("at")).alias("begin"), "n").distinct())
     listed = near.groupBy("tid").agg(F.collect_list(F.struct("item", "begin", "n")).alias("near"))
     stretches = texts.join(listed, "tid").dropDuplicates(["tid"]).mapInArrow(_stretches, "tid binary, item long, at int, stretch binary")

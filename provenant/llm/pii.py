@@ -1,15 +1,22 @@
 """Personal data by a character BiLSTM with CRF transitions, in numpy.
 
 Rules give the base spans: e-mail addresses, IP addresses, card numbers and
-phone numbers of a fixed form. A bounded sample of documents labelled by them
-trains the model: character classes go through a forward and a backward LSTM
-into emissions, and a linear-chain CRF scores whole tag sequences. Its spans are
-added to the base spans, which always stay; it finds forms near the rules'.
-
-Every kind needs an ASCII digit or an "@", so the model reads all text within
-REACH characters of one, however long the document. Overlapping windows give
-emissions, which are averaged where windows overlap, and one Viterbi pass over
-the whole joined region decides, so that no window edge splits a span.
+phone numbers of a fixed form. They label a bounded sample of documents, and in
+copies of these the same data is rewritten in forms that the rules don't know:
+spelled out, spaced, bracketed, without a country code. Both train the model:
+character classes go through a forward and a backward LSTM into emissions, and a
+linear-chain CRF scores whole tag sequences. What it finds is added to the base
+spans, which always stay.
+
+All text is read, in overlapping windows; their emissions are averaged where
+windows overlap, and one Viterbi pass over the whole text decides, so that no
+window edge splits a span. Stretches where no tag but "outside" can be on the
+best path are found first, by bounds, and left out of the pass; its result is
+the same.
+
+Null and empty texts have no spans; texts may be of any length; rows that are
+equal or repeat an id are each looked at; of equally good tag sequences the one
+with the lower tags wins.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 #: Documents that the model learns from, at most, and windows from each.
 MAX_TRAIN, TRAIN_WINDOWS = 600, 4
-WIDTH, STRIDE, REACH, HIDDEN, PIECE, BATCH = 128, 64, 48, 16, 8192, 256
+WIDTH, STRIDE, HIDDEN, BATCH = 576, 512, 8, 512
 
 # The forms of the base spans.
 FORMS = {
@@ -65,25 +72,75 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(k, m.start(), m.end()) for k, kind in enumerate(KINDS) if kind != "email" or "@" in text for m in FORMS[kind].finditer(text) if _holds(kind, m.group())]
 
 
-def plausible(kind: int, piece: str) -> bool:
-    """Whether a span that the model finds could be of its kind, in any notation: a card's digits must pass Luhn, which a network cannot add up."""
+def plausible(kind: int, text: str, start: int, end: int) -> bool:
+    """Whether a span that the model finds could be of its kind, in any notation, and isn't a slice of a longer run of digits.
+
+    A card's digits must pass Luhn, which a network cannot add up.
+    """
+    piece = text[start:end]
     digits, parts = re.sub("[^0-9]", "", piece), re.findall("[0-9]+", piece)
+    if KINDS[kind] == "email":
+        return bool(re.search(r"@|\bat\b", piece, re.IGNORECASE) and re.search(r"\.|\bdot\b", piece, re.IGNORECASE))
+    if re.search(r"[0-9][ .,/_-]?$", text[max(0, start - 2) : start]) or re.match(r"[ .,/_-]?[0-9]", text[end : end + 2]):
+        return False
     if KINDS[kind] == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if KINDS[kind] == "ip":
         return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
-    return "@" in piece if KINDS[kind] == "email" else 9 <= len(digits) <= 15
+    return 9 <= len(digits) <= 15
+
+
+#: Other forms of each kind, that training rewrites base spans into: what stands for "@" and ".", or between groups of digits.
+WAYS = {
+    "email": [(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", " . "), (" AT ", "."), ("[at]", ".")],
+    "ip": ["[.]", " . ", "(.)", " dot "],
+    "card": [".", "/", "_", " - "],
+    "phone": ["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0} {1} {2}", "{0}/{1}-{2}"],
+}
+#: Forms that are kept from training, to see what the model makes of them.
+HELD_OUT = {"email": [("{at}", "{dot}"), (" at ", ".")], "ip": ["{.}", "(dot)"], "card": ["  ", "--"], "phone": ["({0}){1}-{2}", "{0} {1}-{2}"]}
+
+
+def rewritten(kind: str, piece: str, way) -> str:
+    """A base span in another form."""
+    if kind == "email":
+        user, _, name = piece.partition("@")
+        return user + way[0] + name.replace(".", way[1])
+    digits = re.sub("[^0-9]", "", piece)
+    if kind == "ip":
+        return piece.replace(".", way)
+    if kind == "card":
+        return way.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return way.format(digits[-10:-7], digits[-7:-4], digits[-4:])
+
+
+def variants(text: str, ways: dict) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The text with all its base spans rewritten, once for each of as many ways as a kind has, and where they stand then."""
+    spans = sorted(base_spans(text), key=lambda s: s[1])
+    spans = [s for i, s in enumerate(spans) if not any(a < s[2] and s[1] < b for _, a, b in spans[:i])]
+    out = []
+    for turn in range(max((len(ways[KINDS[k]]) for k, _, _ in spans), default=0)):
+        made, at, where = "", 0, []
+        for k, s, e in spans:
+            made += text[at:s]
+            piece = rewritten(KINDS[k], text[s:e], ways[KINDS[k]][turn % len(ways[KINDS[k]])])
+            where.append((k, len(made), len(made) + len(piece)))
+            made, at = made + piece, e
+        out.append((made + text[at:], where))
+    return out
 
 
-_SIGNS = "@.+-_%() \n:/=\"',#$&*!?"
-_CLASSES = 4 + 10 + len(_SIGNS)
+_SIGNS = "@.+-_%() \n:/=\"',#$&*!?[]{}<>|"
+#: Letters that spell a sign out have classes of their own.
+_SPELL = "atdo"
+_CLASSES = 4 + 10 + len(_SIGNS) + len(_SPELL)
 
 
 def _class_table() -> np.ndarray:
     table = np.zeros(128, dtype=np.int64)
     for code in range(128):
         c = chr(code)
-        table[code] = 1 if c.islower() else 2 if c.isupper() else 4 + int(c) if c.isdigit() else 14 + _SIGNS.index(c) if c in _SIGNS else 0
+        table[code] = 14 + len(_SIGNS) + _SPELL.index(c.lower()) if c.lower() in _SPELL else 1 if c.islower() else 2 if c.isupper() else 4 + int(c) if c.isdigit() else 14 + _SIGNS.index(c) if c in _SIGNS else 0
     return table
 
 
@@ -120,18 +177,20 @@ def _lstm(c: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool):
 
 def _lstm_back(c: np.ndarray, u: np.ndarray, trace: list, d_out: np.ndarray, n_classes: int):
     h = u.shape[0]
-    dw, du = np.zeros((n_classes, 4 * h)), np.zeros_like(u)
+    du, every = np.zeros_like(u), np.empty((len(trace), len(c), 4 * h), u.dtype)
     d_state, d_cell = np.zeros_like(d_out[0]), np.zeros_like(d_out[0])
     for k in range(len(trace) - 1, -1, -1):
         i, f, o, g, tc, before, past = trace[k]
         d = d_out[k] + d_state
         d_cell = d_cell + d * o * (1 - tc * tc)
-        dz = np.concatenate([d_cell * g * i * (1 - i), d_cell * before * f * (1 - f), d * tc * o * (1 - o), d_cell * i * (1 - g * g)], axis=1)
+        dz = np.concatenate([d_cell * g * i * (1 - i), d_cell * before * f * (1 - f), d * tc * o * (1 - o), d_cell * i * (1 - g * g)], axis=1, out=every[k])
         d_cell = d_cell * f
         d_state = dz @ u.T
         du += past.T @ dz
-        np.add.at(dw, c[:, k], dz)
-    return dw, du
+    rows = c.T.reshape(-1)
+    seen = np.zeros((len(rows), n_classes), u.dtype)
+    seen[np.arange(len(rows)), rows] = 1
+    return seen.T @ every.reshape(len(rows), -1), du
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -176,8 +235,36 @@ class Model:
         states = np.concatenate([ahead, behind[::-1], np.ones_like(ahead[:, :, :1])], axis=2)
         return states @ self.out, states, (t0, t1)
 
-
-def train(windows: list[tuple[str, list[int]]], steps: int = 320, batch: int = 48, seed: int = 7) -> Model | None:
+    def fast(self):
+        """A function of class rows (batch, time) to emissions (time, batch, tag): the sigmoids are taken as scaled tanh."""
+        h = HIDDEN
+        scale = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), h)
+        w, u = [x * scale for x in self.w], [x * scale * np.float32(0.5) for x in self.u]
+
+        def run(c: np.ndarray) -> np.ndarray:
+            total = np.broadcast_to(self.out[-1], (c.shape[1], len(c), TAGS)).copy()
+            for side in (0, 1):
+                state, cell = np.zeros((len(c), h), np.float32), np.zeros((len(c), h), np.float32)
+                out = self.out[side * h : (side + 1) * h] * np.float32(0.5)
+                for k in range(c.shape[1]) if side == 0 else range(c.shape[1] - 1, -1, -1):
+                    z = w[side].take(c[:, k], axis=0)
+                    z += state @ u[side]
+                    np.tanh(z, out=z)
+                    gates = z[:, : 3 * h]
+                    gates += 1
+                    # Twice each gate: the cell is halved here, the state in the weights that read it.
+                    cell *= z[:, h : 2 * h]
+                    cell += z[:, :h] * z[:, 3 * h :]
+                    cell *= 0.5
+                    state = np.tanh(cell)
+                    state *= z[:, 2 * h : 3 * h]
+                    total[k] += state @ out
+            return total
+
+        return run
+
+
+def train(windows: list[tuple[str, list[int]]], steps: int = 400, batch: int = 64, seed: int = 7) -> Model | None:
     """Fit by Adam, at a rate that falls to nothing, on windows of text and their tags; None where no window has a span."""
     if not any(any(tags) for _, tags in windows):
         return None
@@ -185,7 +272,8 @@ def train(windows: list[tuple[str, list[int]]], steps: int = 320, batch: int = 4
     c = np.array([np.pad(classes(t), (0, width - len(t)), constant_values=14 + _SIGNS.index(" ")) for t, _ in windows])
     y = np.array([tags + [0] * (width - len(tags)) for _, tags in windows])
     h = HIDDEN
-    params = [*(rng.normal(0, 0.3, (_CLASSES, 4 * h)) for _ in range(2)), *(rng.normal(0, 0.25, (h, 4 * h)) for _ in range(2)), rng.normal(0, 0.3, (2 * h + 1, TAGS)), np.zeros((TAGS, TAGS))]
+    params: list[np.ndarray] = [*(rng.normal(0, 0.3, (_CLASSES, 4 * h)) for _ in range(2)), *(rng.normal(0, 0.25, (h, 4 * h)) for _ in range(2)), rng.normal(0, 0.3, (2 * h + 1, TAGS)), np.zeros((TAGS, TAGS))]
+    params = [p.astype(np.float32) for p in params]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         pick = rng.choice(len(c), min(batch, len(c)), replace=False)
@@ -201,30 +289,61 @@ def train(windows: list[tuple[str, list[int]]], steps: int = 320, batch: int = 4
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= 0.03 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    p = [x.astype(np.float32) for x in params]
-    return Model(p[:2], p[2:4], p[4], p[5])
-
-
-def regions(text: str) -> list[tuple[int, int]]:
-    """The stretches within REACH of a digit or "@", joined where they touch."""
-    out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return Model(params[:2], params[2:4], params[4], params[5])
+
+
+def _open(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Places (by time) where another tag than O may be on the best path.
+
+    A run of other tags gains at most the sum of its places' margins over O,
+    each with the best step that transitions allow, and one such step more. No
+    place is open where no run across it can gain.
+    """
+    step = max(0.0, float(move.max() - move[0, 0]))
+    margin = (e[:, 1:].max(axis=1) - e[:, 0]).astype(np.float64) + step
+    total = np.concatenate([[0.0], np.cumsum(margin)])
+    before = total[1:] - np.minimum.accumulate(total[:-1])
+    after = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+    return before + after - margin + step >= -1e-3
+
+
+def best_tags(emissions: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
+    """Viterbi tags of whole texts. Only stretches of open places are passed through, each between two places that are O; stretches of like length together."""
+    out = [np.zeros(len(e), np.int8) for e in emissions]
+    pieces = []
+    for i, e in enumerate(emissions):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], _open(e, move).astype(np.int8), [0]]))) if len(e) else []
+        pieces += [(b - a, i, a, b) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    pieces.sort()
+    k = 0
+    while k < len(pieces):
+        some = [p for p in pieces[k : k + BATCH] if p[0] <= max(64, 2 * pieces[k][0])]
+        e = np.zeros((some[-1][0] + 1, len(some), TAGS), np.float32)
+        for row, (n, i, a, b) in enumerate(some):
+            e[:n, row] = emissions[i][a:b]
+            if a:
+                e[0, row] += move[0]
+            if b < len(emissions[i]):
+                e[n, row, 1:] = -1e9
+        # Padding past a text's end lets every tag stand, so that it adds nothing to choose by.
+        free = np.array([b == len(emissions[i]) for _, i, _, b in some])
+        size = np.array([n for n, *_ in some])
+        tags = _viterbi(e, move, size, free)
+        for row, (n, i, a, b) in enumerate(some):
+            out[i][a:b] = tags[:n, row]
+        k += len(some)
+    return out
 
 
-def _viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Best tags (time, batch) for emissions (time, batch, tag)."""
+def _viterbi(e: np.ndarray, move: np.ndarray, size: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Best tags (time, batch) for emissions (time, batch, tag) of rows of size places; free rows end in any tag, others before an O."""
     t, n, k = e.shape
-    back, score, rows = np.empty((t, n, k), np.int8), e[0], np.arange(n)
+    back, score, rows = np.zeros((t, n, k), np.int8), e[0].copy(), np.arange(n)
     for j in range(1, t):
+        on = (j < size) | ((j == size) & ~free)
         s = score[:, :, None] + move[None]
-        back[j] = s.argmax(axis=1)
-        score = e[j] + s.max(axis=1)
+        back[j] = np.where(on[:, None], s.argmax(axis=1), np.arange(k))
+        score = np.where(on[:, None], e[j] + s.max(axis=1), score)
     out = np.empty((t, n), np.int8)
     out[-1] = score.argmax(axis=1)
     for j in range(t - 1, 0, -1):
@@ -232,93 +351,63 @@ def _viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decode(model: Model, pieces: list[np.ndarray]) -> list[np.ndarray]:
-    """Tags of each piece: windows over all pieces, emissions averaged, then Viterbi over whole pieces of like length."""
-    at = [(i, s) for i, p in enumerate(pieces) for s in range(0, max(1, len(p) - STRIDE), STRIDE)]
-    total, times = [np.zeros((len(p), TAGS), np.float32) for p in pieces], [np.zeros((len(p), 1), np.float32) for p in pieces]
-    blank = 14 + _SIGNS.index(" ")
+def _decode(model: Model, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Tags of each text: windows of like length together, emissions averaged where they overlap, then the best tags of the whole."""
+    at = [(min(WIDTH, len(c) - s), i, s) for i, c in enumerate(texts) for s in range(0, max(1, len(c) - (WIDTH - STRIDE)), STRIDE) if len(c)]
+    at.sort()
+    total = [np.zeros((len(c), TAGS), np.float32) for c in texts]
+    run, blank = model.fast(), 14 + _SIGNS.index(" ")
     for k in range(0, len(at), BATCH):
         some = at[k : k + BATCH]
-        c = np.full((len(some), WIDTH), blank)
-        for row, (i, s) in enumerate(some):
-            part = pieces[i][s : s + WIDTH]
-            c[row, : len(part)] = part
-        e = model.emissions(c)[0]
-        for row, (i, s) in enumerate(some):
-            n = min(WIDTH, len(pieces[i]) - s)
+        c = np.full((len(some), some[-1][0]), blank)
+        for row, (n, i, s) in enumerate(some):
+            c[row, :n] = texts[i][s : s + n]
+        e = run(c)
+        for row, (n, i, s) in enumerate(some):
             total[i][s : s + n] += e[:n, row]
-            times[i][s : s + n] += 1
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pieces)
-    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-    k = 0
-    while k < len(order):
-        longest = max(256, 2 * len(pieces[order[k]]))
-        some = [i for i in order[k : k + BATCH] if len(pieces[i]) <= longest]
-        e = np.zeros((max(len(pieces[i]) for i in some), len(some), TAGS), np.float32)
-        for row, i in enumerate(some):
-            e[: len(total[i]), row] = total[i] / times[i]
-            e[len(total[i]) :, row, 0] = 50
-        tags = _viterbi(e, model.move)
-        for row, i in enumerate(some):
-            out[i] = tags[: len(pieces[i]), row]
-        k += len(some)
-    return out
+    for e in total:
+        # Windows start every STRIDE places, so those between two starts and the last window's end are read twice.
+        for s in range(STRIDE, len(e) - (WIDTH - STRIDE), STRIDE):
+            e[s : s + WIDTH - STRIDE] *= 0.5
+    return best_tags(total, model.move)
 
 
 def _spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end): a begin tag and the inside tags of its kind that follow."""
-    out, i = [], 0
-    while i < len(tags):
-        if tags[i] % 2 == 1:
-            kind, j = int(tags[i] - 1) // 2, i + 1
-            while j < len(tags) and tags[j] == 2 * kind + 2:
-                j += 1
-            out.append((kind, i, j))
-            i = j
-        else:
-            i += 1
+    out = []
+    for i in np.flatnonzero(tags % 2 == 1).tolist():
+        kind, j = int(tags[i] - 1) // 2, i + 1
+        while j < len(tags) and tags[j] == 2 * kind + 2:
+            j += 1
+        out.append((kind, i, j))
     return out
 
 
+#: Characters that are decoded at once; a longer text is decoded alone.
+HELD = 1 << 21
+
+
 def model_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans that the model finds in each text. Very long regions are read in pieces that overlap by 2 * WIDTH; the piece that holds a span's middle decides."""
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    held, size = [], 0
-
-    def flush() -> None:
-        for (d, a, lo, hi, _), tags in zip(held, _decode(model, [p[-1] for p in held]), strict=True):
-            found[d] += [(k, a + s, a + e) for k, s, e in _spans(tags) if lo <= a + (s + e) // 2 < hi and plausible(k, texts[d][a + s : a + e])]
-        held.clear()
-
-    for d, text in enumerate(texts):
-        for a, b in regions(text):
-            at = a
-            while True:
-                stop = min(b, at + PIECE)
-                lo, hi = (at + WIDTH if at > a else a), (stop - WIDTH if stop < b else b)
-                held.append((d, at, lo, hi, classes(text[at:stop])))
-                size += stop - at
-                if size > BATCH * WIDTH * 4:
-                    flush()
-                    size = 0
-                if stop == b:
-                    break
-                at = stop - 2 * WIDTH
-    flush()
+    """Spans that the model finds in each text."""
+    found: list[list[tuple[int, int, int]]] = []
+    k = 0
+    while k < len(texts):
+        end, size = k, 0
+        while end < len(texts) and (end == k or size + len(texts[end]) <= HELD):
+            size += len(texts[end])
+            end += 1
+        for text, tags in zip(texts[k:end], _decode(model, [classes(t) for t in texts[k:end]]), strict=True):
+            found.append([(kind, s, e) for kind, s, e in _spans(tags) if plausible(kind, text, s, e)])
+        k = end
     return found
 
 
 def all_spans(model: Model | None, texts: list[str]) -> list[tuple[list, list]]:
-    """(base, all) spans of each text. A model span is added where no base span overlaps it and it holds a digit or "@"."""
+    """(base, all) spans of each text. A model span is added where no base span overlaps it."""
     base = [base_spans(t) for t in texts]
-    wide = [sorted(b) for b in base]
-    if model is not None:
-        for i, more in enumerate(model_spans(model, texts)):
-            for kind, s, e in more:
-                if e - s >= 7 and _TRIGGER.search(texts[i], s, e) and not any(a < e and s < z for _, a, z in base[i]):
-                    wide[i].append((kind, s, e))
-            wide[i].sort()
-    return list(zip(base, wide, strict=True))
+    if model is None:
+        return [(b, sorted(b)) for b in base]
+    return [(b, sorted(b + [m for m in more if not any(a < m[2] and m[1] < z for _, a, z in b)])) for b, more in zip(base, model_spans(model, texts), strict=True)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -329,21 +418,30 @@ _SAMPLE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Str
 SPANS = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
 
 
+def _windows(t: str, spans: list[tuple[int, int, int]], marks: list[int]) -> list[tuple[str, list[int]]]:
+    out = []
+    for k, mark in enumerate(marks[:: max(1, len(marks) // TRAIN_WINDOWS)][:TRAIN_WINDOWS]):
+        a = max(0, mark - 20 - 17 * (k % 3))
+        piece, tags = t[a : a + 96], [0] * len(t[a : a + 96])
+        for kind, s, e in spans:
+            for j in range(max(s, a), min(e, a + len(piece))):
+                tags[j - a] = 2 * kind + (1 if j == s else 2)
+        out.append((piece, tags))
+    return out
+
+
+def labelled(t: str) -> list[tuple[str, list[int]]]:
+    """Windows of a text and their tags: as it stands, and with its personal data rewritten in the forms of WAYS."""
+    spans = sorted(base_spans(t), key=lambda s: s[1])
+    out = _windows(t, spans, sorted({s[1] for s in spans} or {m.start() for m in _TRIGGER.finditer(t)}))
+    for made, where in variants(t, WAYS):
+        out += _windows(made, where, [s for _, s, _ in where])[:2]
+    return out
+
+
 @F.pandas_udf(_SAMPLE)
 def _labelled(text: pd.Series) -> pd.Series:
-    def cut(t: str) -> list:
-        spans, out = sorted(base_spans(t), key=lambda s: s[1]), []
-        marks = sorted({s[1] for s in spans} or {m.start() for m in _TRIGGER.finditer(t)})
-        for k, mark in enumerate(marks[:: max(1, len(marks) // TRAIN_WINDOWS)][:TRAIN_WINDOWS]):
-            a = max(0, mark - 20 - 17 * (k % 3))
-            piece, tags = t[a : a + 80], [0] * len(t[a : a + 80])
-            for kind, s, e in spans:
-                for j in range(max(s, a), min(e, a + len(piece))):
-                    tags[j - a] = 2 * kind + (1 if j == s else 2)
-            out.append((piece, tags))
-        return out
-
-    return text.map(cut)
+    return text.map(labelled)
 
 
 def learn(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN) -> Model | None:
@@ -358,16 +456,16 @@ def finder(model: Model | None):
 
     @F.pandas_udf(SPANS)
     def find(text: pd.Series) -> pd.DataFrame:
-        rows = []
         values = text.tolist()
-        for k in range(0, len(values), 512):
-            for base, wide in all_spans(model, values[k : k + 512]):
-                rows.append([*(sum(s[0] == i for s in base) for i in range(len(KINDS))), written(base), written(wide)])
+        each = list(dict.fromkeys(values))
+        made = {t: [*(sum(s[0] == i for s in base) for i in range(len(KINDS))), written(base), written(wide)] for t, (base, wide) in zip(each, all_spans(model, each), strict=True)}
+        rows = [made[t] for t in values]
         return pd.DataFrame(rows, columns=[f.name for f in SPANS], index=text.index)
 
     return find
 
 
 def find_spans(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "pii") -> DataFrame:
-    """docs with a struct column of counts and spans. Null and empty texts have none; without a model, the base spans alone."""
-    return docs.withColumn(name, finder(model)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    """docs with a struct column of counts and spans; a column of docs that is called name is replaced. Without a model, the base spans alone."""
+    found = finder(model)(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], found.alias(name))
