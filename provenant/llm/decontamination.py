@@ -226,7 +226,7 @@ def _hits(in_words: tuple, in_buckets: tuple, common: frozenset[int], sizes: lis
         vocabulary, used = ((bits, np.frombuffer(held.value, dtype=np.uint8)) for bits, held in (in_words, in_buckets))
         for batch in batches:
             tids = batch.column("tid")
-            rows, parts, count = [], [], 0
+            rows, parts, count, seen = [], [], 0, set()
 
             def flush() -> pa.RecordBatch:
                 found = chunk(parts, vocabulary, used)
@@ -234,7 +234,9 @@ def _hits(in_words: tuple, in_buckets: tuple, common: frozenset[int], sizes: lis
                 return pa.RecordBatch.from_arrays([tids.take(pa.array(np.array(rows, np.int64)[doc])), pa.array(start.astype(np.int32)), pa.array(key)], names=["tid", "start", "key"])
 
             for i, body in enumerate(batch.column("body")):
-                words = words_of(body.as_py())
+                tid = tids[i].as_py()
+                words = [] if tid in seen else words_of(body.as_py())
+                seen.add(tid)
                 if words:
                     rows.append(i)
                     parts.append(hashed(words))

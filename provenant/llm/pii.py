@@ -236,29 +236,30 @@ class Model:
         return states @ self.out, states, (t0, t1)
 
     def fast(self):
-        """A function of class rows (batch, time) to emissions (time, batch, tag): the sigmoids are taken as scaled tanh."""
+        """A function of class rows (batch, time) to emissions (time, tag, batch): the sigmoids are taken as scaled tanh."""
         h = HIDDEN
         scale = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), h)
-        w, u = [x * scale for x in self.w], [x * scale * np.float32(0.5) for x in self.u]
+        w, u = [np.ascontiguousarray((x * scale).T) for x in self.w], [np.ascontiguousarray((x * scale * np.float32(0.5)).T) for x in self.u]
 
         def run(c: np.ndarray) -> np.ndarray:
-            total = np.broadcast_to(self.out[-1], (c.shape[1], len(c), TAGS)).copy()
+            n, t = c.shape
+            total = np.empty((t, TAGS, n), np.float32)
+            total[:] = self.out[-1][:, None]
             for side in (0, 1):
-                state, cell = np.zeros((len(c), h), np.float32), np.zeros((len(c), h), np.float32)
-                out = self.out[side * h : (side + 1) * h] * np.float32(0.5)
-                for k in range(c.shape[1]) if side == 0 else range(c.shape[1] - 1, -1, -1):
-                    z = w[side].take(c[:, k], axis=0)
-                    z += state @ u[side]
+                state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+                out = np.ascontiguousarray(self.out[side * h : (side + 1) * h].T) * np.float32(0.5)
+                for k in range(t) if side == 0 else range(t - 1, -1, -1):
+                    z = w[side].take(c[:, k], axis=1)
+                    z += u[side] @ state
                     np.tanh(z, out=z)
-                    gates = z[:, : 3 * h]
-                    gates += 1
+                    z[: 3 * h] += 1
                     # Twice each gate: the cell is halved here, the state in the weights that read it.
-                    cell *= z[:, h : 2 * h]
-                    cell += z[:, :h] * z[:, 3 * h :]
+                    cell *= z[h : 2 * h]
+                    cell += z[:h] * z[3 * h :]
                     cell *= 0.5
-                    state = np.tanh(cell)
-                    state *= z[:, 2 * h : 3 * h]
-                    total[k] += state @ out
+                    np.tanh(cell, out=state)
+                    state *= z[2 * h : 3 * h]
+                    total[k] += out @ state
             return total
 
         return run
@@ -295,16 +296,21 @@ def train(windows: list[tuple[str, list[int]]], steps: int = 400, batch: int = 6
 def _open(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Places (by time) where another tag than O may be on the best path.
 
-    A run of other tags gains at most the sum of its places' margins over O,
-    each with the best step that transitions allow, and one such step more. No
-    place is open where no run across it can gain.
+    A run of other tags gains at most the sum of its places' margins over O, and
+    what the best steps into it, within it and out of it gain over staying at O.
+    No place is open where no run across it can gain.
     """
-    step = max(0.0, float(move.max() - move[0, 0]))
-    margin = (e[:, 1:].max(axis=1) - e[:, 0]).astype(np.float64) + step
+    stay = float(move[0, 0])
+    inner, edges = float(move[1:, 1:].max()) - stay, max(0.0, float(move[0, 1:].max()) - stay) + max(0.0, float(move[1:, 0].max()) - stay)
+    tight = float(move[0, 1:].max() + move[1:, 0].max()) - 2 * stay
+    margin = (e[:, 1:].max(axis=1) - e[:, 0]).astype(np.float64) + inner
     total = np.concatenate([[0.0], np.cumsum(margin)])
     before = total[1:] - np.minimum.accumulate(total[:-1])
     after = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
-    return before + after - margin + step >= -1e-3
+    gain = before + after - margin - inner
+    # A run at either end of the text has one edge only.
+    at_edge = (total[1:] - total[0] + after - margin, before + (total[-1] - total[:-1]) - margin)
+    return (gain + tight >= -1e-3) | (np.maximum(*at_edge) - inner + edges >= -1e-3)
 
 
 def best_tags(emissions: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
@@ -364,7 +370,7 @@ def _decode(model: Model, texts: list[np.ndarray]) -> list[np.ndarray]:
             c[row, :n] = texts[i][s : s + n]
         e = run(c)
         for row, (n, i, s) in enumerate(some):
-            total[i][s : s + n] += e[:n, row]
+            total[i][s : s + n] += e[:n, :, row]
     for e in total:
         # Windows start every STRIDE places, so those between two starts and the last window's end are read twice.
         for s in range(STRIDE, len(e) - (WIDTH - STRIDE), STRIDE):

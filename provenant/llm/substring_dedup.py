@@ -86,12 +86,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document of WINDOW words or more: a digest of all its words, their number, and its anchors."""
     for batch in batches:
-        rows, anchors = [], []
+        rows, anchors, known = [], [], {}
         for doc, nth, words in _texts(batch):
             if len(words) >= WINDOW:
                 c = stretch_digests(words, np.array([0]), len(words))
                 rows.append((np.array([doc]), np.array([nth]), c[:, 0], c[:, 1], np.array([len(words)])))
-                anchors.append(blocks(words)[0])
+                key = c.tobytes()
+                if key not in known:
+                    known[key] = blocks(words)[0]
+                anchors.append(known[key])
         made = _batch(["doc_id", "ord", "c0", "c1", "n_words"], rows)
         flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, anchors)]), pa.int32()), pa.array(np.concatenate([*anchors, np.zeros(0, np.int64)]), pa.int64()))
         yield made.append_column("anchors", flat)

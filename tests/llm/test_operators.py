@@ -488,6 +488,13 @@ def test_model_finds_held_out_variants(spark):
     assert figures["known"][0] > 0.9 and figures["known"][1] > 0.9 and figures["kept"][0] > 0.5, figures
 
 
+def test_fast_emissions_are_those_of_training():
+    rng, h = np.random.default_rng(3), pii.HIDDEN
+    model = pii.Model([rng.normal(0, 1, (pii._CLASSES, 4 * h)).astype(np.float32) for _ in range(2)], [rng.normal(0, 1, (h, 4 * h)).astype(np.float32) for _ in range(2)], rng.normal(0, 1, (2 * h + 1, pii.TAGS)).astype(np.float32), np.zeros((pii.TAGS, pii.TAGS), np.float32))
+    c = rng.integers(0, pii._CLASSES, (5, 40))
+    assert np.allclose(model.fast()(c).transpose(0, 2, 1), model.emissions(c)[0], atol=1e-3)
+
+
 def test_no_slices_of_digit_runs():
     for text in ("id 4902948293942007 x", "no 4111111111111111222233334444", "v 1.2.3.4.5 and 1.2.3.4.5.6", "run 12345678901234567890123"):
         for kind in range(4):
