@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 #: The generic syntax of RFC 3986, appendix B, with a required scheme and authority.
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
-#: A bare web address in prose: no white space, quotes, brackets or braces.
-BARE = r"https?://[^ \t\r\n<>\"'`\[\](){}]+"
-ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[@-Z\\-_]"
+#: Control sequences (ECMA-48): with parameters to a final letter, strings to a bell or a string terminator, and other pairs.
+ANSI = "\x1b(?:\\[[^@-~]*[@-~]|\\].*?(?:\x07|\x1b\\\\)|[^\\[\\]])"
 
 
 @dataclass(frozen=True)
@@ -45,7 +44,7 @@ def _let(value: Column, body) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, ANSI, "")
+    return F.regexp_replace(text, "(?s)" + ANSI, "")
 
 
 def host(url: Column) -> Column:
@@ -84,22 +83,62 @@ def parent(url: Column) -> Column:
     return F.when(F.size(steps) > 1, up)
 
 
+def _number(part: Column) -> Column:
+    """A number as resolvers read it: 0x hexadecimal, 0 octal, else decimal; null for anything else."""
+    digits = F.regexp_replace(part, "^(0[xX]|0(?=.))", "")
+    base = lambda b, ok: F.when(digits.rlike(ok), F.conv(digits, b, 10).cast("long"))
+    return F.when(F.length(part) > 20, None).when(part.rlike("^0[xX]"), base(16, "^[0-9a-fA-F]+$")).when(part.rlike("^0."), base(8, "^[0-7]+$")).otherwise(base(10, "^[0-9]+$"))
+
+
 def ipv4(name: Column) -> Column:
-    """A dotted host as a number; null for anything else."""
-    p = F.split(name, r"\.")
-    value = lambda k: F.get(p, k).cast("long")
-    good = name.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    return F.when(good, value(0) * 16777216 + value(1) * 65536 + value(2) * 256 + value(3))
+    """A host as the number that resolvers make of one to four numbers, the last of which fills all bytes left; null for anything else."""
+
+    def whole(p: Column) -> Column:
+        n = F.size(p)
+        last = F.element_at(p, -1)
+        head = F.aggregate(F.slice(p, F.lit(1), n - 1), F.lit(0).cast("long"), lambda total, x: total * 256 + x)
+        room = F.element_at(F.array(*(F.lit(256**k).cast("long") for k in (4, 3, 2, 1))), n)
+        return F.when(F.forall(F.slice(p, F.lit(1), n - 1), lambda x: x.between(0, 255)) & last.between(0, room - 1), head * room + last)
+
+    return F.when(name.rlike(r"^[0-9][0-9a-fA-FxX]*(\.[0-9][0-9a-fA-FxX]*){0,3}$"), _let(F.transform(F.split(name, r"\."), _number), whole))
 
 
 def unsafe_ipv4(number: Column) -> Column:
-    """Loopback, private, carrier, link-local, multicast, reserved or unspecified."""
-    # First address and prefix length of each range.
-    ranges = ((0x00000000, 8), (0x0A000000, 8), (0x64400000, 10), (0x7F000000, 8), (0xA9FE0000, 16), (0xAC100000, 12), (0xC0A80000, 16), (0xE0000000, 3))
+    """Loopback, private, carrier, link-local, documentation, benchmark, protocol, multicast, reserved or unspecified."""
+    # First address and prefix length of each range of the special-purpose registry.
+    ranges = (
+        (0x00000000, 8), (0x0A000000, 8), (0x64400000, 10), (0x7F000000, 8), (0xA9FE0000, 16), (0xAC100000, 12), (0xC0000000, 24),
+        (0xC0000200, 24), (0xC0A80000, 16), (0xC6120000, 15), (0xC6336400, 24), (0xCB007100, 24), (0xE0000000, 3),
+    )
     found = F.lit(False)
     for first, bits in ranges:
         found = found | number.between(first, first + (1 << (32 - bits)) - 1)
-    return found
+    return found & ~number.isin(0xC0000009, 0xC000000A)
+
+
+def ipv6(name: Column) -> Column:
+    """The eight groups of a bracketed literal, without its zone; null for anything else."""
+    bare = F.regexp_replace(F.regexp_extract(name, r"^\[([0-9a-fA-F:.]+)(?:%[^\]]*)?\]$", 1), r"(\d+)\.(\d+)\.(\d+)\.(\d+)$", "<$1.$2.$3.$4")
+    tail = ipv4(F.regexp_extract(bare, "<(.*)$", 1))
+    plain = F.when(bare.contains("<"), F.concat(F.regexp_replace(bare, "<.*$", ""), F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(0xFFFF))))).otherwise(bare)
+
+    def groups(text: Column) -> Column:
+        side = lambda k: F.filter(F.split(F.get(F.split(text, "::"), F.lit(k)), ":"), lambda g: g != "")
+        left, right = side(0), F.coalesce(side(1), F.array().cast("array<string>"))
+        gap = F.lit(8) - F.size(left) - F.size(right)
+        filled = F.when(text.contains("::") & (gap > 0), F.concat(left, F.array_repeat(F.lit("0"), gap), right)).when(~text.contains("::"), left)
+        good = (F.size(filled) == 8) & F.forall(filled, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")) & (F.size(F.split(text, "::")) <= 2) & ~text.contains(":::")
+        return F.when(good, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return F.when(bare != "", _let(plain, groups))
+
+
+def unsafe_ipv6(groups: Column) -> Column:
+    """Everything outside the global unicast block, and the special ranges inside it; a mapped IPv4 address counts as itself."""
+    g = lambda k: F.get(groups, F.lit(k))
+    mapped = (g(0) == 0) & (g(1) == 0) & (g(2) == 0) & (g(3) == 0) & (g(4) == 0) & (g(5) == 0xFFFF)
+    special = ((g(0) == 0x2001) & (g(1) < 0x200) & ~((g(1) == 3) | (g(1).between(0x20, 0x3F)) | ((g(1) == 4) & (g(2) == 0x112)))) | ((g(0) == 0x2001) & (g(1) == 0xDB8)) | (g(0) == 0x2002)
+    return F.when(mapped, unsafe_ipv4(g(6) * 65536 + g(7))).otherwise(~g(0).between(0x2000, 0x3FFF) | special)
 
 
 def excluded_reason(url: Column, rules: Rules = DEFAULT) -> Column:
@@ -112,11 +151,12 @@ def _reason(name: Column, where: Column, rules: Rules) -> Column:
     for domain in rules.reserved_domains:
         reserved = reserved | (name == domain) | name.endswith("." + domain)
     asset = F.lower(where).rlike("(" + "|".join("\\" + a for a in rules.assets) + ")$") & ~F.lower(where).rlike("/(" + "|".join(rules.page_words) + ")/")
-    number = ipv4(name)
+    number, groups = ipv4(name), ipv6(name)
     return (
         F.when(name.isNull(), "no_host").when(name.isin(*rules.exact_hosts), "exact_host").when(name.isin(*rules.infra_hosts), "infra_host").when(name.endswith(rules.private_suffix), "private_suffix")
         .when(reserved, "reserved_name").when(asset, "asset").when(name.isin(*rules.doi_hosts) & ~where.rlike(r"^/10\.\d{4,9}/\S+$"), "malformed_doi")
-        .when(number.isNull() & ~name.contains("."), "dotless").when(number.isNotNull() & unsafe_ipv4(number), "unsafe_address")
+        .when(number.isNull() & groups.isNull() & ~name.contains("."), "dotless").when(number.isNull() & groups.isNull() & ~lookup_name(name), "no_name")
+        .when(_let(number, unsafe_ipv4) | _let(groups, unsafe_ipv6), "unsafe_address")
     )
 
 
@@ -152,9 +192,14 @@ def _named(name: Column, where: Column) -> Column:
 
 def doi_of(url: Column) -> Column:
     """The DOI that an address carries: all of a resolver's path, or the DOI inside a preprint server's; null for any other host."""
-    name, where = host(url), path(url)
-    whole = F.when(name.isin(*DEFAULT.doi_hosts), F.regexp_extract(url, r"://[^/]*/(10\.[0-9]{4,9}/\S+)$", 1))
-    inside = F.when(name.endswith("biorxiv.org") | name.endswith("medrxiv.org"), F.regexp_extract(where, r"(10\.[0-9]{4,9}/[^\s?#]+)", 1))
+    return _let(F.struct(host(url).alias("name"), F.regexp_extract(url, r"^[^:]+://[^/]*/(.*)$", 1).alias("rest")), lambda p: _doi(p["name"], p["rest"]))
+
+
+def _doi(name: Column, rest: Column) -> Column:
+    """DOI syntax: "10.", a registrant of 4 to 9 digits, a slash, and a suffix without white space."""
+    form = r"10\.\d{4,9}/"
+    whole = F.when(name.isin(*DEFAULT.doi_hosts), F.regexp_extract(rest, f"^({form}\\S+)$", 1))
+    inside = F.when(name.rlike("(bio|med)rxiv[.]org$"), F.regexp_extract(F.regexp_extract(rest, "^([^?#]*)", 1), f"({form}\\S+)", 1))
     return F.nullif(F.coalesce(whole, inside), F.lit(""))
 
 
@@ -164,10 +209,13 @@ NOT_OWNERS = ("settings", "orgs", "sponsors", "features", "about")
 
 def repo_slug(url: Column) -> Column:
     """owner/repo of a repository's root page; null for deeper pages, other hosts and the host's own pages."""
-    found = F.regexp_extract(path(url), r"^/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/?$", 1)
+    return _let(F.struct(host(url).alias("name"), F.regexp_extract(path(url), r"^/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/?$", 1).alias("found")), lambda p: _slug(p["name"], p["found"]))
+
+
+def _slug(name: Column, found: Column) -> Column:
     slug = F.regexp_replace(found, r"\.git$", "")
     bad = (slug == "") | slug.endswith("/") | F.lower(F.substring_index(slug, "/", 1)).isin(*NOT_OWNERS)
-    return F.when(host(url).isin("github.com", "www.github.com") & ~bad, slug)
+    return F.when(name.isin("github.com", "www.github.com") & ~bad, slug)
 
 
 def lookup_name(name: Column) -> Column:

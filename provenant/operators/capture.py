@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.functions import urls
+from provenant.functions import extract, urls
 
 CLAIM_CHARS, CLAIMS_PER_URL = 400, 50
 
 
-def cited_text(text: Column) -> Column:
-    """The text without what it only shows: fenced code, an unclosed fence to the end, and code spans."""
-    return F.regexp_replace(F.regexp_replace(urls.strip_ansi(text), r"(?s)```.*?(```|$)", " "), "`[^`]*`", " ")
+#: Opens a report that this library wrote itself: its addresses are shown, not cited.
+REPORT = "<!-- provenance: generated report, not citations -->"
 
 
-def trim_prose(url: Column) -> Column:
-    return F.regexp_replace(url, r"[.,;:\]}>]+$", "")
+def generated_report(role: Column, text: Column) -> Column:
+    return F.coalesce((role == "assistant") & F.ltrim(text).startswith(REPORT), F.lit(False))
 
 
 def citations(messages: DataFrame, rules: urls.Rules = urls.DEFAULT) -> DataFrame:
     """messages (msg_id, session, turn_seq, role, text, seen) to one row per cited URL of a message, first spelling first.
 
-    Columns: all of messages but text, and pos, raw, url, excluded_reason. The
-    cheap test for an address runs first, so most messages never meet a regex.
+    Columns: all of messages, and pos, raw, kind (link, html or bare), url,
+    excluded_reason. The cheap test for an address runs first, so most messages
+    never meet the extractor. A message that is a generated report cites nothing.
     """
-    likely = messages.filter(F.col("text").contains("://"))
-    found = likely.select(*[c for c in messages.columns], F.posexplode(F.regexp_extract_all(cited_text(F.col("text")), F.lit(urls.BARE), F.lit(0))).alias("pos", "raw"))
-    found = found.withColumn("raw", trim_prose(F.col("raw"))).withColumn("url", urls.canonical(F.col("raw"), rules))
+    likely = messages.filter(F.lower("text").rlike("https?://") & ~generated_report(F.col("role"), F.col("text")))
+    found = likely.select(*[c for c in messages.columns], F.posexplode(extract.citations(F.col("text"))).alias("pos", "c"))
+    found = found.select(*messages.columns, "pos", "c.raw", "c.kind").withColumn("url", urls.canonical(F.col("raw"), rules))
     first = found.withColumn("nth", F.row_number().over(Window.partitionBy("msg_id", "url").orderBy("pos"))).filter("nth = 1").drop("nth")
     return first.withColumn("excluded_reason", urls.excluded_reason(F.col("url"), rules))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions import stamps, urls
+from provenant.functions import extract, stamps, urls
 from provenant.operators import capture, content, coverage, delta, gates, incidents, ledger, upkeep
 from provenant.plans import fixtures as fx
 from provenant.sources.tables import of_host, table
@@ -68,12 +68,49 @@ def bracket_balance(spark, sf_dir):
 
 @query("""SELECT l_orderkey, l_linenumber, (l_orderkey % 224) * 16777216 + (l_partkey % 256) * 65536 + (l_suppkey % 256) * 256 + l_linenumber AS number,
     l_orderkey % 224 IN (0, 10, 127) OR (l_orderkey % 224 = 100 AND l_partkey % 256 BETWEEN 64 AND 127) OR (l_orderkey % 224 = 169 AND l_partkey % 256 = 254)
-    OR (l_orderkey % 224 = 172 AND l_partkey % 256 BETWEEN 16 AND 31) OR (l_orderkey % 224 = 192 AND l_partkey % 256 = 168) AS unsafe FROM lineitem""")
+    OR (l_orderkey % 224 = 172 AND l_partkey % 256 BETWEEN 16 AND 31) OR (l_orderkey % 224 = 192 AND l_partkey % 256 = 168) OR (l_orderkey % 224 = 198 AND l_partkey % 256 IN (18, 19))
+    OR (l_orderkey % 224 = 192 AND l_partkey % 256 = 0 AND (l_suppkey % 256 = 2 OR (l_suppkey % 256 = 0 AND l_linenumber NOT IN (9, 10))))
+    OR (l_orderkey % 224 = 198 AND l_partkey % 256 = 51 AND l_suppkey % 256 = 100) OR (l_orderkey % 224 = 203 AND l_partkey % 256 = 0 AND l_suppkey % 256 = 113) AS unsafe FROM lineitem""")
 def ip_literal_classes(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", urls.ipv4(F.concat_ws(".", F.col("l_orderkey") % 224, F.col("l_partkey") % 256, F.col("l_suppkey") % 256, "l_linenumber")).alias("number"))
     return rows.withColumn("unsafe", urls.unsafe_ipv4(F.col("number")))
 
 
+#: Notations of one host, written by hand, and whether it is unsafe.
+_HOSTS = (("2130706433", True), ("0x7f000001", True), ("017700000001", True), ("127.1", True), ("10.1", True), ("134744072", False), ("8.8.8.8", False), ("[::1]", True), ("[2606:4700::1111]", False), ("[::ffff:10.0.0.1]", True), ("[::ffff:8.8.8.8]", False), ("[fe80::1]", True), ("[2001:db8::5]", True), ("192.0.2.7", True), ("198.19.0.1", True), ("203.0.113.9", True), ("[1::2::3]", False))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % {len(_HOSTS)} IN ({', '.join(str(k) for k, (_, bad) in enumerate(_HOSTS) if bad)}) THEN 'unsafe_address' WHEN page_id % {len(_HOSTS)} = {len(_HOSTS) - 1} THEN 'dotless' END AS reason FROM pages")
+def ip_notations(spark, sf_dir):
+    host = F.get(F.array(*(F.lit(h) for h, _ in _HOSTS)), (F.col("page_id") % len(_HOSTS)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.excluded_reason(F.concat(F.lit("http://"), host, F.lit(":8080/a"))).alias("reason"))
+
+
+#: Texts around an address, and what they cite, written by hand: {} is the address.
+_CITING = (
+    ("See {}.", "{}"), ("**{}** (cf. [x]({}))", "{}"), ("`{}` and ``{}``", ""), ("a\n\n```\n{}\n~~~\n", ""), ("> ~~~\n> {}\n> ~~~\n\n{}/q", "{}/q"), ("![b]({}/i) [l]({}/j 'x')", "{}/j"),
+    ("({}/P_(s))", "{}/P_(s)"), ("{}/P_(s and", ""), ("{}/{id}/x", ""), ("[{}/label]({}/target)", "{}/target"), ('<a href="{}/h">h</a>', "{}/h"), ("<div>\n{}\n</div>\n\n<{}/auto>", "{}/auto"),
+    ("text\n\n    {}\n\nend", ""), ("- item\n    {}/li", "{}/li"), ("[r][1]\n\n[1]: {}/ref", "{}/ref"), ("| {}/cell | x |", "{}/cell"), ("[t]({}/%7Bid%7D)", ""), ("'{}/it's'", "{}/it's"), ("{}/a?x=1&amp;y=2!", "{}/a?x=1&y=2"),
+)
+
+
+@query(f"""SELECT page_id, replace(CASE page_id % {len(_CITING)} {' '.join("WHEN " + str(k) + " THEN '" + want.replace("'", "''") + "'" for k, (_, want) in enumerate(_CITING))} END, '{{}}', url) AS cited FROM pages""")
+def citations_markdown(spark, sf_dir):
+    form = F.get(F.array(*(F.lit(t) for t, _ in _CITING)), (F.col("page_id") % len(_CITING)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(extract.citations(F.replace(form, F.lit("{}"), F.col("url"))), lambda c: c["raw"]), " ").alias("cited"))
+
+
+#: Fields after an address and what canonical leaves of them, written by hand.
+_FIELDS = (("?utm_source=x&a=1", "?a=1"), ("?UTM_Medium=y", ""), ("?a=1&fbclid=2&b=%20", "?a=1&b=%20"), ("?utm%5Fid=7&c", "?c"), ("?references=1", "?references=1"), ("?b=2&b=2#top", "?b=2&b=2"), ("/#x", ""))
+
+
+@query(f"SELECT page_id, CASE page_id % {len(_FIELDS)} {' '.join(f'''WHEN {k} THEN '{want}' ''' for k, (_, want) in enumerate(_FIELDS))} END AS fields FROM pages")
+def tracker_strip(spark, sf_dir):
+    site = F.lit("https://Site.org:0/x")
+    tail = F.get(F.array(*(F.lit(t) for t, _ in _FIELDS)), (F.col("page_id") % len(_FIELDS)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(urls.canonical(F.concat(site, tail)), F.lit("https://site.org/x"), F.lit("")).alias("fields"))
+
+
 @query(f"WITH {fx.CITED_SQL} SELECT msg_id, pos, raw, url FROM cited")
 def citations_extract(spark, sf_dir):
     return capture.citations(fx.messages(spark, sf_dir)).select("msg_id", "pos", "raw", "url")
@@ -380,7 +417,7 @@ def capture_coverage(spark, sf_dir):
 def extraction_diff(spark, sf_dir):
     """Every bare address, shown or cited and with its closing punctuation, against the citations."""
     messages = fx.messages(spark, sf_dir)
-    old = messages.select("msg_id", F.array_distinct(F.regexp_extract_all("text", F.lit(urls.BARE), F.lit(0))).alias("urls"))
+    old = messages.select("msg_id", F.array_distinct(F.regexp_extract_all("text", F.lit(fx.BARE), F.lit(0))).alias("urls"))
     return coverage.extraction_diff(old, capture.citations(messages).groupBy("msg_id").agg(F.collect_set("raw").alias("urls")))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions.urls import BARE, DEFAULT, PARTS
+from provenant.functions.urls import DEFAULT, PARTS
 from provenant.sources.tables import table
 
+#: A bare address in the messages made here, where no address holds brackets.
+BARE = r"https?://[^ \t\r\n<>\"'`\[\](){}]+"
 # How a message shows or cites its page, by (conv_id + turn) % 6.
 _FORMS = (" See {}.", " [ref]({}).", " `{}`", "\n```\n{}\n```\n", " (cf. {}) and again {}, done.", "")
 
