@@ -60,11 +60,16 @@ def claim(text: Column, raw: Column) -> Column:
     return F.when(F.regexp_replace(F.concat(before, after), r"[ \t\r\n\[\]().,;:!?`]", "") != "", cut)
 
 
+def claim_rows(said: DataFrame) -> DataFrame:
+    """Citations with their text to (url, claim, first_seen, last_seen, times_seen)."""
+    links = said.select("url", "seen", claim(F.col("text"), F.col("raw")).alias("claim")).filter("claim IS NOT NULL")
+    return links.groupBy("url", "claim").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count(F.lit(1)).alias("times_seen"))
+
+
 def claim_links(cited: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per (url, claim) with first and last date and count; the first CLAIMS_PER_URL claims of a URL are kept."""
     said = cited.join(texts.select("msg_id", "text"), "msg_id") if "text" not in cited.columns else cited
-    links = said.select("url", "seen", claim(F.col("text"), F.col("raw")).alias("claim")).filter("claim IS NOT NULL").groupBy("url", "claim").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count(F.lit(1)).alias("times_seen"))
-    return links.withColumn("nth", F.row_number().over(Window.partitionBy("url").orderBy("first_seen", "claim"))).filter(F.col("nth") <= CLAIMS_PER_URL).drop("nth")
+    return claim_rows(said).withColumn("nth", F.row_number().over(Window.partitionBy("url").orderBy("first_seen", "claim"))).filter(F.col("nth") <= CLAIMS_PER_URL).drop("nth")
 
 
 def search_claims(links: DataFrame, term: str) -> DataFrame:

@@ -41,7 +41,7 @@ def repair_plan(index: DataFrame) -> DataFrame:
 
 
 def merge_rows(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows under their corrected address: earliest first, latest last, tags united."""
+    """Rows under their corrected address: earliest first, latest last, and how many were merged. Their tags are reports.merged_tags' to unite."""
     moved = index.join(plan, "url").withColumn("url", F.when(F.col("action").isin("rewrite", "merge"), F.col("corrected")).otherwise(F.col("url")))
     return moved.groupBy("url").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("merged"))
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from provenant.plans import catalog
+from provenant.plans import catalog, reports  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 
