@@ -36,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 #: Documents that the model learns from, at most, and windows from each.
 MAX_TRAIN, TRAIN_WINDOWS = 600, 4
-WIDTH, STRIDE, HIDDEN, BATCH = 576, 512, 8, 512
+WIDTH, STRIDE, HIDDEN, BATCH = 1072, 1024, 6, 512
 
 # The forms of the base spans.
 FORMS = {
