@@ -361,7 +361,7 @@ def _decode(model: Model, texts: list[np.ndarray]) -> list[np.ndarray]:
     """Tags of each text: windows of like length together, emissions averaged where they overlap, then the best tags of the whole."""
     at = [(min(WIDTH, len(c) - s), i, s) for i, c in enumerate(texts) for s in range(0, max(1, len(c) - (WIDTH - STRIDE)), STRIDE) if len(c)]
     at.sort()
-    total = [np.zeros((len(c), TAGS), np.float32) for c in texts]
+    total = [np.zeros((TAGS, len(c)), np.float32).T for c in texts]
     run, blank = model.fast(), 14 + _SIGNS.index(" ")
     for k in range(0, len(at), BATCH):
         some = at[k : k + BATCH]
