@@ -171,4 +171,3 @@ def change_notes(spark, sf_dir):
     fresh = F.when(d % 5 == 2, F.array(value(0), value(1))).when(d % 5 == 3, F.array(value(2))).otherwise(F.array(value(0)))
     size = reports.change_size(stored, F.when(d % 5 == 0, "other").otherwise("now"), fresh, "now")
     return table(spark, sf_dir, "documents").select("doc_id", reports.overlap_note(size).alias("note"))
-

@@ -46,8 +46,8 @@ def test_an_empty_stream(spark, tmp_path):
 
 def test_claims_are_refused_at_the_cap(spark):
     first, more = batch(spark, 40), batch(spark, 70)
-    old = streaming.fold_claims(None, first, 3)
-    new = streaming.fold_claims(old, more, 3)
+    old = streaming.claims(3)(None, first)
+    new = streaming.claims(3)(old, more)
     assert max(r["count"] for r in new.groupBy("url").count().collect()) == 3
     keys = lambda df: {(r["url"], r["claim"]) for r in df.collect()}
     assert keys(old) == keys(new) and new.agg(F.sum("times_seen")).first()[0] > old.agg(F.sum("times_seen")).first()[0]
