@@ -37,7 +37,9 @@ _SPACE = re.compile(r"\s+")
 
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math select button".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+#: Passed over with all they hold where they are closed; where they are not, only their tag is. Those of the second list can't stand inside themselves.
+PASSED, SINGLE = frozenset("noscript template svg math select button".split()), frozenset("noscript select button".split())
 BLOCK = frozenset(
     "html head body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend "
     "blockquote pre figure figcaption details summary dialog address hgroup center menu search".split()
@@ -67,12 +69,27 @@ class Node:
     linked: int = 0
 
 
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where each element of this tag that is closed starts and ends: one pass, whatever is left open."""
+    ends, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", page, re.IGNORECASE):
+        if m[1]:
+            if open_:
+                ends[open_.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            if tag in SINGLE:
+                open_.clear()
+            open_.append(m.start())
+    return ends
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes in page order, text blocks with the number of their node). The root is node 0; parents come before children."""
     page = page or ""
     nodes, blocks, piece = [Node("#root", -1)], [], []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones carry the node that they are in
     links, at = 0, 0
+    closed: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         if piece:
@@ -120,9 +137,12 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     pop(i)
                     break
             continue
+        if tag in PASSED:
+            if tag not in closed:
+                closed[tag] = _closed(page, tag)
+            at = closed[tag].get(m.start(), at)
+            continue
         if tag in RAW:
-            if tag in ("svg", "math", "select", "button") and m[3].endswith("/"):
-                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -258,7 +278,11 @@ def learn(pages: DataFrame, html_col: str = "html", max_train: int = MAX_TRAIN)
 
 
 def extractor(model: Model):
-    """A column function: html -> main text; null and empty pages give an empty text."""
+    """A column function: html -> main text; null and empty pages give an empty text.
+
+    Each row is read by itself: repeated rows fare alike, other columns play no
+    part, and an empty table gives an empty result.
+    """
 
     @F.pandas_udf(T.StringType())
     def extract(page: pd.Series) -> pd.Series:

@@ -136,24 +136,39 @@ def test_substring_dedup(spark):
     assert none[None]["n_removed"] == 0
 
 
+def line_brute(rows):
+    """What is left of each document: a line goes when it and a neighbour were seen before."""
+    seen, out = set(), {}
+    for i, text in sorted(r for r in rows if r[0] is not None):
+        lines, gone = text.split("\n") if text else [], set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            gone |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        out[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
 def test_line_dedup(spark):
     block = "\n".join(f"line {k} of a block" for k in range(12))
-    rows = [(1, "head\n" + block), (2, "other\nhead lines\n" + block + "\ntail"), (3, "single"), (4, None), (5, ""), (None, block), (6, "x\ny\nz")]
+    rows = [(1, "head\n" + block), (2, "other\nhead lines\n" + block + "\ntail"), (3, "single"), (4, None), (5, ""), (None, block), (6, "x\ny\nz"), (7, "\n" * 300), (8, "\n".join(["x", "y"] * 200)), (9, "é\nß\n" * 3 + block)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
-    seen, want = collections.Counter(), {}
-    for i, t in sorted(r for r in rows if r[0] is not None):
-        lines, gone = (t or "").split("\n") if t else [], set()
-        for s, n in line_dedup.chunks(t):
-            body = "\n".join(lines[s : s + n])
-            if n > 1 and seen[body]:
-                gone.update(range(s, s + n))
-            seen[body] += n > 1
-        want[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    want = line_brute(rows)
     assert {i: tuple(out[i])[1:] for i in want} == want
     assert out[2]["n_removed"] > 4 and out[None]["n_removed"] == 0 and line_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_chunk_boundaries_resist_shifts():
+    lines = [f"line {k * k % 97} of a text".encode() for k in range(400)]
+    ends = lambda got, shift: {s + n - shift for s, n in line_dedup.chunks(got)}
+    here = ends(lines, 0)
+    assert sum(n for _, n in line_dedup.chunks(lines)) == 400 and 60 < len(here) < 200
+    for shift in (1, 3, 17):
+        moved = ends([b"new %d" % k for k in range(shift)] + lines, shift)
+        assert len(here - moved) <= 1 and len({e for e in moved - here if e > 0}) <= 1
+    assert max(n for _, n in line_dedup.chunks([b"same"] * 500)) <= line_dedup.MOST
+
+
 def test_line_dedup_removes_every_repeated_run(spark):
     rng = np.random.default_rng(5)
     passages = [[f"line {p}.{k}" for k in range(2 + p % 6)] for p in range(40)]
@@ -165,13 +180,7 @@ def test_line_dedup_removes_every_repeated_run(spark):
             lines[at:at] = passages[p]
         rows.append((i, "\n".join(lines)))
     rows.append((150, "\n".join(["same"] * 7 + ["end"])))
-    seen, want = set(), {}
-    for i, text in rows:
-        lines, gone = text.split("\n"), set()
-        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
-            gone |= {k, k + 1} if pair in seen else set()
-            seen.add(pair)
-        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    want = {i: kept for i, (_, _, kept) in line_brute(rows).items()}
     kept = {r["doc_id"]: r["kept"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == want and kept[150] == "same\nend"
     assert {x for t in kept.values() for x in t.split("\n")} == {x for _, t in rows for x in t.split("\n")}
@@ -374,6 +383,37 @@ def test_pages_of_other_forms():
     assert html_extraction.main_text(model, body) == "T & U\nOne bold word.\nTwo ’ here and there"
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "noscript", "svg", "math", "template"])
+def test_an_element_left_open_swallows_no_text(tag):
+    model = html_extraction.train([])
+    page = lambda inside: f"<body><article><h1>Title of it</h1><p>First paragraph of the article, long enough.</p>{inside}<p>Second paragraph of the article, also long.</p></article></body>"
+    want = "Title of it\nFirst paragraph of the article, long enough.\nSecond paragraph of the article, also long."
+    assert html_extraction.main_text(model, page(f"<{tag}>")) == html_extraction.main_text(model, page(f"<{tag} class='x'>" * 3)) == want
+    assert html_extraction.main_text(model, page(f"<{tag}>inside<i>more</i></{tag}>")) == html_extraction.main_text(model, page(f"<{tag}/>")) == want
+    closed_later = page(f"<{tag}>").replace("</body>", f"<{tag}>late</{tag}></body>")
+    assert html_extraction.main_text(model, closed_later) == want
+
+
+def test_many_open_elements_are_read_in_linear_time():
+    import time
+
+    began = time.time()
+    html_extraction.parse("<body>" + "<button>a<svg>b" * 40_000)
+    assert time.time() - began < 5
+
+
+def test_pages_with_awkward_rows(spark):
+    model = html_extraction.train([])
+    page = "<body><article><h1>Title</h1><p>A paragraph of words that is long enough to count.</p></article></body>"
+    df = spark.createDataFrame([(1, page, "t", 5), (1, page, "t", 5), (None, page, None, None), (2, None, "x", 1), (3, " ", "x", 1), (4, page.replace("words", "words " * 50_000), "y", 2)], "page_id long, html string, text string, `n.chars` int")
+    out = df.withColumn("main", html_extraction.extractor(model)("html"))
+    got = sorted(((r["page_id"], len(r["main"])) for r in out.collect()), key=repr)
+    n = len("Title\nA paragraph of words that is long enough to count.")
+    assert got == sorted([(1, n), (1, n), (None, n), (2, 0), (3, 0), (4, n + 6 * 49_999)], key=repr)
+    assert df.limit(0).withColumn("main", html_extraction.extractor(model)("html")).collect() == []
+    assert html_extraction.learn(df.select("html").limit(0)).weights
+
+
 def test_tree_marginals_are_exact():
     nodes, _ = html_extraction.parse("<body><div><p>a</p><p>b c d</p></div><ul><li>x</li></ul></body>")
     model = html_extraction.train([])
