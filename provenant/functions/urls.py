@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: The generic syntax of RFC 3986, appendix B, with a required scheme and authority.
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
-#: Control sequences (ECMA-48): with parameters to a final letter, strings to a bell or a string terminator, and other pairs.
-ANSI = "\x1b(?:\\[[^@-~]*[@-~]|\\].*?(?:\x07|\x1b\\\\)|[^\\[\\]])"
+#: Control sequences (ECMA-48): introducer, parameter and intermediate bytes and a final byte; strings up to a bell or terminator, and never past the next escape; and other pairs.
+ANSI = "\x1b(?:\\[[\x30-\x3f]*[\x20-\x2f]*[\x40-\x7e]|\\][^\x07\x1b]*(?:\x07|\x1b\\\\)|[\x40-\x5a\\x5c-\\x5f])"
 
 
 @dataclass(frozen=True)
@@ -143,20 +143,21 @@ def unsafe_ipv6(groups: Column) -> Column:
 
 def excluded_reason(url: Column, rules: Rules = DEFAULT) -> Column:
     """Why a URL is no source, by the first rule that holds; null for a source."""
-    return _let(F.struct(host(url).alias("name"), path(url).alias("path")), lambda p: _reason(p["name"], p["path"], rules))
+    # Only what begins like a literal address is read as one, and once.
+    address = lambda name: F.when(name.rlike(r"^[0-9\[]"), F.struct(ipv4(name).alias("four"), ipv6(name).alias("six")))
+    return _let(F.struct(host(url).alias("name"), path(url).alias("path")), lambda p: _let(address(p["name"]), lambda a: _reason(p["name"], p["path"], a["four"], a["six"], rules)))
 
 
-def _reason(name: Column, where: Column, rules: Rules) -> Column:
+def _reason(name: Column, where: Column, number: Column, groups: Column, rules: Rules) -> Column:
     reserved = F.substring_index(name, ".", -1).isin(*rules.reserved_tlds)
     for domain in rules.reserved_domains:
         reserved = reserved | (name == domain) | name.endswith("." + domain)
     asset = F.lower(where).rlike("(" + "|".join("\\" + a for a in rules.assets) + ")$") & ~F.lower(where).rlike("/(" + "|".join(rules.page_words) + ")/")
-    number, groups = ipv4(name), ipv6(name)
     return (
         F.when(name.isNull(), "no_host").when(name.isin(*rules.exact_hosts), "exact_host").when(name.isin(*rules.infra_hosts), "infra_host").when(name.endswith(rules.private_suffix), "private_suffix")
         .when(reserved, "reserved_name").when(asset, "asset").when(name.isin(*rules.doi_hosts) & ~where.rlike(r"^/10\.\d{4,9}/\S+$"), "malformed_doi")
         .when(number.isNull() & groups.isNull() & ~name.contains("."), "dotless").when(number.isNull() & groups.isNull() & ~lookup_name(name), "no_name")
-        .when(_let(number, unsafe_ipv4) | _let(groups, unsafe_ipv6), "unsafe_address")
+        .when(unsafe_ipv4(number) | unsafe_ipv6(groups), "unsafe_address")
     )
 
 

@@ -108,6 +108,11 @@ def sketches(units: DataFrame, key: str, digest: str = "digest", size: int = SKE
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list("v")).alias("sketch"))
 
 
+def sketch_of(digests: Column, size: int = SKETCH) -> Column:
+    """The same sketch of digests that stand in one row as an array, without a shuffle."""
+    return F.slice(F.array_sort(F.array_distinct(F.transform(digests, lambda d: F.substring(d, 1, 16)))), 1, size)
+
+
 def similarity(a: Column, b: Column, size: int = SKETCH) -> Column:
     """Jaccard: exact where both sketches hold all, else over the smallest of their union. Null without two sketches: never 0."""
     union = F.array_sort(F.array_union(a, b))

@@ -242,8 +242,8 @@ _SKETCH_SQL = "t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM do
 
 
 def _word_sketches(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    return content.sketches(words.select("doc_id", F.sha2("w", 256).alias("digest")), "doc_id")
+    digests = F.transform(F.split("text", " "), lambda w: F.sha2(w.cast("binary"), 256))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", content.sketch_of(digests).alias("sketch"))
 
 
 @query(f"WITH {_SKETCH_SQL} SELECT doc_id, array_to_string(sketch, ',') AS sketch FROM sk")
