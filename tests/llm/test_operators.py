@@ -525,7 +525,7 @@ def test_model_finds_held_out_variants(spark):
             found += sum(any(s[0] == k and s[1] <= a + 2 and b - 2 <= s[2] for s in wide) for k, a, b in spans)
             total, right, all_found = total + len(spans), right + sum(map(near, wide)), all_found + len(wide)
         figures[forms] = (found / total, right / all_found, total)
-    assert figures["known"][0] > 0.9 and figures["known"][1] > 0.9 and figures["kept"][0] > 0.5, figures
+    assert figures["known"][0] > 0.9 and figures["known"][1] > 0.9 and figures["kept"][0] >= 0.9 and figures["kept"][1] > 0.9, figures
 
 
 def test_fast_emissions_are_those_of_training():
@@ -544,6 +544,15 @@ def test_no_slices_of_digit_runs():
                         assert not (text[e : e + 1].isdigit() and text[e - 1].isdigit()) and not (s and text[s - 1].isdigit() and text[s].isdigit()), (text, text[s:e])
 
 
+def test_digits_beside_a_number_are_no_part_of_it():
+    for kind, piece, line in (("phone", "(555) 123-4567", "flat 12 (555) 123-4567 now"), ("phone", "555-123-4567", "room 12 555-123-4567, 3 pm"), ("ip", "8[.]8[.]4[.]4", "host 7 8[.]8[.]4[.]4 2"), ("card", "4111/1111/1111/1111", "no 5: 4111/1111/1111/1111 12"), ("email", "a_at_b_dot_org", "mail a_at_b_dot_org")):
+        at = line.index(piece)
+        assert pii.plausible(pii.KINDS.index(kind), line, at, at + len(piece)), line
+    for kind, piece, line in (("phone", "555 123 4567", "12 555 123 4567"), ("phone", "555-123-4567", "1-555-123-4567-9"), ("card", "4111 1111 1111 1111", "4111 1111 1111 1111 2222"), ("ip", "1.2.3.4", "1.2.3.4.5"), ("phone", "(555) 123 4567", "1 (555) 123 4567 7")):
+        at = line.index(piece)
+        assert not pii.plausible(pii.KINDS.index(kind), line, at, at + len(piece)), line
+
+
 def test_pruned_decoding_equals_viterbi_over_the_whole():
     rng = np.random.default_rng(12)
     for _ in range(30):
