@@ -16,6 +16,8 @@ from provenant.operators import coverage
 SKETCH, SAME, GATE_CHARS = 128, 0.80, 800
 #: How stable sketches are cut; one stored under another tag can't be compared.
 STABLE_ALGO = "agreed-chunks-kmv128"
+#: The same for sketches of whole pages.
+CONTENT_ALGO = "chunks-kmv128"
 _MIN_CHUNK, _MAX_CHUNK, _LOW_BITS = 16, 1024, 6
 #: Chunks of one Arrow batch; a longer body goes over several.
 BATCH_CHUNKS = 65_536
@@ -172,13 +174,24 @@ def verdicts(index: DataFrame, reads: DataFrame, agreed: DataFrame | None = None
     return both.select("url", verdict.alias("verdict"))
 
 
-def verify(index: DataFrame, reads: DataFrame) -> DataFrame:
-    """(url, verdict, sketch) of index (url, content_hash, stable_sketch, stable_algo, and hash_bytes, hash_truncated) after two whole reads (url, read_no, status, body, and complete).
+def change_size(stored: Column, algo: Column, fresh: Column, current: str) -> Column:
+    """Similarity of a changed page to what is stored; null where either sketch is absent, malformed, or made by another algorithm."""
+    good = lambda s: F.when((F.size(s) > 0) & F.forall(s, lambda x: F.coalesce(x.rlike("^[0-9a-f]{16}$"), F.lit(False))), s)
+    return F.when(algo.eqNullSafe(F.lit(current)), similarity(good(stored), good(fresh)))
+
 
-    url is unique in index, and (url, read_no) in reads. Only pages whose two
-    good reads differ from the stored digest and from each other are chunked;
-    sketch is what a stable_baseline or stable_rebaselined page is to store.
+def verify(index: DataFrame, reads: DataFrame) -> DataFrame:
+    """(url, verdict, sketch, content_sketch, similarity) of index after two whole reads (url, read_no, status, body, and complete).
+
+    index (url, content_hash, stable_sketch, stable_algo, and hash_bytes,
+    hash_truncated, content_sketch, content_sketch_algo where it has them). url
+    is unique in index, and (url, read_no) in reads. sketch is what a
+    stable_baseline or stable_rebaselined page is to store, content_sketch what
+    an unchanged page without one is to store, and similarity the size of a
+    change, null where nothing comparable is stored. Only pages for which one of
+    these is asked are chunked.
     """
+    known = _with(index, content_sketch=F.lit(None).cast("array<string>"), content_sketch_algo=F.lit(None).cast("string"))
     scoped = page_reads(reads, index)
     good = scoped.filter(outcome(F.col("status")) == "ok").select("url", "read_no", "digest")
     one, two = (good.filter(F.col("read_no") == k).select("url", F.col("digest").alias(f"d{k}")) for k in (1, 2))
@@ -186,8 +199,14 @@ def verify(index: DataFrame, reads: DataFrame) -> DataFrame:
     pairs = scoped.select("url", "read_no", "body").join(unlike, "url", "left_semi")
     units = [chunks(pairs.filter(F.col("read_no") == k)).withColumn("read_no", F.lit(k)) for k in (1, 2)]
     sketched = sketches(coverage.agreed_units(units[0].unionByName(units[1])), "url")
-    judged = verdicts(index, scoped.drop("body"), sketched)
-    return judged.join(sketched, "url", "left").select("url", "verdict", F.when(F.col("verdict").isin("stable_baseline", "stable_rebaselined"), F.col("sketch")).alias("sketch"))
+    judged = verdicts(index, scoped.drop("body"), sketched).join(known.select("url", "content_sketch", "content_sketch_algo"), "url")
+    asked = judged.filter(((F.col("verdict") == "unchanged") & F.col("content_sketch").isNull()) | ((F.col("verdict") == "changed") & F.col("content_sketch_algo").eqNullSafe(F.lit(CONTENT_ALGO)) & F.col("content_sketch").isNotNull()))
+    whole = sketches(chunks(scoped.filter("read_no = 1").select("url", "body").join(asked.select("url"), "url", "left_semi")), "url").withColumnRenamed("sketch", "fresh")
+    when = lambda verdict, value: F.when(F.col("verdict").isin(*verdict), value)
+    size = change_size(F.col("content_sketch"), F.col("content_sketch_algo"), F.col("fresh"), CONTENT_ALGO)
+    return judged.join(sketched, "url", "left").join(whole, "url", "left").select(
+        "url", "verdict", when(("stable_baseline", "stable_rebaselined"), F.col("sketch")).alias("sketch"), when(("unchanged",), F.col("fresh")).alias("content_sketch"), when(("changed",), size).alias("similarity")
+    )
 
 
 def title(body: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenant.functions import align
+
 AGREE = 0.90
 
 
@@ -31,24 +35,39 @@ def extraction_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff.agg(F.count(F.lit(1)).alias("messages"), F.count_if((F.size("old_only") > 0) | (F.size("new_only") > 0)).alias("changed"), total(F.size("old_only")).alias("lost"), total(F.size("new_only")).alias("gained"), total(shorter).alias("shortened"))
 
 
+_JOINED = "url string, digest string, nbytes long, joined boolean"
+
+
+def _align(rows: pd.DataFrame) -> pd.DataFrame:
+    """The units of a page's first read and whether the second has them in the same order; and a row without unit, so that every page has one."""
+    rows = rows.sort_values("ord", kind="stable")
+    one, two = (rows[rows["read_no"] == k] for k in (1, 2))
+    joined = np.zeros(len(one) + 1, dtype=bool)
+    joined[[i for i, _ in align.aligned(one["digest"].tolist(), two["digest"].tolist())]] = True
+    return pd.DataFrame({"url": rows["url"].iat[0], "digest": [*one["digest"], None], "nbytes": [*one["nbytes"].astype("int64"), 0], "joined": joined})
+
+
 def _met(units: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("url", "read_no", "digest").orderBy("ord"))
-    return units.withColumn("nth", nth).groupBy("url", "digest", "nth").agg(F.max(F.when(F.col("read_no") == 1, F.col("nbytes"))).alias("one"), F.max(F.when(F.col("read_no") == 2, F.col("nbytes"))).alias("two"))
+    """units (url, read_no, ord, digest, nbytes) of two reads, aligned as sequences: a unit that moved before or behind others is not joined.
+
+    The alignment is a longest common subsequence of the two reads of one page,
+    which come to one task; units are small beside the page that they are cut from.
+    """
+    return units.select("url", "read_no", "ord", "digest", "nbytes").groupBy("url").applyInPandas(_align, _JOINED)
 
 
 def agreed_units(units: DataFrame, least: float = AGREE) -> DataFrame:
-    """(url, digest) of the units that both reads have, where these hold at least least of the first read's bytes."""
+    """(url, digest) of the units that both reads have in the same order, where these hold at least least of the first read's bytes."""
     met = _met(units)
-    kept = F.sum(F.when(F.col("two").isNotNull(), F.col("one")))
-    enough = met.groupBy("url").agg(kept.alias("kept"), F.sum("one").alias("total")).filter((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least)).select("url")
-    return met.filter("one IS NOT NULL AND two IS NOT NULL").select("url", "digest").join(enough, "url")
+    kept = met.groupBy("url").agg(F.sum(F.when(F.col("joined"), F.col("nbytes"))).alias("kept"), F.sum("nbytes").alias("total"), F.collect_set(F.when(F.col("joined"), F.col("digest"))).alias("digests"))
+    return kept.filter((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least)).select("url", F.explode("digests").alias("digest"))
 
 
 def agreed(units: DataFrame, least: float = AGREE) -> DataFrame:
-    """units (url, read_no, ord, digest, nbytes) of two reads to (url, kept, total, agreed): the n-th unit of a digest in one read agrees with its n-th in the other.
+    """(url, kept, total, agreed) of two reads: the bytes of the first read, and of its units that the second has in the same order.
 
-    total is the larger read; agreed is null below least, for then there is no agreed set to compare.
+    agreed is null below least and for an empty first read, for then there is
+    no agreed set to compare.
     """
-    sums = _met(units).groupBy("url").agg(*(F.coalesce(F.sum(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("one", "two")), F.coalesce(F.sum(F.when(F.col("two").isNotNull(), F.col("one"))).cast("long"), F.lit(0).cast("long")).alias("kept"))
-    total = F.greatest("one", "two")
-    return sums.select("url", "kept", total.alias("total"), F.when(F.col("kept") >= total * least, True).alias("agreed"))
+    sums = _met(units).groupBy("url").agg(F.coalesce(F.sum(F.when(F.col("joined"), F.col("nbytes"))), F.lit(0).cast("long")).alias("kept"), F.sum("nbytes").alias("total"))
+    return sums.select("url", "kept", "total", F.when((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least), True).alias("agreed"))

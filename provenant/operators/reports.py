@@ -148,12 +148,6 @@ def overlap_note(similarity: Column) -> Column:
     return F.when(similarity.isNull(), "size unknown").when(similarity >= 1.0, "no resolvable difference").otherwise(F.concat(F.round(similarity * 100).cast("int"), F.lit("% shared")))
 
 
-def change_size(stored: Column, algo: Column, fresh: Column, current: str) -> Column:
-    """Similarity of a changed page to what is stored; null where either sketch is absent, malformed, or made by another algorithm."""
-    good = lambda s: F.when((F.size(s) > 0) & F.forall(s, lambda x: F.coalesce(x.rlike("^[0-9a-f]{16}$"), F.lit(False))), s)
-    return F.when(algo.eqNullSafe(F.lit(current)), content.similarity(good(stored), good(fresh)))
-
-
 def with_line(extra: Column, name: str, value: Column) -> Column:
     """Free text with its line "name: value" replaced or added at the end; all other lines stay."""
     lines = F.filter(F.split(F.coalesce(extra, F.lit("")), "\n"), lambda line: ~line.startswith(name + ":"))

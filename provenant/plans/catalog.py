@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import extract, stamps, urls
-from provenant.operators import capture, content, coverage, delta, gates, incidents, ledger, upkeep
+from provenant.operators import capture, content, coverage, delta, gates, incidents, ledger, reports, upkeep
 from provenant.plans import fixtures as fx
 from provenant.sources.tables import of_host, table
 from provenant.streaming import index as streaming
@@ -280,15 +280,33 @@ def verify_verdicts(spark, sf_dir):
     return content.verdicts(stored, content.page_reads(fx.reads(spark, sf_dir)))
 
 
-@query()
-def verify_verdicts_full(spark, sf_dir):
-    """As verify_verdicts, with stable sketches by page_id % 16: 9 of the page itself, 1 of its text backwards, 5 of an older kind; the others have none. Addresses are made unique by page."""
+def _verified(spark, sf_dir):
+    """Stable sketches by page_id % 16: 9 of the page itself, 1 of its text backwards, 5 of an older kind; the others have none. So have content sketches: by page_id % 8, 3 of the page, 7 of its text backwards. Addresses are made unique by page."""
     p, unique = F.col("page_id"), F.concat("url", F.lit("#"), "page_id")
-    pages = table(spark, sf_dir, "pages").select(unique.alias("url"), F.when(p % 16 == 1, F.reverse("html")).otherwise(F.col("html")).alias("body"), p).filter((p % 16).isin(1, 5, 9))
-    stable = content.sketches(content.chunks(pages), "url").withColumnRenamed("sketch", "stable_sketch")
-    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select(unique.alias("url"), F.when(p % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"))
+    given = table(spark, sf_dir, "pages").select(unique.alias("url"), "html", p)
+    bodies = lambda chosen, turned: content.sketches(content.chunks(given.filter(chosen).select("url", F.when(turned, F.reverse("html")).otherwise(F.col("html")).alias("body"))), "url")
+    stable = bodies((p % 16).isin(1, 5, 9), p % 16 == 1).withColumnRenamed("sketch", "stable_sketch")
+    whole = bodies((p % 8).isin(3, 7), p % 8 == 7).withColumnRenamed("sketch", "content_sketch")
+    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select(unique.alias("url"), F.when(p % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"), F.lit(content.CONTENT_ALGO).alias("content_sketch_algo"))
     reads = fx.reads(spark, sf_dir).select(unique.alias("url"), "read_no", "status", "body")
-    return content.verify(stored.join(stable, "url", "left"), reads).withColumn("sketch", F.array_join("sketch", ","))
+    return content.verify(stored.join(stable, "url", "left").join(whole, "url", "left"), reads)
+
+
+@query()
+def verify_verdicts_full(spark, sf_dir):
+    return _verified(spark, sf_dir).select("url", "verdict", F.array_join("sketch", ",").alias("sketch"), F.array_join("content_sketch", ",").alias("content_sketch"), "similarity")
+
+
+@query(f"""WITH {fx.I_SQL}, {fx.R_SQL}, h AS (SELECT page_id, read_no, {fx.OUTCOME_SQL} AS o FROM r)
+    SELECT concat(i.url, '#', i.page_id) AS url, CASE WHEN o <> 'ok' THEN o WHEN i.page_id % 2 = 0 THEN 'unchanged' WHEN i.page_id % 4 = 3 THEN 'changed'
+        ELSE CASE i.page_id % 16 WHEN 9 THEN 'stable_unchanged' WHEN 1 THEN 'stable_changed' WHEN 5 THEN 'stable_rebaselined' ELSE 'stable_baseline' END END AS verdict,
+        o = 'ok' AND i.page_id % 2 = 1 AND i.page_id % 16 IN (5, 13) AS has_sketch, o = 'ok' AND i.page_id % 2 = 0 AS has_content_sketch,
+        CASE WHEN o = 'ok' AND i.page_id % 8 = 3 THEN 'no resolvable difference' WHEN o = 'ok' AND i.page_id % 8 = 7 THEN 'less than half shared' ELSE 'size unknown' END AS note
+    FROM i JOIN h ON h.page_id = i.page_id AND read_no = 1 WHERE content_hash IS NOT NULL""")
+def verify_states(spark, sf_dir):
+    """Every verdict by the form of its page, written by hand; what is to be stored, and the size of a change."""
+    note = F.when(F.col("similarity") < 0.5, "less than half shared").otherwise(reports.overlap_note(F.col("similarity")))
+    return _verified(spark, sf_dir).select("url", "verdict", F.col("sketch").isNotNull().alias("has_sketch"), F.col("content_sketch").isNotNull().alias("has_content_sketch"), note.alias("note"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmid' ELSE 'repo' END AS scheme, CASE l_linenumber % 4 WHEN 0 THEN concat('10.1000/', l_partkey) WHEN 1 THEN concat('2401.', 10000 + l_partkey % 10000) WHEN 2 THEN concat('', l_partkey) ELSE concat('o', l_suppkey, '/r', l_partkey) END AS id FROM lineitem")
@@ -421,12 +439,13 @@ def extraction_diff(spark, sf_dir):
     return coverage.extraction_diff(old, capture.citations(messages).groupBy("msg_id").agg(F.collect_set("raw").alias("urls")))
 
 
-@query(f"""WITH {fx.R_SQL}, w AS (SELECT url, read_no, unnest(string_split(body, ' ')) AS w FROM r), n AS (SELECT url, w, octet_length(encode(w)) AS b, count(*) FILTER (read_no = 1) AS a1, count(*) FILTER (read_no = 2) AS a2 FROM w GROUP BY url, w),
-    s AS (SELECT url, CAST(sum(b * least(a1, a2)) AS BIGINT) AS kept, CAST(greatest(sum(b * a1), sum(b * a2)) AS BIGINT) AS total FROM n GROUP BY url)
+@query("""WITH p AS (SELECT concat(url, '#', page_id) AS url, page_id % 4 AS form, string_split(html, ' ') AS a, string_split(substr(html, 1, 900), ' ') AS b FROM pages),
+    k AS (SELECT url, a, CASE form WHEN 1 THEN a[:len(a) - 1] WHEN 2 THEN b[:len(b) - 1] || CASE WHEN list_contains(a[len(b):], b[len(b)]) THEN [b[len(b)]] ELSE [] END ELSE a END AS kept FROM p),
+    s AS (SELECT url, CAST(coalesce(list_sum(list_transform(kept, lambda w: octet_length(encode(w)))), 0) AS BIGINT) AS kept, CAST(list_sum(list_transform(a, lambda w: octet_length(encode(w)))) AS BIGINT) AS total FROM k)
     SELECT *, CASE WHEN kept >= total * CAST(0.9 AS DOUBLE) THEN true END AS agreed FROM s""")
 def reads_agreed(spark, sf_dir):
-    """The words of two reads of a page stand for their chunks."""
-    words = fx.reads(spark, sf_dir).select("url", "read_no", F.posexplode(F.split("body", " ")).alias("ord", "w"))
+    """The words of two reads of a page stand for their chunks; the second has words at its end that are new every time, or stops early, perhaps inside a word."""
+    words = fx.reads(spark, sf_dir).select(F.concat("url", F.lit("#"), "page_id").alias("url"), "read_no", F.posexplode(F.split("body", " ")).alias("ord", "w"))
     return coverage.agreed(words.select("url", "read_no", "ord", F.col("w").alias("digest"), F.octet_length("w").alias("nbytes")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenant.operators import reports, upkeep
+from provenant.operators import content, reports, upkeep
 from provenant.plans import fixtures as fx
 from provenant.plans.catalog import query
 from provenant.sources.tables import table
@@ -169,5 +169,5 @@ def change_notes(spark, sf_dir):
     value = lambda k: F.lpad(F.lower(F.hex(d * 4 + k)), 16, "0")
     stored = F.when(d % 5 == 4, F.array(F.lit("xyz"))).otherwise(F.array(value(0)))
     fresh = F.when(d % 5 == 2, F.array(value(0), value(1))).when(d % 5 == 3, F.array(value(2))).otherwise(F.array(value(0)))
-    size = reports.change_size(stored, F.when(d % 5 == 0, "other").otherwise("now"), fresh, "now")
+    size = content.change_size(stored, F.when(d % 5 == 0, "other").otherwise("now"), fresh, "now")
     return table(spark, sf_dir, "documents").select("doc_id", reports.overlap_note(size).alias("note"))

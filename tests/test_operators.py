@@ -5,10 +5,11 @@ import hashlib
 import random
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from provenant.functions import stamps, urls
+from provenant.functions import align, stamps, urls
 from provenant.operators import capture, content, coverage, delta, gates, incidents, ledger, upkeep
 from provenant.sources import tables
 
@@ -249,7 +250,57 @@ def test_extraction_diff(spark):
 def test_agreed_counts_repeats(spark):
     rows = [("u", r, k, d, 10) for r, ds in ((1, "aab"), (2, "abbb")) for k, d in enumerate(ds)] + [("v", r, k, "x", 1) for r in (1, 2) for k in range(3)]
     got = {r["url"]: (r["kept"], r["total"], r["agreed"]) for r in coverage.agreed(spark.createDataFrame(rows, "url string, read_no int, ord int, digest string, nbytes int")).collect()}
-    assert got == {"u": (20, 40, None), "v": (3, 3, True)}
+    assert got == {"u": (20, 30, None), "v": (3, 3, True)}
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = np.random.default_rng(4)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for kinds in (1, 2, 6, 50):
+        for _ in range(40):
+            a, b = (rng.integers(0, kinds, int(rng.integers(0, 160))).tolist() for _ in range(2))
+            found = align.aligned(a, b)
+            assert all(a[i] == b[j] for i, j in found) and len(found) == longest(a, b)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+    long = rng.integers(0, 3, 30_000).tolist()
+    assert len(align.aligned(long, long[:9000] + [7] * 50 + long[9000:])) == 30_000
+
+
+def test_moved_blocks_do_not_agree(spark):
+    parts = [f"unit {k}" for k in range(100)]
+    forms = {"same": parts, "moved": parts[60:] + parts[:60], "swapped": [parts[1], parts[0], *parts[2:]], "nonce": parts[:50] + ["x"] + parts[51:], "empty": [], "second only": None}
+    rows = [(u, r, k, d, 10) for u, second in forms.items() for r, ds in ((1, parts if second is not None else []), (2, parts if second is None else second)) for k, d in enumerate(ds)]
+    units = spark.createDataFrame(rows, "url string, read_no int, ord int, digest string, nbytes int")
+    got = {r["url"]: (r["kept"], r["total"], r["agreed"]) for r in coverage.agreed(units).collect()}
+    assert got == {"same": (1000, 1000, True), "moved": (600, 1000, None), "swapped": (990, 1000, True), "nonce": (990, 1000, True), "empty": (0, 1000, None), "second only": (0, 0, None)}
+    kept = {r["url"]: r["n"] for r in coverage.agreed_units(units).groupBy("url").agg(F.count("*").alias("n")).collect()}
+    assert kept == {"same": 100, "swapped": 99, "nonce": 99}
+
+
+def test_verify_stores_what_is_missing_and_sizes_a_change(spark):
+    rng = np.random.default_rng(8)
+    body = lambda k: bytes(rng.integers(0, 256, 20_000, dtype=np.uint8)) if k else b""
+    page, other = body(1), body(1)
+    near = page[:9000] + b"one word more" + page[9000:]
+    sketch = {k: r["sketch"] for k, r in ((r["url"], r) for r in content.sketches(content.chunks(spark.createDataFrame([("p", page), ("o", other)], "url string, body binary")), "url").collect())}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    index = [("kept", sha(page), None, None), ("has", sha(page), sketch["p"], content.CONTENT_ALGO), ("near", sha(page), sketch["p"], content.CONTENT_ALGO), ("far", sha(page), sketch["o"], content.CONTENT_ALGO), ("older", sha(page), sketch["p"], "v0"), ("bad", sha(page), ["xyz"], content.CONTENT_ALGO), ("none", sha(page), None, None)]
+    now = {"kept": page, "has": page}
+    reads = [(u, r, 200, now.get(u, near)) for u, *_ in index for r in (1, 2)]
+    stored = spark.createDataFrame(index, "url string, content_hash string, content_sketch array<string>, content_sketch_algo string").withColumn("stable_sketch", F.lit(None).cast("array<string>")).withColumn("stable_algo", F.lit(None).cast("string"))
+    got = {r["url"]: r for r in content.verify(stored, spark.createDataFrame(reads, "url string, read_no int, status int, body binary")).collect()}
+    assert {u: r["verdict"] for u, r in got.items()} == {u: "unchanged" if u in now else "changed" for u, *_ in index}
+    assert got["kept"]["content_sketch"] == sketch["p"] and got["has"]["content_sketch"] is None
+    assert got["near"]["similarity"] > 0.9 and got["far"]["similarity"] < 0.1 and [got[u]["similarity"] for u in ("older", "bad", "none", "kept")] == [None] * 4
 
 
 def test_correction_never_invents_an_address(spark):
