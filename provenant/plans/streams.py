@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provenant.operators import health
 from provenant.plans import fixtures as fx
 from provenant.plans.catalog import query
+from provenant.sources.counted import land, report
+from provenant.sources.logs import read_log
 from provenant.sources.tables import table
 from provenant.streaming import stateful
 from provenant.streaming.buckets import Buckets, newest
@@ -70,3 +73,39 @@ def verify_cursor(spark, sf_dir):
         runs = spark.readStream.schema("run_at timestamp, n int").parquet(f"{top}/runs")
         kept = stateful.verify_runs(spark, runs, reads, f"{top}/cursor", index)
     return kept.select("url", F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"), "verify_outcome")
+
+
+def _log(spark, sf_dir):
+    """A capture log of the events as files, one for each fifth of them: lines with a stamp of either offset form, with none, dated ahead, torn, refusals and errors."""
+    e, top = F.col("event_id"), f"{shared_folder(spark)}/log"
+    clock = F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=e), "yyyy-MM-dd'T'HH:mm:ss")
+    stamp = F.when(e % 97 == 0, clock).when(e % 211 == 0, F.lit("2099-01-01T00:00:00Z")).when(e % 2 == 0, F.concat(clock, F.lit("+0000"))).otherwise(F.concat(clock, F.lit("+00:00")))
+    more = F.when(e % 37 == 0, F.concat(F.lit('"refused": "no", "refused_kind": "kind'), e % 3, F.lit('"'))).when(e % 41 == 0, F.concat(F.lit('"urls_seen": 2, "errors": [{"code": "E'), e % 5, F.lit('", "message": "m", "url": "u"}, {"code": "F"}]'))).otherwise('"urls_seen": 1')
+    line = F.when(e % 501 == 0, '{"ts": "2024').otherwise(F.concat(F.lit('{"ts": "'), stamp, F.lit('", '), more, F.lit("}")))
+    lines = table(spark, sf_dir, "events").select((e % 5).alias("src"), "event_id", line.alias("value"))
+    lines.repartition("src").sortWithinPartitions("src", "event_id").drop("event_id").write.partitionBy("src").text(top)
+    return top
+
+
+@query("""WITH l AS (SELECT event_id % 5 AS src, event_id AS e, TIMESTAMP '2024-01-01' + to_minutes(CAST(event_id AS BIGINT)) AS ts, event_id % 501 <> 0 AS json FROM events),
+    g AS (SELECT *, json AND e % 97 <> 0 AS good, json AND e % 97 <> 0 AND e % 211 = 0 AS ahead FROM l),
+    w AS (SELECT *, good AND NOT ahead AND ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-03 01:00:00' AS recent, good AND NOT ahead AND ts > TIMESTAMP '2024-01-03 01:00:00' AS later FROM g)
+    SELECT CAST(src AS VARCHAR) AS src, count(*) AS lines, count(*) FILTER (good) AS records, count(*) FILTER (json AND NOT good) AS naive, count(*) FILTER (ahead OR later) AS future, max(e) - max(CASE WHEN good THEN e END) AS behind,
+        count(*) FILTER (recent AND e % 37 = 0) AS refusals, strftime(max(CASE WHEN recent AND e % 37 = 0 THEN ts END), '%Y-%m-%d %H:%M:%S') AS newest_refusal,
+        coalesce(string_agg(DISTINCT concat('kind', e % 3), ',' ORDER BY concat('kind', e % 3)) FILTER (recent AND e % 37 = 0), '') AS kinds,
+        2 * count(*) FILTER (recent AND e % 41 = 0 AND e % 37 <> 0) AS errors, concat('E', max(CASE WHEN recent AND e % 41 = 0 AND e % 37 <> 0 THEN e END) % 5) AS error_code FROM w GROUP BY 1 ORDER BY 1""".replace("max(e) - max(CASE WHEN good THEN e END) AS behind", "(max(e) - max(CASE WHEN good THEN e END)) // 5 AS tail"))
+def log_health(spark, sf_dir):
+    """The evaluation of a log that is read by its own source, at midnight of the third of January over a day."""
+    made = health.evaluate(read_log(spark, _log(spark, sf_dir)), F.lit("2024-01-03").cast("timestamp"))
+    return made.select(F.regexp_extract("src", "src=([0-9]+)", 1).alias("src"), "lines", "records", "naive", "future", "tail", "refusals", F.date_format("newest_refusal", "yyyy-MM-dd HH:mm:ss").alias("newest_refusal"), F.array_join("kinds", ",").alias("kinds"), "errors", F.coalesce("error_code", F.lit("E")).alias("error_code"))
+
+
+@query("""WITH c AS (SELECT CASE page_id % 7 WHEN 0 THEN 'gone' WHEN 1 THEN 'blocked' WHEN 2 THEN 'strange' WHEN 3 THEN NULL ELSE 'unchanged' END AS o FROM pages),
+    n AS (SELECT unnest(['unchanged', 'changed', 'unstable', 'stable_unchanged', 'stable_changed', 'stable_baseline', 'stable_rebaselined', 'prefix_agreed', 'incomparable', 'gone', 'malformed', 'blocked', 'rate_limited', 'server_error', 'no_content', 'timeout', 'unreachable', 'other', 'rows']) AS line, unnest(range(19)) AS ord)
+    SELECT 'verify' AS job, CAST(ord AS INTEGER) AS ord, line, (SELECT count(*) FROM c WHERE CASE line WHEN 'rows' THEN true WHEN 'other' THEN o IS NULL OR o = 'strange' ELSE o = line END) AS n FROM n""")
+def verify_report(spark, sf_dir):
+    """Counters that come with the write of a verify pass over pages whose number was declared."""
+    pages = table(spark, sf_dir, "pages")
+    landed = land(pages.select("page_id", "url"), pages.count(), shared_folder(spark))
+    outcome = F.expr("CASE page_id % 7 WHEN 0 THEN 'gone' WHEN 1 THEN 'blocked' WHEN 2 THEN 'strange' WHEN 3 THEN NULL ELSE 'unchanged' END")
+    return report(landed.withColumn("outcome", outcome), f"{shared_folder(spark)}/rows", "verify")
