@@ -27,9 +27,10 @@ def citations(messages: DataFrame, rules: urls.Rules = urls.DEFAULT) -> DataFram
     """
     likely = messages.filter(F.lower("text").rlike("https?://") & ~generated_report(F.col("role"), F.col("text")))
     found = likely.select(*[c for c in messages.columns], F.posexplode(extract.citations(F.col("text"))).alias("pos", "c"))
-    found = found.select(*messages.columns, "pos", "c.raw", "c.kind").withColumn("url", urls.canonical(F.col("raw"), rules))
+    found = found.select(*messages.columns, "pos", "c.raw", "c.kind", "c.resolvable").withColumn("url", urls.canonical(F.col("raw"), rules))
     first = found.withColumn("nth", F.row_number().over(Window.partitionBy("msg_id", "url").orderBy("pos"))).filter("nth = 1").drop("nth")
-    return first.withColumn("excluded_reason", urls.excluded_reason(F.col("url"), rules))
+    reason = F.coalesce(urls.excluded_reason(F.col("url"), rules), F.when(~F.col("resolvable"), "no_name"))
+    return first.withColumn("excluded_reason", reason).drop("resolvable")
 
 
 def url_index(cited: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenant.operators import health
+from provenant.functions import names
+from provenant.operators import health, snapshot
 from provenant.plans import fixtures as fx
 from provenant.plans.catalog import query
 from provenant.sources.counted import land, report
@@ -109,3 +110,31 @@ def verify_report(spark, sf_dir):
     landed = land(pages.select("page_id", "url"), pages.count(), shared_folder(spark))
     outcome = F.expr("CASE page_id % 7 WHEN 0 THEN 'gone' WHEN 1 THEN 'blocked' WHEN 2 THEN 'strange' WHEN 3 THEN NULL ELSE 'unchanged' END")
     return report(landed.withColumn("outcome", outcome), f"{shared_folder(spark)}/rows", "verify")
+
+
+@query(f"""WITH {fx.I_SQL}, d AS (SELECT *, content_hash IS NULL AND item_key IS NOT NULL AND (last_outcome IS NULL OR last_outcome = 'ok') AS due,
+        CASE WHEN page_id % 13 = 0 THEN 'internal_error' ELSE CASE page_id % 10 WHEN 5 THEN 'not_visible' WHEN 6 THEN 'blocked' WHEN 7 THEN 'rate_limited' WHEN 8 THEN 'server_error' WHEN 9 THEN 'no_content' ELSE 'ok' END END AS o FROM i)
+    SELECT concat(d.url, '#', d.page_id) AS url, CASE WHEN due AND o = 'ok' THEN sha256(p.html) ELSE content_hash END AS content_hash, CASE WHEN due AND o = 'ok' THEN CAST(octet_length(encode(p.html)) AS BIGINT) END AS hash_bytes,
+        CASE WHEN due AND o <> 'internal_error' THEN o ELSE last_outcome END AS last_outcome, due AND o = 'ok' AS sketched FROM d JOIN pages p USING (page_id)""")
+def snapshot_pass(spark, sf_dir):
+    """Two passes over a kept index, the second of which finds only what is ours to mend; every thirteenth read failed on our side."""
+    p, top = F.col("page_id"), shared_folder(spark)
+    unique, none = F.concat("url", F.lit("#"), p), F.lit(None)
+    empty = {"hash_bytes": "long", "hash_truncated": "boolean", "final_url": "string", "content_sketch": "array<string>", "content_sketch_algo": "string", "hashed_at": "timestamp", "last_attempt_at": "timestamp"}
+    rows = fx.index(spark, sf_dir).select(unique.alias("url"), "item_key", "first_seen", "content_hash", "last_outcome", *(none.cast(t).alias(c) for c, t in empty.items()))
+    index = Buckets(spark, f"{top}/index", "url", 16)
+    index.merge(0, rows, newest("url"))
+    reads = fx.reads(spark, sf_dir).filter("read_no = 1").select(unique.alias("url"), F.when(p % 13 != 0, F.col("status")).alias("status"), F.when(p % 13 == 0, "unsafe_host").alias("error"), none.cast("string").alias("final_url"), "body", F.lit(True).alias("complete"))
+    for day in ("2024-03-01", "2024-03-02"):
+        snapshot.run(index, reads, F.lit(day).cast("timestamp"), 1 << 30)
+    return index.read().select("url", "content_hash", "hash_bytes", "last_outcome", F.col("content_sketch").isNotNull().alias("sketched"))
+
+
+# A host as it is written, and as it is looked up; by page_id % 8.
+_HOSTS = (("BÜCHER.Example", "xn--bcher-kva.example"), ("faß.de", "fass.de"), ("日本語。jp", "xn--wgv71a119e.jp"), ("пример.рф", "xn--e1afmkfd.xn--p1ai"), ("ä" * 60 + ".org", None), ("a\u00ad\u200bb.org", "ab.org"), ("mañana.com.", "xn--maana-pta.com."), ("x\u2028y.org", None))
+
+
+@query(f"SELECT page_id, CASE page_id % 8 {' '.join(f"WHEN {k} THEN {repr(a) if a else 'NULL'}" for k, (_, a) in enumerate(_HOSTS))} END AS name FROM pages")
+def host_names(spark, sf_dir):
+    host = F.get(F.array(*(F.lit(h) for h, _ in _HOSTS)), (F.col("page_id") % 8).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", names.ascii_names(host).alias("name"))
