@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.textops import durable, hashed, mix
+from provenant.llm.textops import durable, hashed, meet, mix
 
 RATIO = 0.2
 #: Words of the smallest part of an item that is cut; shorter items are one part.
@@ -49,6 +49,8 @@ COMMON, MIN_COMMON = 0.03, 5
 FILTER_RATE, MIN_FILTER, MAX_FILTER = 512, 1 << 23, 1 << 30
 #: Bucket rows that are broadcast to meet the windows where they stand; more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Texts with a finding that are broadcast to meet their rows, of about 100 bytes each; more are shuffled.
+BROADCAST_TEXTS = 250_000
 #: Words that are embedded at once.
 CHUNK = 1 << 16
 
@@ -318,6 +320,18 @@ def _body(column: str) -> Column:
     return F.lower(F.col(f"`{column}`").cast("string")).cast("binary")
 
 
+def _times(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+
+
+def _with(rows: DataFrame, texts: DataFrame, how: str) -> DataFrame:
+    """rows joined with texts by tid. The rows of one text, however many, are met where they stand, or else in many tasks."""
+    if texts.count() <= BROADCAST_TEXTS:
+        return rows.join(F.broadcast(texts), "tid", how)
+    counts = durable(_times(rows.select("tid").join(texts.select("tid"), "tid", "left_semi"), "tid"))
+    return meet(rows, texts, ["tid"], counts=counts, how=how)
+
+
 def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame | None:
     """(tid, distance, item_id, start, end) of the texts that an item contaminates; None where no item has words."""
     spark = docs.sparkSession
@@ -334,10 +348,18 @@ def nearest(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         filters.append((bits, spark.sparkContext.broadcast(table)))
     texts = docs.select(_tid(text_col).alias("tid"), _body(text_col).alias("body")).filter("body IS NOT NULL")
     hits = texts.mapInArrow(_hits(*filters, common, sizes), "tid binary, start int, key long")
-    near = durable(hits.join(F.broadcast(keys) if made.count() <= BROADCAST_ROWS else keys, "key").select("tid", "item", (F.col("start") - F.col("at")).alias("begin"), "n").distinct())
+    if made.count() <= BROADCAST_ROWS:
+        met = hits.join(F.broadcast(keys), "key")
+    else:
+        hits = durable(hits)
+        met = meet(hits, keys, ["key"], counts=durable(_times(hits, "key")))
+    near = durable(met.select("tid", "item", (F.col("start") - F.col("at")).alias("begin"), "n").distinct())
     listed = near.groupBy("tid").agg(F.collect_list(F.struct("item", "begin", "n")).alias("near"))
-    stretches = texts.join(listed, "tid").dropDuplicates(["tid"]).mapInArrow(_stretches, "tid binary, item long, at int, stretch binary")
-    verified = stretches.join(asked, "item").select("tid", "item_id", "body", "at", "stretch").mapInArrow(_verified, "tid binary, distance int, item_id long, start int, end int")
+    # Copies of a text are brought down to one within each task, before they are moved.
+    once = _with(texts, near.select("tid").distinct(), "left_semi").groupBy("tid").agg(F.min("body").alias("body"))
+    stretches = durable(once.join(listed, "tid").mapInArrow(_stretches, "tid binary, item long, at int, stretch binary"))
+    paired = meet(stretches, asked, ["item"], counts=durable(_times(stretches, "item")))
+    verified = paired.select("tid", "item_id", "body", "at", "stretch").mapInArrow(_verified, "tid binary, distance int, item_id long, start int, end int")
     best = verified.groupBy("tid").agg(F.min(F.struct("distance", "item_id", "start", "end")).alias("best"))
     return durable(best.select("tid", "best.*"))
 
@@ -358,7 +380,7 @@ def match(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str =
         return docs.select(*others, F.lit(None).cast(FOUND).alias(name))
     rows = docs.select(F.struct(*others).alias("row"), _tid(text_col).alias("tid"))
     found = best.select("tid", F.struct(*(f.name for f in FOUND)).alias("found"))
-    return rows.join(found, "tid", "left").select("row.*", F.col("found").alias(name))
+    return _with(rows, found, "left").select("row.*", F.col("found").alias(name))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
@@ -367,4 +389,4 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFram
     if best is None:
         return docs
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _tid(text_col).alias("tid"))
-    return rows.join(best.select("tid"), "tid", "left_anti").select("row.*")
+    return _with(rows, best.select("tid"), "left_anti").select("row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.textops import durable
+from provenant.llm.textops import durable, row_hash
 
 BLOCK_BYTES = 16384
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,8 +112,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The rows that stay, with all their columns whatever their names."""
     keep = decide(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
     sha = F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256)
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), sha.alias("__sha"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), sha.alias("__sha"), row_hash(docs).alias("__hash"))
     hit = tagged.join(keep, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    # Only rows repeated with the same id and text share a partition here.
-    first = hit.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(0))))
+    # Only rows repeated with the same id and text share a partition here; of those, the same one is kept on every run.
+    first = hit.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("__hash")))
     return first.filter("__nth = 1").select("__row.*")

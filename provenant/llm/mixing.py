@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.textops import WORD, durable
+from provenant.llm.textops import WORD, durable, row_hash
 
 WEIGHTS, SHARE, CAP, LEAF = (5, 2, 1), 1.5, 2.0, 1024
 _SALTS = 16
@@ -117,9 +117,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, all its columns and copy_no from 1 (copy_no_ where that name is taken)."""
-    nth = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(0))))
-    rows = nth(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size")))
-    taken = nth(mix(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"))
+    nth = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(by)))
+    rows = nth(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size"), row_hash(docs).alias("__hash")), "__hash")
+    taken = nth(mix(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"), "copies")
     same = [rows[c].eqNullSafe(taken[c]) for c in ("__id", "__source", "__size", "nth")]
     name = "copy_no"
     while name in docs.columns:

@@ -119,8 +119,8 @@ def numbered(docs, id_col: str, text_col: str):
 HEAVY, SPREAD, LEAST_HEAVY = 4096, 256, 2048
 
 
-def meet(rows, once, keys: list[str], times: str = "times", counts=None):
-    """rows joined with once on keys; once (or counts, by keys) has a column times that says how many rows a key has.
+def meet(rows, once, keys: list[str], times: str = "times", counts=None, how: str = "inner"):
+    """rows joined with once on keys, inner or left; once (or counts, by keys) has a column times that says how many rows a key has.
 
     No key's rows meet in one task, however frequent the key is: the heavy keys,
     fewer than HEAVY, are broadcast and their rows dealt over SPREAD tasks each.
@@ -129,11 +129,16 @@ def meet(rows, once, keys: list[str], times: str = "times", counts=None):
     total, most = told.agg(F.sum(times), F.max(times)).first()
     least = max(LEAST_HEAVY, (total or 0) // HEAVY)
     if (most or 0) <= least:
-        return rows.join(once, keys)
+        return rows.join(once, keys, how)
     hot = F.broadcast(told.filter(F.col(times) > least).select(*keys, F.lit(True).alias("__hot")))
     dealt = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("__hot")
     copied = once.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
-    return dealt.join(copied, [*keys, "__salt"]).drop("__salt")
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
+def row_hash(df):
+    """A number by which rows that are alike in other respects can be told apart the same way on every run."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
 
 
 def checkpoint_dir(spark) -> str:

@@ -277,6 +277,36 @@ def test_decontamination_recall_by_size(spark):
     assert all(hit[n] >= 95 for n in (5, 10, 15, 29, 45, 59, 100, 200, 400)) and sum(hit.values()) >= 0.985 * 900, hit
 
 
+def test_decontamination_of_items_of_common_words(spark):
+    """Items made only of the 100 most frequent words, at the full number of edits: words that many items share must not cost them."""
+    rng, items, docs = np.random.default_rng(31), [], []
+    usual, rest = [f"u{x}" for x in range(100)], [f"r{x}" for x in range(3000)]
+    for n in (12, 25, 40):
+        budget = int(decontamination.RATIO * n)
+        for k in range(80):
+            text = [str(x) for x in rng.choice(usual, n)]
+            items.append((1000 * n + k, " ".join(text)))
+            for at in sorted(rng.choice(n, budget, replace=False).tolist(), reverse=True):
+                text[at : at + 1] = [[f"z{n}.{k}.{at}"], [], [text[at], f"z{n}.{k}.{at}"]][int(rng.integers(3))]
+            around = [[str(x) for x in rng.choice(rest, 50)] for _ in range(2)]
+            docs.append((1000 * n + k, " ".join(around[0] + text + around[1])))
+    found = {r["doc_id"]: r["found"] for r in decontamination.match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for n in (12, 25, 40):
+        assert sum(found[1000 * n + k] is not None for k in range(80)) >= 76, n
+
+
+def test_decontamination_by_shuffles_alone(spark, monkeypatch):
+    """The way that is taken where buckets and texts are too many to broadcast, with every key dealt out."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = documents(spark).unionByName(documents(spark)).unionByName(documents(spark))
+    want = sorted((tuple(r) for r in decontamination.match(docs, items).select("doc_id", "found").collect()), key=repr)
+    kept = sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect())
+    for module, name, value in ((decontamination, "BROADCAST_ROWS", 0), (decontamination, "BROADCAST_TEXTS", 0), (textops, "LEAST_HEAVY", 1), (textops, "HEAVY", 1 << 40), (textops, "SPREAD", 3)):
+        monkeypatch.setattr(module, name, value)
+    assert sorted((tuple(r) for r in decontamination.match(docs, items).select("doc_id", "found").collect()), key=repr) == want
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == kept and any(w[1] for w in want)
+
+
 def test_decontamination_of_awkward_rows(spark):
     said = " ".join(f"k{x}" for x in range(30))
     items = spark.createDataFrame([(1, "other words are here"), (1, said), (1, said), (None, "x y z"), (2, None), (3, " ")], "item_id long, text string").withColumn("tid", F.lit(1)).withColumn("key", F.lit(2))
@@ -321,6 +351,15 @@ def test_mixing_awkward_rows_and_copies(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixture(empty(spark)).count() == 0
 
 
+def test_the_same_rows_are_kept_and_taken_on_every_run(spark):
+    """Rows that agree in id, source and size, or in id and text, but not in other columns."""
+    rows = [(1, f"w{k} x y", "s", k) for k in range(6)] + [(2, "same text", "s", k) for k in range(6)] + [(k, "word " * k, "t", 0) for k in range(3, 40)]
+    runs = [spark.createDataFrame(rows[::step] if step > 0 else rows[::-1], "doc_id long, text string, source string, n int").repartition(parts) for step, parts in ((1, 1), (-1, 5))]
+    for operator in (exact_dedup.dedup, mixing.mixture):
+        first, second = (sorted(map(tuple, operator(df).collect())) for df in runs)
+        assert first == second
+
+
 def test_pivot_keeps_mass_and_chances():
     size = np.array([9, 7, 5, 5, 3, 1, 1], dtype=np.int64)
     start, total = np.full(7, 0.4), np.zeros(7)
