@@ -13,9 +13,10 @@ leader of its list, and confirmed links are merged into components. Only lists
 that still hold different components are then merged across components:
 collisions are counted on a wider sketch, inside the task, and only pairs that
 may reach the similarity leave it. A list far too long for one task is split by
-a second coordinate first: classes that agree in MATCHES coordinates share two of
-their first ``COORDINATES - MATCHES + 2``. Every link is confirmed on the full
-sets of true words, computed from whole texts.
+a second coordinate first, what is still too long by a third, and so on: classes
+that agree in MATCHES coordinates share k of their first
+``COORDINATES - MATCHES + k``. Every link is confirmed on the full sets of true
+words, computed from whole texts.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ WIDE, WIDE_MATCHES = 512, 342
 _WIDE_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of one list that are compared in one task; longer lists are cut into pairs of blocks.
 BLOCK = 2048
-#: Longer lists are split by a second coordinate: beyond this the split makes fewer rows than pairs of blocks do.
-SPLIT = COORDINATES * BLOCK
+#: Longer lists are split by another coordinate, up to DEPTH in all: beyond this the split makes fewer rows than pairs of blocks do.
+SPLIT, DEPTH = COORDINATES * BLOCK, 4
 _PIECE = 1024
 
 
@@ -84,9 +85,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, c
 
 
 def prefixes(classes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(node, weight, keys): the rarest pairs of each class, without those that no other class has, in order and one more than its prefix.
+    """(node, weight, keys): the rarest pairs of each class, without those that no other class has, in order and DEPTH - 1 more than its prefix.
 
-    weight: how frequent all its pairs are together. The last of keys only splits long lists.
+    weight: how frequent all its pairs are together. The last DEPTH - 1 of keys only split long lists.
     """
     posts = classes.select("node", F.explode("sig").alias("key"))
     often = durable(posts.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
@@ -94,12 +95,12 @@ def prefixes(classes: DataFrame, coordinates: int = COORDINATES, matches: int =
     # Pairs that one class has alone come first in the order and need no posting.
     room = F.size("shared") - (matches - 1)
     weight = F.aggregate("shared", F.lit(0).cast("long"), lambda total, p: total + p["often"])
-    return shared.filter(room > 0).select("node", weight.alias("weight"), F.transform(F.slice("shared", F.lit(1), room + 1), lambda p: p["key"]).alias("keys"))
+    return shared.filter(room > 0).select("node", weight.alias("weight"), F.transform(F.slice("shared", F.lit(1), room + DEPTH - 1), lambda p: p["key"]).alias("keys"))
 
 
 def _posted(first: DataFrame) -> DataFrame:
     """(node, weight, key) of the prefixes."""
-    return first.select("node", "weight", F.explode(F.slice("keys", F.lit(1), F.size("keys") - 1)).alias("key"))
+    return first.select("node", "weight", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (DEPTH - 1))).alias("key"))
 
 
 def _verify(size: int, num: int, den: int):
@@ -203,17 +204,26 @@ def _cross_pairs(split: DataFrame, first: DataFrame, nodes: DataFrame, best: boo
     """(a, b) across components that agree in enough of the wide sketch. nodes: (node, n_shingles, wide).
 
     A list longer than BLOCK is met block by block, which copies its rows once
-    per block. A list longer than SPLIT is split by a second coordinate of its
-    members first, so that its rows grow with the list and not with its square.
+    per block. A list longer than SPLIT is split by the coordinates of its
+    members that come later in the order, again and again, so that its rows grow
+    with the list and not with its square: of a pair that shares an earlier one,
+    that one's list takes care. After DEPTH coordinates a list is met as it is.
     """
     short = split.filter(F.col("size") <= SPLIT)
     keys = short.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    long = split.filter(F.col("size") > SPLIT).select("key", "node", "root").join(first.select("node", F.explode("keys").alias("second")), "node").filter("key <> second")
     lists = short.select("key", "node", "root", "size", F.lit(True).alias("plain"))
-    pairwise = long.select(F.xxhash64("key", "second").alias("key"), "node", "root").distinct()
     if (split.agg(F.max("size")).first()[0] or 0) > SPLIT:
-        held = durable(pairwise.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size"))
-        lists = lists.unionByName(meet(pairwise, held, ["key"], "size").select("key", "node", "root", "size", F.lit(False).alias("plain")))
+        long = split.filter(F.col("size") > SPLIT).join(first.select("node", "keys"), "node").select("key", "node", "root", (F.array_position("keys", F.col("key")) - 1).alias("at"))
+        for depth in range(2, DEPTH + 1):
+            later = long.join(first.select("node", F.posexplode("keys").alias("pos", "next")), "node").filter("pos > at")
+            made = later.select(F.xxhash64("key", "next").alias("key"), "node", "root", F.col("pos").alias("at"))
+            held = made.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+            rooted = durable(meet(made, durable(held), ["key"], "size"))
+            done = rooted if depth == DEPTH else rooted.filter(F.col("size") <= SPLIT)
+            lists = lists.unionByName(done.select("key", "node", "root", "size", F.lit(False).alias("plain")))
+            long = rooted.filter(F.col("size") > SPLIT).drop("size")
+            if depth == DEPTH or long.isEmpty():
+                break
     rows = lists.join(nodes.join(keys, "node", "left"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n_shingles", "keys", "plain", "wide")
@@ -221,7 +231,7 @@ def _cross_pairs(split: DataFrame, first: DataFrame, nodes: DataFrame, best: boo
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles (counted by 64-bit hashes), component_id, kept.
 
     Texts link when 100 * intersection >= 75 * union of their sets of distinct
     5-word shingles (A-Z lower-cased). component_id is the smallest doc_id

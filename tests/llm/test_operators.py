@@ -704,9 +704,11 @@ def test_recall_at_exactly_the_similarity(spark):
     assert linked == exact
 
 
-def test_long_lists_are_split_by_a_second_coordinate(spark, monkeypatch):
+@pytest.mark.parametrize(("split", "depth"), [(16, 2), (6, 4)])
+def test_long_lists_are_split_by_more_coordinates(spark, monkeypatch, split, depth):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "SPLIT", 16)
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     rng = np.random.default_rng(6)
     base = [f"b{k}" for k in range(120)]
     rows = []
