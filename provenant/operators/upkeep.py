@@ -10,13 +10,26 @@ from provenant.functions import urls
 ABANDON_AT = 5
 
 
-def needs_hash(index: DataFrame, limit: int) -> DataFrame:
-    """Rows with an item and no digest whose last attempt did not fail, oldest first; a top-k, so no full sort."""
-    return index.filter("content_hash IS NULL AND item_key IS NOT NULL AND (last_outcome IS NULL OR last_outcome = 'ok')").orderBy("first_seen", "url").limit(limit)
+def _checked(limit: int) -> int:
+    """A limit of 0 is one; below that it is a mistake."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return limit
+
+
+def needs_hash(index: DataFrame, limit: int, failed: bool = False, only_outcome: str | None = None) -> DataFrame:
+    """Rows with an item and no digest, oldest first; a top-k, so no full sort.
+
+    Those whose last attempt failed are left out, unless failed says otherwise;
+    with only_outcome, the rows whose last attempt ended so.
+    """
+    told = F.lit(True) if failed else F.col("last_outcome").isNull() | (F.col("last_outcome") == "ok")
+    told = told if only_outcome is None else F.col("last_outcome") == only_outcome
+    return index.filter("content_hash IS NULL AND item_key IS NOT NULL").filter(told).orderBy("first_seen", "url").limit(_checked(limit))
 
 
 def needs_verify(index: DataFrame, limit: int) -> DataFrame:
-    return index.filter("content_hash IS NOT NULL").orderBy(F.asc_nulls_first("verified_at"), "url").limit(limit)
+    return index.filter("content_hash IS NOT NULL").orderBy(F.asc_nulls_first("verified_at"), "url").limit(_checked(limit))
 
 
 def corrected(url: Column) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenant.functions import names
-from provenant.operators import health, snapshot
+from provenant.functions import names, urls
+from provenant.operators import capture, health, job, snapshot
 from provenant.plans import fixtures as fx
 from provenant.plans.catalog import query
 from provenant.sources.counted import land, report
 from provenant.sources.logs import read_log
-from provenant.sources.tables import table
+from provenant.sources.tables import table, transcripts
 from provenant.streaming import stateful
 from provenant.streaming.buckets import Buckets, newest
 from provenant.streaming.index import shared_folder
@@ -138,3 +138,28 @@ _HOSTS = (("BÜCHER.Example", "xn--bcher-kva.example"), ("faß.de", "fass.de"),
 def host_names(spark, sf_dir):
     host = F.get(F.array(*(F.lit(h) for h, _ in _HOSTS)), (F.col("page_id") % 8).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", names.ascii_names(host).alias("name"))
+
+
+_NET = urls.Rules(reserved_domains=("example.net",))
+
+
+@query(f"""WITH {fx.CITED_SQL}, e AS (SELECT *, regexp_matches({fx.host_sql('url')}, '(^|[.])example[.]net$') AS excluded FROM cited), k AS (SELECT DISTINCT url FROM e WHERE seen < CAST('2024-01-10' AS DATE)),
+    s AS (SELECT e.*, CASE WHEN excluded THEN 'excluded' WHEN k.url IS NOT NULL AND length(e.url) % 4 <> 0 THEN 'recurring' WHEN k.url IS NOT NULL THEN 'deferred'
+        WHEN row_number() OVER (PARTITION BY e.url ORDER BY seen, msg_id) = 1 THEN 'new' ELSE 'recurring' END AS state FROM e LEFT JOIN k ON k.url = e.url WHERE role IN ('user', 'assistant'))
+    SELECT m.msg_id, count(s.url) AS seen, count(*) FILTER (state = 'new') AS new, count(*) FILTER (state = 'recurring') AS recurring, count(*) FILTER (state = 'excluded') AS excluded, count(*) FILTER (state = 'deferred') AS deferred
+    FROM m LEFT JOIN s ON s.msg_id = m.msg_id WHERE m.role IN ('user', 'assistant') AND trim(m.text) <> '' GROUP BY m.msg_id""")
+def capture_job(spark, sf_dir):
+    """From JSON lines to counters: conversations written as transcripts, in one block of text or two, read back and captured against what was known on the tenth."""
+    messages, top = fx.messages(spark, sf_dir), f"{shared_folder(spark)}/transcripts"
+    block = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    tool = F.struct(F.lit("tool_use").alias("type"), F.lit("https://tools.org/not-said").alias("text"))
+    # A text that is written as two blocks is cut at its first newline, which joining puts back.
+    cut = F.instr("text", "\n")
+    blocks = F.when(cut > 0, F.array(block(F.substring("text", F.lit(1), cut - 1)), tool, block(F.substring("text", cut + 1, F.length("text"))))).otherwise(F.array(tool, block(F.col("text"))))
+    record = lambda content: F.to_json(F.struct(F.col("role").alias("type"), F.col("session").cast("string").alias("sessionId"), F.col("msg_id").alias("uuid"), F.col("seen").cast("string").alias("timestamp"), F.struct(content.alias("content")).alias("message")))
+    line = F.when(F.col("role") == "user", record(F.col("text"))).otherwise(record(blocks))
+    lines = messages.select("session", "turn_seq", line.alias("value"))
+    lines.repartition("session").sortWithinPartitions("session", "turn_seq").select("value").write.text(top)
+    said = transcripts(spark, top).select("msg_id", "session", "turn_seq", "role", "text", F.to_date("stamp").alias("seen"), F.lit("wells").alias("project"))
+    known = capture.url_index(capture.citations(messages.filter("seen < '2024-01-10'"), _NET)).select("url", F.when(F.length("url") % 4 != 0, F.lit("K")).alias("item_key"))
+    return job.run(said, known, _NET).counters.drop("claims", "errors")

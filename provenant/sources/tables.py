@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import urls
+from provenant.sources.logs import read_log
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON lines under a folder, at any depth: (session, turn_seq, role, text). Malformed lines and side chains are left out."""
-    lines = spark.read.text(folder, recursiveFileLookup=True).filter(F.col("value").contains("://"))
-    kind = "type string, isSidechain boolean, timestamp string, sessionId string, turn long, message struct<content:array<struct<type:string,text:string>>>"
-    rows = lines.select(F.from_json("value", kind).alias("r")).select("r.*").filter("type IS NOT NULL AND NOT coalesce(isSidechain, false)")
-    return rows.select(F.col("sessionId").alias("session"), F.col("turn").alias("turn_seq"), F.col("type").alias("role"), F.explode("message.content").alias("c")).filter("c.type = 'text'").select("session", "turn_seq", "role", F.col("c.text").alias("text"))
+    """JSON lines under a folder, at any depth: (session, turn_seq, msg_id, role, text, stamp) of what people and assistants said.
+
+    turn_seq is the place of a line in its file, so that records come in the
+    order in which they were written. Text is the content where this is a
+    string, else its text blocks joined by newlines. A user's record is kept if
+    a person spoke: it is no tool result and has text. Assistants' records
+    without text, side chains and malformed lines are left out; messages that
+    name no address stay, for they end turns.
+    """
+    lines = read_log(spark, folder).filter(F.col("value").contains('"type"'))
+    v = F.try_parse_json("value")
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    parsed = lines.select("src", "seq", v.alias("v")).filter("v IS NOT NULL")
+    blocks = get("$.message.content", "array<variant>")
+    texts = F.transform(F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == "text"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit("")))
+    body = F.when(blocks.isNotNull(), F.array_join(texts, "\n")).otherwise(get("$.message.content", "string"))
+    rows = parsed.select(
+        F.coalesce(get("$.sessionId", "string"), "src").alias("session"), F.col("seq").alias("turn_seq"), get("$.uuid", "string").alias("msg_id"), get("$.type", "string").alias("role"), F.trim(body).alias("text"), get("$.timestamp", "string").alias("stamp"),
+        F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)).alias("aside"), F.coalesce(get("$.toolUseResult", "variant").isNotNull() & ~F.is_variant_null(get("$.toolUseResult", "variant")), F.lit(False)).alias("tool"), F.coalesce(F.size(texts) > 0, F.lit(False)).alias("blocks"),
+    )
+    has_text = F.coalesce(F.col("text") != "", F.lit(False))
+    spoke = (F.col("role") == "assistant") & ~F.col("aside") & has_text | (F.col("role") == "user") & ~F.col("tool") & (has_text | F.col("blocks"))
+    return rows.filter(spoke).select("session", "turn_seq", "msg_id", "role", "text", "stamp")
 
 
 def by_tag(items: DataFrame, tag: str) -> DataFrame:
