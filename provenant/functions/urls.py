@@ -186,9 +186,11 @@ def _named(name: Column, where: Column) -> Column:
     doi = F.regexp_extract(where, r"^/(10\.\d{4,9}/\S+)$", 1)
     arxiv = F.regexp_extract(where, r"^/(?:abs|pdf)/(\d{4}\.\d{4,5})", 1)
     pmid = F.regexp_extract(where, r"^/(\d+)/?$", 1)
+    # A preprint's DOI ends in a date and a number, or in a number; what follows is its version and form.
+    preprint = F.regexp_extract(where, r"(10\.[0-9]{4,9}/(?:[0-9]{4}(?:\.[0-9]{2}){2}\.[0-9]+|[0-9]+))", 1)
     repo = F.regexp_replace(F.regexp_extract(where, r"^/([^/]+/[^/]+)", 1), r"\.git$", "")
     pair = lambda scheme, value: F.when(value != "", F.struct(F.lit(scheme).alias("scheme"), value.alias("id")))
-    return F.coalesce(F.when(name.isin(*DEFAULT.doi_hosts), pair("doi", doi)), F.when(name.isin("arxiv.org", "www.arxiv.org"), pair("arxiv", arxiv)), F.when(name == "pubmed.ncbi.nlm.nih.gov", pair("pmid", pmid)), F.when(name == "github.com", pair("repo", repo)))
+    return F.coalesce(F.when(name.isin(*DEFAULT.doi_hosts), pair("doi", doi)), F.when(name.isin("arxiv.org", "www.arxiv.org"), pair("arxiv", arxiv)), F.when(name == "pubmed.ncbi.nlm.nih.gov", pair("pmid", pmid)), F.when(name == "github.com", pair("repo", repo)), F.when(name.rlike(r"(^|\.)(bio|med)rxiv\.org$"), pair("doi", preprint)))
 
 
 def doi_of(url: Column) -> Column:

@@ -16,6 +16,20 @@ def buckets(sightings: DataFrame, triaged: DataFrame, run: str) -> DataFrame:
     return marked.withColumn("bucket", bucket)
 
 
+def spans(sightings: DataFrame, run: str, since: int | None = None) -> DataFrame:
+    """(url, prior, first, last, span_days) of the history before a run, of the URLs seen in the since days before it or on it; all of them without since."""
+    day = F.lit(run).cast("date")
+    before = F.when(F.col("seen") < day, F.col("seen"))
+    rolled = sightings.groupBy("url").agg(F.count_distinct(before).alias("prior"), F.min(before).alias("first"), F.max(before).alias("last"), F.max("seen").alias("newest"))
+    recent = rolled if since is None else rolled.filter(F.col("newest") >= F.date_sub(day, since))
+    return recent.select("url", "prior", "first", "last", F.datediff("last", "first").alias("span_days"))
+
+
+def earliest(sightings: DataFrame) -> DataFrame:
+    """One row: the day of the first sighting, from which a window goes that names no other; null without sightings."""
+    return sightings.agg(F.min("seen").alias("earliest"))
+
+
 def summary(bucketed: DataFrame) -> DataFrame:
     return bucketed.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 

@@ -51,9 +51,10 @@ def prune_plan(items: DataFrame, rules: urls.Rules = urls.DEFAULT) -> DataFrame:
     return items.select("key", "url", urls.excluded_reason(F.col("url"), rules).alias("reason")).filter("reason IS NOT NULL")
 
 
-def doi_gate(sources: DataFrame, notices: DataFrame) -> DataFrame:
-    """(doi, url, checked, finding): each DOI once, by its first address; one that notices (doi, finding) lacks is unchecked, not clean."""
-    first = sources.select(urls.doi_of(F.col("url")).alias("doi"), "url").filter("doi IS NOT NULL").groupBy("doi").agg(F.min("url").alias("url"))
+def doi_gate(sources: DataFrame, notices: DataFrame, order: str | None = None) -> DataFrame:
+    """(doi, url, checked, finding): each DOI once, by its first address in order (without one, the least); one that notices (doi, finding) lacks is unchecked, not clean."""
+    told = sources.select(urls.doi_of(F.col("url")).alias("doi"), "url", (F.lit(0) if order is None else F.col(order)).alias("nth")).filter("doi IS NOT NULL")
+    first = told.groupBy("doi").agg(F.min_by("url", F.struct("nth", "url")).alias("url"))
     known = notices.groupBy("doi").agg(F.max("finding").alias("finding"), F.lit(True).alias("known"))
     return first.join(known, "doi", "left").select("doi", "url", F.col("known").isNotNull().alias("checked"), "finding")
 

@@ -7,8 +7,10 @@ empty tables give no rows, or one row of zeros where the result is one row.
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,17 +170,23 @@ def surface(bridge: Column, remote: Column) -> Column:
 def within_budget(files: DataFrame, budget: int) -> DataFrame:
     """files (source, name, stamp, nbytes) with kept: the newest that fit, one that doesn't is skipped and smaller ones go on.
 
-    A fold per source: files of one source are one list of small rows.
+    Files stream through a task in the order of their source, which keeps no
+    more than the bytes used so far; a source is never gathered.
     """
-    row = F.struct((-F.col("stamp")).alias("age"), "name", "stamp", "nbytes")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-
-    def step(at: Column, f: Column) -> Column:
-        fits = at["used"] + f["nbytes"] <= budget
-        return F.struct((at["used"] + F.when(fits, f["nbytes"]).otherwise(0)).alias("used"), F.when(fits, F.concat(at["kept"], F.array(f["name"]))).otherwise(at["kept"]).alias("kept"))
-
-    kept = files.groupBy("source").agg(F.array_sort(F.collect_list(row)).alias("files")).select("source", F.explode(F.aggregate("files", start, step, lambda at: at["kept"])).alias("name"))
-    return files.join(kept.withColumn("kept", F.lit(True)), ["source", "name"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    ordered = files.repartition("source").sortWithinPartitions("source", F.desc("stamp"), "name")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, used = object(), 0
+        for batch in batches:
+            kept = []
+            for name, nbytes in zip(batch.column("source").to_pylist(), batch.column("nbytes").to_pylist(), strict=True):
+                if name != source:
+                    source, used = name, 0
+                kept.append(nbytes is not None and used + nbytes <= budget)
+                used += nbytes if kept[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], names=[*batch.schema.names, "kept"])
+
+    return ordered.mapInArrow(fit, T.StructType([*files.schema.fields, T.StructField("kept", T.BooleanType())]))
 
 
 def refreshes(rows: DataFrame, most: int = REFRESHES) -> DataFrame:

@@ -32,6 +32,17 @@ def needs_verify(index: DataFrame, limit: int) -> DataFrame:
     return index.filter("content_hash IS NOT NULL").orderBy(F.asc_nulls_first("verified_at"), "url").limit(_checked(limit))
 
 
+def never_verified(index: DataFrame) -> DataFrame:
+    """One row: how many rows with a digest were never held against their page."""
+    return index.agg(F.count_if(F.col("content_hash").isNotNull() & F.col("verified_at").isNull()).alias("never_verified"))
+
+
+def unresolved(items: DataFrame, hosts: tuple[str, ...] = ()) -> DataFrame:
+    """(key, url) of the items (key, url, tags) whose title is unresolved; with hosts, of these hosts only."""
+    found = items.filter(F.array_contains("tags", "title:unresolved"))
+    return (found.filter(urls.host(F.col("url")).isin(*hosts)) if hosts else found).select("key", "url")
+
+
 def corrected(url: Column) -> Column:
     """The address without terminal codes, closing emphasis, characters no address ends in, and closing brackets that it never opened.
 
@@ -53,6 +64,15 @@ def repair_plan(index: DataFrame) -> DataFrame:
     return plan.join(known, "corrected", "left").select("url", "corrected", action.alias("action"))
 
 
+def repair_steps(index: DataFrame, items: DataFrame) -> DataFrame:
+    """repair_plan against the library: a merge whose surviving row has no live item (key, deleted) is refused and changes nothing."""
+    plan = repair_plan(index)
+    live = items.filter("NOT coalesce(deleted, false)").select(F.col("key").alias("item_key"))
+    kept = index.join(live, "item_key", "left_semi").select(F.col("url").alias("corrected"), F.lit(True).alias("live")).distinct()
+    action = F.when((F.col("action") == "merge") & F.col("live").isNull(), "refused_no_survivor").otherwise(F.col("action"))
+    return plan.join(kept, "corrected", "left").select("url", "corrected", action.alias("action"))
+
+
 def merge_rows(index: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows under their corrected address: earliest first, latest last, and how many were merged. Their tags are reports.merged_tags' to unite."""
     moved = index.join(plan, "url").withColumn("url", F.when(F.col("action").isin("rewrite", "merge"), F.col("corrected")).otherwise(F.col("url")))
@@ -95,3 +115,9 @@ def unfinished(starts: DataFrame, steps: DataFrame, ends: DataFrame) -> DataFram
     """Operations without an end: their number of steps and the last target, of ties the largest."""
     done = steps.groupBy("op_id").agg(F.count(F.lit(1)).alias("steps"), F.max(F.struct("seq", "target"))["target"].alias("last_target"))
     return starts.select("op_id").join(ends.select("op_id"), "op_id", "left_anti").join(done, "op_id", "left").select("op_id", F.coalesce("steps", F.lit(0)).alias("steps"), "last_target")
+
+
+def newest_unfinished(starts: DataFrame, steps: DataFrame, ends: DataFrame, limit: int) -> DataFrame:
+    """(op_id, started, steps, last_target) of the operations without an end, those last begun first. starts (op_id, started)."""
+    begun = starts.groupBy("op_id").agg(F.min("started").alias("started"))
+    return unfinished(begun, steps, ends).join(begun, "op_id").select("op_id", "started", "steps", "last_target").orderBy(F.desc("started"), "op_id").limit(_checked(limit))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenant.operators import content, reports, upkeep
+from provenant.functions import urls
+from provenant.operators import content, delta, reports, upkeep
 from provenant.plans import fixtures as fx
-from provenant.plans.catalog import query
-from provenant.sources.tables import table
+from provenant.plans.catalog import RUN, query
+from provenant.sources.tables import by_tag, table
 
 _MARKS = ("", " [SOURCE-CONTEXT: climate]", " [AUDIT-CONTEXT: law ] then [SOURCE-CONTEXT: tax]", " [OTHER-CONTEXT: x]")
 
@@ -171,3 +172,76 @@ def change_notes(spark, sf_dir):
     fresh = F.when(d % 5 == 2, F.array(value(0), value(1))).when(d % 5 == 3, F.array(value(2))).otherwise(F.array(value(0)))
     size = content.change_size(stored, F.when(d % 5 == 0, "other").otherwise("now"), fresh, "now")
     return table(spark, sf_dir, "documents").select("doc_id", reports.overlap_note(size).alias("note"))
+
+
+@query(f"""WITH {fx.S_SQL}, g AS (SELECT url, count(DISTINCT CASE WHEN seen < CAST('{RUN}' AS DATE) THEN seen END) AS prior, min(CASE WHEN seen < CAST('{RUN}' AS DATE) THEN seen END) AS first, max(CASE WHEN seen < CAST('{RUN}' AS DATE) THEN seen END) AS last, max(seen) AS newest FROM s GROUP BY url)
+    SELECT url, prior, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, CAST(last - first AS INTEGER) AS span_days FROM g WHERE newest >= CAST('{RUN}' AS DATE) - 7""")
+def source_spans(spark, sf_dir):
+    made = delta.spans(fx.sightings(spark, sf_dir)[0], RUN, 7)
+    return made.select("url", "prior", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "span_days")
+
+
+@query(f"WITH {fx.S_SQL} SELECT CAST(min(seen) AS VARCHAR) AS earliest FROM s")
+def earliest_sighting(spark, sf_dir):
+    return delta.earliest(fx.sightings(spark, sf_dir)[0]).select(F.col("earliest").cast("string").alias("earliest"))
+
+
+@query(f"WITH {fx.I_SQL} SELECT count(*) FILTER (content_hash IS NOT NULL AND verified_at IS NULL) AS never_verified FROM i")
+def never_verified(spark, sf_dir):
+    return upkeep.never_verified(fx.index(spark, sf_dir))
+
+
+@query(f"WITH {fx.I_SQL}, h AS (SELECT {fx.host_sql('url')} AS host FROM it GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) SELECT key, url FROM it WHERE length(url) % 3 = 0 AND {fx.host_sql('url')} IN (SELECT host FROM h)")
+def unresolved_of_hosts(spark, sf_dir):
+    """Items with an unresolved title on the three hosts that have most items."""
+    items = fx.items(spark, sf_dir).withColumn("tags", F.when(F.length("url") % 3 == 0, F.array(F.lit("a"), F.lit("title:unresolved"))).otherwise(F.array(F.lit("a"))))
+    most = [r["host"] for r in items.groupBy(urls.host(F.col("url")).alias("host")).count().orderBy(F.desc("count"), "host").limit(3).collect()]
+    return upkeep.unresolved(items, tuple(most))
+
+
+@query(f"WITH {fx.I_SQL} SELECT key, url FROM it WHERE length(key) % 2 = 0")
+def items_by_tag(spark, sf_dir):
+    return by_tag(fx.items(spark, sf_dir).withColumn("tags", F.when(F.length("key") % 2 == 0, F.array(F.lit("x"), F.lit("context:water"))).otherwise(F.array(F.lit("x")))), "context:water").select("key", "url")
+
+
+@query("""SELECT o_orderkey AS op_id, CAST(o_orderdate AS VARCHAR) AS started, count(l_orderkey) AS steps FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 9 = 0 GROUP BY ALL ORDER BY started DESC, op_id LIMIT 40""")
+def newest_unfinished(spark, sf_dir):
+    starts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("op_id"), F.col("o_orderdate").cast("string").alias("started"))
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("op_id"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("seq"))
+    return upkeep.newest_unfinished(starts, steps, starts.filter("op_id % 9 <> 0"), 40).drop("last_target")
+
+
+@query(f"WITH {fx.M_SQL} SELECT DISTINCT text FROM m WHERE role = 'assistant' AND regexp_matches(lower(text), 'https?://')")
+def assistant_corpus(spark, sf_dir):
+    return reports.corpus(fx.messages(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn FROM conversations WHERE role = 'user' AND (conv_id + turn) % 3 <> 1""")
+def spoken_messages(spark, sf_dir):
+    """What a person wrote: a plain text, a tool's result alone, or both."""
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    kinds = F.when(k == 1, F.array(F.lit("tool_result"))).when(k == 2, F.array(F.lit("tool_result"), F.lit("text")))
+    return reports.spoken(table(spark, sf_dir, "conversations").withColumn("kinds", kinds)).select("conv_id", "turn")
+
+
+_HEADS = ("<title>A &amp; B</title>", "<title>cut", "<base href='https://else.org/'><title>C</title>", "<TITLE lang=en>\n D  E\n</TITLE><title>F</title>")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 4 OR page_id % 7 = 3 OR page_id % 4 IN (1, 2) THEN 'https://wells.org/' || page_id WHEN page_id % 4 = 0 THEN 'A & B' ELSE 'D E' END AS title FROM pages""")
+def own_titles(spark, sf_dir):
+    """Titles of whole pages: cut off, of a page that names another site, of an error and of a type that isn't HTML, the address stands for it."""
+    p = F.col("page_id")
+    head = F.get(F.array(*map(F.lit, _HEADS)), (p % 4).cast("int"))
+    rows = table(spark, sf_dir, "pages").select(p, F.concat(F.lit("https://wells.org/"), p).alias("url"), F.lit(None).cast("string").alias("final_url"), F.when(p % 5 == 4, 404).otherwise(200).alias("status"), F.when(p % 7 == 3, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"), F.concat(head, F.lit("<p>"), F.repeat(F.lit("word "), 300)).alias("body"))
+    return reports.page_title(rows).select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "title")
+
+
+@query(f"""WITH {fx.I_SQL}, r AS (SELECT page_id, url || CASE page_id % 4 WHEN 1 THEN '**' ELSE '' END AS url, item_key FROM i UNION ALL SELECT page_id, {fx.canonical_sql('url')}, CASE WHEN page_id % 3 = 0 THEN 'gone' ELSE 'live' END FROM i WHERE page_id % 8 = 1 AND NOT ends_with(url, '/'))
+    SELECT count(*) FILTER (page_id % 4 = 1 AND ends_with(url, '**')) AS damaged FROM r""")
+def damaged_rows(spark, sf_dir):
+    """Rows with emphasis left at their end, of which some have a sound row beside them; none of them is kept as it is."""
+    p, rows = F.col("page_id"), fx.index(spark, sf_dir)
+    index = rows.select(F.concat("url", F.when(p % 4 == 1, "**").otherwise("")).alias("url"), "item_key").unionByName(rows.filter((p % 8 == 1) & ~F.col("url").endswith("/")).select(urls.canonical(F.col("url")).alias("url"), F.when(p % 3 == 0, "gone").otherwise("live").alias("item_key")))
+    items = spark.createDataFrame([("live", False), ("gone", True)], "key string, deleted boolean")
+    steps = upkeep.repair_steps(index, items)
+    return steps.filter(F.col("url").endswith("**") & F.col("action").isin("rewrite", "merge", "refused_no_survivor")).agg(F.count(F.lit(1)).alias("damaged"))

@@ -126,3 +126,35 @@ def test_work_lists_refuse_no_limit(spark, limit):
         upkeep.needs_hash(index, -1)
     with pytest.raises(ValueError, match="negative"):
         upkeep.needs_verify(index.withColumn("verified_at", F.lit(1)), -1)
+
+
+def test_repair_refuses_a_merge_without_a_live_survivor(spark):
+    from provenant.operators import upkeep
+
+    index = [("https://a.org/x**", "K1"), ("https://a.org/x", "K2"), ("https://a.org/y**", "K3"), ("https://a.org/y", "K4"), ("https://a.org/z**", "K5"), ("https://a.org/w**", "K6"), ("https://a.org/w", None)]
+    items = [("K1", False), ("K2", False), ("K4", True), ("K3", None)]
+    steps = upkeep.repair_steps(spark.createDataFrame(index, "url string, item_key string"), spark.createDataFrame(items, "key string, deleted boolean"))
+    assert {r["url"]: r["action"] for r in steps.collect() if r["url"].endswith("**")} == {"https://a.org/x**": "merge", "https://a.org/y**": "refused_no_survivor", "https://a.org/z**": "rewrite", "https://a.org/w**": "refused_no_survivor"}
+    assert {r["action"] for r in steps.collect() if not r["url"].endswith("**")} == {"keep"}
+
+
+def test_first_address_of_a_doi_and_preprints(spark):
+    from provenant.operators import gates
+
+    sources = spark.createDataFrame([("https://doi.org/10.1000/b", 2), ("https://dx.doi.org/10.1000/b", 1), ("https://doi.org/10.1000/b", 3)], "url string, nth int")
+    notices = spark.createDataFrame([], "doi string, finding string")
+    assert [r["url"] for r in gates.doi_gate(sources, notices, "nth").collect()] == ["https://dx.doi.org/10.1000/b"]
+    assert [r["url"] for r in gates.doi_gate(sources, notices).collect()] == ["https://doi.org/10.1000/b"]
+    want = {"https://www.biorxiv.org/content/10.1101/2020.01.30.927871v1.full": "10.1101/2020.01.30.927871", "https://www.medrxiv.org/content/10.64898/2026.02.05.703842v3": "10.64898/2026.02.05.703842", "https://biorxiv.org/content/10.1101/269415v2": "10.1101/269415", "https://notbiorxiv.org/content/10.1101/269415v2": None, "https://www.biorxiv.org/about": None}
+    rows = spark.createDataFrame([(u,) for u in want], "u string").select("u", urls.identifier(F.col("u")).alias("i"))
+    assert {r["u"]: r["i"] and r["i"]["id"] for r in rows.collect()} == want
+
+
+def test_history_before_a_run(spark):
+    from provenant.operators import delta
+
+    seen = [("a", DAY(2024, 1, 1)), ("a", DAY(2024, 1, 9)), ("a", DAY(2024, 1, 9)), ("a", DAY(2024, 1, 10)), ("b", DAY(2024, 1, 10)), ("c", DAY(2023, 6, 1)), ("d", DAY(2024, 2, 1))]
+    df = spark.createDataFrame(seen, "url string, seen date")
+    assert got(delta.spans(df, "2024-01-10"), "url", "prior", "span_days") == [("a", 2, 8), ("b", 0, None), ("c", 1, 0), ("d", 0, None)]
+    assert got(delta.spans(df, "2024-01-10", 30), "url") == [("a",), ("b",), ("d",)]
+    assert delta.earliest(df).first()[0] == DAY(2023, 6, 1) and delta.earliest(df.limit(0)).first()[0] is None
