@@ -260,7 +260,7 @@ def sketch_similarity(spark, sf_dir):
     return one.join(two, "doc_id").select("doc_id", content.similarity(F.col("sketch"), F.col("b")).alias("similarity"))
 
 
-@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(substr(html, 1, 262144), '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages")
+@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages")
 def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", content.title(F.col("html")).alias("title"))
 
@@ -518,7 +518,7 @@ def retry_queue(spark, sf_dir):
     return queued.withColumn("state", F.lit("queued")).unionByName(refused.withColumn("state", F.lit("refused")))
 
 
-@query(r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN nullif(trim(regexp_replace(regexp_extract(substr(html, 1, 262144), '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') END AS t FROM pages),
+@query(r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') END AS t FROM pages),
     f AS (SELECT url, max(t) AS t FROM p GROUP BY url),
     a AS (SELECT p.page_id, p.url, f.t, CASE WHEN page_id % 3 = 1 THEN 'cleared' WHEN f.t IS NOT NULL THEN 'resolved' ELSE 'waiting' END AS action FROM p JOIN f ON f.url = p.url WHERE page_id % 5 <> 0)
     SELECT concat('K', page_id) AS key, CASE WHEN action = 'resolved' THEN t WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN 'A real title' END AS title, CASE WHEN action = 'waiting' THEN 'title:unresolved,web' ELSE 'web' END AS tags, action FROM a""")
