@@ -3,9 +3,12 @@
 import collections
 import re
 
-import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.test_operators import within
+import corpus_pipeline
+from provenant.llm import queries
+from tests.llm.test_operators import awkward, near_brute, within
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +38,31 @@ def test_run(spark):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     rows = {(r["doc_id"], r["copy_no"]): size(r["text"]) for r in out.collect()}
     assert len(rows) == out.count() > 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_with_awkward_rows(spark, name):
+    """Nulls, empty and long texts, repeated rows, an empty table, and columns whose names clash with what the stages use."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = awkward(spark).withColumns({c: F.lit("mine") for c in ("tid", "found", "row", "copy_no", "__hash", "score")})
+    out = stage(spark, docs, SF)
+    extra = ["copy_no_"] if name == "mixing" else []
+    assert out.columns == docs.columns + extra
+    rows = out.collect()
+    assert {r["found"] for r in rows} <= {"mine"} and {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+    if name in ("toxicity", "decontamination"):
+        assert len(rows) == docs.count()
+    none = stage(spark, docs.limit(0), SF)
+    assert none.columns == out.columns and none.count() == 0
+
+
+def test_toxic_documents_go_and_near_copies_leave_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    scores = {r["doc_id"]: r["score"] for r in queries.op6_toxicity(spark, SF).collect()}
+    kept = {r["doc_id"] for r in stages["toxicity"](spark, docs, SF).collect()}
+    assert kept == {i for i, s in scores.items() if s < 0.5} and 0 < len(scores) - len(kept) < 30
+    marked = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()} & set(scores)
+    assert len(marked - kept) >= 0.8 * len(marked)
+    left = {r["doc_id"] for r in stages["near dedup"](spark, docs, SF).collect()}
+    assert left == {row[0] for row in near_brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if row[3]} and len(left) < len(scores)
