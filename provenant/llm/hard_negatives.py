@@ -153,14 +153,14 @@ def mine(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col:
     score lies between low and high percent of the positive's, ends included;
     rank counts from 1. All rows are searched, each pair exactly.
 
-    Rows with a null id, label or vector, or with a null or non-finite
+    Rows with a null id, label or vector, or with a null or non-finite (once scaled)
     component, take no part. Of rows that share an id, the least by label and
     vector does. Vectors meet those of the same length only. A score that no
     long can hold is left out. Other columns are not read; an empty table gives
     an empty result, and so do anchors without positives.
     """
     v = F.col(f"`{vector_col}`")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
     valid = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
     once = durable(valid.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v", F.size("x.v").alias("size")).withColumn("anchor", F.coalesce(is_anchor, F.lit(False))))
     n, n_anchors, reach = once.agg(F.count(F.lit(1)), F.count_if("anchor"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double") * scale))))).first()
