@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from provenant.plans import catalog, reports, streams  # noqa: F401  (they register their queries)
+from provenant.plans import catalog, jobs, reports, streams  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 
