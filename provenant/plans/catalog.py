@@ -280,15 +280,20 @@ def verify_verdicts(spark, sf_dir):
     return content.verdicts(stored, content.page_reads(fx.reads(spark, sf_dir)))
 
 
+#: Times that a page stands in its reads.
+_LONG = 20
+
+
 def _verified(spark, sf_dir):
-    """Stable sketches by page_id % 16: 9 of the page itself, 1 of its text backwards, 5 of an older kind; the others have none. So have content sketches: by page_id % 8, 3 of the page, 7 of its text backwards. Addresses are made unique by page."""
+    """Stable sketches by page_id % 16: 9 of the page itself, 1 of its text backwards, 5 of an older kind; the others have none. So have content sketches: by page_id % 8, 3 of the page, 7 of its text backwards. Addresses are made unique by page, and pages long enough that a changed end is a small part."""
     p, unique = F.col("page_id"), F.concat("url", F.lit("#"), "page_id")
-    given = table(spark, sf_dir, "pages").select(unique.alias("url"), "html", p)
+    given = table(spark, sf_dir, "pages").select(unique.alias("url"), F.repeat("html", _LONG).alias("html"), p)
     bodies = lambda chosen, turned: content.sketches(content.chunks(given.filter(chosen).select("url", F.when(turned, F.reverse("html")).otherwise(F.col("html")).alias("body"))), "url")
     stable = bodies((p % 16).isin(1, 5, 9), p % 16 == 1).withColumnRenamed("sketch", "stable_sketch")
     whole = bodies((p % 8).isin(3, 7), p % 8 == 7).withColumnRenamed("sketch", "content_sketch")
-    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select(unique.alias("url"), F.when(p % 2 == 0, F.col("content_hash")).otherwise("older").alias("content_hash"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"), F.lit(content.CONTENT_ALGO).alias("content_sketch_algo"))
-    reads = fx.reads(spark, sf_dir).select(unique.alias("url"), "read_no", "status", "body")
+    hashes = given.select("url", F.when(p % 2 == 0, F.sha2("html", 256)).otherwise("older").alias("content_hash"))
+    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select(unique.alias("url"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"), F.lit(content.CONTENT_ALGO).alias("content_sketch_algo")).join(hashes, "url")
+    reads = fx.reads(spark, sf_dir, _LONG).select(unique.alias("url"), "read_no", "status", "body")
     return content.verify(stored.join(stable, "url", "left").join(whole, "url", "left"), reads)
 
 

@@ -73,10 +73,10 @@ def sightings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 S_SQL = "s AS (SELECT concat('s', (event_id * 31 + user_id) % 997) AS url, ((event_id * 31 + user_id) % 997) % 3 = 0 AS triaged, CAST(ts AS DATE) AS seen FROM events WHERE event_type = 'signup')"
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reads of each page, with a status by page_id; the second differs where page_id % 4 is 1 or 2."""
+def reads(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    """Two reads of each page, its html so many times over, with a status by page_id; the second differs where page_id % 4 is 1 or 2."""
     status = F.expr("CASE page_id % 10 WHEN 5 THEN 404 WHEN 6 THEN 403 WHEN 7 THEN 429 WHEN 8 THEN 503 WHEN 9 THEN 202 ELSE 200 END")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", status.alias("status"), F.explode(F.array(F.lit(1), F.lit(2))).alias("read_no"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.repeat("html", times).alias("html"), status.alias("status"), F.explode(F.array(F.lit(1), F.lit(2))).alias("read_no"))
     body = F.when((F.col("read_no") == 2) & (F.col("page_id") % 4 == 1), F.concat("html", F.lit("<!-- nonce -->"))).when((F.col("read_no") == 2) & (F.col("page_id") % 4 == 2), F.substring("html", 1, 900)).otherwise(F.col("html"))
     return pages.select("page_id", "url", "read_no", "status", body.alias("body"))
 
