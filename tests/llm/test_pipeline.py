@@ -56,13 +56,19 @@ def test_a_stage_with_awkward_rows(spark, name):
     assert none.columns == out.columns and none.count() == 0
 
 
-def test_toxic_documents_go_and_near_copies_leave_one(spark):
+def test_toxic_documents_go(spark):
+    """At sf0.1, where there are labels enough to learn from: the stage drops what op6 scores, which is most of what is marked and little else."""
+    top = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{top}/documents.parquet")
+    scores = {r["doc_id"]: r["score"] for r in queries.op6_toxicity(spark, top).collect()}
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, top).collect()}
+    assert kept == {i for i, s in scores.items() if s < 0.5}
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{top}/labels.parquet").collect() if r["doc_id"] in scores}
+    toxic, clean = ({i for i, t in marks.items() if t == k} for k in (1, 0))
+    assert len(toxic - kept) >= 0.85 * len(toxic) and len(clean & kept) >= 0.99 * len(clean)
+
+
+def test_near_copies_leave_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
-    scores = {r["doc_id"]: r["score"] for r in queries.op6_toxicity(spark, SF).collect()}
-    kept = {r["doc_id"] for r in stages["toxicity"](spark, docs, SF).collect()}
-    assert kept == {i for i, s in scores.items() if s < 0.5} and 0 < len(scores) - len(kept) < 30
-    marked = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()} & set(scores)
-    assert len(marked - kept) >= 0.8 * len(marked)
-    left = {r["doc_id"] for r in stages["near dedup"](spark, docs, SF).collect()}
-    assert left == {row[0] for row in near_brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if row[3]} and len(left) < len(scores)
+    left = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).collect()}
+    assert left == {row[0] for row in near_brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if row[3]} and len(left) < docs.count()
