@@ -30,3 +30,9 @@ def test_pages_of_one_address_have_survivors_of_their_own(over):
     address = "https://a.example.org/en/1#top"
     found = over("merge_survivors", pages=([(k, address if k < 9 else f"https://a.example.org/{k}", "x") for k in range(1, 40)], PAGES))
     assert {ok for _, corrected, ok in found if corrected == address} == {True, False}
+
+
+def test_pages_of_few_different_chunks_keep_their_verdict(over):
+    """Hardly anything but the end of such a page tells its chunks apart, and it is the end that the reads differ in."""
+    found = over("verify_states", pages=([(k, f"https://a.example.org/{k}", html) for k, html in ((153, "x" * 700), (441, "y" * 3000), (30, "z" * 700))], PAGES))
+    assert [verdict for _, verdict, *_ in found] == ["stable_unchanged", "unchanged", "stable_unchanged"]
