@@ -21,6 +21,8 @@ from provenant.streaming.buckets import Buckets, newest
 _PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds after which work without an end counts as abandoned, and how far a stamp may lie ahead of its arrival.
 AGE, SKEW = 180, "1 hour"
+#: Shares of the keys that abandoned work is kept by, and slots of a share; a checkpoint holds for the numbers that it was started with.
+SHARES, SLOTS = 1024, 32
 
 
 def _started(stream: DataFrame, top: str, **options) -> StreamingQuery:
@@ -89,53 +91,106 @@ def turns(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.groupBy("session").transformWithStateInPandas(_Turns(), "session long, turn_seq long, role string, segment long", "append", "eventTime")
 
 
+_WORK = ("kind", "id", "started", "steps", "seq", "target", "ended", "revision", "due")
+_WORK_TYPE = "kind array<string>, id array<string>, started array<long>, steps array<long>, seq array<long>, target array<string>, ended array<boolean>, revision array<int>, due array<long>"
+
+
 class _Abandoned(StatefulProcessor):
-    """A piece of work from its start to its end; a timer speaks up where no end comes in time."""
+    """Pieces of work from their start to their end; a timer speaks up where no end comes in time.
+
+    One call has the work of a share of all keys, for a call, a timer and a
+    state access cost far more than the few rows of one piece. Its work stands
+    in slots, of which a batch rewrites those that its keys fall in, and the
+    share has one timer, for the earliest of what is due.
+    """
 
     def __init__(self, age_ms: int):
         self.age = age_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.work = handle.getValueState("work", "started long, steps long, seq long, target string, ended boolean, revision int")
-
-    def _row(self, key, state: str, work: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], key[1], state, work[1], work[3], work[5])], columns=["kind", "id", "state", "steps", "last_target", "revision"])
+        self.slots = handle.getMapState("slots", "slot int", _WORK_TYPE)
+        self.due = handle.getValueState("due", "at array<long>, timer long")
+
+    def _load(self, slot: int) -> dict[tuple, list]:
+        columns = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else ()
+        return {(kind, name): list(work) for kind, name, *work in zip(*columns, strict=True)}
+
+    def _store(self, slot: int, held: dict[tuple, list], due: list) -> None:
+        due[slot] = min((work[-1] for work in held.values() if work[-1] is not None), default=None)
+        if held:
+            self.slots.updateValue((slot,), tuple(map(list, zip(*((*key, *work) for key, work in held.items()), strict=True))))
+        elif self.slots.containsKey((slot,)):
+            self.slots.removeKey((slot,))
+
+    def _wait(self, due: list, timer: int | None) -> None:
+        """One timer, for the earliest of what is due."""
+        first = min((at for at in due if at is not None), default=None)
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.due.update((due, first))
+
+    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=["kind", "id", "state", "steps", "last_target", "revision"])
+
+    def _taken(self, work: list, events: list[tuple]) -> tuple[list, bool]:
+        """Work after these events, and whether what was said of it has changed."""
+        started, steps, last, target, ended, revision, due = work
+        fresh, changed = started is None, False
+        for event, at, seq, aim in events:
+            if event == "start":
+                started = at if started is None else min(started, at)
+            elif event == "end":
+                due = min(due, at + self.age) if ended else at + self.age
+                changed, ended = changed or not ended, True
+            else:
+                if last is None or (seq, aim or "") > (last, target or ""):
+                    last, target = seq, aim
+                steps, changed = steps + 1, True
+        if fresh and started is not None and not ended:
+            due = started + self.age
+        said = bool(revision) and changed
+        return [started, steps, last, target, ended, revision + said, due], said
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        started, steps, last, target, ended, revision = self.work.get() or (None, 0, None, None, False, 0)
-        fresh, changed = started is None, False
+        came: dict[int, dict[tuple, list]] = {}
         for frame in rows:
-            for event, at, seq, aim in zip(frame["event"], frame["at"], frame["seq"], frame["target"], strict=True):
-                if event == "start":
-                    started = int(at) if started is None else min(started, int(at))
-                elif event == "end":
-                    changed, ended = changed or not ended, True
-                    self.handle.registerTimer(int(at) + self.age)
-                else:
-                    aim = None if pd.isna(aim) else str(aim)
-                    if last is None or (int(seq), aim or "") > (last, target or ""):
-                        last, target = int(seq), aim
-                    steps, changed = steps + 1, True
-        if fresh and started is not None and not ended:
-            self.handle.registerTimer(started + self.age)
-        if revision and changed:
-            revision += 1
-        work = (started, steps, last, target, ended, revision)
-        self.work.update(work)
-        if revision and changed:
-            yield self._row(key, "taken_back" if ended else "abandoned", work)
+            for slot, kind, name, event, at, seq, aim in zip(*(frame[c].tolist() for c in ("slot", "kind", "id", "event", "at", "seq", "target")), strict=True):
+                came.setdefault(slot, {}).setdefault((kind, name), []).append((event, at, seq, aim if isinstance(aim, str) else None))
+        due, timer = self.due.get() or ([None] * SLOTS, None)
+        due, out = list(due), []
+        for slot, works in came.items():
+            held = self._load(slot)
+            for piece, events in works.items():
+                held[piece], said = self._taken(held.get(piece, [None, 0, None, None, False, 0, None]), events)
+                if said:
+                    _, steps, _, target, ended, revision, _ = held[piece]
+                    out.append((*piece, "taken_back" if ended else "abandoned", steps, target, revision))
+            self._store(slot, held, due)
+        self._wait(due, timer)
+        yield from self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        work = self.work.get()
-        if work is None:
-            return
-        if work[4]:
-            self.work.clear()
-        elif work[0] is not None and not work[5]:
-            work = (*work[:5], 1)
-            self.work.update(work)
-            yield self._row(key, "abandoned", work)
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        due, out = list(self.due.get()[0]), []
+        for slot in [k for k, at in enumerate(due) if at is not None and at <= passed]:
+            held = self._load(slot)
+            for piece, work in list(held.items()):
+                if work[-1] is None or work[-1] > passed:
+                    continue
+                _, steps, _, target, ended, _, _ = work
+                if ended:
+                    del held[piece]
+                else:
+                    work[-2:] = [1, None]
+                    out.append((*piece, "abandoned", steps, target, 1))
+            self._store(slot, held, due)
+        self._wait(due, None)  # the one that has fired goes by itself
+        yield from self._frame(out)
 
     def close(self) -> None:
         pass
@@ -149,10 +204,14 @@ def abandoned(events: DataFrame, delay: str = "10 minutes", age: int = AGE) -> D
     abandoned. A step that comes later gives it a new revision; an end that
     comes later takes it back. State of ended work goes age seconds after its
     end. still_open reads the log.
+
+    State is kept by shares of the keys, so its cost goes with rows and slots,
+    not with calls by piece of work.
     """
     rows = events.select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("string").alias("id"), "event", "ts", F.coalesce(F.col("seq").cast("long"), F.lit(0).cast("long")).alias("seq"), F.col("target").cast("string").alias("target")).filter("kind IS NOT NULL AND id IS NOT NULL AND ts IS NOT NULL")
-    timed = rows.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
-    return timed.groupBy("kind", "id").transformWithStateInPandas(_Abandoned(1000 * age), "kind string, id string, state string, steps long, last_target string, revision int", "append", "eventTime")
+    place = F.pmod(F.xxhash64("kind", "id"), F.lit(SHARES * SLOTS)).cast("int")
+    timed = rows.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts")).withColumns({"share": F.floor(place / SLOTS).cast("int"), "slot": place % SLOTS})
+    return timed.groupBy("share").transformWithStateInPandas(_Abandoned(1000 * age), "kind string, id string, state string, steps long, last_target string, revision int", "append", "eventTime")
 
 
 def still_open(changes: DataFrame) -> DataFrame:

@@ -165,3 +165,23 @@ def test_a_batch_rewrites_only_the_buckets_that_it_touches(spark, tmp_path):
     assert rows(table.read()) == rows(one)
     assert sorted(os.listdir(f"{top}/manifest")) == ["epoch=5", "epoch=6"]
     assert {d for d in os.listdir(f"{top}/data") if os.listdir(f"{top}/data/{d}") and any(x.startswith("bucket=") for x in os.listdir(f"{top}/data/{d}"))} == {"epoch=5", "epoch=6"}
+
+
+def test_many_pieces_of_work_take_few_calls(spark, tmp_path, monkeypatch):
+    """Pieces share state and timers; each is due by its own start, up to the instant that the watermark has reached, and late ends and steps find theirs."""
+    monkeypatch.setattr(stateful, "SHARES", 3, raising=False)
+    monkeypatch.setattr(stateful, "SLOTS", 2, raising=False)
+    source = Source(spark, tmp_path, EVENTS)
+    source.add([("operation", f"o{k}", "start", at(k), None, None) for k in range(300)] + [("operation", f"o{k}", "step", at(k + 1), 1, None) for k in range(0, 300, 2)] + [("operation", f"o{k}", "end", at(k + 2), None, None) for k in range(0, 300, 5)])
+    progress = stateful._started(stateful.abandoned(source.stream(), "3 minutes"), source.top).recentProgress
+    timers = sum(int(op["customMetrics"]["numRegisteredTimers"]) for p in progress for op in p["stateOperators"])
+    assert 0 < timers <= 2 * 3 and source.spark.read.parquet(f"{source.top}/rows").count() == 0
+    # The watermark comes to rest where piece 150 is due.
+    source.add([("claim", "later", "start", at(150 + 180 + 180), None, None)])
+    changes = stateful.drain(stateful.abandoned(source.stream(), "3 minutes"), source.top)
+    due = {f"o{k}" for k in range(151) if k % 5}
+    assert {r["id"] for r in changes.collect()} == due and changes.count() == len(due)
+    source.add([("operation", "o1", "end", at(511), None, None), ("operation", "o2", "step", at(511), 5, "t"), ("operation", "o151", "end", at(511), None, None), ("claim", "last", "start", at(2000), None, None)])
+    changes = stateful.drain(stateful.abandoned(source.stream(), "3 minutes"), source.top)
+    left = {(r["id"], r["steps"], r["last_target"]) for r in stateful.still_open(changes).collect()}
+    assert left == {(f"o{k}", 1 - k % 2, None) for k in range(300) if k % 5 and k not in (1, 2, 151)} | {("o2", 2, "t"), ("later", 0, None)}
