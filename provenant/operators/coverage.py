@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,39 +38,69 @@ def extraction_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff.agg(F.count(F.lit(1)).alias("messages"), F.count_if((F.size("old_only") > 0) | (F.size("new_only") > 0)).alias("changed"), total(F.size("old_only")).alias("lost"), total(F.size("new_only")).alias("gained"), total(shorter).alias("shortened"))
 
 
-_JOINED = "url string, digest string, nbytes long, joined boolean"
+def _aligned(digests: bool):
+    """Bytes of each page's first read and of its units that the second has in the same order, and with digests these units', each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column("one"), batch.column("two")
+            held, sizes = one.flatten(), batch.column("sizes").flatten().to_numpy(zero_copy_only=False)
+            codes = pa.concat_arrays([held, two.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            ends = [np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (one, two)]
+            kept, total, units = [], [], []
+            for k in range(batch.num_rows):
+                (a, b), (c, d) = (((int(e[k - 1]) if k else 0), int(e[k])) for e in ends)
+                met = a + align.places(codes[a:b], codes[len(held) + c : len(held) + d])
+                kept.append(int(sizes[met].sum()))
+                total.append(int(sizes[a:b].sum()))
+                units.append(met[np.unique(codes[met], return_index=True)[1]] if digests else met[:0])
+            columns = [batch.column("url"), pa.array(kept, pa.int64()), pa.array(total, pa.int64())]
+            if digests:
+                offsets = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held.take(pa.array(np.concatenate([np.arange(0), *units]), pa.int64()))))
+            yield pa.RecordBatch.from_arrays(columns, names=["url", "kept", "total", "digests"][: len(columns)])
 
+    return run
 
-def _align(rows: pd.DataFrame) -> pd.DataFrame:
-    """The units of a page's first read and whether the second has them in the same order; and a row without unit, so that every page has one."""
-    rows = rows.sort_values("ord", kind="stable")
-    one, two = (rows[rows["read_no"] == k] for k in (1, 2))
-    joined = np.zeros(len(one) + 1, dtype=bool)
-    joined[[i for i, _ in align.aligned(one["digest"].tolist(), two["digest"].tolist())]] = True
-    return pd.DataFrame({"url": rows["url"].iat[0], "digest": [*one["digest"], None], "nbytes": [*one["nbytes"].astype("int64"), 0], "joined": joined})
 
+def _packed(units: DataFrame) -> DataFrame:
+    """units (url, read_no, ord, digest, nbytes) as reads (url, read_no, digests, sizes), one row a read; reads as they are."""
+    if "digests" in units.columns:
+        return units
+    read = units.groupBy("url", "read_no").agg(F.sort_array(F.collect_list(F.struct("ord", "digest", F.col("nbytes").cast("long").alias("nbytes")))).alias("u"))
+    return read.select("url", "read_no", F.col("u.digest").alias("digests"), F.col("u.nbytes").alias("sizes"))
 
-def _met(units: DataFrame) -> DataFrame:
-    """units (url, read_no, ord, digest, nbytes) of two reads, aligned as sequences: a unit that moved before or behind others is not joined.
+
+def _met(units: DataFrame, digests: bool = False) -> DataFrame:
+    """(url, kept, total, and digests if asked) of two reads, aligned as sequences: a unit that moved before or behind others is not joined.
 
     The alignment is a longest common subsequence of the two reads of one page,
-    which come to one task; units are small beside the page that they are cut from.
+    which come to one row; units are small beside the page that they are cut from.
+    """
+    one, two = (F.any_value(F.when(F.col("read_no") == k, F.struct("digests", "sizes")), True) for k in (1, 2))
+    pairs = _packed(units).groupBy("url").agg(one.alias("a"), two.alias("b"))
+    kind = "url string, kept long, total long" + (", digests array<string>" if digests else "")
+    return pairs.select("url", F.col("a.digests").alias("one"), F.col("a.sizes").cast("array<long>").alias("sizes"), F.col("b.digests").alias("two")).mapInArrow(_aligned(digests), kind)
+
+
+def agreed_reads(units: DataFrame, least: float = AGREE) -> DataFrame:
+    """(url, digests), each once, of the units that both reads have in the same order, where these hold at least least of the first read's bytes.
+
+    units (url, read_no, ord, digest, nbytes), or whole reads of them, one row
+    a read: (url, read_no, digests, sizes), both in the order of the page.
     """
-    return units.select("url", "read_no", "ord", "digest", "nbytes").groupBy("url").applyInPandas(_align, _JOINED)
+    return _met(units, True).filter((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least)).select("url", F.array_compact("digests").alias("digests"))
 
 
 def agreed_units(units: DataFrame, least: float = AGREE) -> DataFrame:
-    """(url, digest) of the units that both reads have in the same order, where these hold at least least of the first read's bytes."""
-    met = _met(units)
-    kept = met.groupBy("url").agg(F.sum(F.when(F.col("joined"), F.col("nbytes"))).alias("kept"), F.sum("nbytes").alias("total"), F.collect_set(F.when(F.col("joined"), F.col("digest"))).alias("digests"))
-    return kept.filter((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least)).select("url", F.explode("digests").alias("digest"))
+    """(url, digest) of agreed_reads, one row a unit."""
+    return agreed_reads(units, least).select("url", F.explode("digests").alias("digest"))
 
 
 def agreed(units: DataFrame, least: float = AGREE) -> DataFrame:
-    """(url, kept, total, agreed) of two reads: the bytes of the first read, and of its units that the second has in the same order.
+    """(url, kept, total, agreed) of two reads, given as to agreed_reads: the bytes of the first read, and of its units that the second has in the same order.
 
     agreed is null below least and for an empty first read, for then there is
     no agreed set to compare.
     """
-    sums = _met(units).groupBy("url").agg(F.coalesce(F.sum(F.when(F.col("joined"), F.col("nbytes"))), F.lit(0).cast("long")).alias("kept"), F.sum("nbytes").alias("total"))
-    return sums.select("url", "kept", "total", F.when((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least), True).alias("agreed"))
+    return _met(units).select("url", "kept", "total", F.when((F.col("total") > 0) & (F.col("kept") >= F.col("total") * least), True).alias("agreed"))

@@ -452,8 +452,8 @@ def extraction_diff(spark, sf_dir):
     SELECT *, CASE WHEN kept >= total * CAST(0.9 AS DOUBLE) THEN true END AS agreed FROM s""")
 def reads_agreed(spark, sf_dir):
     """The words of two reads of a page stand for their chunks; the second has words at its end that are new every time, or stops early, perhaps inside a word."""
-    words = fx.reads(spark, sf_dir).select(F.concat("url", F.lit("#"), "page_id").alias("url"), "read_no", F.posexplode(F.split("body", " ")).alias("ord", "w"))
-    return coverage.agreed(words.select("url", "read_no", "ord", F.col("w").alias("digest"), F.octet_length("w").alias("nbytes")))
+    words = fx.reads(spark, sf_dir).select(F.concat("url", F.lit("#"), "page_id").alias("url"), "read_no", F.split("body", " ").alias("digests"))
+    return coverage.agreed(words.withColumn("sizes", F.transform("digests", lambda w: F.octet_length(w))))
 
 
 def _records(spark, sf_dir):

@@ -269,6 +269,7 @@ def test_alignment_is_a_longest_common_subsequence():
         for _ in range(40):
             a, b = (rng.integers(0, kinds, int(rng.integers(0, 160))).tolist() for _ in range(2))
             found = align.aligned(a, b)
+            assert align.places(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)).tolist() == [i for i, _ in found]
             assert all(a[i] == b[j] for i, j in found) and len(found) == longest(a, b)
             assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
     long = rng.integers(0, 3, 30_000).tolist()
@@ -286,6 +287,20 @@ def test_moved_blocks_do_not_agree(spark):
     assert kept == {"same": 100, "swapped": 99, "nonce": 99}
 
 
+def test_whole_reads_agree_as_their_units_do(spark):
+    """One row a read, aligned without a frame or a row for each unit."""
+    forms = {"same": ("abcab", "abcab"), "nonce": ("abcabcabcabc", "abcabcabcabx"), "moved": ("abcdef", "defabc"), "none": ("", "ab"), "once": ("ab", None), "unread": (None, "ab")}
+    reads = [(u, r, list(d), [3] * len(d)) for u, two in forms.items() for r, d in ((1, two[0]), (2, two[1])) if d is not None]
+    whole = spark.createDataFrame(reads, "url string, read_no int, digests array<string>, sizes array<int>")
+    units = whole.select("url", "read_no", F.posexplode(F.arrays_zip("digests", "sizes")).alias("ord", "u")).select("url", "read_no", "ord", F.col("u.digests").alias("digest"), F.col("u.sizes").alias("nbytes"))
+    got = {r["url"]: (r["kept"], r["total"], r["agreed"]) for r in coverage.agreed(whole).collect()}
+    assert got == {"same": (15, 15, True), "nonce": (33, 36, True), "moved": (9, 18, None), "none": (0, 0, None), "once": (0, 6, None), "unread": (0, 0, None)}
+    assert {r["url"]: (r["kept"], r["total"], r["agreed"]) for r in coverage.agreed(units).collect()} == got
+    assert {r["url"]: sorted(r["digests"]) for r in coverage.agreed_reads(whole).collect()} == {"same": list("abc"), "nonce": list("abc")}
+    plan = coverage.agreed(whole)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Generate" not in plan
+
+
 def test_verify_stores_what_is_missing_and_sizes_a_change(spark):
     rng = np.random.default_rng(8)
     body = lambda k: bytes(rng.integers(0, 256, 20_000, dtype=np.uint8)) if k else b""
