@@ -36,7 +36,7 @@ def take(index: DataFrame, reads: DataFrame, limit: int) -> DataFrame:
     met = due.join(judged, "url").join(refined, "url")
     body = F.when(F.col("refined") == "ok", F.col("body").cast("binary"))
     rows = met.select("url", F.col("refined").alias("outcome"), body.alias("body"), "final_url", "complete")
-    units = content.sketches(content.chunks(rows.filter("body IS NOT NULL").select("url", "body")), "url").withColumnRenamed("sketch", "content_sketch")
+    units = content.body_sketches(rows.filter("body IS NOT NULL").select("url", "body")).withColumnRenamed("sketch", "content_sketch")
     found = rows.select("url", "outcome", content.content_hash(F.col("body")).alias("content_hash"), F.octet_length("body").cast("long").alias("hash_bytes"), F.when(F.col("body").isNotNull(), ~F.coalesce("complete", F.lit(True))).alias("hash_truncated"), F.when(F.col("body").isNotNull(), F.col("final_url")).alias("final_url"))
     return found.join(units, "url", "left")
 

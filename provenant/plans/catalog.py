@@ -287,14 +287,15 @@ _LONG = 20
 def _verified(spark, sf_dir):
     """Stable sketches by page_id % 16: 9 of what an earlier pass agreed on, 1 of the page's text backwards, 5 of the page in an older kind; the others have none. So have content sketches: by page_id % 8, 3 of the page, 7 of its text backwards. Addresses are made unique by page, and pages long enough that a changed end is a small part."""
     p, unique = F.col("page_id"), F.concat("url", F.lit("#"), "page_id")
-    given = table(spark, sf_dir, "pages").select(unique.alias("url"), F.repeat("html", _LONG).alias("html"), p)
-    bodies = lambda chosen, turned: content.sketches(content.chunks(given.filter(chosen).select("url", F.when(turned, F.reverse("html")).otherwise(F.col("html")).alias("body"))), "url")
+    indexed = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL")
+    given = table(spark, sf_dir, "pages").join(indexed.select("page_id"), "page_id", "left_semi").select(unique.alias("url"), F.repeat("html", _LONG).alias("html"), p)
+    bodies = lambda chosen, turned: content.body_sketches(given.filter(chosen).select("url", F.when(turned, F.reverse("html")).otherwise(F.col("html")).alias("body")))
     earlier = given.filter(p % 16 == 9).select("url", F.explode(F.array(F.lit(1), F.lit(2))).alias("read_no"), "html")
     agreed = content.stable_sketches(earlier.select("url", "read_no", F.when(F.col("read_no") == 2, F.concat("html", F.lit("<!-- earlier -->"))).otherwise(F.col("html")).alias("body")))
     stable = bodies((p % 16).isin(1, 5), p % 16 == 1).unionByName(agreed).withColumnRenamed("sketch", "stable_sketch")
     whole = bodies((p % 8).isin(3, 7), p % 8 == 7).withColumnRenamed("sketch", "content_sketch")
     hashes = given.select("url", F.when(p % 2 == 0, F.sha2("html", 256)).otherwise("older").alias("content_hash"))
-    stored = fx.index(spark, sf_dir).filter("content_hash IS NOT NULL").select(unique.alias("url"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"), F.lit(content.CONTENT_ALGO).alias("content_sketch_algo")).join(hashes, "url")
+    stored = indexed.select(unique.alias("url"), F.when(p % 16 == 5, "older").otherwise(content.STABLE_ALGO).alias("stable_algo"), F.lit(content.CONTENT_ALGO).alias("content_sketch_algo")).join(hashes, "url")
     reads = fx.reads(spark, sf_dir, _LONG).select(unique.alias("url"), "read_no", "status", "body")
     return content.verify(stored.join(stable, "url", "left").join(whole, "url", "left"), reads)
 

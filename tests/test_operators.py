@@ -318,6 +318,25 @@ def test_verify_stores_what_is_missing_and_sizes_a_change(spark):
     assert got["near"]["similarity"] > 0.9 and got["far"]["similarity"] < 0.1 and [got[u]["similarity"] for u in ("older", "bad", "none", "kept")] == [None] * 4
 
 
+def test_bodies_are_sketched_in_one_row(spark):
+    """The same sketches as of a row for each chunk, without a window, a frame or a shuffle of chunks."""
+    rng = np.random.default_rng(5)
+    body = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    long, short = body(60_000), body(300)
+    reads = [(u, r, b) for u, two in {"same": (long, long), "nonce": (long * 2, long * 2 + b"new"), "copies": (short * 50, short * 50 + b"x"), "apart": (long, long[::-1]), "empty": (b"", long), "null": (None, None), "once": (long, None)}.items() for r, b in zip((1, 2), two, strict=True)]
+    given = spark.createDataFrame(reads, "url string, read_no int, body binary")
+    held = lambda df: {r["url"]: r["sketch"] for r in df.collect()}
+    first = given.filter("read_no = 1")
+    found = held(content.body_sketches(first))
+    assert found == held(content.sketches(content.chunks(first), "url")) and set(found) == {"same", "nonce", "copies", "apart", "once"} and len(found["same"]) == 128 and len(found["copies"]) < 128
+    units = [content.chunks(given.filter(F.col("read_no") == k)).withColumn("read_no", F.lit(k)) for k in (1, 2)]
+    agreed = content.stable_sketches(given)
+    assert held(agreed) == held(content.sketches(coverage.agreed_units(units[0].unionByName(units[1])), "url")) and set(held(agreed)) == {"same", "nonce", "copies"}
+    index = spark.createDataFrame([("same", "older", None, None)], "url string, content_hash string, stable_sketch array<string>, stable_algo string")
+    plan = content.verify(index, given.withColumn("status", F.lit(200)))._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Window" not in plan
+
+
 def test_correction_never_invents_an_address(spark):
     cases = {"https://a.b/x_(y)": "https://a.b/x_(y)", "https://a.b/x_(y)).": "https://a.b/x_(y)", "https://a.b/x/**": "https://a.b/x", "https://a.b/x)**": "https://a.b/x", "https://a.b/d/{ID}.pdb": "https://a.b/d/{ID}.pdb", "https://a.b/x|`": "https://a.b/x", "https://a.b/f[n]|x": "https://a.b/f[n]|x", "https://a.b/x_(y": "https://a.b/x_(y", "https://a.b/": "https://a.b/"}
     assert {k: one(spark, k, upkeep.corrected) for k in cases} == cases and one(spark, None, upkeep.corrected) is None
